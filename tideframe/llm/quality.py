@@ -78,8 +78,8 @@ def text_counts(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
 MEASURES: dict[str, tuple[str, bool, float]] = {
     "word_length": ("word_chars / n_words", True, 2.0),
     "symbols_a_word": ("n_symbols / n_words", False, 0.3),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", False, 0.3),
-    "repeats": ("n_repeat_words / n_words", False, 0.1),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", False, 0.5),
+    "repeats": ("n_repeat_words / n_words", False, 0.3),
 }
 
 
