@@ -336,6 +336,18 @@ def _posterior(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndar
     return a * b, pairs, float(np.log(scale).sum() + top.sum())
 
 
+def _e_step(order: str, features: list[str], *model: np.ndarray) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A sequence's expected sums under the model, as (index, value) rows that add up over sequences."""
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[features].to_numpy(float)
+        g, pairs, ll = _posterior(x, *model)
+        v = np.concatenate([g[0], pairs.ravel(), g.sum(0), (g.T @ x).ravel(), (g.T @ (x * x)).ravel(), [ll]])
+        return pd.DataFrame({"i": np.arange(len(v)), "v": v})
+
+    return step
+
+
 def fit_hmm(df: DataFrame, sequence: str, order: str, features: Sequence[str], states: int = 3, rounds: int = 15, least_rows: int = 6) -> dict[str, np.ndarray]:
     """A diagonal Gaussian HMM over all sequences of at least ``least_rows`` rows, by EM. The E step runs in grouped tasks, a
     sequence each; a round's sums (states x features) are added in Spark. Starts from quantiles of the first feature."""
@@ -350,15 +362,7 @@ def fit_hmm(df: DataFrame, sequence: str, order: str, features: Sequence[str], s
     start, move = np.full(s, 1 / s), np.full((s, s), 0.1 / max(s - 1, 1)) + np.eye(s) * (0.9 - 0.1 / max(s - 1, 1))
     size = s + s * s + s + 2 * s * p + 1
     for _ in range(rounds):
-        now = (start, move, mean, var)
-
-        def step(pdf: pd.DataFrame, now=now) -> pd.DataFrame:
-            x = pdf.sort_values(order)[list(features)].to_numpy(float)
-            g, pairs, ll = _posterior(x, *now)
-            v = np.concatenate([g[0], pairs.ravel(), g.sum(0), (g.T @ x).ravel(), (g.T @ (x * x)).ravel(), [ll]])
-            return pd.DataFrame({"i": np.arange(len(v)), "v": v})
-
-        out = rows.groupBy(sequence).applyInPandas(step, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        out = rows.groupBy(sequence).applyInPandas(_e_step(order, list(features), start, move, mean, var), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         v = np.zeros(size)
         for r in out:
             v[r["i"]] = r["v"]
