@@ -6,21 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.numbers import nan_to_null
 
-EPISODE = T.StructType.fromDDL(
-    "id string, name string, period struct<start:int,peak:int,end:int>, peak_date string, category string, severity int, max_drawdown int, outcome string, tickers array<string>, market string, is_bubble boolean, is_target boolean"
-)
-DAILY = T.StructType.fromDDL("permno int, date date, ret double, price double, shrout double")
-FUNDAMENTALS = T.StructType.fromDDL("gvkey string, datadate date, total_debt double, total_assets double, shares_outstanding double")
-BONDS = T.StructType.fromDDL("date date, cusip string, issuer_cusip string, t_spread double, tmt double, rating_num int, rating_cat string, amount_outstanding double")
+EPISODE = "id string, name string, period struct<start:int,peak:int,end:int>, peak_date string, category string, severity int, max_drawdown int, outcome string, tickers array<string>, market string, is_bubble boolean, is_target boolean"
+DAILY = "permno int, date date, ret double, price double, shrout double"
+FUNDAMENTALS = "gvkey string, datadate date, total_debt double, total_assets double, shares_outstanding double"
+BONDS = "date date, cusip string, issuer_cusip string, t_spread double, tmt double, rating_num int, rating_cat string, amount_outstanding double"
 FILING_INDEX = "struct<filings:struct<recent:struct<form:array<string>,filingDate:array<string>,accessionNumber:array<string>,primaryDocument:array<string>>>>"
 OLDER_INDEX = "struct<form:array<string>,filingDate:array<string>,accessionNumber:array<string>,primaryDocument:array<string>>"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A Parquet file or folder; partition folders become columns. NaN becomes NULL."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return nan_to_null(reader.parquet(path))
