@@ -64,7 +64,7 @@ def fit_into(sizes: Sequence[int], shards: int) -> tuple[int, list[int]]:
     return high, best
 
 
-def shard_groups(df: DataFrame, group: str, size: str, shards: int, order: Sequence[str] = (), seed: int = 0, fine: int = 64, cells: int = 128) -> DataFrame:
+def shard_groups(df: DataFrame, group: str, size: str, shards: int, order: Sequence[str] = (), seed: int = 0, fine: int = 64, cells: int = 128, hot: int = 1000) -> DataFrame:
     """Adds ``shard`` (int, 0 to shards - 1) and ``slot`` (long, gapless from 0 in each shard).
 
     Rows with one value of ``group`` (a string; null is a value) share a shard. Shards are near equal by the sum of
@@ -75,8 +75,8 @@ def shard_groups(df: DataFrame, group: str, size: str, shards: int, order: Seque
     df = df.drop("shard", "slot")
     g, s, h = "_group", "_size", "_spread"
     key = F.coalesce(F.concat(F.lit("="), F.col(group)), F.lit("null"))
-    groups = written(df.groupBy(key.alias(g)).agg(F.sum(F.col(size)).cast("long").alias(s)))
-    total = groups.agg(F.sum(s)).first()[0] or 0
+    groups = written(df.groupBy(key.alias(g)).agg(F.sum(F.col(size)).cast("long").alias(s), F.count(F.lit(1)).alias("_n")))
+    total, n_rows = (x or 0 for x in groups.agg(F.sum(s), F.sum("_n")).first())
     large = max(1, -(-total // (shards * fine)))
     item = F.when(F.col(s) >= large, F.concat(F.lit("g"), g)).otherwise(
         F.concat_ws("/", F.lit("c"), F.floor(F.log2(F.greatest(F.col(s), F.lit(1)))).cast("string"), F.pmod(F.xxhash64(F.lit(seed), g), F.lit(cells)).cast("string"))
@@ -87,12 +87,14 @@ def shard_groups(df: DataFrame, group: str, size: str, shards: int, order: Seque
     _, bins = fit_into([int(x[1]) for x in items], shards)
     spark = df.sparkSession
     plan = spark.createDataFrame([(x[0], int(b)) for x, b in zip(items, bins, strict=True)], "_item string, shard int")
-    of_group = groups.join(F.broadcast(plan), "_item").select(g, "shard")  # bounded as the items are
-    # a group of copies can hold a third of all rows: its one row of the plan is repeated for each salt
-    salt = 16
-    left = df.withColumn(g, key).withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(salt)).cast("int"))
-    right = of_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    placed = left.join(right, [g, "_salt"]).drop(g, "_salt")
+    of_group = groups.join(F.broadcast(plan), "_item")  # bounded as the items are
+    # a group of copies can hold a third of all rows; those with over 1 / hot of the rows, at most hot, are broadcast, and
+    # their rows are spread over keys that no group has
+    large_groups = of_group.where(F.col("_n") * hot >= n_rows).select(g, F.col("shard").alias("_hot"))
+    left = df.withColumn(g, key).join(F.broadcast(large_groups), g, "left")
+    left = left.withColumn(g, F.when(F.col("_hot").isNull(), F.col(g)).otherwise(F.concat(F.lit("#"), F.xxhash64(F.lit(seed), *order).cast("string"))))
+    placed = left.join(of_group.where(F.col("_n") * hot < n_rows).select(g, "shard"), g, "left")
+    placed = placed.withColumn("shard", F.coalesce("_hot", "shard")).drop(g, "_hot")
     h = free_name(placed, h)
     placed = placed.withColumn(h, unit_hash(seed, *order))
     return gapless_rank(placed, ["shard"], [h, *order], F.col(h), "slot").drop(h)
