@@ -31,8 +31,8 @@ def language_model(docs: DataFrame) -> language.Model:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    own = labels.where(F.col("toxic").isNotNull() & (id_remainder("doc_id", 3) != 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return toxicity.fit(docs.select("doc_id", "text").join(own, "doc_id"), "text", "toxic", ["doc_id"])
+    own = labels.where(id_remainder("doc_id", 3) != 1).select("doc_id", "toxic")
+    return toxicity.fit(docs.select("doc_id", "text"), own, "doc_id", "text", "toxic")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from .shared import unit_hash
 PART, SEGMENT, LEVEL = 5, 8, 9
 CARRIER = bytes(range(128, 176))
 STEPS = (1, 2, 3, 4, 5, 6)
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -52,21 +52,34 @@ def _parts(text: bytes) -> np.ndarray:
     return out
 
 
-def _shares(texts: Sequence[bytes]) -> dict[int, int]:
-    found = [np.unique(_parts(t)) for t in texts]
-    parts, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
-    return dict(zip(map(int, parts), map(int, n), strict=True))
+def _numbers(segment: bytes) -> list[int]:
+    return [int.from_bytes(segment[i : i + PART], "big") for i in range(len(segment) - PART + 1)]
 
 
-def cover(texts: Sequence[bytes], worth: dict[int, float], most: int) -> bytes:
+def _shares(texts: Sequence[bytes], batch: int = 100) -> dict[int, int]:
+    """In how many texts each part is."""
+    parts, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i in range(0, len(texts), batch):
+        new, n = np.unique(np.concatenate([np.unique(_parts(t)) for t in texts[i : i + batch]]), return_counts=True)
+        parts, at = np.unique(np.concatenate([parts, new]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(parts)).astype(np.int64)
+    return dict(zip(parts.tolist(), counts.tolist(), strict=True))
+
+
+def cover(texts: Sequence[bytes], worth: dict[int, float], most: int, candidates: int = 150_000) -> bytes:
     """Segments whose parts are worth most, until ``most`` bytes or nothing of worth is left; a part counts once.
-    The best stand last, where zstandard reaches them at the least cost."""
+    The best stand last, where zstandard reaches them at the least cost. Segments come from the texts in order, until
+    there are ``candidates`` different ones."""
     wanted, segments = np.array(sorted(worth), np.uint64), Counter()
     for t in texts:
         for i in np.flatnonzero(np.isin(_parts(t), wanted)).tolist():
             if i + SEGMENT <= len(t):
                 segments[t[i : i + SEGMENT]] += 1
-    own = {s: _parts(s).tolist() for s in segments}
+        if len(segments) >= candidates:
+            break
+    best = sorted(segments, key=lambda s: -sum(worth.get(p, 0.0) for p in _numbers(s)))[: 8 * most // SEGMENT]
+    segments = {s: segments[s] for s in best}
+    own = {s: _numbers(s) for s in segments}
     heap = [(-sum(worth.get(p, 0.0) for p in own[s]), -n, s) for s, n in segments.items()]
     heapq.heapify(heap)
     done: set[int] = set()
@@ -124,18 +137,21 @@ def features(differences: np.ndarray) -> np.ndarray:
     return np.array([1.0, min(8, int(differences.max())) / 4, *(np.log1p((differences >= k).sum()) for k in STEPS), np.log(len(differences))])
 
 
-def fit(labelled: DataFrame, text: str, toxic: str, order: Sequence[str], words: int = 1, most_toxic: int = 1500, most_ordinary: int = 3000, most_chars: int = 50_000_000, size: int = 8192, seed: int = 0) -> Model:
-    """A model from labelled rows (toxic: 1 or 0; other labels and null texts are left out).
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, words: int = 1, most_toxic: int = 1500, most_ordinary: int = 2500, most_chars: int = 30_000_000, size: int = 8192, seed: int = 0) -> Model:
+    """A model from the docs whose key has a label (1 or 0; other labels and null texts are left out; of several labels of
+    one key, the larger).
 
-    The driver takes a seeded sample of at most ``most_toxic`` toxic and ``most_ordinary`` ordinary rows, and of those as
-    many as have ``most_chars`` characters in all. Without rows of both labels every text scores below one half.
+    Keys are sampled first, by a seeded hash: at most ``most_toxic`` of label 1 and ``most_ordinary`` of label 0. Only their
+    texts are fetched, by a broadcast of these keys, and the driver takes as many as have ``most_chars`` characters in all.
+    Without rows of both labels every text scores below one half.
     """
     samples: list[list[str]] = []
+    known = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(toxic).alias("_label"))
     for label, most in ((1, most_toxic), (0, most_ordinary)):
-        rows = labelled.where((F.col(toxic) == label) & F.col(text).isNotNull())
-        picked = rows.select(F.col(text).alias("t"), unit_hash(seed, *order).alias("h"), F.length(text).alias("n")).orderBy("h", "t").limit(most)
+        keys = known.where(F.col("_label") == label).select(F.col(key).alias("_key"), unit_hash(seed, key).alias("_h")).orderBy("_h", "_key").limit(most)
+        rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(keys), F.col(key) == F.col("_key"))
         kept, total = [], 0
-        for r in picked.toLocalIterator():
+        for r in rows.select("_h", F.col(text).alias("t"), F.length(text).alias("n")).orderBy("_h", "t").limit(most).toLocalIterator():
             total += r["n"]
             if total > most_chars // 2:
                 break
