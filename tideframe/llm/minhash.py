@@ -9,7 +9,7 @@ buckets choose further leaders, until none is open: no candidate is dropped. Eve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from .components import connected_components
 from .shared import lower_ascii, mix, runs_of_words, span_hashes, text_blocks, word_spans, written
 
 BANDS, ROWS, WORDS = 24, 6, 5
+#: Up to so many rows of about 60 bytes, the wanted representatives are broadcast to find their texts.
+BROADCAST_ROWS = 200_000
 
 
 def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +54,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     return key, np.searchsorted(of, np.arange(n + 1))
 
 
-def signatures(keys: np.ndarray, offsets: np.ndarray, bands: int, rows: int, seed: int) -> np.ndarray:
-    """Band hashes (one row for each non-empty set): band b holds ``rows`` values, least and greatest in turn."""
+def signatures(keys: np.ndarray, offsets: np.ndarray, bands: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(band hashes, low bytes of all values), one row for each non-empty set: band b holds ``rows`` values, least and
+    greatest in turn."""
     full = np.flatnonzero(np.diff(offsets))
     starts = offsets[full]
     p = bands * rows // 2
@@ -67,31 +70,33 @@ def signatures(keys: np.ndarray, offsets: np.ndarray, bands: int, rows: int, see
     out = np.tile(np.arange(bands, dtype=np.uint64) + np.uint64(1), (len(full), 1))
     for i in range(rows):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[:, :, i])
-    return out
+    return out, mix(values.reshape(len(full), bands * rows)).astype(np.uint8)
 
 
 def shingle_features(df: DataFrame, doc_id: str, text: str, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, seed: int = 7) -> DataFrame:
-    """doc_id, text_hash, n_shingles, cls (16 bytes that tell the shingle set; null if it is empty), bands (array<long>)."""
+    """doc_id, text_hash, n_shingles, cls (16 bytes that tell the shingle set; null if it is empty), bands
+    (array<long>) and sig (a byte of each value of the signature)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_blocks(batch.column(2)):
                 keys, at = shingle_sets(data, offsets, words)
                 n = np.diff(at)
-                found = signatures(keys, at, bands, rows, seed).astype(np.int64)
+                found, low = signatures(keys, at, bands, rows, seed)
                 full = np.flatnonzero(n)
                 cls: list = [None] * (b - a)
+                sig: list = [None] * (b - a)
                 if len(full):
                     one, two = np.add.reduceat(mix(keys), at[full]), np.bitwise_xor.reduceat(mix(keys * np.uint64(0xD1B54A32D192ED03)), at[full])
                     raw = np.stack([mix(one + n[full].astype(np.uint64)), two], 1).astype("<u8").tobytes()
                     for i, r in enumerate(full):
-                        cls[r] = raw[16 * i : 16 * i + 16]
+                        cls[r], sig[r] = raw[16 * i : 16 * i + 16], low[i].tobytes()
                 ends = np.zeros(b - a + 1, np.int32)
                 ends[1:] = np.cumsum(n > 0) * bands
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(cls, pa.binary()), lists], names=["doc_id", "text_hash", "n_shingles", "cls", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.astype(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(cls, pa.binary()), lists, pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "cls", "bands", "sig"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text)).mapInArrow(features, "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text)).mapInArrow(features, "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>, sig binary")
 
 
 def shared_shingles(pairs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -116,41 +121,58 @@ def shared_shingles(pairs: DataFrame, words: int = WORDS) -> DataFrame:
     return pairs.select("a", "text_a", "b", "text_b", "total").mapInArrow(count, "a binary, b binary, total long, same long")
 
 
-def link_classes(classes: DataFrame, texts: DataFrame, percent: int = 85, small: int = 12, leaders: int = 3) -> DataFrame:
+def likely(pairs: DataFrame, least: float) -> DataFrame:
+    """The (a, b, total) of (a, b, total, sig_a, sig_b) whose signatures don't tell a similarity below ``least`` by more than
+    six standard errors, which a true link does less than once in 10^8."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 4))
+                low = least - 6 * (least * (1 - least) / x.shape[1]) ** 0.5
+                yield batch.select(["a", "b", "total"]).filter(pa.array((x == y).mean(1) >= low))
+
+    return pairs.select("a", "b", "total", "sig_a", "sig_b").mapInArrow(keep, "a binary, b binary, total long")
+
+
+def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int = 85, small: int = 12, leaders: int = 2) -> DataFrame:
     """Links (a, b) between classes with 100 * shared shingles >= percent * shingles of both together.
 
-    classes: cls, n_shingles, bands; texts: cls, text. A bucket's classes are compared with a leader. Two classes that
-    hang on the bucket's first leader are in one component and aren't compared. Of the other pairs, those are compared
-    whose sizes and whose distances to all leaders so far allow a link. Buckets of over ``small`` open classes take up to
-    ``leaders`` leaders first, which rules more pairs out; whatever pairs are then left in any bucket are compared.
+    classes: cls, n_shingles, bands, sig; fetch gives (cls, text) of the wanted classes. A bucket's classes are compared
+    with a leader. Classes that links so far put into one component aren't compared any more. Of the other pairs, those
+    are compared whose sizes and whose distances to all leaders so far allow a link. Buckets of over ``small`` open classes
+    take up to ``leaders`` leaders first, which rules more pairs out; whatever pairs are then left in any bucket are compared.
+    A comparison is by signatures first, see likely(), and then on full sets.
     """
     near = (100 - percent) / 100 + 1e-9
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     allowed = lambda x, y: F.forall(F.zip_with(x, y, lambda p, q: F.coalesce(F.abs(p - q) <= near, F.lit(True))), lambda z: z)
 
-    rows = written(classes.select("cls", F.explode("bands").alias("bucket")))
+    rows = classes.select("cls", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = written(rows.join(sizes, "bucket"))
     weight = rows.groupBy("cls").agg(F.sum("size").alias("weight"))
-    about = written(classes.select("cls", F.col("n_shingles").alias("n")).join(weight, "cls"))
-    held = written(texts.join(about.select("cls"), "cls", "left_semi"))
-    open_ = written(rows.join(about, "cls").select("bucket", "cls", "n", "weight", F.array().cast("array<double>").alias("far"), F.lit(True).alias("out")))
-    known: DataFrame | None = None
+    about = written(classes.select("cls", F.col("n_shingles").alias("n"), "sig").join(weight, "cls"))
+    open_ = written(rows.join(about.drop("sig"), "cls").select("bucket", "cls", "n", "weight", F.array().cast("array<double>").alias("far"), F.lit(True).alias("out")))
+    found = dict(pairs=None, links=None)
 
     def compare(pairs: DataFrame) -> DataFrame:
-        """Exact distances of the pairs (a, b, total) that aren't known yet, added to those known, both ways round."""
-        nonlocal known
-        pairs = pairs.dropDuplicates(["a", "b"])
+        """(a, b, d, linked) of all pairs compared up to now, both ways round, after those of (a, b, total) are. d is the
+        distance; it is null where signatures alone ruled a link out."""
+        pairs, known = pairs.dropDuplicates(["a", "b"]), found["pairs"]
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        full = pairs.join(held.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-        full = full.join(held.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
+        sig = about.select("cls", "sig")
+        pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+        pairs = written(likely(pairs, percent / 100))
+        text = written(fetch(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()))
+        full = pairs.join(text.toDF("b", "text_b"), "b").join(text.toDF("a", "text_a"), "a")
         same = shared_shingles(full)
         linked = 100 * F.col("same") >= percent * (F.col("total") - F.col("same"))
-        found = written(same.select("a", "b", (1 - F.col("same") / (F.col("total") - F.col("same"))).alias("d"), linked.alias("linked")))
-        both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", "linked"))
-        known = both if known is None else known.union(both)
-        return known
+        new = written(same.select("a", "b", (1 - F.col("same") / (F.col("total") - F.col("same"))).alias("d"), linked.alias("linked")))
+        both = new.union(new.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", "linked"))
+        found["pairs"] = both if known is None else known.union(both)
+        return found["pairs"]
 
     for k in range(leaders):
         now = open_.groupBy("bucket").agg(F.max_by(F.struct("cls", "n", "far"), F.when(F.col("out"), F.struct("weight", "cls"))).alias("l"), F.count(F.lit(1)).alias("size"), F.max("out").alias("some"))
@@ -160,16 +182,23 @@ def link_classes(classes: DataFrame, texts: DataFrame, percent: int = 85, small:
         pairs = led.where(fits(F.col("n"), F.col("nl")) & allowed(F.col("far"), F.col("fl"))).select(F.col("leader").alias("a"), F.col("cls").alias("b"), (F.col("n") + F.col("nl")).alias("total"))
         if k and pairs.isEmpty():
             break
-        found = compare(pairs).select(F.col("a").alias("leader"), F.col("b").alias("cls"), "d", "linked").dropDuplicates(["leader", "cls"])
-        nxt = led.join(found, ["leader", "cls"], "left")
+        known = compare(pairs).select(F.col("a").alias("leader"), F.col("b").alias("cls"), "d", "linked").dropDuplicates(["leader", "cls"])
+        nxt = led.join(known, ["leader", "cls"], "left")
         out = ~F.coalesce("linked", F.lit(False)) if not k else F.col("out")
         nxt = nxt.select("bucket", "cls", "n", "weight", F.concat("far", F.array("d")).alias("far"), out.alias("out"))
         left = nxt.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"), F.max("out").alias("_some")).where("_size > 1 AND _some")
         open_ = written(nxt.join(left.select("bucket"), "bucket", "left_semi"))
+    links = lambda: found["pairs"].where("linked AND a < b").select("a", "b")
+    roots = connected_components(links()).toDF("_node", "_root")
+    open_ = open_.join(roots, F.col("cls") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "cls")).drop("_node", "_root")
+    several = open_.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("_several")).where("_several")
+    open_ = written(open_.join(several.select("bucket"), "bucket", "left_semi"))
     x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.out") | F.col("y.out")) & fits(F.col("x.n"), F.col("y.n")) & allowed(F.col("x.far"), F.col("y.far")))
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total"))
-    return compare(rest).where("linked AND a < b").select("a", "b")
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n")) & allowed(F.col("x.far"), F.col("y.far")))
+    rest = written(rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")))
+    if not rest.isEmpty():
+        compare(rest)
+    return links()
 
 
 def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -182,11 +211,16 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, ba
     doc_id and equal texts are kept or dropped alike. An empty table gives an empty result.
     """
     found = written(shingle_features(df, doc_id, text, bands, rows))
-    classes = written(found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-    rep = classes.select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash"))
+    classes = written(found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     body = df.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("text"))
-    texts = body.join(rep, F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select("cls", "text").dropDuplicates(["cls"])
-    links = link_classes(classes.select("cls", "n_shingles", "bands"), texts, percent)
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        rep = written(classes.join(wanted, "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")))
+        few = rep.count() <= BROADCAST_ROWS  # else both sides are shuffled
+        on = F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+        return body.join(F.broadcast(rep) if few else rep, on).select("cls", "text").dropDuplicates(["cls"])
+
+    links = link_classes(classes.select("cls", "n_shingles", "bands", "sig"), fetch, percent)
     roots = written(connected_components(links))
     named = roots.join(classes.select("cls", "least"), F.col("node") == F.col("cls"))
     first = named.groupBy("root").agg(F.min("least").alias("component"))
