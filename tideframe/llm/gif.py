@@ -26,15 +26,15 @@ def _layout(low: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return width, np.concatenate([[0], np.cumsum(width)])
 
 
-def lzw_codes(data: bytes) -> list[int]:
+def lzw_codes(data: bytes) -> np.ndarray:
     """The code of each phrase of 8-bit samples, with clear codes whenever the table is full."""
-    codes, table, nxt = [_CLEAR], {}, _FIRST
     if not data:
-        return [_CLEAR, _END]
-    emit, prefix = codes.append, data[0]
+        return np.array([_CLEAR, _END], np.uint16)
+    codes, table, nxt, prefix = [_CLEAR], {}, _FIRST, data[0]
+    emit, get = codes.append, table.get
     for b in memoryview(data)[1:]:
         key = prefix << 8 | b
-        known = table.get(key)
+        known = get(key)
         if known is not None:
             prefix = known
             continue
@@ -45,15 +45,16 @@ def lzw_codes(data: bytes) -> list[int]:
         else:
             emit(_CLEAR)
             table, nxt = {}, _FIRST
+            get = table.get
         prefix = b
     emit(prefix)
     emit(_END)
-    return codes
+    return np.array(codes, np.uint16)
 
 
-def lzw_pack(codes: list[int]) -> bytes:
+def lzw_pack(codes: np.ndarray) -> bytes:
     """Codes as a bit stream, each as wide as a reader expects it at its place after the last clear code."""
-    c = np.array(codes, np.uint16)
+    c = codes
     i = np.arange(len(c))
     last = np.maximum.accumulate(np.where(c == _CLEAR, i, 0))
     since = np.where(c == _CLEAR, 0, i - last - 1)
@@ -68,12 +69,11 @@ def lzw_pack(codes: list[int]) -> bytes:
 
 def lzw_unpack(stream: bytes, low: int, most: int) -> bytes:
     """The samples of a code stream of least code size ``low``; it ends with the end code, the stream or ``most`` samples."""
-    bits = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little").astype(np.uint32)
-    bits = np.concatenate([bits, np.zeros(12, np.uint32)])
-    clear, end, whole, out, size, at, place = 1 << low, (1 << low) + 1, len(bits) - 12, [], 0, 0, 0
+    raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
+    triple = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
+    clear, end, whole, out, size, at, place = 1 << low, (1 << low) + 1, 8 * len(stream), [], 0, 0, 0
     base = [bytes([i]) if i < clear else b"" for i in range(clear + 2)]
     table, prior = list(base), b""
-    power = np.arange(12)
     while at < whole and size < most:
         n = 4200
         width, first = _layout(low, place + n)
@@ -81,20 +81,25 @@ def lzw_unpack(stream: bytes, low: int, most: int) -> bytes:
         n = int(np.searchsorted(first[1:], whole - at, "right"))
         if not n:
             break
-        window = bits[np.minimum(at + first[:n, None] + power, len(bits) - 1)] * (power < width[:n, None])
-        codes = (window << power.astype(np.uint32)).sum(1)
+        bit = at + first[:n]
+        codes = triple[bit >> 3] >> (bit & 7).astype(np.uint32) & ((1 << width[:n]) - 1).astype(np.uint32)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         ended = bool(len(stop))
-        for code in codes[: stop[0] if ended else n].tolist():
-            if not prior:
-                entry = table[code] if code < clear else b""
-            else:
-                entry = table[code] if code < len(table) else prior + prior[:1]
-                if len(table) < _CODES:
-                    table.append(prior + entry[:1])
-            out.append(entry)
-            size += len(entry)
+        run = codes[: stop[0] if ended else n].tolist()
+        if run and not prior:
+            prior = table[run[0]] if run[0] < clear else b""
+            out.append(prior)
+            size += len(prior)
+            run = run[1:]
+        known, keep, grow = len(table), out.append, table.append
+        for code in run:
+            entry = table[code] if code < known else prior + prior[:1]
+            if known < _CODES:
+                grow(prior + entry[:1])
+                known += 1
+            keep(entry)
             prior = entry
+        size += sum(map(len, out[-len(run) :])) if run else 0
         if not ended:
             at, place = at + int(first[n]), place + n
             continue
