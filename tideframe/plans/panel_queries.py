@@ -49,7 +49,7 @@ def vol_of_vol_and_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.select("l_suppkey", "month_end", "vol_of_vol", "diff12", "pct12"), ["vol_of_vol", "diff12", "pct12"])
 
 
-_DEBT = "debt AS (SELECT l_suppkey, last_day(d) AS month_end, sum(price * shrout) * 0.5 / 1000 AS total_debt FROM daily WHERE extract(month FROM d) % 3 = 0 GROUP BY 1, 2)"
+_DEBT = "debt AS (SELECT l_suppkey, last_day(d) AS month_end, sum(price * shrout) * 0.4123456789 / 1000 AS total_debt FROM daily WHERE extract(month FROM d) % 3 = 0 GROUP BY 1, 2)"
 _GRID = """span AS (SELECT l_suppkey, {lag}min(month_end) AS a, max(month_end) AS b FROM moved GROUP BY ALL),
     grid AS (SELECT l_suppkey, {lag}last_day(CAST(u AS DATE)) AS month_end FROM span, unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH)) AS g(u)),
     filled AS (SELECT l_suppkey, {lag}month_end, last_value(total_debt IGNORE NULLS) OVER (PARTITION BY l_suppkey{plag} ORDER BY month_end ROWS UNBOUNDED PRECEDING) AS total_debt FROM grid LEFT JOIN moved USING (l_suppkey, {lag}month_end))"""
@@ -59,7 +59,7 @@ _LEV = "CASE WHEN total_debt + market_cap <> 0 AND total_debt IS NOT NULL THEN g
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier's turnover in March, June, September and December as its debt, reported at the month's end."""
     d = daily(spark, sf_dir).where(F.month("d") % 3 == 0)
-    return d.groupBy("l_suppkey", F.last_day("d").alias("datadate")).agg((F.sum(F.col("price") * F.col("shrout")) * 0.5 / 1000).alias("total_debt"))
+    return d.groupBy("l_suppkey", F.last_day("d").alias("datadate")).agg((F.sum(F.col("price") * F.col("shrout")) * 0.4123456789 / 1000).alias("total_debt"))
 
 
 @query(f"""WITH {MONTHS_SQL}, {_DEBT},
@@ -158,9 +158,9 @@ def cusum_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.cusum(e, "user_id", ["ts", "event_id"], "value", F.lit(50.0), F.lit(20.0)).select("event_id", "user_id", "cusum"), ["cusum"], 5)
 
 
-@query("SELECT event_id, user_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS value FROM events")
+@query("SELECT event_id, user_id, round(value - avg(value) OVER (PARTITION BY user_id), 10) AS value FROM events")
 def demeaned_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(V.demeaned(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "user_id", ["value"]), ["value"])
+    return rounded(V.demeaned(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "user_id", ["value"]), ["value"], 10)
 
 
 @query(f"""WITH {MONTHS_SQL},
@@ -238,14 +238,14 @@ def sector_credit_implied_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.difference(out, ["sector"], "month_end", "metric_o", "metric_q"), ["metric_o", "metric_p", "metric_q"]).drop("asset_vol")
 
 
-_PANEL_SQL = f"""{MONTHS_SQL}, peaks AS (SELECT l_suppkey, first(month_end ORDER BY realized_vol DESC, month_end DESC) FILTER (WHERE realized_vol IS NOT NULL) AS peak, l_suppkey % 3 = 0 AS bubble FROM months GROUP BY 1),
+_PANEL_SQL = f"""{MONTHS_SQL}, peaks AS (SELECT l_suppkey, first(month_end ORDER BY market_cap DESC, month_end DESC) AS peak, l_suppkey % 3 = 0 AS bubble FROM months GROUP BY 1),
     aligned AS (SELECT l_suppkey, month_end, realized_vol, market_cap, bubble, (year(month_end) - year(peak)) * 12 + month(month_end) - month(peak) AS tau FROM months JOIN peaks USING (l_suppkey))"""
 
 
 def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Firm-months aligned on the month of a firm's highest volatility; every third firm is a bubble."""
+    """Firm-months aligned on the month of a firm's highest market cap; every third firm is a bubble."""
     m = months(spark, sf_dir)
-    peaks = m.groupBy("l_suppkey").agg(F.max_by("month_end", F.when(F.col("realized_vol").isNotNull(), F.struct("realized_vol", "month_end"))).alias("peak")).withColumn("bubble", F.col("l_suppkey") % 3 == 0)
+    peaks = m.groupBy("l_suppkey").agg(F.max_by("month_end", F.struct("market_cap", "month_end")).alias("peak")).withColumn("bubble", F.col("l_suppkey") % 3 == 0)
     return m.join(peaks, "l_suppkey")
 
 
