@@ -12,15 +12,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import lower_ascii, mix, runs_of_words, span_hashes, text_blocks, word_spans, written
 
 BANDS, ROWS, WORDS = 24, 6, 5
-#: Up to so many rows of about 60 bytes, the wanted representatives are broadcast to find their texts.
+#: Buckets of up to so many open classes are compared pair by pair, larger ones in blocks of so many shingles.
+PAIRED, BLOCK = 32, 40_000
+#: Up to so many rows of about 60 bytes, tables of ids are broadcast to find their texts.
 BROADCAST_ROWS = 200_000
 
 
@@ -135,14 +138,14 @@ def likely(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "total", "sig_a", "sig_b").mapInArrow(keep, "a binary, b binary, total long")
 
 
-def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int = 85, small: int = 12, leaders: int = 2) -> DataFrame:
-    """Links (a, b) between classes with 100 * shared shingles >= percent * shingles of both together.
+def class_components(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int = 85, small: int = 12, leaders: int = 1) -> DataFrame:
+    """(node, root) of the classes that links join: 100 * shared shingles >= percent * shingles of both together.
 
     classes: cls, n_shingles, bands, sig; fetch gives (cls, text) of the wanted classes. A bucket's classes are compared
     with a leader. Classes that links so far put into one component aren't compared any more. Of the other pairs, those
     are compared whose sizes and whose distances to all leaders so far allow a link. Buckets of over ``small`` open classes
-    take up to ``leaders`` leaders first, which rules more pairs out; whatever pairs are then left in any bucket are compared.
-    A comparison is by signatures first, see likely(), and then on full sets.
+    take up to ``leaders`` leaders first, which rules more pairs out; whatever is then left in any bucket is compared, pair by
+    pair or in blocks, see block_links(). A comparison is by signatures first, see likely(), and then on full sets.
     """
     near = (100 - percent) / 100 + 1e-9
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -154,12 +157,13 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], pe
     weight = rows.groupBy("cls").agg(F.sum("size").alias("weight"))
     about = written(classes.select("cls", F.col("n_shingles").alias("n"), "sig").join(weight, "cls"))
     open_ = written(rows.join(about.drop("sig"), "cls").select("bucket", "cls", "n", "weight", F.array().cast("array<double>").alias("far"), F.lit(True).alias("out")))
-    found = dict(pairs=None, links=None)
+    found: dict[str, DataFrame | None] = {"pairs": None}
 
     def compare(pairs: DataFrame) -> DataFrame:
         """(a, b, d, linked) of all pairs compared up to now, both ways round, after those of (a, b, total) are. d is the
         distance; it is null where signatures alone ruled a link out."""
-        pairs, known = pairs.dropDuplicates(["a", "b"]), found["pairs"]
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total").dropDuplicates(["a", "b"])
+        known = found["pairs"]
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         sig = about.select("cls", "sig")
@@ -182,23 +186,89 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], pe
         pairs = led.where(fits(F.col("n"), F.col("nl")) & allowed(F.col("far"), F.col("fl"))).select(F.col("leader").alias("a"), F.col("cls").alias("b"), (F.col("n") + F.col("nl")).alias("total"))
         if k and pairs.isEmpty():
             break
-        known = compare(pairs).select(F.col("a").alias("leader"), F.col("b").alias("cls"), "d", "linked").dropDuplicates(["leader", "cls"])
+        known = compare(pairs).select(F.col("a").alias("leader"), F.col("b").alias("cls"), "d", "linked")
         nxt = led.join(known, ["leader", "cls"], "left")
         out = ~F.coalesce("linked", F.lit(False)) if not k else F.col("out")
         nxt = nxt.select("bucket", "cls", "n", "weight", F.concat("far", F.array("d")).alias("far"), out.alias("out"))
         left = nxt.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"), F.max("out").alias("_some")).where("_size > 1 AND _some")
         open_ = written(nxt.join(left.select("bucket"), "bucket", "left_semi"))
-    links = lambda: found["pairs"].where("linked AND a < b").select("a", "b")
-    roots = connected_components(links()).toDF("_node", "_root")
+    components = lambda: written(connected_components(found["pairs"].where("linked AND a < b").select("a", "b")))
+    joined = components()
+    roots = joined.toDF("_node", "_root")
     open_ = open_.join(roots, F.col("cls") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "cls")).drop("_node", "_root")
     several = open_.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("_several")).where("_several")
     open_ = written(open_.join(several.select("bucket"), "bucket", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
+    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"), F.sum("n").alias("_total"))
+    open_ = written(open_.join(sizes, "bucket"))
+    few = open_.where(F.col("_size") <= PAIRED)
+    x, y = few.alias("x"), few.alias("y")
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n")) & allowed(F.col("x.far"), F.col("y.far")))
     rest = written(rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")))
-    if not rest.isEmpty():
+    many = open_.where(F.col("_size") > PAIRED)
+    none_left, none_large = rest.isEmpty(), many.isEmpty()
+    if not none_left:
         compare(rest)
-    return links()
+    edges = found["pairs"].where("linked AND a < b").select("a", "b")
+    if not none_large:
+        edges = edges.union(block_links(many, fetch(many.select("cls").distinct()), percent))
+    return joined if none_left and none_large else written(connected_components(edges))
+
+
+def block_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different roots inside large buckets.
+
+    members: bucket, cls, root, _total (shingles of the bucket); texts: cls, text. A bucket's classes are dealt into blocks
+    of about BLOCK shingles, and each pair of blocks is one group, in which all sets are intersected at once. A group gives
+    only links that join roots not yet joined in it, so it returns fewer rows than it has.
+    """
+    parts = F.ceil(F.col("_total") / BLOCK).cast("int")
+    rows = members.select("bucket", "cls", "root", parts.alias("_parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    rows = rows.withColumn("low", F.least("part", "_other")).withColumn("high", F.greatest("part", "_other")).drop("_other", "_parts")
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["part", "cls"])
+        keys, at = [], []
+        for a, _, data, offsets in text_blocks(pa.array(pdf["text"])):
+            k, o = shingle_sets(data, offsets)
+            keys.append(k)
+            at.append(np.repeat(np.arange(len(o) - 1) + a, np.diff(o)))
+        row, size = np.concatenate(at), np.bincount(np.concatenate(at), minlength=len(pdf))
+        _, word, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        shared = n[word] > 1
+        word, row = np.unique(word[shared], return_inverse=True)[1], row[shared]
+        has = np.zeros((len(pdf), int(word.max(initial=-1)) + 1), np.float32)
+        has[row, word] = 1
+        first = int((pdf["part"] == pdf["low"]).sum())
+        one = pdf["low"].iloc[0] == pdf["high"].iloc[0]
+        left, right = np.arange(first), np.arange(first) if one else np.arange(first, len(pdf))
+        same = has[left] @ has[right].T
+        roots, cls = pdf["root"].tolist(), pdf["cls"].tolist()
+        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        of = np.array([number[r] for r in roots])
+        linked = (100 * same >= percent * (size[left][:, None] + size[right][None] - same)) & (of[left][:, None] != of[right][None])
+        up = list(range(len(number)))
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        out = []
+        for i, j in np.argwhere(linked).tolist():
+            x, y = top(of[left[i]]), top(of[right[j]])
+            if x != y:
+                up[x] = y
+                out.append((cls[left[i]], cls[right[j]]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return written(rows.join(texts, "cls").groupBy("bucket", "low", "high").applyInPandas(between, "a binary, b binary"))
+
+
+def _light(table: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if it has few rows; else a join with it shuffles both sides."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -216,12 +286,10 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, ba
 
     def fetch(wanted: DataFrame) -> DataFrame:
         rep = written(classes.join(wanted, "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")))
-        few = rep.count() <= BROADCAST_ROWS  # else both sides are shuffled
         on = F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-        return body.join(F.broadcast(rep) if few else rep, on).select("cls", "text").dropDuplicates(["cls"])
+        return body.join(_light(rep), on).select("cls", "text").dropDuplicates(["cls"])
 
-    links = link_classes(classes.select("cls", "n_shingles", "bands", "sig"), fetch, percent)
-    roots = written(connected_components(links))
+    roots = class_components(classes.select("cls", "n_shingles", "bands", "sig"), fetch, percent)
     named = roots.join(classes.select("cls", "least"), F.col("node") == F.col("cls"))
     first = named.groupBy("root").agg(F.min("least").alias("component"))
     by_class = classes.select("cls", "least").join(roots.join(first, "root").select(F.col("node").alias("cls"), "component"), "cls", "left")
@@ -232,9 +300,16 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, ba
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 80) -> DataFrame:
-    """The rows of the first document of each component, with the columns of df; of repeated rows, one."""
-    gone = near_duplicates(df, doc_id, text, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    once = df.withColumn("_text", F.xxhash64(text))
-    once = once.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(doc_id, "_text")))
-    many = once.where("_n > 1").dropDuplicates([doc_id, "_text"])
-    return once.where("_n = 1").unionByName(many).drop("_n", "_text").join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """The rows of the first document of each component, with the columns of df; of rows with one doc_id and text, one.
+
+    Rows to drop are found on ids alone; where they are few, they are broadcast and the texts stay where they are.
+    """
+    gone = written(near_duplicates(df, doc_id, text, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    kept = df.join(_light(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
+    again = written(df.groupBy(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    if again.isEmpty():
+        return kept
+    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    once = kept.join(_light(again), on, "left_anti")
+    many = kept.join(_light(again), on, "left_semi").withColumn("_h", F.xxhash64(text)).dropDuplicates([doc_id, "_h"]).drop("_h")
+    return once.unionByName(many)
