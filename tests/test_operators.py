@@ -226,3 +226,37 @@ def test_cox_gradient_vanishes():
     for i in range(2):
         h = np.eye(2)[i] * 1e-5
         assert abs(loglik(b + h) - loglik(b - h)) / 2e-5 < 1e-4
+
+
+def test_l1_penalty_leaves_out_each_cluster_of_all_rows(spark, sf_dir):
+    from tideframe.plans import model_queries as Q
+
+    out = Q.chosen_penalties(spark, sf_dir).where("kind = 'l1'").collect()
+    assert sorted(r["split"] for r in out) == list(range(Q.EQ.N))
+    got = next(r for r in out if r["split"] == 7)
+    rows = Q.EQ.splits(spark, sf_dir).where("split = 7 AND NOT held").toPandas()
+    y, raw, cluster = rows["label"].to_numpy(float), rows[Q.FEATURES].to_numpy(float), rows["cluster"].to_numpy()
+    assert len(set(cluster)) == 7
+    best = (-1.0, 0.0)
+    for c in np.logspace(-3, 1, 20):
+        score = np.zeros(len(y))
+        for k in set(cluster):
+            t = cluster != k
+            x = models._scaled(raw, t)
+            b = models.lasso_logistic(x[t], y[t], c)
+            score[~t] = b[0] + x[~t] @ b[1:]
+        value = float(models.rank_auc(score[None], y)[0])
+        best = (value, c) if value > best[0] + 1e-12 else best
+    assert got["auc"] == pytest.approx(best[0], abs=1e-6) and got["c"] == pytest.approx(best[1])
+
+
+def test_text_model_sees_every_split(spark, sf_dir):
+    from tideframe.plans import model_queries as Q
+
+    out = {r["split"]: r for r in Q.text_model_with_and_without_test_units(spark, sf_dir).collect()}
+    assert len(out) == Q.EQ.N
+    f = Q.text_features(spark, sf_dir).withColumn("y", F.log("n_chars"))
+    k = Q.split_rows(spark, sf_dir).where("held AND split = 31").select("split", "doc_id", "label")
+    _, _, coef = models.ridge_path(f.join(k, "doc_id", "left_anti"), "fold", Q.TEXT[1:], "y")
+    want = evaluation.auc(f.join(k, "doc_id").withColumn("own", models.linear_score(Q.TEXT[1:], coef)), ["split"], "own", "label").first()["auc"]
+    assert out[31]["auc_per_fold"] == pytest.approx(want, abs=1e-6)

@@ -40,24 +40,52 @@ def logistic_batch(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: fl
     return beta
 
 
-def lasso_logistic(x: np.ndarray, y: np.ndarray, c: float, penalize_intercept: bool = True, rounds: int = 2000) -> np.ndarray:
-    """Coefficients (intercept first) of an L1 logistic fit by accelerated proximal steps; minimises |b| + C * loss."""
+def _lasso_quadratic(hess: np.ndarray, r: np.ndarray, cost: np.ndarray, start: np.ndarray, sweeps: int = 1000) -> np.ndarray:
+    """Minimises b'Hb / 2 - r'b + cost'|b|: sweeps over coordinates find the signs, one linear solve the values."""
+    h, rs, k, b = hess.tolist(), r.tolist(), cost.tolist(), start.tolist()
+    q = range(len(b))
+    for sweep in range(sweeps):
+        most = 0.0
+        for j in q:
+            row = h[j]
+            g = rs[j] - sum(row[i] * b[i] for i in q) + row[j] * b[j]
+            new = (g - k[j] if g > k[j] else g + k[j] if g < -k[j] else 0.0) / row[j]
+            most, b[j] = max(most, abs(new - b[j])), new
+        if most < 1e-12:
+            break
+        if sweep % 4 == 3:
+            v = np.array(b)
+            on, sign, out = v != 0, np.sign(v), np.zeros(len(b))
+            out[on] = np.linalg.solve(hess[np.ix_(on, on)], r[on] - cost[on] * sign[on])
+            if (np.sign(out) == sign).all() and (np.abs(r - hess @ out)[~on] <= cost[~on] * (1 + 1e-9)).all():
+                return out
+    return np.array(b)
+
+
+def lasso_logistic(x: np.ndarray, y: np.ndarray, c: float, penalize_intercept: bool = True, rounds: int = 200, start: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients (intercept first) of an L1 logistic fit by proximal Newton steps; minimises |b| + C * loss."""
     x1 = np.column_stack([np.ones(len(x)), x])
-    rate = 4 / max(np.linalg.norm(x1, 2) ** 2 * c, 1e-12)
-    shrink = np.full(x1.shape[1], rate)
+    q = x1.shape[1]
+    cost = np.ones(q)
     if not penalize_intercept:
-        shrink[0] = 0
-    b = z = np.zeros(x1.shape[1])
-    t = 1.0
+        cost[0] = 0
+    value = lambda b: cost @ np.abs(b) + c * (np.logaddexp(0, z := x1 @ b) - y * z).sum()
+    b = np.zeros(q) if start is None else start
+    now = value(b)
     for _ in range(rounds):
-        g = z + rate * c * x1.T @ (y - _p(x1 @ z))
-        new = np.sign(g) * np.maximum(np.abs(g) - shrink, 0)
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z = new + (t - 1) / t2 * (new - b)
-        if np.abs(new - b).max() < 1e-9:
-            b = new
+        p = _p(x1 @ b)
+        grad = -c * (x1.T @ (y - p))
+        hess = c * (x1 * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x1 + 1e-10 * np.eye(q)
+        new = _lasso_quadratic(hess, hess @ b - grad, cost, b)
+        step, t = new - b, 1.0
+        slope = grad @ step + cost @ (np.abs(new) - np.abs(b))
+        while t > 1e-10 and (then := value(b + t * step)) > now + 1e-4 * t * slope + 1e-12:
+            t /= 2
+        if t <= 1e-10:
+            break
+        b, now = b + t * step, then
+        if np.abs(t * step).max() < 1e-9:
             break
-        b, t = new, t2
     return b
 
 
@@ -158,27 +186,34 @@ def permutation_aucs(df: DataFrame, split: str, features: Sequence[str], label:
     return fit_each(df, [split], fit, f"`{split}` long, perm long, auc double")
 
 
-def choose_c(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, order: str, grid: Sequence[float], folds: int | None = 3, l1: bool = False) -> DataFrame:
+def choose_c(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, order: str, grid: Sequence[float], folds: int | None = 3, l1: bool = False, cluster: str | None = None) -> DataFrame:
     """(keys, c, auc, nonzero): the grid value with the best pooled cross-validated AUC (the smallest of equal ones).
-    folds=None leaves one out. Folds go round by class in the given order."""
+    folds=None leaves one out. Folds go round by class in the given order; with ``cluster``, each of its values is a fold.
+    Rows that have one class only outside their cluster have no score."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         y, raw = pdf[label].to_numpy(float), pdf[list(features)].to_numpy(float)
-        fold = np.arange(len(y)) if folds is None else np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % folds
-        solve = (lambda x, t, c: lasso_logistic(x, t, c)) if l1 else (lambda x, t, c: logistic_batch(x, t[None], np.ones((1, len(t))), 1 / c)[0])
+        by_cluster = pd.factorize(pdf[cluster], use_na_sentinel=False)[0] if cluster else None
+        fold = by_cluster if cluster else np.arange(len(y)) if folds is None else np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % folds
+        last: dict = {}  # a fold's fit at the grid value before
+        solve = (lambda x, t, c, f: lasso_logistic(x, t, c, start=last.get(f))) if l1 else (lambda x, t, c, f: logistic_batch(x, t[None], np.ones((1, len(t))), 1 / c)[0])
         best = (-1.0, 0.0, 0)
         for c in sorted(grid):
             score = np.zeros(len(y))
             for f in np.unique(fold):
                 t = fold != f
+                if cluster and len(set(y[t])) < 2:
+                    score[~t] = np.nan
+                    continue
                 x = _scaled(raw, t)
-                b = solve(x[t], y[t], c)
+                b = last[f] = solve(x[t], y[t], c, f)
                 score[~t] = b[0] + x[~t] @ b[1:]
-            value = float(rank_auc(score[None], y)[0])
+            has = ~np.isnan(score)
+            value = float(rank_auc(score[None, has], y[has])[0])
             if value > best[0] + 1e-12:
-                b = solve(_scaled(raw, np.ones(len(y), bool)), y, c)
+                b = solve(_scaled(raw, np.ones(len(y), bool)), y, c, None)
                 best = (value, c, int((np.abs(b[1:]) > 1e-8).sum()))
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "c": best[1], "auc": best[0], "nonzero": best[2]}])
 
@@ -240,18 +275,29 @@ def product_sums(df: DataFrame, fold: str, features: Sequence[str], target: str)
     return wide.select(fold, "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"s_{i}_{j}").alias("s")) for i, j in pairs])).alias("_e")).select(fold, "_e.*", "n")
 
 
+def product_matrices(df: DataFrame, fold: str, features: Sequence[str], target: str) -> dict:
+    """fold -> the matrix of product_sums over the rows without nulls."""
+    q = len(features) + 2
+    sums: dict = {}
+    for r in product_sums(df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*features, target))), fold, features, target).collect():
+        m = sums.setdefault(r[fold], np.zeros((q, q)))
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["s"]
+    return sums
+
+
 def ridge_path(df: DataFrame, fold: str, features: Sequence[str], target: str, alphas: Sequence[float] = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)) -> tuple[float, float, np.ndarray]:
     """(best alpha, its cross-validated R2, coefficients of [1, features] on all rows) from the product sums alone.
 
     Features are scaled on all rows. The train sums of a fold are the total less its own, so all folds and alphas cost one
     pass over the data; the driver gets (p + 2)^2 / 2 numbers a fold.
     """
-    q = len(features) + 2
-    sums: dict = {}
-    for r in product_sums(df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*features, target))), fold, features, target).collect():
-        m = sums.setdefault(r[fold], np.zeros((q, q)))
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["s"]
+    return ridge_from_sums(product_matrices(df, fold, features, target), alphas)
+
+
+def ridge_from_sums(sums: dict, alphas: Sequence[float] = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)) -> tuple[float, float, np.ndarray]:
+    """As ridge_path, from the matrix of each fold."""
     total = sum(sums.values())
+    q = len(total)
     n = total[0, 0]
     mean = total[0, 1:-1] / n
     sd = np.sqrt(np.maximum(np.diag(total)[1:-1] / n - mean**2, 0))

@@ -18,6 +18,7 @@ from .roles import rounded, table, with_sector
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 FEATURES = ["s1", "s2", "s3"]
+C_GRID = [10 ** (-3 + 4 * i / 19) for i in range(20)]
 TEXT = ["words", "word_length", "symbols", "lines", "capitals"]
 
 
@@ -78,8 +79,9 @@ def text_implied_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.difference(m, ["sector"], "month_end", "metric_r", "metric_s"), ["metric_r", "metric_r_spread", "metric_s"])
 
 
-def split_rows(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
-    return EQ.splits(spark, sf_dir).where(F.col("split") < n)
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents in every split."""
+    return EQ.splits(spark, sf_dir)
 
 
 def _by_model(frames: dict[str, DataFrame], unit: str = "doc_id") -> DataFrame:
@@ -127,11 +129,10 @@ def laplace_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chosen_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The L2 strength by three folds in each split's training rows, and the L1 strength over clusters left out."""
-    t = split_rows(spark, sf_dir, 4).where("NOT held")
+    """The L2 strength by three folds in each split's training rows, and the L1 strength over clusters left out, one at a time."""
+    t = split_rows(spark, sf_dir).where("NOT held")
     l2 = M.choose_c(t, ["split"], FEATURES, "label", "doc_id", [10.0**e for e in range(-4, 5)]).withColumn("kind", F.lit("l2"))
-    small = t.where(F.col("cluster") < 2)
-    l1 = M.choose_c(small, ["split"], FEATURES, "label", "doc_id", [0.01, 0.1, 1.0, 10.0], folds=10, l1=True).withColumn("kind", F.lit("l1"))
+    l1 = M.choose_c(t, ["split"], FEATURES, "label", "doc_id", C_GRID, l1=True, cluster="cluster").withColumn("kind", F.lit("l1"))
     return rounded(l2.unionByName(l1), ["auc"])
 
 
@@ -148,7 +149,7 @@ def fixed_or_chosen_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutation p of two fixed penalties side by side: pooled nulls against the median observed AUC."""
     out = None
     for c in (1.0, 0.01):
-        a = M.permutation_aucs(split_rows(spark, sf_dir, 10), "split", FEATURES, "label", "held", "doc_id", 50, c)
+        a = M.permutation_aucs(split_rows(spark, sf_dir), "split", FEATURES, "label", "held", "doc_id", 50, c)
         middle = a.where("perm = 0").agg(F.median("auc").alias("observed"))
         p = a.where("perm > 0").crossJoin(F.broadcast(middle)).groupBy("observed").agg(F.avg((F.col("auc") >= F.col("observed")).cast("double")).alias("p"), F.median("auc").alias("null_median")).withColumn("c", F.lit(c))
         out = p if out is None else out.unionByName(p)
@@ -203,7 +204,8 @@ def cluster_bootstrap_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def random_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = split_rows(spark, sf_dir, 1)
+    """Scores of the held-out documents of the first split: one forest, so one resample."""
+    k = split_rows(spark, sf_dir).where("split = 0")
     out = M.forest_scores(k.where("NOT held"), k.where("held"), FEATURES, "label", trees=20)
     return rounded(out.select("doc_id", "label", "score"), ["score"])
 
@@ -247,13 +249,18 @@ def target_scores_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_model_with_and_without_test_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text ridge on all units against one that leaves a split's test units out: AUC of both predictions, by split."""
     f = text_features(spark, sf_dir).withColumn("y", F.log("n_chars"))
-    k = split_rows(spark, sf_dir, 3)
-    _, _, all_ = M.ridge_path(f, "fold", TEXT[1:], "y")
-    out = None
-    for s in range(3):
-        own = k.where((F.col("split") == s) & F.col("held")).select("split", "doc_id", "label")
-        _, _, coef = M.ridge_path(f.join(own, "doc_id", "left_anti"), "fold", TEXT[1:], "y")
-        part = f.join(own, "doc_id").select("split", "label", M.linear_score(TEXT[1:], coef).alias("own"), M.linear_score(TEXT[1:], all_).alias("pooled"))
-        out = part if out is None else out.unionByName(part)
+    k = split_rows(spark, sf_dir).where("held").select("split", "doc_id", "label")
+    sums = M.product_matrices(f, "fold", TEXT[1:], "y")
+    _, _, all_ = M.ridge_from_sums(sums)
+    tested = f.join(k.select("split", "doc_id").distinct(), "doc_id").withColumn("part", F.concat_ws("/", "split", "fold"))
+    # a split's train sums are those of all rows less those of its test units: one pass for all splits
+    left_out = M.product_matrices(tested, "part", TEXT[1:], "y")
+    own = []
+    for s in sorted({int(x.split("/")[0]) for x in left_out}):
+        rest = {fold: m - left_out.get(f"{s}/{fold}", 0.0) for fold, m in sums.items()}
+        own.append((s, [float(b) for b in M.ridge_from_sums({fold: m for fold, m in rest.items() if m[0, 0] > 0.5})[2]]))
+    coef = F.broadcast(spark.createDataFrame(own, "split long, _b array<double>"))
+    score = sum((F.col(c) * F.col("_b")[i + 1] for i, c in enumerate(TEXT[1:])), F.col("_b")[0])
+    out = f.join(k, "doc_id").join(coef, "split").select("split", "label", score.alias("own"), M.linear_score(TEXT[1:], all_).alias("pooled"))
     a = E.auc(out, ["split"], "own", "label", "auc_per_fold").drop("n").join(E.auc(out, ["split"], "pooled", "label", "auc_global").drop("n"), "split")
     return rounded(a, ["auc_per_fold", "auc_global"])
