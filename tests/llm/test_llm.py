@@ -188,6 +188,26 @@ def test_subset_sum_is_the_best_total():
     assert 0 <= 10**8 + 3 - far[0] * 7 - far[1] * 1000 < 7
 
 
+@pytest.mark.parametrize(
+    "lengths, counts, budget, best",
+    [([100000, 500], [1, 100], 120000, 120000), ([90000], [3], 180000, 180000), ([70000], [2], 70000, 70000), ([70000], [2], 69999, 0), ([100000, 99000], [3, 3], 297000, 297000), ([99991, 99989, 3], [40, 40, 1], 39 * 99989, 39 * 99989), ([6, 200000], [10**6, 5], 10**6 + 1, 10**6)],
+)
+def test_subset_sum_takes_book_length_documents(lengths, counts, budget, best):
+    got = mixing.subset_sum(lengths, counts, budget)
+    assert sum(a * b for a, b in zip(got, lengths, strict=True)) == best and all(0 <= a <= b for a, b in zip(got, counts, strict=True))
+
+
+def test_subset_sum_with_a_small_window_is_still_the_best():
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        lengths = sorted({int(x) for x in rng.integers(1, 40, 4)})
+        counts = [int(x) for x in rng.integers(0, 5, len(lengths))]
+        budget = int(rng.integers(0, 300))
+        got = mixing.subset_sum(lengths, counts, budget, exact=1)
+        best = max(s for c in itertools.product(*[range(n + 1) for n in counts]) if (s := sum(a * b for a, b in zip(c, lengths, strict=True))) <= budget)
+        assert sum(a * b for a, b in zip(got, lengths, strict=True)) == best and all(0 <= a <= b for a, b in zip(got, counts, strict=True))
+
+
 def test_mix(spark, docs):
     rows = docs.withColumn("size", mixing.count_words("text"))
     out = mixing.mix_sources(rows, "source", "size", ["doc_id"]).collect()

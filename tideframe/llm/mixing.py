@@ -1,12 +1,13 @@
 """Mixing sources to target weights: how often each document is taken so that every source meets its share of words.
 
 Documents are counted by exact length. A source first takes all its documents as often as the target holds them whole.
-What is left of the budget is a bounded subset-sum problem over (length, count): the long way down is greedy, the last
-``exact`` words are met by dynamic programming. A length's count is then met by its first documents in seeded order.
+What is left of the budget is a bounded subset-sum problem over (length, count): the long way down is greedy, the rest is
+met by dynamic programming over a window that grows until the total is the nearest there is. A length's count is then met by its first documents in seeded order.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -50,39 +51,68 @@ def targets(sizes: Sequence[tuple[str | None, int]], total: float | None = None,
 def subset_sum(lengths: Sequence[int], counts: Sequence[int], budget: int, exact: int = 1 << 16) -> list[int]:
     """How many items of each length to take, at most its count, so that the total comes as near to the budget as it can from below.
 
-    Longest first, items are taken while more than ``exact`` words are left. The rest is a bounded knapsack: counts are
-    split into powers of two and a bit set holds the reachable totals after each part, so the nearest total is exact.
+    Longest first, items are taken while more than a window of words is left; the rest is an exact bounded knapsack. The
+    window is ``exact`` or twice the largest length, if that is more. While the budget is not met and something was taken
+    before the window, it doubles; a window of the whole budget leaves nothing to chance. Lengths are divided by their
+    greatest common divisor first. Memory is about three bytes a word of the last window.
 
     >>> subset_sum([5, 4, 3], [1, 2, 1], 11)
     [0, 2, 1]
     """
-    taken, left = [0] * len(lengths), int(budget)
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for i in order:
-        if lengths[i] and left > exact:
-            taken[i] = min(counts[i], max(0, left - exact // 2) // lengths[i])
-            left -= taken[i] * lengths[i]
-    if left <= 0:
+    use = [i for i in range(len(lengths)) if lengths[i] and counts[i]]
+    taken = [0] * len(lengths)
+    if not use or budget <= 0:
         return taken
-    goal = min(left, exact)
-    mask, reach, parts, before = (1 << (goal + 1)) - 1, 1, [], []
-    for i in order:
-        free = min(counts[i] - taken[i], goal // lengths[i]) if lengths[i] else 0
-        k = 1
+    unit = math.gcd(*[lengths[i] for i in use])
+    order = sorted(use, key=lambda i: -lengths[i])
+    size, have = [lengths[i] // unit for i in order], [counts[i] for i in order]
+    left = int(budget) // unit
+    if sum(a * b for a, b in zip(size, have, strict=True)) <= left:
+        got = have
+    else:
+        window = max(exact, 2 * size[0])
+        while True:
+            got, short = _within(size, have, left, window)
+            if not short or window >= left:
+                break
+            window *= 2
+    for i, k in zip(order, got, strict=True):
+        taken[i] = k
+    return taken
+
+
+def _within(lengths: Sequence[int], counts: Sequence[int], budget: int, window: int) -> tuple[list[int], int]:
+    """(how many of each, what is missing to the budget): greedy down to the window, then all totals that parts of a power
+    of two reach, each with the first part that reached it. Lengths fall."""
+    taken, left = [0] * len(lengths), budget
+    for i, n in enumerate(lengths):
+        if left > window:
+            taken[i] = min(counts[i], (left - window // 2) // n)
+            left -= taken[i] * n
+    goal = left
+    mask, reach, parts = (1 << (goal + 1)) - 1, 1, []
+    first = np.full(goal + 1, -1, np.int32)
+    for i, n in enumerate(lengths):
+        free, k = min(counts[i] - taken[i], goal // n), 1
         while free > 0:
             k = min(k, free)
-            before.append(reach)
+            new = (reach << (k * n)) & mask & ~reach
+            if new:
+                low = (new & -new).bit_length() - 1 & ~7
+                bits = np.unpackbits(np.frombuffer((new >> low).to_bytes((goal + 8 - low) // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[low + np.flatnonzero(bits)] = len(parts)
+                reach |= new
             parts.append((i, k))
-            reach |= (reach << (k * lengths[i])) & mask
             free, k = free - k, 2 * k
         if reach >> goal & 1:
             break
     at = reach.bit_length() - 1
-    for (i, k), was in zip(reversed(parts), reversed(before), strict=True):
-        if not was >> at & 1:
-            taken[i] += k
-            at -= k * lengths[i]
-    return taken
+    short = goal - at
+    while at:
+        i, k = parts[first[at]]
+        taken[i] += k
+        at -= k * lengths[i]
+    return taken, short
 
 
 def _budget(pdf: pd.DataFrame) -> pd.DataFrame:
