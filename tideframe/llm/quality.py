@@ -74,29 +74,39 @@ def text_counts(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(count, ", ".join([*kinds, *[f"{c} long" for c in COUNTS]]))
 
 
-#: Measure -> (expression over COUNTS, is there a lower limit, least distance of a limit from its quartile).
-MEASURES: dict[str, tuple[str, bool, float]] = {
-    "word_length": ("word_chars / n_words", True, 2.0),
-    "symbols_a_word": ("n_symbols / n_words", False, 0.3),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", False, 0.5),
-    "repeats": ("n_repeat_words / n_words", False, 0.3),
+#: Measure -> (expression over COUNTS, is there a lower limit, least distance of a limit from its quartile, may the group's
+#: far end widen the limit). Most texts repeat nothing, so their quartiles tell nothing of those that repeat a line.
+MEASURES: dict[str, tuple[str, bool, float, bool]] = {
+    "word_length": ("word_chars / n_words", True, 0.25, False),
+    "symbols_a_word": ("n_symbols / n_words", False, 0.1, False),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", False, 0.1, True),
+    "repeats": ("n_repeat_words / n_words", False, 0.1, True),
 }
 
 
-def thresholds(counts: DataFrame, groups: Sequence[str], spread: float = 4.0, accuracy: int = 400, where: str = "n_words > 0") -> DataFrame:
+def thresholds(counts: DataFrame, groups: Sequence[str], spread: float = 4.0, accuracy: int = 400, where: str = "n_words > 0", far: float = 0.99) -> DataFrame:
     """The groups (null is a group) and, for each measure, ``low_`` and ``high_``: the quartiles less and plus ``spread``
-    times their distance, or the measure's least distance if that is more.
+    times their distance, or the measure's least distance if that is more. For measures of repetition the upper limit is
+    at least the group's ``far`` quantile, or in a small group that without its two highest values.
 
     Each task makes a KLL sketch of its rows of a group; sketches are merged, so a group may hold any share of all rows.
     """
     rows = counts.where(where)
-    sketches = rows.groupBy(*groups).agg(*[F.kll_sketch_agg_double(F.expr(f"CAST({e} AS DOUBLE)"), F.lit(accuracy)).alias(m) for m, (e, _, _) in MEASURES.items()])
+    sketches = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), *[F.kll_sketch_agg_double(F.expr(f"CAST({e} AS DOUBLE)"), F.lit(accuracy)).alias(m) for m, (e, *_) in MEASURES.items()])
     out = sketches
-    for m, (_, lower, least) in MEASURES.items():
+
+    def end(m: str) -> F.Column:  # a rank must be a literal
+        at = F.kll_sketch_get_quantile_double(F.col(m), F.lit(0.75))
+        for p in sorted({0.9, 0.95, 0.98, far}):
+            at = F.when((F.col("_n") * (1 - p) >= 1.999) & F.lit(p <= far), F.kll_sketch_get_quantile_double(F.col(m), F.lit(p))).otherwise(at)
+        return at
+
+    for m, (_, lower, least, wide) in MEASURES.items():
         q = [F.kll_sketch_get_quantile_double(F.col(m), F.lit(p)) for p in (0.25, 0.75)]
         room = F.greatest(spread * (q[1] - q[0]), F.lit(least))
-        out = out.withColumn(f"high_{m}", q[1] + room).withColumn(f"low_{m}", q[0] - room if lower else F.lit(None).cast("double"))
-    return out.drop(*MEASURES)
+        high = F.greatest(q[1] + room, end(m)) if wide else q[1] + room
+        out = out.withColumn(f"high_{m}", high).withColumn(f"low_{m}", q[0] - room if lower else F.lit(None).cast("double"))
+    return out.drop("_n", *MEASURES)
 
 
 def judge_quality(df: DataFrame, doc_id: str, text: str, groups: Sequence[str], spread: float = 4.0, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
@@ -117,7 +127,7 @@ def judge_quality(df: DataFrame, doc_id: str, text: str, groups: Sequence[str],
     for i, g in enumerate(groups):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     out = left.join(limits, on, "left")
-    tests = [F.when((F.expr(f"{e}") > F.col(f"high_{m}")) | (F.coalesce(F.expr(f"{e}") < F.col(f"low_{m}"), F.lit(False))), F.lit(m)) for m, (e, _, _) in MEASURES.items()]
+    tests = [F.when((F.expr(f"{e}") > F.col(f"high_{m}")) | (F.coalesce(F.expr(f"{e}") < F.col(f"low_{m}"), F.lit(False))), F.lit(m)) for m, (e, *_) in MEASURES.items()]
     failed = F.when(F.col("n_words") > 0, F.array_compact(F.array(*tests))).otherwise(F.array().cast("array<string>"))
     out = out.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
     return out.select(doc_id, *groups, *COUNTS, "base_failed", "failed", "kept")
