@@ -1,7 +1,8 @@
 """URL filters: rules by host and path, and for the rest a verdict per host from trust and distrust that spread over links.
 
 Trust is a personalised PageRank that starts at hosts with allowed URLs and follows links; distrust starts at hosts with
-blocked URLs and follows links backwards, since who links to a bad host answers for it. Only DataFrame functions are used.
+blocked URLs and follows links backwards, since who links to a bad host answers for it. These two rank hosts; they are
+masses, which many linkers share, so verdicts go by blame and credit: weighted means over links, which nothing splits. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -50,20 +51,25 @@ def host_edges(df: DataFrame, url: str, html: str) -> DataFrame:
 
 
 def spread_trust(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
-    """(host, trust, distrust) from hosts (host, trusted, blocked: shares of its URLs) and edges (src, dst, share).
+    """(host, trust, distrust, blame, credit) from hosts (host, trusted, blocked: shares of its URLs) and edges (src, dst, share).
 
+    A host's blame is its blocked share, and for its URLs without a rule ``damping`` times the mean blame of the hosts that
+    its links lead to; its credit likewise its trusted share and the mean credit of those that link to it, weighted by share.
     Each round is written to the shared folder. A host without links onward gives its score back to the seeds. It ends
     after ``rounds``, or once the scores change by less than ``tolerance`` of the seeds' sum.
     """
     counts = edges.groupBy("dst").agg(F.sum("share").alias("_in"))
     backward = edges.join(counts, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("share") / F.col("_in")).alias("share"))
-    graph = written(edges.select(F.lit("trust").alias("kind"), "src", "dst", "share").unionByName(backward))
+    credit = edges.join(counts, "dst").select(F.lit("credit").alias("kind"), "src", "dst", (F.col("share") / F.col("_in")).alias("share"))
+    blame = edges.select(F.lit("blame").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
+    graph = written(edges.select(F.lit("trust").alias("kind"), "src", "dst", "share").unionByName(backward).unionByName(credit).unionByName(blame))
     leaves = graph.select("kind", F.col("src").alias("host")).distinct().withColumn("_leaves", F.lit(True))
-    nodes = hosts.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trusted").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("seed")))).alias("_s")).select("host", "_s.kind", "_s.seed")
+    own = lambda kind, of: F.struct(F.lit(kind).alias("kind"), F.col(of).alias("seed"))
+    nodes = hosts.select("host", (1.0 - F.col("trusted") - F.col("blocked")).alias("open"), F.explode(F.array(own("trust", "trusted"), own("distrust", "blocked"), own("credit", "trusted"), own("blame", "blocked"))).alias("_s")).select("host", "open", "_s.kind", "_s.seed")
     linked = graph.select("kind", F.col("src").alias("host")).union(graph.select("kind", "dst")).distinct().withColumn("_zero", F.lit(0.0))
-    nodes = nodes.join(linked, ["kind", "host"], "full").select("kind", "host", F.coalesce("seed", "_zero").alias("seed"))
-    state = written(nodes.join(leaves, ["kind", "host"], "left").select("kind", "host", "seed", F.coalesce("_leaves", F.lit(False)).alias("leaves"), F.col("seed").alias("score"), F.lit(0.0).alias("change")))
-    sums = lambda s: {r["kind"]: r for r in s.groupBy("kind").agg(F.sum("seed").alias("seed"), F.sum(F.when(~F.col("leaves"), F.col("score")).otherwise(0.0)).alias("stay"), F.sum("change").alias("change")).collect()}  # noqa: E731  two rows
+    nodes = nodes.join(linked, ["kind", "host"], "full").select("kind", "host", F.coalesce("seed", "_zero").alias("seed"), F.coalesce("open", F.lit(1.0)).alias("open"))
+    state = written(nodes.join(leaves, ["kind", "host"], "left").select("kind", "host", "seed", "open", F.coalesce("_leaves", F.lit(False)).alias("leaves"), F.col("seed").alias("score"), F.lit(0.0).alias("change")))
+    sums = lambda s: {r["kind"]: r for r in s.groupBy("kind").agg(F.sum("seed").alias("seed"), F.sum(F.when(~F.col("leaves"), F.col("score")).otherwise(0.0)).alias("stay"), F.sum("change").alias("change")).collect()}  # noqa: E731  four rows
     now = sums(state)
     for _ in range(rounds):
         flow = graph.join(state.select("kind", F.col("host").alias("src"), "score"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("_flow"))
@@ -71,19 +77,21 @@ def spread_trust(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, roun
         for kind, r in now.items():
             back = F.when(F.col("kind") == kind, F.lit(float(r["stay"] / r["seed"]) if r["seed"] else 0.0)).otherwise(back)
         score = (1 - damping) * F.col("seed") + damping * (F.coalesce("_flow", F.lit(0.0)) + back * F.col("seed"))
-        nxt = state.join(flow, ["kind", "host"], "left").select("kind", "host", "seed", "leaves", score.alias("_new"), F.col("score").alias("_old"))
-        state = written(nxt.select("kind", "host", "seed", "leaves", F.col("_new").alias("score"), F.abs(F.col("_new") - F.col("_old")).alias("change")))
+        mean = F.col("seed") + damping * F.col("open") * F.coalesce("_flow", F.lit(0.0))
+        score = F.when(F.col("kind").isin("blame", "credit"), mean).otherwise(score)
+        nxt = state.join(flow, ["kind", "host"], "left").select("kind", "host", "seed", "open", "leaves", score.alias("_new"), F.col("score").alias("_old"))
+        state = written(nxt.select("kind", "host", "seed", "open", "leaves", F.col("_new").alias("score"), F.abs(F.col("_new") - F.col("_old")).alias("change")))
         now = sums(state)
         if all(r["change"] <= tolerance * max(r["seed"], 1e-12) for r in now.values()):
             break
     of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
-    return state.groupBy("host").agg(of("trust"), of("distrust"))
+    return state.groupBy("host").agg(*[of(k) for k in ("trust", "distrust", "blame", "credit")])
 
 
 def filter_urls(df: DataFrame, url: str, html: str, rules: Sequence[Rule], threshold: float = 0.5, damping: float = 0.85, rounds: int = 30) -> DataFrame:
     """Adds host, path, rule, verdict, trust and distrust.
 
-    A URL under a rule has the longest rule's verdict. Any other is blocked if its host's distrust exceeds its trust by
+    A URL under a rule has the longest rule's verdict. Any other is blocked if its host's blame exceeds its credit by
     more than ``threshold``: a host by itself is so if the blocked share of its URLs is that much above the allowed share.
     URLs without a host take part in no link and are allowed. Null HTML has no links. Columns named like the added ones
     are replaced; repeated rows each get the verdict; an empty table stays empty.
@@ -94,10 +102,10 @@ def filter_urls(df: DataFrame, url: str, html: str, rules: Sequence[Rule], thres
     rows = rows.withColumn("host", host_of(u)).withColumn("path", path_of(u)).withColumn("_rule", first_rule(F.col("host"), F.col("path"), rules))
     share = lambda v: F.avg(F.coalesce((F.col("_rule.verdict") == v).cast("double"), F.lit(0.0)))
     hosts = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
-    scores = spread_trust(hosts, written(host_edges(df, url, html)), damping, rounds)
+    scores = spread_trust(hosts, written(host_edges(df, url, html)), damping, rounds).withColumnsRenamed({"blame": "_blame", "credit": "_credit"})
     # one host can have a third of all URLs: its one row of scores is repeated for each salt
     salt = 16
     scores = scores.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     out = rows.withColumn("_salt", F.pmod(F.xxhash64(u), F.lit(salt)).cast("int")).join(scores, ["host", "_salt"], "left")
-    method = F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")
-    return out.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce(F.col("_rule.verdict"), method)).drop("_rule", "_salt").select(*[c for c in rows.columns if c not in ("_rule", "host", "path")], *added)
+    method = F.when(F.col("_blame") - F.col("_credit") > threshold, "block").otherwise("allow")
+    return out.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce(F.col("_rule.verdict"), method)).select(*[c for c in rows.columns if c not in ("_rule", "host", "path")], *added)
