@@ -271,14 +271,14 @@ def _light(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, bands: int = BANDS, rows: int = ROWS, with_hash: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row.
 
     A text's set is its distinct runs of five words (A-Z lower-cased), or all its words if they are fewer. Rows are linked
     whose sets' Jaccard similarity is at least ``percent`` per cent. component_id is the smallest doc_id that links reach,
     kept tells whether it is the row's own. Empty sets (null, empty or blank text) are linked with nothing. Rows with a
     null doc_id count in no component's smallest id: without another id theirs is null and they are kept. Rows with one
-    doc_id and equal texts are kept or dropped alike. An empty table gives an empty result.
+    doc_id and equal texts are kept or dropped alike. An empty table gives an empty result. ``with_hash`` adds text_hash, xxhash64 of the text.
     """
     found = written(shingle_features(df, doc_id, text, bands, rows))
     classes = written(found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
@@ -294,18 +294,19 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, ba
     first = named.groupBy("root").agg(F.min("least").alias("component"))
     by_class = classes.select("cls", "least").join(roots.join(first, "root").select(F.col("node").alias("cls"), "component"), "cls", "left")
     by_class = by_class.select(F.col("cls").alias("_cls"), F.coalesce("component", "least").alias("component"))
-    out = found.select("doc_id", "n_shingles", "cls").join(by_class, F.col("cls") == F.col("_cls"), "left")
+    more = ["text_hash"] if with_hash else []
+    out = found.select("doc_id", "n_shingles", "cls", *more).join(by_class, F.col("cls") == F.col("_cls"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"), *more)
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 80) -> DataFrame:
     """The rows of the first document of each component, with the columns of df; of rows with one doc_id and text, one.
 
-    Rows to drop are found on ids alone; where they are few, they are broadcast and the texts stay where they are.
+    Rows to drop are found by id (null is one) and hash of the text; where they are few, they are broadcast and the texts stay where they are.
     """
-    gone = written(near_duplicates(df, doc_id, text, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = df.join(_light(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
+    gone = written(near_duplicates(df, doc_id, text, percent, with_hash=True).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct())
+    kept = df.join(_light(gone), F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.xxhash64(text) == F.col("_gone_hash")), "left_anti")
     again = written(df.groupBy(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     if again.isEmpty():
         return kept
