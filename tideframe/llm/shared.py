@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -16,25 +17,46 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tideframe-")
+#: Folders named inside each open scratch().
+_MADE: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset (tests), below a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}"
-    return f"{base.rstrip('/')}/tideframe-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, one machine's temporary folder serves in local mode only; on a cluster it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/tideframe"
+    path = f"{base.rstrip('/')}/tideframe-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it is computed once, and no lost executor makes it run again."""
+    """df as a Parquet table in the shared folder: it is computed once, and no lost executor makes it run again. Lazy
+    results read these tables, so they stay unless the call is inside scratch()."""
     path = shared_folder(df.sparkSession)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that shared_folder() names inside are removed at the end: for work whose result is written elsewhere."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until df has no such column (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}
@@ -48,6 +70,38 @@ def unit_hash(seed: int, *cols: Column | str) -> Column:
     return F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
+#: Up to so many rows (of less than 100 bytes each) a table is broadcast; beyond, a join with it shuffles both sides.
+BROADCAST_ROWS = 200_000
+
+
+def light(table: DataFrame) -> DataFrame:
+    """A written table, broadcast if its count allows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], spread: Column, how: str = "left", salts: int = 16) -> DataFrame:
+    """left with the row of right that has its keys (left name, right name; null equals null). right is a written table
+    of short rows, one a key. It is broadcast if its count allows; else both sides are shuffled, and as one key can hold
+    most of left, left's rows are dealt to salts by ``spread`` and right's rows are there once for each salt."""
+    same = F.lit(True)
+    for a, b in on:
+        same = same & left[a].eqNullSafe(right[b])
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), same, how)
+    one, two = free_name(left, "_salt"), free_name(right, "_salt_of")
+    dealt = left.withColumn(one, F.pmod(spread, F.lit(salts)).cast("int"))
+    many = right.withColumn(two, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    same = F.col(one) == F.col(two)
+    for a, b in on:
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return dealt.join(many, same, how).drop(one, two)
+
+
+def spread_over(rows: int) -> int:
+    """Buckets that a key's rows are numbered in, by the rows of the table."""
+    return max(64, min(8192, rows // 500_000))
+
+
 def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], spread: Column, name: str, buckets: int = 64) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... within each value of ``keys``, without a gap, whatever the size of one key.
 
@@ -56,16 +110,20 @@ def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     holds most rows is thus numbered by up to ``buckets`` tasks. Rows that tie in every ``order`` column get different
     ranks. Null keys form a group. An empty table gives an empty table.
     """
-    b, n, start, rn = (free_name(df, x) for x in ("_bucket", "_n", "_start", "_rn"))
+    b, n, start, rn, of, *ks = free_names(df, "_bucket", "_n", "_start", "_rn", "_bucket_of", *[f"_k{i}_" for i in range(len(keys))])
     df = df.withColumn(b, F.shiftright(F.shiftright(spread, 31) * F.lit(buckets), 32).cast("int"))
     counts = df.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(k).alias(f"_k{i}_") for i, k in enumerate(keys)], F.col(b).alias("_b_"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    starts = counts.select(*[F.col(k).alias(x) for k, x in zip(keys, ks, strict=True)], F.col(b).alias(of), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
     own = df.withColumn(rn, F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)))
-    on = F.col(b) == F.col("_b_")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}_"))
-    return own.join(starts, on).withColumn(name, (F.col(rn) - 1 + F.col(start)).cast("long")).drop(b, rn, start, "_b_", *[f"_k{i}_" for i in range(len(keys))])
+    on = F.col(b) == F.col(of)
+    for k, x in zip(keys, ks, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(x))
+    return own.join(starts, on).withColumn(name, (F.col(rn) - 1 + F.col(start)).cast("long")).drop(b, rn, start, of, *ks)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    return [free_name(df, x) for x in names]
 
 
 # --- bytes and words of Arrow text columns ------------------------------------------------------------------------
@@ -92,6 +150,18 @@ def text_blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
         a = b
 
 
+def text_slices(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """The text in stretches of about ``most`` characters that end at a space, or at a longer word's next space."""
+    at = 0
+    while len(text) - at > most:
+        end = text.find(" ", at + most)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data | np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
 
