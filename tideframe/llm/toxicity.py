@@ -1,46 +1,63 @@
 """Toxicity by compression distance: each window of a text is compressed with a zstandard dictionary of toxic text and
 with one of ordinary text; toxic windows come out shorter with the first.
 
-Both dictionaries are trained on labelled text by covering: segments are chosen by what their 5-byte parts are worth. For
-the toxic one a part is worth its excess share of toxic documents over ordinary ones, for the ordinary one its share of
-ordinary documents. A window is a short run of words with a carrier after it that both dictionaries hold, so that even
-one word is compressed and fixed costs cancel. How many windows of a text differ by how many bytes is turned into a
-probability by a logistic calibration on the same labelled rows.
+Both dictionaries are trained by zstandard. They begin with the same trained stretch of ordinary text, so that common
+words cost the same in both, and end with a part of their own: the toxic one is trained on the residue of toxic windows,
+the stretches whose 5-byte parts ordinary windows lack, and trained again on the windows that it shortens. A window is a
+run of whole words of at least 24 bytes. Labelled rows are dealt into two halves by a hash: one trains the dictionaries,
+the other calibrates. There, the shares of toxic and ordinary windows that are so many bytes shorter give the weight of
+such a window, and a logistic curve over a text's sum of weights (above a floor for wrong labels) gives its score.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
-from collections import Counter
-from collections.abc import Iterator, Sequence
+import struct
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import unit_hash
+from .shared import free_name, text_slices, unit_hash, written
 
-PART, SEGMENT, LEVEL = 5, 8, 9
-CARRIER = bytes(range(128, 176))
-STEPS = (1, 2, 3, 4, 5, 6)
-_REMEMBERED = 200_000
+WINDOW, PART, LEVEL, BINS = 24, 5, 9, 7
+#: Bytes of the common stretch, of each dictionary's own part in its first training, and in the later ones.
+COMMON, FIRST, OWN = 8192, 2400, 1200
+#: Both dictionaries begin with it and every window is followed by it: what a first match costs is then in both lengths.
+CARRIER = bytes(range(128, 160))
+_SUM = 30.0
+#: Ends the tables of a zstandard dictionary; its content follows.
+_OFFSETS = struct.pack("<III", 1, 4, 8)
+#: A-Z lower-cased; other ASCII characters that are no letter are spaces.
+_PLAIN = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries' contents, words a window, and the weights of the calibration: at most some 30 KB."""
+    """Dictionaries' contents, the weight of a window by bytes saved, and the curve (bias, slope, floor): some 20 KB."""
 
     toxic: bytes
     ordinary: bytes
-    words: int
     weights: tuple[float, ...]
+    curve: tuple[float, float, float]
 
 
-def normal(text: str) -> bytes:
-    return b" " + b" ".join(text.encode().lower().split()) + b" "
+def windows(text: str | None, least: int = WINDOW) -> Iterator[bytes]:
+    """Runs of whole words (lower-cased letters) of at least ``least`` bytes, in order; the last may be shorter. Null has none."""
+    for part in text_slices(text or ""):
+        held, size = [], 0
+        for w in part.encode().translate(_PLAIN).split():
+            held.append(w)
+            size += len(w) + 1
+            if size >= least:
+                yield b" %b " % b" ".join(held)
+                held, size = [], 0
+        if held:
+            yield b" %b " % b" ".join(held)
 
 
 def _parts(text: bytes) -> np.ndarray:
@@ -52,128 +69,143 @@ def _parts(text: bytes) -> np.ndarray:
     return out
 
 
-def _numbers(segment: bytes) -> list[int]:
-    return [int.from_bytes(segment[i : i + PART], "big") for i in range(len(segment) - PART + 1)]
-
+def residue(window: bytes, known: np.ndarray, shed: int = 1, least: int = 4) -> list[bytes]:
+    """The stretches of a window whose parts are not in the sorted ``known``, less ``shed`` bytes on both sides, that have
+    at least ``least`` bytes left. Without known parts, the window."""
+    p = _parts(window)
+    if not len(p) or not len(known):
+        return [window]
+    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, p), len(known) - 1)] != p)
+    edge = np.zeros(len(window) + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + PART, -1)
+    inside = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)
+    ends = zip(np.flatnonzero(inside == 1) + shed, np.flatnonzero(inside == -1) - shed, strict=True)
+    return [window[a:b] for a, b in ends if b - a >= least]
+
+
+def trained(samples: Sequence[bytes], size: int, k: int, d: int) -> bytes:
+    """About ``size`` bytes of content that zstandard trains on the samples (segments of k bytes, parts of d); samples that
+    are too few to train on are taken as they are."""
+    import zstandard
 
-def _shares(texts: Sequence[bytes], batch: int = 100) -> dict[int, int]:
-    """In how many texts each part is."""
-    parts, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for i in range(0, len(texts), batch):
-        new, n = np.unique(np.concatenate([np.unique(_parts(t)) for t in texts[i : i + batch]]), return_counts=True)
-        parts, at = np.unique(np.concatenate([parts, new]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([counts, n]), len(parts)).astype(np.int64)
-    return dict(zip(parts.tolist(), counts.tolist(), strict=True))
+    try:
+        whole = zstandard.train_dictionary(size + 500, list(samples), k=k, d=d, level=3).as_bytes()
+        return whole[whole.index(_OFFSETS) + len(_OFFSETS) :][-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
-def cover(texts: Sequence[bytes], worth: dict[int, float], most: int, candidates: int = 150_000) -> bytes:
-    """Segments whose parts are worth most, until ``most`` bytes or nothing of worth is left; a part counts once.
-    The best stand last, where zstandard reaches them at the least cost. Segments come from the texts in order, until
-    there are ``candidates`` different ones."""
-    wanted, segments = np.array(sorted(worth), np.uint64), Counter()
-    for t in texts:
-        for i in np.flatnonzero(np.isin(_parts(t), wanted)).tolist():
-            if i + SEGMENT <= len(t):
-                segments[t[i : i + SEGMENT]] += 1
-        if len(segments) >= candidates:
-            break
-    best = sorted(segments, key=lambda s: -sum(worth.get(p, 0.0) for p in _numbers(s)))[: 8 * most // SEGMENT]
-    segments = {s: segments[s] for s in best}
-    own = {s: _numbers(s) for s in segments}
-    heap = [(-sum(worth.get(p, 0.0) for p in own[s]), -n, s) for s, n in segments.items()]
-    heapq.heapify(heap)
-    done: set[int] = set()
-    out, size = [], 0
-    while heap and size + SEGMENT <= most:
-        value, n, s = heapq.heappop(heap)
-        now = -sum(worth.get(p, 0.0) for p in set(own[s]) - done)
-        if now > -1e-12:
-            continue
-        if now > value + 1e-12:
-            heapq.heappush(heap, (now, n, s))
-            continue
-        out.append(s)
-        size += SEGMENT
-        done.update(own[s])
-    return b"".join(reversed(out))
-
-
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def _compressors(toxic: bytes, ordinary: bytes):
-    """(compress with the toxic dictionary, with the ordinary one, remembered differences); one a worker."""
+    """(compress with the toxic dictionary, with the ordinary one); a worker keeps those of one model."""
     import zstandard
 
     made = []
-    for content in (toxic, ordinary):
-        held = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-    return made[0], made[1], {}
-
-
-def window_differences(text: str, toxic: bytes, ordinary: bytes, words: int = 1) -> np.ndarray:
-    """Bytes that each window is shorter with the toxic dictionary; one zero for a text without words."""
-    with_toxic, with_ordinary, known = _compressors(toxic, ordinary)
-    w = text.encode().lower().split()
-    if words > 1:
-        w = [b" ".join(w[i : i + words]) for i in range(0, len(w), words)]
-    got = list(map(known.get, w))
-    if None in got:
-        if len(known) > _REMEMBERED:
-            known.clear()
-        for i, x in enumerate(got):
-            if x is None:
-                x = known.get(w[i])
-                if x is None:
-                    z = b" " + w[i] + b" " + CARRIER
-                    x = len(with_ordinary(z)) - len(with_toxic(z))
-                    if len(w[i]) <= 64:
-                        known[w[i]] = x
-                got[i] = x
-    return np.array(got or [0], np.int64)
-
-
-def features(differences: np.ndarray) -> np.ndarray:
-    return np.array([1.0, min(8, int(differences.max())) / 4, *(np.log1p((differences >= k).sum()) for k in STEPS), np.log(len(differences))])
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, words: int = 1, most_toxic: int = 1500, most_ordinary: int = 2500, most_chars: int = 30_000_000, size: int = 8192, seed: int = 0) -> Model:
+    for content in (CARRIER + toxic, CARRIER + ordinary):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content), source_size=64, min_match=5, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        held.precompute_compress(compression_params=how)
+        made.append(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress)
+    return made[0], made[1]
+
+
+def differences(found: Iterable[bytes], toxic: bytes, ordinary: bytes) -> list[int]:
+    """Bytes that each window is shorter with the toxic dictionary."""
+    a, b = _compressors(toxic, ordinary)
+    return [len(b(z)) - len(a(z)) for z in (w + CARRIER for w in found)]
+
+
+def histogram(text: str | None, toxic: bytes, ordinary: bytes) -> np.ndarray:
+    """How many windows of a text are 0 or fewer, 1, 2, ... or at least BINS - 1 bytes shorter."""
+    return np.bincount(np.clip(differences(windows(text), toxic, ordinary), 0, BINS - 1).astype(int), minlength=BINS)
+
+
+def train(bad: Sequence[bytes], good: Sequence[bytes], rounds: int = 2, least: int = 4) -> tuple[bytes, bytes]:
+    """(content of the toxic dictionary, of the ordinary one) from windows of toxic and of ordinary texts."""
+    known = np.unique(np.concatenate([_parts(w) for w in good])) if good else np.zeros(0, np.uint64)
+    common, other = trained(good[::2], COMMON, 50, 8), trained(good[1::2], FIRST, 16, 6)
+    own = trained([x for w in bad for x in residue(w, known)], FIRST, 16, 6)
+    for _ in range(rounds):
+        saved = differences(bad, common + own, common + other[-len(own) :])
+        picked = list(dict.fromkeys(x for w, n in zip(bad, saved, strict=True) if n >= least for x in residue(w, known)))
+        if not picked:
+            break
+        own = trained(picked, OWN, 16, 6)
+    return common + own, common + other[-len(own) :]
+
+
+def calibrate(counts: np.ndarray, toxic: np.ndarray, prior: float = 5.0, rounds: int = 30) -> tuple[tuple[float, ...], tuple[float, float, float]]:
+    """(weight of a window by its bin, curve) from texts' histograms (n x BINS) and their labels (n).
+
+    Some texts carry label 1 though nothing in them is toxic. So the chance of label 1 is a floor plus the rest times a
+    logistic curve of the text's sum of weights, and a text of label 1 counts as toxic by its share above the floor. Both
+    are fitted in turn (expectation and maximisation).
+    """
+    both, kind, floor, w = counts.sum(0) + 1e-9, toxic.astype(float), 0.01, np.zeros(2)
+    weights, ridge = np.zeros(BINS), 0.1 * np.eye(2)
+    for _ in range(rounds):
+        share = [(x @ counts + 1 + prior * both / both.sum()) / ((x @ counts).sum() + BINS + prior) for x in (kind, 1 - kind)]
+        weights = np.maximum.accumulate(np.log(share[0] / share[1]))  # more bytes saved never count for less
+        x = np.column_stack([np.ones(len(counts)), np.clip(counts @ weights, -_SUM, _SUM)])
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w = w + np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (kind - p) - ridge @ w), -2, 2)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        kind = np.where(toxic == 1, p / (p + floor * (1 - p) + 1e-12), 0.0)
+        floor = float(np.clip(((1 - kind) * toxic).sum() / max((1 - kind).sum(), 1e-9), 1e-4, 0.5))
+    return tuple(weights.tolist()), (float(w[0]), float(w[1]), floor)
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, most_toxic: int = 3000, most_ordinary: int = 5000, most_windows: int = 100_000, seed: int = 0) -> Model:
     """A model from the docs whose key has a label (1 or 0; other labels and null texts are left out; of several labels of
     one key, the larger).
 
-    Keys are sampled first, by a seeded hash: at most ``most_toxic`` of label 1 and ``most_ordinary`` of label 0. Only their
-    texts are fetched, by a broadcast of these keys, and the driver takes as many as have ``most_chars`` characters in all.
-    Without rows of both labels every text scores below one half.
+    A bounded sample, by seeded hashes of keys: at most ``most_toxic`` keys of label 1 and ``most_ordinary`` of label 0,
+    half of them for the dictionaries and half for the calibration; of the windows of the first half, at most
+    ``most_windows`` different ones a label, by hash. The driver gets these windows (some 30 bytes each) and the counts of
+    the other half's texts, never texts. Without rows of both labels in both halves every text scores below one half.
     """
-    samples: list[list[str]] = []
-    known = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(toxic).alias("_label"))
+    known = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(toxic).cast("int").alias("label"))
+    picked = []
     for label, most in ((1, most_toxic), (0, most_ordinary)):
-        keys = known.where(F.col("_label") == label).select(F.col(key).alias("_key"), unit_hash(seed, key).alias("_h")).orderBy("_h", "_key").limit(most)
-        rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(keys), F.col(key) == F.col("_key"))
-        kept, total = [], 0
-        for r in rows.select("_h", F.col(text).alias("t"), F.length(text).alias("n")).orderBy("_h", "t").limit(most).toLocalIterator():
-            total += r["n"]
-            if total > most_chars // 2:
-                break
-            kept.append(r["t"])
-        samples.append(kept)
-    if not samples[0] or not samples[1]:
-        return Model(b"", b"", words, (-5.0,) + (0.0,) * (len(STEPS) + 2))
-    bad, good = ([normal(t) for t in s] for s in samples)
-    a, b = _shares(bad), _shares(good)
-    excess = {p: n / len(bad) - b.get(p, 0) / len(good) for p, n in a.items() if n >= max(2, 0.015 * len(bad)) and n * len(good) > 20 * (b.get(p, 0) + 1) * len(bad)}
-    if len(good) < 200:  # too few rows for a ratio with one added
-        excess |= {p: n / len(bad) for p, n in a.items() if n >= 2 and p not in b}
-    usual = {p: n / len(good) for p, n in b.items() if n >= max(1, 0.02 * len(good))}
-    held = cover(bad, excess, size)
-    model = Model(held, cover(good, usual, max(1024, len(held))), words, ())
-    x = np.array([features(window_differences(t, model.toxic, model.ordinary, words)) for s in samples for t in s])
-    y = np.array([1.0] * len(bad) + [0.0] * len(good))
-    w, ridge = np.zeros(x.shape[1]), 0.1 * np.eye(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-    return Model(model.toxic, model.ordinary, words, tuple(w.tolist()))
+        keys = known.where(F.col("label") == label).withColumn("h", unit_hash(seed, "key"))
+        picked.append(keys.orderBy("h", "key").limit(most).select("key", "label", (unit_hash(seed + 1, "key") % 2).cast("int").alias("half")))
+    keys = F.broadcast(picked[0].unionByName(picked[1]))  # at most most_toxic + most_ordinary keys
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text")).join(keys, F.col("doc") == F.col("key"))
+    rows = written(rows.select("label", "half", "text").repartition(32))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = list(dict.fromkeys(windows(t.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["label", "w"])
+
+    pool = rows.where("half = 0").select("label", "text").mapInArrow(cut, "label int, w binary").distinct().withColumn("h", unit_hash(seed, "w"))
+    bad, good = ([bytes(r[0]) for r in pool.where(F.col("label") == y).orderBy("h", "w").limit(most_windows).select("w").collect()] for y in (1, 0))
+    nothing = Model(b"", b"", (0.0,) * BINS, (-5.0, 0.0, 0.0))
+    if not bad or not good:
+        return nothing
+    one, two = train(bad, good)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [histogram(t.as_py(), one, two).tolist() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["label", "n"])
+
+    held = rows.where("half = 1").select("label", "text").mapInArrow(count, "label int, n array<long>").collect()
+    held = sorted((r["label"], list(r["n"])) for r in held)
+    y = np.array([r[0] for r in held], float)
+    if not 0 < y.sum() < len(y):
+        return nothing
+    return Model(one, two, *calibrate(np.array([r[1] for r in held], float), y))
+
+
+def score_texts(texts: Iterable[str | None], model: Model) -> np.ndarray:
+    counts = np.array([histogram(t, model.toxic, model.ordinary) if model.toxic else np.zeros(BINS) for t in texts]).reshape(-1, BINS)
+    total = np.clip(counts @ np.array(model.weights), -_SUM, _SUM)
+    bias, slope, floor = model.curve
+    return floor + (1 - floor) / (1 + np.exp(-np.clip(bias + slope * total, -30, 30)))
 
 
 def score_toxicity(df: DataFrame, text: str, model: Model, score: str = "toxicity") -> DataFrame:
@@ -182,14 +214,13 @@ def score_toxicity(df: DataFrame, text: str, model: Model, score: str = "toxicit
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w = np.array(model.weights)
         for texts in batches:
-            x = [features(window_differences(t or "", model.toxic, model.ordinary, model.words)) for t in texts]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, len(w)) @ w, -30, 30))), dtype="float64")
+            yield pd.Series(score_texts(texts, model), dtype="float64")
 
     return df.withColumn(score, scored(F.col(text)))
 
 
 def reject_toxic(df: DataFrame, text: str, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows whose score is below the threshold, with the columns of df."""
-    return score_toxicity(df, text, model, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = free_name(df, "_toxicity")
+    return score_toxicity(df, text, model, name).where(F.col(name) < threshold).drop(name)
