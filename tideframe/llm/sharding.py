@@ -1,100 +1,170 @@
 """Best-fit-decreasing sharding: indivisible groups, largest first, enter the open shard with the tightest room.
 
-The groups of a corpus are too many for one machine, but only the large ones need a decision of their own. A group
-above ``1 / fine`` of a shard is an item by itself, and there are at most ``fine`` x shards of those. All smaller groups
-are gathered, by size class and hash, into at most ``cells`` items a class, so what the driver packs is bounded by
-parameters and never by the data. The shard capacity is the smallest, found by bisection, with which best fit
-decreasing needs no more than the wanted number of shards.
+Where a group goes depends on its size alone. So the plan is made on the counts of groups of each size: a run of equal
+groups fills the tightest shard with room for one, then the next tightest. The plan says for each size which ranks go to
+which shard, and a join by size and rank carries it to the groups. The capacity is the smallest, found by bisection, with
+which no more than the wanted shards are needed. The driver holds one number for each different size of a group, of which
+there are far fewer than groups (sizes that all differ add up to half their square).
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, gapless_rank, unit_hash, written
+from .shared import BROADCAST_ROWS, free_names, gapless_rank, keyed_join, spread_over, unit_hash, written
 
 
 class Rooms:
-    """Open bins in a balanced search tree over (remaining capacity, bin); the tree is a bisected sorted list.
-
-    >>> r = Rooms(); [r.place(s, 10) for s in (7, 6, 4, 3)]
-    [0, 1, 1, 0]
-    """
+    """A balanced search tree over (remaining room, shard): an AA tree, so every path is at most twice as long as another.
+    Nodes are lists [level, key, left, right]."""
 
     def __init__(self) -> None:
-        self.free: list[tuple[int, int]] = []
-        self.bins = 0
-
-    def place(self, size: int, capacity: int) -> int:
-        """The bin that takes the item: the tightest with room, else a new one (an item over the capacity fills its own)."""
-        i = bisect.bisect_left(self.free, (size, -1))
-        if i < len(self.free):
-            room, b = self.free.pop(i)
-        else:
-            room, b = max(capacity, size), self.bins
-            self.bins += 1
-        bisect.insort(self.free, (room - size, b))
-        return b
-
-
-def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[int]:
-    """The bin of each item. Items of equal size are taken in their given order."""
-    rooms, out = Rooms(), [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        out[i] = rooms.place(sizes[i], capacity)
-    return out
-
-
-def fit_into(sizes: Sequence[int], shards: int) -> tuple[int, list[int]]:
-    """(capacity, bin of each item) for the smallest capacity found with which no more than ``shards`` bins are needed."""
-    total, largest = sum(sizes), max(sizes, default=0)
-    low, high = max(-(-total // shards), largest), max(2 * -(-total // shards), 1) + largest
-    best = best_fit_decreasing(sizes, high)
+        self.root: list | None = None
+
+    @staticmethod
+    def _skew(t: list) -> list:
+        if t[2] is not None and t[2][0] == t[0]:
+            x = t[2]
+            t[2], x[3] = x[3], t
+            return x
+        return t
+
+    @staticmethod
+    def _split(t: list) -> list:
+        if t[3] is not None and t[3][3] is not None and t[3][3][0] == t[0]:
+            x = t[3]
+            t[3], x[2] = x[2], t
+            x[0] += 1
+            return x
+        return t
+
+    def add(self, key: tuple[int, int]) -> None:
+        def put(t: list | None) -> list:
+            if t is None:
+                return [1, key, None, None]
+            side = 2 if key < t[1] else 3
+            t[side] = put(t[side])
+            return self._split(self._skew(t))
+
+        self.root = put(self.root)
+
+    def remove(self, key: tuple[int, int]) -> None:
+        def cut(t: list | None, key: tuple[int, int]) -> list | None:
+            if t is None:
+                return None
+            if key != t[1]:
+                side = 2 if key < t[1] else 3
+                t[side] = cut(t[side], key)
+            elif t[2] is None or t[3] is None:
+                return t[3] if t[2] is None else t[2]
+            else:
+                heir = t[3]
+                while heir[2] is not None:
+                    heir = heir[2]
+                t[1] = heir[1]
+                t[3] = cut(t[3], heir[1])
+            low = min(x[0] if x is not None else 0 for x in (t[2], t[3])) + 1
+            if low < t[0]:
+                t[0] = low
+                if t[3] is not None and t[3][0] > low:
+                    t[3][0] = low
+            t = self._skew(t)
+            if t[3] is not None:
+                t[3] = self._skew(t[3])
+                if t[3][3] is not None:
+                    t[3][3] = self._skew(t[3][3])
+            t = self._split(t)
+            if t[3] is not None:
+                t[3] = self._split(t[3])
+            return t
+
+        self.root = cut(self.root, key)
+
+    def tightest(self, size: int) -> tuple[int, int] | None:
+        """The smallest (room, shard) with room for the size."""
+        t, best = self.root, None
+        while t is not None:
+            if t[1][0] >= size:
+                best, t = t[1], t[2]
+            else:
+                t = t[3]
+        return best
+
+
+def plan_shards(counts: Sequence[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int, int]] | None:
+    """(size, first rank, end rank, shard) of best fit decreasing over (size, count); an item over the capacity fills a
+    shard of its own. None as soon as more than ``most`` shards are open.
+
+    >>> plan_shards([(7, 1), (6, 1), (4, 1), (3, 1)], 10)
+    [(7, 0, 1, 0), (6, 0, 1, 1), (4, 0, 1, 1), (3, 0, 1, 0)]
+    """
+    rooms, shards, plan = Rooms(), 0, []
+    for size, count in sorted(counts, reverse=True):
+        rank = 0
+        while rank < count:
+            found = rooms.tightest(size)
+            if found is None:
+                found = max(capacity, size), shards
+                shards += 1
+                if most is not None and shards > most:
+                    return None
+            else:
+                rooms.remove(found)
+            room, shard = found
+            n = min(count - rank, room // size if size else count)
+            plan.append((size, rank, rank + n, shard))
+            rooms.add((room - n * size, shard))
+            rank += n
+    return plan
+
+
+def fit_into(counts: Sequence[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """The plan of the smallest capacity found that needs no more than ``shards`` shards: steps up double from the least
+    that could do, then the last step is halved."""
+    total, largest = sum(s * n for s, n in counts), max((s for s, _ in counts), default=0)
+    low, step = max(-(-total // shards), largest), 1
+    best, high = plan_shards(counts, low, shards), low
+    while best is None:
+        low, high = high + 1, high + step
+        step *= 2
+        best = plan_shards(counts, high, shards)
     while low < high:
         middle = (low + high) // 2
-        bins = best_fit_decreasing(sizes, middle)
-        if max(bins, default=0) < shards:
-            high, best = middle, bins
-        else:
+        plan = plan_shards(counts, middle, shards)
+        if plan is None:
             low = middle + 1
-    return high, best
+        else:
+            high, best = middle, plan
+    return best
 
 
-def shard_groups(df: DataFrame, group: str, size: str, shards: int, order: Sequence[str] = (), seed: int = 0, fine: int = 64, cells: int = 128, hot: int = 1000) -> DataFrame:
+def shard_groups(df: DataFrame, group: str, size: str, shards: int, order: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Adds ``shard`` (int, 0 to shards - 1) and ``slot`` (long, gapless from 0 in each shard).
 
     Rows with one value of ``group`` (a string; null is a value) share a shard. Shards are near equal by the sum of
-    ``size``, as far as the largest group allows. Rows in a shard are numbered by a seeded hash of ``order``, then by
-    ``order``; repeated rows each get a slot. Extra columns stay. An empty table stays empty. Existing columns named
-    ``shard`` or ``slot`` are replaced.
+    ``size`` (null counts as 0), as far as the largest group allows. Groups of one size are taken by a seeded hash. Rows in
+    a shard are numbered by a seeded hash of ``order``, then by ``order``; repeated rows each get a slot. Extra columns
+    stay. An empty table stays empty. Existing columns named ``shard`` or ``slot`` are replaced.
     """
     df = df.drop("shard", "slot")
-    g, s, h = "_group", "_size", "_spread"
-    key = F.coalesce(F.concat(F.lit("="), F.col(group)), F.lit("null"))
-    groups = written(df.groupBy(key.alias(g)).agg(F.sum(F.col(size)).cast("long").alias(s), F.count(F.lit(1)).alias("_n")))
-    total, n_rows = (x or 0 for x in groups.agg(F.sum(s), F.sum("_n")).first())
-    large = max(1, -(-total // (shards * fine)))
-    item = F.when(F.col(s) >= large, F.concat(F.lit("g"), g)).otherwise(
-        F.concat_ws("/", F.lit("c"), F.floor(F.log2(F.greatest(F.col(s), F.lit(1)))).cast("string"), F.pmod(F.xxhash64(F.lit(seed), g), F.lit(cells)).cast("string"))
-    )
-    groups = groups.withColumn("_item", item)
-    # at most shards x fine groups by themselves, and cells for each power of two of a size
-    items = sorted(groups.groupBy("_item").agg(F.sum(s).cast("long")).collect())
-    _, bins = fit_into([int(x[1]) for x in items], shards)
-    spark = df.sparkSession
-    plan = spark.createDataFrame([(x[0], int(b)) for x, b in zip(items, bins, strict=True)], "_item string, shard int")
-    of_group = groups.join(F.broadcast(plan), "_item")  # bounded as the items are
-    # a group of copies can hold a third of all rows; those with over 1 / hot of the rows, at most hot, are broadcast, and
-    # their rows are spread over keys that no group has
-    large_groups = of_group.where(F.col("_n") * hot >= n_rows).select(g, F.col("shard").alias("_hot"))
-    left = df.withColumn(g, key).join(F.broadcast(large_groups), g, "left")
-    left = left.withColumn(g, F.when(F.col("_hot").isNull(), F.col(g)).otherwise(F.concat(F.lit("#"), F.xxhash64(F.lit(seed), *order).cast("string"))))
-    placed = left.join(of_group.where(F.col("_n") * hot < n_rows).select(g, "shard"), g, "left")
-    placed = placed.withColumn("shard", F.coalesce("_hot", "shard")).drop(g, "_hot")
-    h = free_name(placed, h)
-    placed = placed.withColumn(h, unit_hash(seed, *order))
-    return gapless_rank(placed, ["shard"], [h, *order], F.col(h), "slot").drop(h)
+    g, s, n, h, rank, a, b, of, g2, s2 = free_names(df, "_group", "_size", "_n", "_spread", "_rank", "_first", "_end", "_shard", "_group_of", "_size_of")
+    key, spread = F.coalesce(F.concat(F.lit("="), F.col(group)), F.lit("null")), unit_hash(seed, *order)
+    groups = written(df.groupBy(key.alias(g)).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias(s), F.count(F.lit(1)).alias(n)))
+    sizes = groups.groupBy(s).agg(F.count(F.lit(1)).alias(n), F.sum(n).alias("rows")).collect()  # one row a different size
+    plan = fit_into([(int(r[s]), int(r[n])) for r in sizes], shards)
+    rows = sum(int(r["rows"]) for r in sizes)
+    table = df.sparkSession.createDataFrame([tuple(map(int, x)) for x in plan], f"{s2} long, {a} long, {b} long, {of} int")
+    ranked = gapless_rank(groups.withColumn(h, unit_hash(seed, g)), [s], [h, g], F.col(h), rank, spread_over(rows)).drop(h)
+    within = (F.col(s) == F.col(s2)) & (F.col(rank) >= F.col(a)) & (F.col(rank) < F.col(b))
+    placed = ranked.join(F.broadcast(table) if len(plan) <= BROADCAST_ROWS else table.hint("merge"), within)
+    placed = written(placed.select(F.col(g).alias(g2), n, F.col(of).alias("shard")))
+    # a group of copies can hold a third of all rows: groups over 1 / 1,000 of the rows, 1,000 at most, are broadcast
+    hot = written(placed.where(F.col(n) * 1000 >= rows).drop(n))
+    left = keyed_join(df.withColumn(g, key), hot, [(g, g2)], spread).withColumnRenamed("shard", of).drop(g2)
+    apart = F.when(F.col(of).isNull(), F.col(g)).otherwise(F.concat(F.lit("#"), spread.cast("string")))
+    left = left.withColumn(g, apart).join(placed.where(F.col(n) * 1000 < rows).drop(n), F.col(g) == F.col(g2), "left")
+    out = left.withColumn("shard", F.coalesce(of, "shard")).drop(g, g2, of).withColumn(h, spread)
+    return gapless_rank(out, ["shard"], [h, *order], F.col(h), "slot", spread_over(rows)).drop(h)
