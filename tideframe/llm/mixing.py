@@ -12,10 +12,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, gapless_rank, unit_hash, written
+from .shared import WORD, free_name, free_names, gapless_rank, keyed_join, light, spread_over, unit_hash, written
 
 
 def count_words(text: str) -> F.Column:
@@ -124,36 +124,61 @@ def _budget(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(_whole=whole, _more=np.array(more, np.int64))
 
 
-def mix_sources(df: DataFrame, source: str, size: str, order: Sequence[str], weights: Sequence[float] = (1, 2, 3), most: float = 3.0, total: float | None = None, seed: int = 0) -> DataFrame:
+def mix_sources(df: DataFrame, source: str, size: str, order: Sequence[str], weights: Sequence[float] = (1, 2, 3), most: float = 3.0, total: float | None = None, seed: int = 0, most_sources: int = 100_000) -> DataFrame:
     """Adds ``source_size``, ``target`` and ``times``: how often the mix takes the row (0 to ``most`` rounded up).
 
     ``size`` is a long column without nulls; a null source is a source. Rows of size 0 are taken as often as the whole
     source is. Which rows of one length are taken once more follows a seeded hash of ``order``, then ``order``, so reruns
-    agree. Only one total per source comes to the driver; one task sees one source's counts by length, never its rows.
-    An empty table gives an empty result. Columns named like the added ones are replaced.
+    agree. The driver gets one total a source (more than ``most_sources`` sources are an error); one task sees one source's
+    counts by length, never its rows. An empty table gives an empty result. Columns named like the added ones are replaced.
+    df is read twice: it should be a written table of short rows.
     """
     df = df.drop("source_size", "target", "times")
-    src, n = F.col(source), "_n"
-    counts = written(df.groupBy(src.alias("_src"), F.col(size).alias("size")).agg(F.count(F.lit(1)).alias(n)))
-    sizes = counts.groupBy("_src").agg(F.sum(F.col("size") * F.col(n)).cast("long").alias("source_size"))
-    goal = targets([(r[0], int(r[1])) for r in sizes.collect()], total, weights, most)
-    spark = df.sparkSession
-    aims = spark.createDataFrame([(k, float(v)) for k, v in goal.items()], "_name string, target double")
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    per = sizes.join(aims, same("_src", "_name")).select("_name", "source_size", "target")
-    plan = counts.join(per, same("_src", "_name")).select("_src", "size", n, "source_size", "target")
-    plan = plan.groupBy("_src").applyInPandas(_budget, "_src string, size long, _n long, source_size long, target double, _whole long, _more long")
-    plan = written(plan)
-    ranked = gapless_rank(df.withColumn("_h", unit_hash(seed, *order)), [source, size], ["_h", *order], F.col("_h"), "_rank").drop("_h")
-    # a (source, length) can be hot: its one row of the plan is repeated for each salt
-    salt = 16
-    left = ranked.withColumn("_salt", F.pmod(F.col("_rank"), F.lit(salt)).cast("int"))
-    right = plan.select("_src", F.col("size").alias("_of"), "source_size", "target", "_whole", "_more", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt_"))
-    out = left.join(right, same(source, "_src") & (F.col(size) == F.col("_of")) & (F.col("_salt") == F.col("_salt_")))
-    times = F.col("_whole") + (F.col("_rank") < F.col("_more")).cast("long")
-    return out.withColumn("times", times).drop("_src", "_of", "_whole", "_more", "_salt", "_salt_", "_rank")
+    src, sz, n, name, whole, more, h, rank, of, plan_src = free_names(df, "_src", "_size", "_n", "_name", "_whole", "_more", "_h", "_rank", "_of", "_plan_src")
+    counts = written(df.groupBy(F.col(source).alias(src), F.col(size).alias(sz)).agg(F.count(F.lit(1)).alias(n)))
+    sizes = counts.groupBy(src).agg(F.sum(F.col(sz) * F.col(n)).cast("long").alias("source_size"), F.sum(n).alias(n))
+    known = sizes.limit(most_sources + 1).collect()
+    if len(known) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
+    goal = targets([(r[src], int(r["source_size"])) for r in known], total, weights, most)
+    per = df.sparkSession.createDataFrame([(r[src], int(r["source_size"]), float(goal[r[src]])) for r in known], f"{name} string, source_size long, target double")
+    plan = counts.join(F.broadcast(per), F.col(src).eqNullSafe(F.col(name)))  # at most most_sources rows
+    plan = plan.select(F.col(src).alias("src"), F.col(sz).alias("size"), F.col(n).alias("_n"), "source_size", "target")
+    plan = plan.groupBy("src").applyInPandas(_budget, "src string, size long, _n long, source_size long, target double, _whole long, _more long")
+    plan = written(plan.select(F.col("src").alias(plan_src), F.col("size").alias(of), "source_size", "target", F.col("_whole").alias(whole), F.col("_more").alias(more)))
+    spread = unit_hash(seed, *order)
+    ranked = gapless_rank(df.withColumn(h, spread), [source, size], [h, *order], F.col(h), rank, spread_over(sum(int(r[n]) for r in known))).drop(h)
+    out = keyed_join(ranked, plan, [(source, plan_src), (size, of)], spread, "inner")
+    times = F.col(whole) + (F.col(rank) < F.col(more)).cast("long")
+    return out.withColumn("times", times).drop(plan_src, of, whole, more, rank)
 
 
 def repeated(df: DataFrame, times: str) -> DataFrame:
     """Each row as often as ``times`` says."""
-    return df.where(F.col(times) > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop("_i")
+    i = free_name(df, "_i")
+    return df.where(F.col(times) > 0).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(i)
+
+
+def mixed_documents(df: DataFrame, source: str, text: str, order: Sequence[str]) -> DataFrame:
+    """The rows that a mix by words of ``text`` takes, each as often as it is taken, with the columns of df.
+
+    Only the keys (``order``, a hash of the text, the source) and sizes are mixed; then df's rows are looked up by them, so
+    texts are read twice and shuffled at most once. Rows that agree in all keys stand for each other: copies of one of them
+    are taken as often as the mix takes them together. Null texts have size 0. An empty table gives an empty result.
+    """
+    keys = [f"_k{i}" for i in range(len(order))]
+    own = [*[F.col(c) for c in order], F.xxhash64(text), F.col(source)]
+    slim = written(df.select(*[c.alias(k) for c, k in zip(own, [*keys, "_hash", "_source"], strict=True)], count_words(text).alias("_size")))
+    names = [*keys, "_hash", "_source"]
+    mixed = mix_sources(slim, "_source", "_size", [*keys, "_hash"])
+    taken, rows, *ks = free_names(df, "_taken", "_rows", *[f"{x}_of" for x in names])
+    picks = mixed.groupBy(*names).agg(F.sum("times").cast("long").alias(taken), F.count(F.lit(1)).alias(rows))
+    picks = written(picks.where(F.col(taken) > 0).select(*[F.col(x).alias(k) for x, k in zip(names, ks, strict=True)], taken, rows))
+    same = F.lit(True)
+    for c, k in zip(own, ks, strict=True):
+        same = same & c.eqNullSafe(F.col(k))
+    found = df.join(light(picks), same)
+    again = picks.where(F.col(rows) > 1)
+    if not again.isEmpty():
+        found = found.where(F.col(rows) == 1).unionByName(found.where(F.col(rows) > 1).dropDuplicates(ks))
+    return repeated(found, taken).select(*df.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gif, language, minhash, mixing, packing, quality, sharding, toxicity, urls, warc
+from .shared import written
 
 CAPACITY = 2048
 #: (verdict, host, path)
@@ -71,7 +72,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.count_words("text").alias("size"))
-    out = mixing.mix_sources(docs, "source", "size", ["doc_id"])
+    out = mixing.mix_sources(written(docs), "source", "size", ["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
