@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, written
+from .shared import keyed_join, shared_folder, written
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, record_type string, refers_to long, file string, offset long, length long, payload_digest string"
@@ -82,14 +82,12 @@ def write_archives(df: DataFrame, page_id: str, url: str, payload: str, folder:
     """
     spark = df.sparkSession
     folder = folder or shared_folder(spark)
-    rows = df.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("_sha1", F.sha1("payload"))
-    groups = df.select(F.col(page_id).cast("long").alias("page_id"), F.sha1(F.coalesce(F.col(payload).cast("binary"), F.lit(b""))).alias("_sha1")).groupBy("_sha1").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    # one payload can be on a third of all pages: its one row here is repeated for each salt
-    salt = 16
-    groups = groups.select(F.col("_sha1").alias("_key"), "_last", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt_"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salt)).cast("int"))
-    rows = rows.join(groups, (F.col("_sha1") == F.col("_key")) & (F.col("_salt") == F.col("_salt_")), "left")
+    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+    rows = df.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"), F.sha1(body).alias("_sha1"))
+    # one payload can be on a third of all pages; groups of equal payloads are counted before they are joined back
+    groups = rows.groupBy("_sha1").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    groups = written(groups.select(F.col("_sha1").alias("_key"), "_last"))
+    rows = keyed_join(rows, groups, [("_sha1", "_key")], F.xxhash64("page_id", "url"))
     refers = F.when((F.octet_length("payload") >= least) & F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last"))
     rows = rows.select("page_id", "url", "payload", refers.alias("refers_to"))
 
@@ -122,13 +120,14 @@ def write_archives(df: DataFrame, page_id: str, url: str, payload: str, folder:
     return index.withColumn("file", F.concat(F.lit(folder + "/"), "file"))
 
 
-def read_records(index: DataFrame, with_payload: bool = True, gap: int = 1 << 16, most: int = 1 << 23, chunk: int = 1 << 25) -> DataFrame:
+def read_records(index: DataFrame, with_payload: bool = True, gap: int = 1 << 16, most: int = 1 << 23, chunk: int = 1 << 23) -> DataFrame:
     """The records that the rows of an index name (columns of RECORD; payload null unless asked for).
 
-    Rows are dealt by file and stretch of ``chunk`` bytes and sorted by offset. Records not more than ``gap`` bytes apart
+    Rows are dealt by ranges of file and offset, a task for each ``chunk`` bytes to be read, and sorted by offset. Records not more than ``gap`` bytes apart
     are read at once, up to ``most`` bytes or one record. Rows named twice are read once and returned twice.
     """
-    parts = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / chunk)).sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    parts = index.select("file", "offset", "length").repartitionByRange(max(1, -(-int(total) // chunk)), "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: tuple[str, pa.NativeFile] | None = None
