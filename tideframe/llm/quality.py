@@ -7,10 +7,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import runs_of_words, span_hashes, text_blocks, word_spans, written
+from .shared import keyed_join, runs_of_words, span_hashes, text_blocks, word_spans, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -84,29 +84,61 @@ MEASURES: dict[str, tuple[str, bool, float, bool]] = {
 }
 
 
-def thresholds(counts: DataFrame, groups: Sequence[str], spread: float = 4.0, accuracy: int = 400, where: str = "n_words > 0", far: float = 0.99) -> DataFrame:
-    """The groups (null is a group) and, for each measure, ``low_`` and ``high_``: the quartiles less and plus ``spread``
-    times their distance, or the measure's least distance if that is more. For measures of repetition the upper limit is
-    at least the group's ``far`` quantile, or in a small group that without its two highest values.
+_GROWTH = 1.02 / 0.98  # of a bucket: quantiles are within 2 %
+_ZERO = -(1 << 30)
 
-    Each task makes a KLL sketch of its rows of a group; sketches are merged, so a group may hold any share of all rows.
-    """
-    rows = counts.where(where)
-    sketches = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), *[F.kll_sketch_agg_double(F.expr(f"CAST({e} AS DOUBLE)"), F.lit(accuracy)).alias(m) for m, (e, *_) in MEASURES.items()])
-    out = sketches
 
-    def end(m: str) -> F.Column:  # a rank must be a literal
-        at = F.kll_sketch_get_quantile_double(F.col(m), F.lit(0.75))
-        for p in sorted({0.9, 0.95, 0.98, far}):
-            at = F.when((F.col("_n") * (1 - p) >= 1.999) & F.lit(p <= far), F.kll_sketch_get_quantile_double(F.col(m), F.lit(p))).otherwise(at)
-        return at
+def sketches(counts: DataFrame, groups: Sequence[str], where: str = "n_words > 0") -> DataFrame:
+    """groups, measure, bucket, n: quantile sketches of the measures, as counts of buckets that grow by a constant factor.
+    Zero has a bucket of its own. Sketches merge by adding counts, so they don't depend on how rows are dealt to tasks, and
+    a group may hold any share of all rows: each task adds up its own first."""
+    rows = counts.where(where).select(*groups, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.expr(f"CAST({e} AS DOUBLE)").alias("x")) for m, (e, *_) in MEASURES.items()])).alias("_m"))
+    bucket = F.when(F.col("_m.x") > 0, F.ceil(F.log("_m.x") / float(np.log(_GROWTH)))).otherwise(_ZERO).cast("int")
+    return rows.groupBy(*groups, F.col("_m.measure").alias("measure"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
 
+def limits_of(merged: DataFrame, keys: Sequence[str], spread: float, far: float) -> DataFrame:
+    """keys, _rows, and low_ and high_ of each measure, from sketches that are merged by keys."""
+    w = Window.partitionBy(*keys, "measure")
+    rows = merged.withColumn("_cum", F.sum("n").over(w.orderBy("bucket"))).withColumn("_all", F.sum("n").over(w))
+    value = F.when(F.col("bucket") == _ZERO, 0.0).otherwise(2 * F.pow(F.lit(_GROWTH), F.col("bucket")) / (1 + _GROWTH))
+    at = lambda rank: F.min(F.when(F.col("_cum") >= rank, value))
+    quantile = lambda p: F.floor((F.col("_all") - 1) * p) + 1
+    one = rows.groupBy(*keys, "measure").agg(F.max("_all").alias("_rows"), at(quantile(0.25)).alias("_a"), at(quantile(0.75)).alias("_b"), at(F.greatest(F.lit(1), F.least(quantile(far), F.col("_all") - 2))).alias("_far"))
+    pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
+    out = [F.max("_rows").alias("_rows")]
     for m, (_, lower, least, wide) in MEASURES.items():
-        q = [F.kll_sketch_get_quantile_double(F.col(m), F.lit(p)) for p in (0.25, 0.75)]
-        room = F.greatest(spread * (q[1] - q[0]), F.lit(least))
-        high = F.greatest(q[1] + room, end(m)) if wide else q[1] + room
-        out = out.withColumn(f"high_{m}", high).withColumn(f"low_{m}", q[0] - room if lower else F.lit(None).cast("double"))
-    return out.drop("_n", *MEASURES)
+        room = F.greatest(spread * (pick(m, "_b") - pick(m, "_a")), F.lit(least))
+        high = pick(m, "_b") + room
+        out += [(pick(m, "_a") - room if lower else F.lit(None).cast("double")).alias(f"low_{m}"), (F.greatest(high, pick(m, "_far")) if wide else high).alias(f"high_{m}")]
+    return one.groupBy(*keys).agg(*out)
+
+
+def thresholds(counts: DataFrame, groups: Sequence[str], spread: float = 4.0, where: str = "n_words > 0", far: float = 0.99, least_rows: int = 12) -> DataFrame:
+    """The groups of all rows (null is a group) and, for each measure, ``low_`` and ``high_``: the quartiles less and plus
+    ``spread`` times their distance, or the measure's least distance if that is more. For measures of repetition the upper
+    limit is at least the ``far`` quantile, or in few rows the third highest value.
+
+    They come from the rows under ``where``. A group of fewer than ``least_rows`` of those has the limits of its sketch
+    merged with those of all groups that share its first columns but the last (a source's: the language), and so on up to
+    all rows. Without any such row there are no limits.
+    """
+    sums = written(sketches(counts, groups, where))
+    out = counts.select(*groups).distinct()
+    limits = [f"{s}_{m}" for m in MEASURES for s in ("low", "high")]
+    for depth in range(len(groups), -1, -1):
+        keys = list(groups[:depth])
+        level = limits_of(sums.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n")), keys, spread, far)
+        level = level.where(F.col("_rows") >= (least_rows if depth else 1)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_{depth}_{c}") for c in limits])
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        out = out.join(level if depth else F.broadcast(level), same, "left").drop(*[f"_k{i}" for i in range(depth)])
+    whole = []
+    for m in MEASURES:
+        for s in ("low", "high"):
+            whole.append(F.coalesce(*[F.col(f"_{d}_{s}_{m}") for d in range(len(groups), -1, -1)]).alias(f"{s}_{m}"))
+    return out.select(*groups, *whole)
 
 
 def judge_quality(df: DataFrame, doc_id: str, text: str, groups: Sequence[str], spread: float = 4.0, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
@@ -114,19 +146,13 @@ def judge_quality(df: DataFrame, doc_id: str, text: str, groups: Sequence[str],
 
     base_failed: fewer than ``least_words`` words, or more than ``most_repeated`` per cent of them in repeated windows of
     eight. Limits are learned from the rows that pass this; the others are never kept. Null in a group column is a group
-    by itself; null or empty text fails; repeated rows each get a row; an empty table gives an empty result.
+    by itself; null or empty text fails; repeated rows each get a row; an empty table gives an empty result. Sketches are
+    counts, so reruns agree.
     """
     base = F.expr(f"n_words < {least_words} OR 100 * n_repeat_words > {most_repeated} * n_words")
     counts = written(text_counts(df, text, [doc_id, *groups]).withColumn("base_failed", base))
     limits = thresholds(counts, groups, spread, where="NOT base_failed").select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], *[f"{s}_{m}" for m in MEASURES for s in ("low", "high")])
-    # one row a group; a hot group's row is repeated for each salt
-    salt = 16
-    limits = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    left = counts.withColumn("_s", F.pmod(F.xxhash64(doc_id), F.lit(salt)).cast("int"))
-    on = F.col("_s") == F.col("_salt")
-    for i, g in enumerate(groups):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    out = left.join(limits, on, "left")
+    out = keyed_join(counts, written(limits), [(g, f"_g{i}") for i, g in enumerate(groups)], F.xxhash64(doc_id))
     tests = [F.when((F.expr(f"{e}") > F.col(f"high_{m}")) | (F.coalesce(F.expr(f"{e}") < F.col(f"low_{m}"), F.lit(False))), F.lit(m)) for m, (e, *_) in MEASURES.items()]
     failed = F.when(F.col("n_words") > 0, F.array_compact(F.array(*tests))).otherwise(F.array().cast("array<string>"))
     out = out.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
