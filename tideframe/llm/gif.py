@@ -3,6 +3,7 @@ stored with their times and colour histograms. The writer stores bytes losslessl
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import struct
@@ -135,7 +136,14 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def decode_gif(data: bytes) -> Iterator[dict]:
     """A dict a frame: its place and size, delay, start time (both in hundredths of a second), disposal, and the canvas
-    (height x width x 3) as shown then. Interlaced rows are put in order. Data that isn't GIF has no frame."""
+    (height x width x 3) as shown then. Interlaced rows are put in order. Data that isn't GIF has no frame; data that
+    breaks off gives the frames before the break."""
+    with contextlib.suppress(IndexError, ValueError, struct.error):
+        yield from _frames(data)
+
+
+def _frames(data: bytes) -> Iterator[dict]:
+    """As decode_gif; data that breaks off raises an error where it does."""
     if data[:3] != b"GIF" or len(data) < 13:
         return
     wide, high, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -163,6 +171,8 @@ def decode_gif(data: bytes) -> Iterator[dict]:
             palette, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
         low = data[at]
         stream, at = _sub_blocks(data, at + 1)
+        if not 1 <= low <= 8 or not data[at - 1 : at] or data[at - 1]:
+            raise ValueError("a frame breaks off")
         pixels = np.frombuffer(lzw_unpack(stream, low, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if bits & 0x40:
             rows = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -191,7 +201,8 @@ FRAMES = "frame int, left int, top int, width int, height int, start_cs int, del
 
 
 def media_frames(df: DataFrame, id_column: str, media: str) -> DataFrame:
-    """A row a frame of each GIF: id, FRAMES. ``pixels`` is the RGB canvas as shown; null or broken media has no row."""
+    """A row a frame of each GIF: id, FRAMES. ``pixels`` is the RGB canvas as shown; null media has no row, and
+    media that breaks off has its frames before the break."""
     names = [x.split(" ")[0] for x in FRAMES.split(", ")]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
