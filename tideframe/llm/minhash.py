@@ -18,13 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import lower_ascii, mix, runs_of_words, span_hashes, text_blocks, word_spans, written
+from .shared import free_names, light, lower_ascii, mix, runs_of_words, span_hashes, text_blocks, word_spans, written
 
 BANDS, ROWS, WORDS = 24, 6, 5
 #: Buckets of up to so many open classes are compared pair by pair, larger ones in blocks of so many shingles.
 PAIRED, BLOCK = 32, 40_000
-#: Up to so many rows of about 60 bytes, tables of ids are broadcast to find their texts.
-BROADCAST_ROWS = 200_000
 
 
 def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +97,8 @@ def shingle_features(df: DataFrame, doc_id: str, text: str, bands: int = BANDS,
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.astype(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(cls, pa.binary()), lists, pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "cls", "bands", "sig"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text)).mapInArrow(features, "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>, sig binary")
+    kind = df.schema[doc_id].dataType.simpleString()
+    return df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text)).mapInArrow(features, f"doc_id {kind}, text_hash long, n_shingles long, cls binary, bands array<long>, sig binary")
 
 
 def shared_shingles(pairs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -266,11 +265,6 @@ def block_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     return written(rows.join(texts, "cls").groupBy("bucket", "low", "high").applyInPandas(between, "a binary, b binary"))
 
 
-def _light(table: DataFrame) -> DataFrame:
-    """A written table of ids, broadcast if it has few rows; else a join with it shuffles both sides."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, bands: int = BANDS, rows: int = ROWS, with_hash: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row.
 
@@ -282,12 +276,12 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, ba
     """
     found = written(shingle_features(df, doc_id, text, bands, rows))
     classes = written(found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    body = df.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("text"))
+    body = df.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
         rep = written(classes.join(wanted, "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")))
         on = F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-        return body.join(_light(rep), on).select("cls", "text").dropDuplicates(["cls"])
+        return body.join(light(rep), on).select("cls", "text").dropDuplicates(["cls"])
 
     roots = class_components(classes.select("cls", "n_shingles", "bands", "sig"), fetch, percent)
     named = roots.join(classes.select("cls", "least"), F.col("node") == F.col("cls"))
@@ -305,12 +299,14 @@ def drop_near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 8
 
     Rows to drop are found by id (null is one) and hash of the text; where they are few, they are broadcast and the texts stay where they are.
     """
-    gone = written(near_duplicates(df, doc_id, text, percent, with_hash=True).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct())
-    kept = df.join(_light(gone), F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.xxhash64(text) == F.col("_gone_hash")), "left_anti")
-    again = written(df.groupBy(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    of, hash_of, n, h = free_names(df, "_of", "_hash_of", "_n", "_h")
+    gone = near_duplicates(df, doc_id, text, percent, with_hash=True).where("NOT kept")
+    gone = written(gone.select(F.col("doc_id").alias(of), F.col("text_hash").alias(hash_of)).distinct())
+    on = F.col(doc_id).eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(hash_of))
+    kept = df.join(light(gone), on, "left_anti")
+    again = written(df.groupBy(F.col(doc_id).alias(of), F.xxhash64(text).alias(hash_of)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1))
     if again.isEmpty():
         return kept
-    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    once = kept.join(_light(again), on, "left_anti")
-    many = kept.join(_light(again), on, "left_semi").withColumn("_h", F.xxhash64(text)).dropDuplicates([doc_id, "_h"]).drop("_h")
+    once = kept.join(light(again), on, "left_anti")
+    many = kept.join(light(again), on, "left_semi").withColumn(h, F.xxhash64(text)).dropDuplicates([doc_id, h]).drop(h)
     return once.unionByName(many)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import free_names, keyed_join, written
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the URL's path starts with the rule's path.
 Rule = tuple[str, str, str]
@@ -98,14 +98,14 @@ def filter_urls(df: DataFrame, url: str, html: str, rules: Sequence[Rule], thres
     """
     added = ("host", "path", "rule", "verdict", "trust", "distrust")
     rows = df.drop(*added)
+    rule, key, blame, credit = free_names(rows, "_rule", "_host", "_blame", "_credit")
     u = F.col(url)
-    rows = rows.withColumn("host", host_of(u)).withColumn("path", path_of(u)).withColumn("_rule", first_rule(F.col("host"), F.col("path"), rules))
-    share = lambda v: F.avg(F.coalesce((F.col("_rule.verdict") == v).cast("double"), F.lit(0.0)))
+    rows = rows.withColumn("host", host_of(u)).withColumn("path", path_of(u)).withColumn(rule, first_rule(F.col("host"), F.col("path"), rules))
+    share = lambda v: F.avg(F.coalesce((F.col(rule)["verdict"] == v).cast("double"), F.lit(0.0)))
     hosts = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
-    scores = spread_trust(hosts, written(host_edges(df, url, html)), damping, rounds).withColumnsRenamed({"blame": "_blame", "credit": "_credit"})
-    # one host can have a third of all URLs: its one row of scores is repeated for each salt
-    salt = 16
-    scores = scores.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    out = rows.withColumn("_salt", F.pmod(F.xxhash64(u), F.lit(salt)).cast("int")).join(scores, ["host", "_salt"], "left")
-    method = F.when(F.col("_blame") - F.col("_credit") > threshold, "block").otherwise("allow")
-    return out.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce(F.col("_rule.verdict"), method)).select(*[c for c in rows.columns if c not in ("_rule", "host", "path")], *added)
+    scores = spread_trust(hosts, written(host_edges(df, url, html)), damping, rounds)
+    scores = written(scores.select(F.col("host").alias(key), "trust", "distrust", F.col("blame").alias(blame), F.col("credit").alias(credit)))
+    out = keyed_join(rows, scores, [("host", key)], F.xxhash64(u))  # one host can have a third of all URLs
+    method = F.when(F.col(blame) - F.col(credit) > threshold, "block").otherwise("allow")
+    out = out.withColumn("rule", F.col(rule)["rule"]).withColumn("verdict", F.coalesce(F.col(rule)["verdict"], method))
+    return out.select(*[c for c in rows.columns if c not in (rule, "host", "path")], *added)
