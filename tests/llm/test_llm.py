@@ -127,8 +127,32 @@ def test_toxicity(spark, docs):
     empty = toxicity.fit(df.select("doc_id", "text"), none(df).select("doc_id", "toxic"), "doc_id", "text", "toxic")
     assert toxicity.score_toxicity(df, "text", empty).where("toxicity >= 0.5").count() == 0
     assert toxicity.score_toxicity(none(df), "text", model).count() == 0
-    long = " ".join(words * 5000) + " " + BAD
-    assert toxicity.window_differences(long, model.toxic, model.ordinary).max() >= 4
+    long = " ".join(words * 30_000) + " " + BAD
+    assert max(toxicity.differences(toxicity.windows(long), model.toxic, model.ordinary)) >= 6
+    # the score is the plain sum over windows
+    for text in (long, make(True), None, "", "x" * 3000):
+        total = sum(model.weights[min(max(d, 0), toxicity.BINS - 1)] for d in toxicity.differences(toxicity.windows(text), model.toxic, model.ordinary))
+        bias, slope, floor = model.curve
+        want = floor + (1 - floor) / (1 + np.exp(-np.clip(bias + slope * np.clip(total, -30, 30), -30, 30)))
+        assert toxicity.score_texts([text], model)[0] == pytest.approx(want)
+    again = toxicity.fit(df.repartition(7).select("doc_id", "text"), df.where("doc_id < 180").select("doc_id", "toxic"), "doc_id", "text", "toxic")
+    assert again == model
+
+
+def test_windows_are_whole_words_in_order():
+    for text in ("", None, " \n", "One TWO three-four!! five " * 40, "y" * 100 + " a b", "é ß " * 30):
+        plain = bytes(toxicity._PLAIN[b] for b in (text or "").encode()).split()
+        got = list(toxicity.windows(text))
+        assert b" ".join(w.strip() for w in got).split() == plain
+        assert all(len(w) >= toxicity.WINDOW for w in got[:-1])
+    long = "ab cde " * 400_000
+    assert sum(w.count(b"cde") for w in toxicity.windows(long)) == 400_000
+
+
+def test_residue_is_what_known_parts_lack():
+    known = np.unique(toxicity._parts(b" the cat and the dog went to the house "))
+    assert toxicity.residue(b" the cat and the dog ", known) == []
+    assert any(b"idiot" in x for x in toxicity.residue(b" the cat and the idiot went to ", known))
 
 
 # --- sharding, mixing, packing ------------------------------------------------------------------------------------
@@ -147,24 +171,54 @@ def brute_fit(sizes, capacity):
 
 
 def test_best_fit_decreasing_is_the_plain_loop():
-    for seed in range(30):
-        sizes = np.random.default_rng(seed).integers(1, 50, 80).tolist()
-        assert sharding.best_fit_decreasing(sizes, 60) == brute_fit(sizes, 60)
-        capacity, bins = sharding.fit_into(sizes, 7)
-        assert max(bins) < 7 and max(np.bincount(bins, sizes)) <= capacity <= sum(sizes) / 7 + 60
-
-
-def test_shards(spark, docs):
-    rows = docs.select("doc_id", "text", "shard", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    out = sharding.shard_groups(rows, "text", "size", 4, ["doc_id"]).collect()
-    assert len(out) == docs.count()
-    of = collections.defaultdict(set)
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(1, int(rng.choice([5, 50])), int(rng.integers(0, 80))).tolist()
+        counts = collections.Counter(sizes)
+        loads = collections.Counter()
+        for size, a, b, shard in sharding.plan_shards(list(counts.items()), 60):
+            loads[shard] += size * (b - a)
+            counts[size] -= b - a
+        assert not any(counts.values())
+        assert sorted(loads.values()) == sorted(np.bincount(brute_fit(sizes, 60), sizes).astype(int).tolist() if sizes else [])
+        plan = sharding.fit_into(list(collections.Counter(sizes).items()), 7)
+        loads = collections.Counter()
+        for size, a, b, shard in plan:
+            loads[shard] += size * (b - a)
+        assert all(0 <= x < 7 for x in loads) and sum(loads.values()) == sum(sizes)
+        assert max(loads.values(), default=0) <= sum(sizes) / 7 + 60
+
+
+def test_rooms_tree_is_a_sorted_list():
+    rng, tree, plain = np.random.default_rng(3), sharding.Rooms(), []
+    for i in range(3000):
+        if plain and rng.random() < 0.45:
+            tree.remove(plain.pop(int(rng.integers(len(plain)))))
+        else:
+            key = (int(rng.integers(0, 200)), i)
+            tree.add(key)
+            plain.append(key)
+        size = int(rng.integers(0, 210))
+        assert tree.tightest(size) == min((k for k in plain if k[0] >= size), default=None)
+    depth = lambda t: 0 if t is None else 1 + max(depth(t[2]), depth(t[3]))
+    assert depth(tree.root) <= 2 * np.log2(len(plain) + 1) + 1
+
+
+def test_shards_of_all_groups_are_best_fit_decreasing(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"g{int(g)}" if g else None, int(n)) for i, (g, n) in enumerate(zip(rng.integers(0, 90, 400), rng.integers(0, 40, 400), strict=True))]
+    rows += [(1000 + i, "hot", 3) for i in range(300)] + [(2000, "null", 5), (2001, "=x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long").withColumn("_group", F.lit(1)).withColumn("SLOT", F.lit("s"))
+    out = sharding.shard_groups(df, "text", "size", 5, ["doc_id"]).collect()
+    assert len(out) == len(rows) and "_group" in out[0].asDict()
+    load, of, sizes = collections.Counter(), collections.defaultdict(set), collections.Counter()
     for r in out:
+        load[r["shard"]] += r["size"] or 0
         of[r["text"]].add(r["shard"])
-    assert all(len(v) == 1 for v in of.values()) and {r["shard"] for r in out} <= set(range(4))
-    for s in range(4):
-        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
-    assert sharding.shard_groups(none(rows), "text", "size", 4, ["doc_id"]).count() == 0
+        sizes[r["text"]] += r["size"] or 0
+    assert all(len(v) == 1 for v in of.values()) and len(of) == len({r[1] for r in rows})
+    best = min(c for c in range(-(-sum(sizes.values()) // 5), sum(sizes.values()) + 1) if max(brute_fit(list(sizes.values()), max(c, max(sizes.values())))) < 5)
+    assert sorted(load.values()) == sorted(np.bincount(brute_fit(list(sizes.values()), max(best, max(sizes.values()))), list(sizes.values()), minlength=5).astype(int).tolist())
 
 
 def test_targets_stop_and_share_again():
@@ -280,6 +334,34 @@ def brute_counts(t):
     return len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t or ""), dup, sum(mark)
 
 
+def test_quality_limits_are_quantiles_within_two_per_cent_and_rerun_alike(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(n), int(n * rng.uniform(3, 9)), int(rng.integers(0, 4)), 10, int(rng.integers(0, 3)), int(rng.integers(0, 9)), f"g{i % 3}" if i % 50 else None) for i, n in enumerate(rng.integers(50, 500, 900))]
+    df = spark.createDataFrame(rows, "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, lang string")
+    got = {r["lang"]: r for r in quality.thresholds(df, ["lang"]).collect()}
+    again = {r["lang"]: r for r in quality.thresholds(df.repartition(9), ["lang"]).collect()}
+    assert got == again and set(got) == {"g0", "g1", "g2", None}
+    exact = {"word_length": lambda r: r[1] / r[0], "symbols_a_word": lambda r: r[2] / r[0], "dup_lines": lambda r: r[4] / r[3], "repeats": lambda r: r[5] / r[0]}
+    for g, limit in got.items():
+        own = [r for r in rows if r[6] == g]
+        for m, (_, lower, least, wide) in quality.MEASURES.items():
+            x = sorted(map(exact[m], own))
+            at = lambda rank: x[rank - 1]
+            q = lambda p: at(int((len(x) - 1) * p) + 1)
+            room = max(4 * (q(0.75) - q(0.25)), least)
+            high = max(q(0.75) + room, at(max(1, min(int((len(x) - 1) * 0.99) + 1, len(x) - 2)))) if wide else q(0.75) + room
+            assert limit[f"high_{m}"] == pytest.approx(high, rel=0.1)
+            assert not lower or limit[f"low_{m}"] == pytest.approx(q(0.25) - room, abs=0.1 * high)
+
+
+def test_small_groups_take_the_limits_of_their_language(spark):
+    words = lambda n, i: " ".join(f"{'abcdefgh'[:n]}{i}{k}" for k in range(25))
+    rows = [(i, words(2, i), "en", "big") for i in range(40)] + [(100 + i, words(8, i), "de", "big") for i in range(40)]
+    rows += [(200, words(2, 7), "en", "tiny"), (201, words(8, 8), "en", "tiny"), (202, words(8, 9), "de", "tiny")]
+    out = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id", "text", ["lang", "source"]).collect()}
+    assert out[200]["kept"] and out[202]["kept"] and out[201]["failed"] == ["word_length"]
+
+
 def test_quality(spark, docs):
     extra = [(200, "a b c d e f g h " * 9, "en", "s1"), (201, "x\nx\n\n \n y\nx", "en", None), (202, "### " * 40, "en", "s1"), (203, "a " * 30, None, None)]
     df = docs.select("doc_id", "text", "lang", "source", "n_words").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string").withColumn("n_words", F.lit("z")))
