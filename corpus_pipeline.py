@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideframe.llm import language, minhash, mixing, packing, toxicity
 from tideframe.llm.queries import CAPACITY, language_model, table, tokenizer_path, toxicity_model
-from tideframe.llm.shared import written
+from tideframe.llm.shared import scratch, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 1, 2, 3 in turn; a document that the mix takes more than once is there more than once."""
-    mixed = mixing.mix_sources(docs.withColumn("_size", mixing.count_words("text")), "source", "_size", ["doc_id"])
-    return mixing.repeated(mixed, "times").select(*docs.columns)
+    return mixing.mixed_documents(docs, "source", "text", ["doc_id"])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,5 +43,8 @@ ORACLE_SQL = None  # classifiers, the knapsack and packing are beyond SQL; tests
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        path = shared_folder(spark)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
