@@ -356,7 +356,7 @@ def test_quality_limits_are_quantiles_within_two_per_cent_and_rerun_alike(spark)
 
 def test_small_groups_take_the_limits_of_their_language(spark):
     words = lambda n, i: " ".join(f"{'abcdefgh'[:n]}{i}{k}" for k in range(25))
-    rows = [(i, words(2, i), "en", "big") for i in range(40)] + [(100 + i, words(8, i), "de", "big") for i in range(40)]
+    rows = [(i, words(2, i), "en", "big") for i in range(120)] + [(300 + i, words(8, i), "de", "big") for i in range(120)]
     rows += [(200, words(2, 7), "en", "tiny"), (201, words(8, 8), "en", "tiny"), (202, words(8, 9), "de", "tiny")]
     out = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id", "text", ["lang", "source"]).collect()}
     assert out[200]["kept"] and out[202]["kept"] and out[201]["failed"] == ["word_length"]
@@ -376,10 +376,10 @@ def test_quality(spark, docs):
 
 
 def test_adaptive_limits_differ_by_group(spark):
-    rows = [(i, ("ab " if i < 50 else "abcdefgh ") * 25, "g1" if i < 50 else "g2") for i in range(100)] + [(100, "abcdefgh " * 25, "g1")]
+    rows = [(i, ("ab " if i < 110 else "abcdefgh ") * 25, "g1" if i < 110 else "g2") for i in range(220)] + [(220, "abcdefgh " * 25, "g1")]
     rows = [(i, " ".join(f"{w}{k % 10}{k // 10}" for k, w in enumerate(t.split())), g) for i, t, g in rows]
     out = {r["doc_id"]: r["kept"] for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", ["lang"]).collect()}
-    assert out[100] is False and all(out[i] for i in range(100))
+    assert out[220] is False and all(out[i] for i in range(220))
 
 
 def test_near_duplicates(spark, docs):

@@ -3,6 +3,7 @@ source, in place of fixed cutoffs, and are joined back to filter the documents."
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -84,8 +85,11 @@ MEASURES: dict[str, tuple[str, bool, float, bool]] = {
 }
 
 
-_GROWTH = 1.02 / 0.98  # of a bucket: quantiles are within 2 %
+GROWTH = 1.02 / 0.98  # of a bucket: quantiles are within 2 %
+LOG_GROWTH = math.log(GROWTH)
 _ZERO = -(1 << 30)
+#: A smaller group takes the limits of its sketch merged with its neighbours': quartiles and far ends of fewer rows are chance.
+LEAST_ROWS = 100
 
 
 def sketches(counts: DataFrame, groups: Sequence[str], where: str = "n_words > 0") -> DataFrame:
@@ -93,7 +97,7 @@ def sketches(counts: DataFrame, groups: Sequence[str], where: str = "n_words > 0
     Zero has a bucket of its own. Sketches merge by adding counts, so they don't depend on how rows are dealt to tasks, and
     a group may hold any share of all rows: each task adds up its own first."""
     rows = counts.where(where).select(*groups, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.expr(f"CAST({e} AS DOUBLE)").alias("x")) for m, (e, *_) in MEASURES.items()])).alias("_m"))
-    bucket = F.when(F.col("_m.x") > 0, F.ceil(F.log("_m.x") / float(np.log(_GROWTH)))).otherwise(_ZERO).cast("int")
+    bucket = F.when(F.col("_m.x") > 0, F.ceil(F.log("_m.x") / LOG_GROWTH)).otherwise(_ZERO).cast("int")
     return rows.groupBy(*groups, F.col("_m.measure").alias("measure"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -101,7 +105,7 @@ def limits_of(merged: DataFrame, keys: Sequence[str], spread: float, far: float)
     """keys, _rows, and low_ and high_ of each measure, from sketches that are merged by keys."""
     w = Window.partitionBy(*keys, "measure")
     rows = merged.withColumn("_cum", F.sum("n").over(w.orderBy("bucket"))).withColumn("_all", F.sum("n").over(w))
-    value = F.when(F.col("bucket") == _ZERO, 0.0).otherwise(2 * F.pow(F.lit(_GROWTH), F.col("bucket")) / (1 + _GROWTH))
+    value = F.when(F.col("bucket") == _ZERO, 0.0).otherwise(2 * F.pow(F.lit(GROWTH), F.col("bucket")) / (1 + GROWTH))
     at = lambda rank: F.min(F.when(F.col("_cum") >= rank, value))
     quantile = lambda p: F.floor((F.col("_all") - 1) * p) + 1
     one = rows.groupBy(*keys, "measure").agg(F.max("_all").alias("_rows"), at(quantile(0.25)).alias("_a"), at(quantile(0.75)).alias("_b"), at(F.greatest(F.lit(1), F.least(quantile(far), F.col("_all") - 2))).alias("_far"))
@@ -114,7 +118,7 @@ def limits_of(merged: DataFrame, keys: Sequence[str], spread: float, far: float)
     return one.groupBy(*keys).agg(*out)
 
 
-def thresholds(counts: DataFrame, groups: Sequence[str], spread: float = 4.0, where: str = "n_words > 0", far: float = 0.99, least_rows: int = 12) -> DataFrame:
+def thresholds(counts: DataFrame, groups: Sequence[str], spread: float = 4.0, where: str = "n_words > 0", far: float = 0.99, least_rows: int = LEAST_ROWS) -> DataFrame:
     """The groups of all rows (null is a group) and, for each measure, ``low_`` and ``high_``: the quartiles less and plus
     ``spread`` times their distance, or the measure's least distance if that is more. For measures of repetition the upper
     limit is at least the ``far`` quantile, or in few rows the third highest value.
