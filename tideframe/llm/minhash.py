@@ -275,7 +275,7 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, ba
     doc_id and equal texts are kept or dropped alike. An empty table gives an empty result. ``with_hash`` adds text_hash, xxhash64 of the text.
     """
     found = written(shingle_features(df, doc_id, text, bands, rows))
-    classes = written(found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = written(found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     body = df.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
@@ -286,12 +286,21 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 85, ba
     roots = class_components(classes.select("cls", "n_shingles", "bands", "sig"), fetch, percent)
     named = roots.join(classes.select("cls", "least"), F.col("node") == F.col("cls"))
     first = named.groupBy("root").agg(F.min("least").alias("component"))
-    by_class = classes.select("cls", "least").join(roots.join(first, "root").select(F.col("node").alias("cls"), "component"), "cls", "left")
-    by_class = by_class.select(F.col("cls").alias("_cls"), F.coalesce("component", "least").alias("component"))
+    by_class = classes.select("cls", "least", "rows").join(roots.join(first, "root").select(F.col("node").alias("cls"), "component"), "cls", "left")
+    # a class of one row that nothing links is its own component; of the others, classes of copies over 1 / 1,000 of the
+    # rows, 1,000 at most, are broadcast, and their rows are spread over keys that no class has
+    by_class = by_class.where("rows > 1 OR component IS NOT NULL").select(F.col("cls").alias("_cls"), "rows", F.coalesce("component", "least").alias("component"))
+    by_class, total = written(by_class), found.count()
+    hot = by_class.where(F.col("rows") * 1000 >= total).select(F.col("_cls").alias("_hot"), F.col("component").alias("_of_hot"))
+    rest = by_class.where(F.col("rows") * 1000 < total).select("_cls", "component")
     more = ["text_hash"] if with_hash else []
-    out = found.select("doc_id", "n_shingles", "cls", *more).join(by_class, F.col("cls") == F.col("_cls"), "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"), *more)
+    out = found.select("doc_id", "n_shingles", "cls", "text_hash").join(F.broadcast(hot), F.col("cls") == F.col("_hot"), "left")
+    apart = F.unhex(F.hex(F.xxhash64("doc_id", "text_hash")))
+    out = out.withColumn("_key", F.when(F.col("_hot").isNotNull() | F.col("cls").isNull(), apart).otherwise(F.col("cls")))
+    out = out.join(rest, F.col("_key") == F.col("_cls"), "left")
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.coalesce("_of_hot", "component", "doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), *more)
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str, text: str, percent: int = 80) -> DataFrame:
