@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, language, minhash, mixing, packing, quality, sharding, toxicity, urls, warc
-from .shared import written
+from . import gif, language, minhash, mixing, oracle, packing, quality, sharding, toxicity, urls, warc
+from .shared import text_batches, written
 
 CAPACITY = 2048
 #: (verdict, host, path)
@@ -14,6 +14,7 @@ URL_RULES: list[urls.Rule] = [("block", "com", "/en/"), ("allow", "example.com",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -99,14 +100,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_sharding, op4_quality, op5_minhash, op6_warc, op7_mixing, op8_packing, op9_gif, op10_urls, pipeline)}
 
-_BASE32 = "list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1))"
-
-ORACLE_SQL = {
-    "op6_warc": f"""
-        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
-             m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
-        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string({_BASE32}, '') AS payload_digest,
-               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> last THEN last END AS refers_to
-        FROM m"""
-}
+ORACLE_SQL = {"op4_quality": oracle.QUALITY, "op5_minhash": oracle.NEAR_DUPLICATES, "op6_warc": oracle.RECORDS, "op10_urls": oracle.url_verdicts(URL_RULES)}

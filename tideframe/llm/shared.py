@@ -17,6 +17,18 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a batch that goes to Python: with Spark's 10,000, a batch of texts of some kilobytes takes 100 MB and more in
+#: the executor's JVM and again in its worker.
+TEXT_BATCH = 500
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
+    """Sets the session's rows a batch for work on whole texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 #: Folders named inside each open scratch().
 _MADE: list[list[str]] = []
 
@@ -129,7 +141,7 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 # --- bytes and words of Arrow text columns ------------------------------------------------------------------------
 
 
-def text_blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of at most ``most`` bytes, or of one longer row.
 
     Null is taken as empty. Offsets start at 0 and have one entry more than there are rows.
@@ -201,7 +213,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, by differences of one running polynomial sum."""
     n = len(data)
-    power, inverse = _powers(1 << max(20, int(n).bit_length()))
+    power, inverse = _powers(1 << max(18, int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     return mix((sums[end] - sums[start]) * inverse[start] if len(start) else np.zeros(0, np.uint64))
