@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _CLEAR, _END, _FIRST, _CODES = 256, 257, 258, 4096
+#: A canvas or frame of more pixels counts as broken: heads of damaged files can claim four thousand million.
+MOST_PIXELS = 1 << 26
 
 
 @functools.cache
@@ -147,6 +149,8 @@ def _frames(data: bytes) -> Iterator[dict]:
     if data[:3] != b"GIF" or len(data) < 13:
         return
     wide, high, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if wide * high > MOST_PIXELS:
+        return
     at, shared = 13, None
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
@@ -171,7 +175,7 @@ def _frames(data: bytes) -> Iterator[dict]:
             palette, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
         low = data[at]
         stream, at = _sub_blocks(data, at + 1)
-        if not 1 <= low <= 8 or not data[at - 1 : at] or data[at - 1]:
+        if w * h > MOST_PIXELS or not 1 <= low <= 8 or not data[at - 1 : at] or data[at - 1]:
             raise ValueError("a frame breaks off")
         pixels = np.frombuffer(lzw_unpack(stream, low, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if bits & 0x40:
