@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tideframe.llm import language, minhash, mixing, packing, toxicity
 from tideframe.llm.queries import CAPACITY, language_model, table, tokenizer_path, toxicity_model
-from tideframe.llm.shared import scratch, shared_folder
+from tideframe.llm.shared import scratch, shared_folder, text_batches
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("toxicity", drop_toxic), ("language", drop_unknown_language), ("near_duplicates", drop_near_copies), ("mixing", mix), ("packing", pack)]
+def _in_batches(stage: Stage) -> Stage:
+    """The stage, with small batches of texts between Spark and Python."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        text_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _in_batches(f)) for name, f in (("toxicity", drop_toxic), ("language", drop_unknown_language), ("near_duplicates", drop_near_copies), ("mixing", mix), ("packing", pack))]
 
 ORACLE_SQL = None  # classifiers, the knapsack and packing are beyond SQL; tests compare with brute force
 
