@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of the rational approximation of the normal distribution function by Hart (1968).
@@ -49,6 +49,18 @@ def merton_vega(sigma: Column, lev: Column, tau: Column) -> Column:
     return F.when((sigma > 0) & (lev > 0) & (lev < 1) & (tau > 0), density / (lev * F.sqrt(tau) * value))
 
 
+def with_merton(df: DataFrame, sigma: str, lev: str, tau: str, spread: str = "spread", vega: str = "vega") -> DataFrame:
+    """df with the spread and its derivative by sigma. d1, d2 and their probabilities are columns of their own, which the
+    other expressions refer to, so that the code of a stage stays small."""
+    s, k, t = F.col(sigma), F.col(lev), F.col(tau)
+    ok = (s > 0) & (k > 0) & (k < 1) & (t > 0)
+    out = df.withColumn("_d2", merton_d2(s, k, t)).withColumn("_d1", F.col("_d2") + s * F.sqrt(t))
+    out = out.withColumn("_n2", normal_cdf(F.col("_d2"))).withColumn("_n1", normal_cdf(-F.col("_d1"))).withColumn("_v", F.col("_n2") + F.col("_n1") / k)
+    out = out.withColumn(spread, F.when(ok, F.greatest(-F.log(F.greatest(F.col("_v"), F.lit(1e-300))) / t, F.lit(0.0))))
+    density = F.exp(-F.col("_d1") * F.col("_d1") / 2) / 2.5066282746310002
+    return out.withColumn(vega, F.when(ok, density / (k * F.sqrt(t) * F.col("_v")))).drop("_d1", "_d2", "_n1", "_n2", "_v")
+
+
 def _cdf(x: np.ndarray) -> np.ndarray:
     z = np.abs(x)
     e = np.exp(-np.minimum(z, 38.0) ** 2 / 2)

@@ -43,6 +43,16 @@ def market_cap(price: Column, shares: Column) -> Column:
     return F.abs(price) * shares / 1000
 
 
+def total_debt(short: Column, long: Column) -> Column:
+    """Short-term plus long-term debt; a missing part counts as 0, so the sum is never NULL."""
+    return F.coalesce(short, F.lit(0.0)) + F.coalesce(long, F.lit(0.0))
+
+
+def issuer_id(code: Column) -> Column:
+    """The issuer's part of a bond's code: its first six characters."""
+    return F.substring(code, 1, 6)
+
+
 def leverage(debt: Column, equity: Column, low: float = 0.01, high: float = 0.99) -> Column:
     return clip(ratio(debt, debt + equity), low, high)
 

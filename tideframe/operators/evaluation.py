@@ -38,6 +38,13 @@ def calibration(df: DataFrame, keys: Sequence[str], score: str, label: str) -> D
     return df.groupBy(*keys).agg(m(1).alias("mean_1"), m(0).alias("mean_0")).withColumn("ratio", ratio(F.col("mean_1"), F.col("mean_0")))
 
 
+def month_auc(df: DataFrame, keys: Sequence[str], month: str, group: str, score: str, label: str, least: int = 10, name: str = "month_auc") -> DataFrame:
+    """AUC over the single months of groups that have an event at all (``label`` is 1 in some month), of at least ``least``
+    rows: does the score tell the months near an event from the others?"""
+    events = df.groupBy(*keys, group).agg(F.max(label).alias("_any")).where("_any = 1").drop("_any")
+    return auc(df.join(events, [*keys, group]).select(*keys, month, score, label), keys, score, label, name, least)
+
+
 def standardise(df: DataFrame, keys: Sequence[str], train: str, columns: Sequence[str], sample: bool = True) -> DataFrame:
     """Columns less the train rows' mean over their deviation. sample: ddof 1, and missing values become the train median
     (mean and deviation are taken before that); else ddof 0 after missing became 0. A deviation up to 1e-8 gives 0."""
@@ -62,8 +69,13 @@ def wilcoxon(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """keys, rho, n, z, p: correlation of average ranks, and its two-sided p by Fisher's z, which is normal with variance
+    1.06 / (n - 3) for ranks (Fieller); NULL below four rows."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(keys, x)).withColumn("_y", average_rank(keys, y))
-    return rows.groupBy(*keys).agg(correlation(F.col("_x"), F.col("_y")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    out = rows.groupBy(*keys).agg(correlation(F.col("_x"), F.col("_y")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    near = F.least(F.greatest(F.col("rho"), F.lit(-1 + 1e-12)), F.lit(1 - 1e-12))
+    z = F.when((F.col("n") > 3) & F.col("rho").isNotNull(), 0.5 * F.log((1 + near) / (1 - near)) * F.sqrt((F.col("n") - 3) / 1.06))
+    return out.withColumn("z", z).withColumn("p", 2 * normal_cdf(-F.abs("z")))
 
 
 def tail_means(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], percents: Sequence[float] = (1, 2, 5, 10, 25)) -> DataFrame:
@@ -89,13 +101,24 @@ def impact(members: DataFrame, split: str, unit: str, held: str, value: str) ->
     return members.groupBy(unit).agg((m(~F.col(held)) - m(F.col(held))).alias("impact"), F.sum(F.col(held).cast("int")).alias("n_held"))
 
 
-def percentile_rank(targets: DataFrame, reference: DataFrame, key: str, score: str) -> DataFrame:
-    """targets with the share (in %) of reference scores of the key that are not greater, and whether it is above them all."""
-    t = targets.withColumn("_id", F.monotonically_increasing_id())
-    r = reference.select(F.col(key).alias("_k"), F.col(score).alias("_ref"))
-    joined = t.join(r, t[key] == r["_k"]).groupBy("_id").agg(F.avg((F.col("_ref") <= F.col(score)).cast("double")).alias("_p"), F.max("_ref").alias("_top"))
-    out = t.join(joined, "_id", "left")
-    return out.withColumn("percentile", F.col("_p") * 100).withColumn("out_of_range", F.col(score) > F.col("_top")).drop("_id", "_p", "_top")
+def percentile_rank(targets: DataFrame, reference: DataFrame, key: str, score: str, parts: int = 256) -> DataFrame:
+    """targets with the share (in %) of reference scores of the key that are not greater, and whether it is above them all;
+    NULL without a reference or score.
+
+    Scores of a key are counted by value, dealt into ``parts`` ranges, and summed up to each value within its range and
+    over the ranges before it: no target meets a reference row, and no task needs all values of a key.
+    """
+    ref = reference.where(F.col(score).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(score).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    own = targets.where(F.col(score).isNotNull()).select(F.col(key).alias("_k"), F.col(score).alias("_v")).distinct().withColumn("_n", F.lit(0).cast("bigint"))
+    values = ref.unionByName(own).groupBy("_k", "_v").agg(F.sum("_n").alias("_n"))
+    span = values.groupBy("_k").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_n").alias("_all"), F.max(F.when(F.col("_n") > 0, F.col("_v"))).alias("_top"))
+    part = F.when(F.col("_b") > F.col("_a"), F.floor((F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * (parts - 1))).otherwise(0).cast("int")
+    dealt = values.join(span, "_k").withColumn("_part", part)
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_k", "_part").agg(F.sum("_n").alias("_m")).withColumn("_m", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    cum = F.sum("_n").over(Window.partitionBy("_k", "_part").orderBy("_v")) + F.col("_m")
+    ranks = dealt.join(sums, ["_k", "_part"]).select("_k", "_v", F.when(F.col("_all") > 0, cum / F.col("_all") * 100).alias("percentile"), (F.col("_v") > F.col("_top")).alias("out_of_range"))
+    return targets.join(ranks, (targets[key] == F.col("_k")) & (targets[score] == F.col("_v")), "left").drop("_k", "_v")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:

@@ -96,6 +96,27 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, left_span: tuple[st
     return left.join(r, (left[key] == r["_key"]) & (F.col(a) <= F.coalesce(F.col(d), far)) & (F.col(c) <= F.coalesce(F.col(b), far))).drop("_key")
 
 
+def through_bridge(df: DataFrame, bridges: Sequence[tuple[DataFrame, str, str]], key: str, name: str) -> DataFrame:
+    """df with ``name``: what its key leads to over a chain of links (frame, from, to). Of several ends of one key the last
+    in order wins, as in a mapping that is written to again and again."""
+    ends = df.select(F.col(key).alias("_key")).distinct().withColumn("_at", F.col("_key"))
+    for frame, a, b in bridges:
+        ends = ends.join(frame.select(F.col(a).alias("_at"), F.col(b).alias("_to")).distinct(), "_at").select("_key", F.col("_to").alias("_at"))
+    last = ends.groupBy("_key").agg(F.max("_at").alias(name))
+    return df.join(last, df[key] == last["_key"], "left").drop("_key")
+
+
+def assemble(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Frames of one row a key (keys, own values) side by side, all keys of any: one grouping of their union instead of a
+    chain of joins."""
+    values = {c: f.schema[c].dataType for f in frames for c in f.columns if c not in keys}
+    rows = [f.select(*keys, *[F.col(c) if c in f.columns else F.lit(None).cast(t).alias(c) for c, t in values.items()]) for f in frames]
+    out = rows[0]
+    for f in rows[1:]:
+        out = out.unionByName(f)
+    return out.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
+
+
 def linked_to(df: DataFrame, bridge: DataFrame, chosen: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """The rows of df that the bridge (left_key, right_key) links to at least one chosen right_key."""
     ok = bridge.join(chosen.select(right_key).distinct(), right_key, "left_semi").select(left_key).distinct()

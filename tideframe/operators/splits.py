@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_int, draw_key
 
 
+def _each(n: int) -> Column:
+    """A row for each split; rows stay where they are."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("split")
+
+
 def stratified_holdouts(units: DataFrame, unit: str, stratum: str, n: int, share: float = 0.2, seed: int = 42) -> DataFrame:
     """(split, unit, stratum, held): in each split and stratum, the first greatest(1, round-half-even(share * size)) units by
     key are held out. A NULL stratum is one of its own. The units of one split are together, splits spread over tasks."""
-    splits = units.sparkSession.range(n).select(F.col("id").alias("split"))
-    rows = splits.crossJoin(F.broadcast(units.select(unit, F.coalesce(stratum, F.lit("unknown")).alias("stratum"))))
+    rows = units.select(_each(n), unit, F.coalesce(stratum, F.lit("unknown")).alias("stratum"))
     w = Window.partitionBy("split", "stratum")
     rows = rows.withColumn("_r", F.row_number().over(w.orderBy(draw_key(seed, F.col("split"), F.col(unit)), unit))).withColumn("_n", F.count(F.lit(1)).over(w))
     return rows.withColumn("held", F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share, 0).cast("int"))).drop("_r", "_n")
@@ -26,13 +30,15 @@ def distinct_splits(rows: DataFrame, unit: str) -> DataFrame:
 
 def fixed_holdouts(units: DataFrame, unit: str, label: str, n: int, ones: int = 5, zeros: int = 3, seed: int = 42) -> DataFrame:
     """As stratified_holdouts by label, with a fixed number held out of each."""
-    rows = units.sparkSession.range(n).select(F.col("id").alias("split")).crossJoin(F.broadcast(units.select(unit, label)))
+    rows = units.select(_each(n), unit, label)
     w = Window.partitionBy("split", label).orderBy(draw_key(seed, F.col("split"), F.col(unit)), unit)
     return rows.withColumn("held", F.row_number().over(w) <= F.when(F.col(label) == 1, ones).otherwise(zeros))
 
 
-def leave_one_out(units: DataFrame, unit: str) -> DataFrame:
-    """(fold, unit, train): the number of units should be that of groups, not of rows."""
+def leave_one_out(units: DataFrame, unit: str, most: int = 5000) -> DataFrame:
+    """(fold, unit, train): every unit with every fold, so units are groups, not rows; more than ``most`` are an error."""
+    if units.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} units to leave out one by one")
     folds = units.select(F.col(unit).alias("fold"))
     return folds.crossJoin(F.broadcast(units)).withColumn("train", F.col("fold") != F.col(unit))
 

@@ -23,19 +23,23 @@ def sentence_count(text: Column) -> Column:
 
 
 def scoreable(df: DataFrame, text: str, least_chars: int = 1000, least_words: int = 200) -> DataFrame:
-    return df.where((F.length(text) >= least_chars) & (F.size(words_of(F.col(text))) >= least_words))
+    return df.where((F.length(text) >= least_chars) & (F.regexp_count(F.col(text), F.lit("[a-zA-Z]+")) >= least_words))
 
 
 def category_scores(df: DataFrame, key: str, text: str, dictionary: DataFrame, categories: Sequence[str]) -> DataFrame:
     """key, word_count, sentence_count, filing_size, and for each category its count and share of words.
 
-    dictionary: (word in capitals, category). Words are counted by (key, word) first, so that the join sees distinct words.
+    dictionary: (word in capitals, category). A text is split once; words are counted by (key, word) first, so that the
+    join sees distinct words. A text without words has counts of 0. Each key has one row.
     """
-    base = df.select(key, F.size(words_of(F.col(text))).cast("bigint").alias("word_count"), sentence_count(F.col(text)).cast("bigint").alias("sentence_count"), F.length(text).cast("bigint").alias("filing_size"))
-    words = df.select(key, F.explode(words_of(F.upper(F.col(text)))).alias("word")).groupBy(key, "word").count()
-    hits = words.join(dictionary.select("word", "category").distinct(), "word").groupBy(key).agg(*[F.sum(F.when(F.col("category") == c, F.col("count")).otherwise(0)).cast("bigint").alias(f"{c}_count") for c in categories])
-    out = base.join(hits, key, "left").na.fill(0, [f"{c}_count" for c in categories])
-    return out.withColumns({f"{c}_pct": F.col(f"{c}_count") / F.col("word_count") for c in categories})
+    flags = dictionary.groupBy("word").agg(*[F.max((F.col("category") == c).cast("int")).alias(f"_{c}") for c in categories])
+    own = [key, "sentence_count", "filing_size"]
+    words = df.select(key, sentence_count(F.col(text)).cast("bigint").alias("sentence_count"), F.length(text).cast("bigint").alias("filing_size"), F.explode_outer(words_of(F.col(text))).alias("word"))
+    counts = words.groupBy(*own, F.upper("word").alias("word")).agg(F.count("word").alias("_n"))
+    hit = lambda c: F.sum(F.col("_n") * F.coalesce(F.col(f"_{c}"), F.lit(0))).cast("bigint").alias(f"{c}_count")
+    out = counts.join(flags, "word", "left").groupBy(*own).agg(F.sum("_n").alias("word_count"), *[hit(c) for c in categories])
+    out = out.select(key, "word_count", "sentence_count", "filing_size", *[f"{c}_count" for c in categories])
+    return out.withColumns({f"{c}_pct": F.when(F.col("word_count") > 0, F.col(f"{c}_count") / F.col("word_count")) for c in categories})
 
 
 def sentiment(negative: str, positive: str, words: str) -> dict[str, Column]:
@@ -114,6 +118,24 @@ def section(text: Column, heading: str, most: int = 50_000, until: str = r"(?i)\
     return F.when(start > 0, F.when(nxt > 0, F.substring(body, F.lit(1), nxt + 4)).otherwise(body))
 
 
+#: Item headings of annual reports: business, risk factors, management's discussion.
+HEADINGS: dict[str, str] = {"business": r"(?i)\bitem\s+1\s*[.:]", "risk": r"(?i)\bitem\s+1a\s*[.:]", "discussion": r"(?i)\bitem\s+7\s*[.:]"}
+
+
+def sections(df: DataFrame, key: str, text: str, headings: Mapping[str, str] = HEADINGS, most: int = 50_000, until: str = r"(?i)\bitem\s+\d") -> DataFrame:
+    """(key, section, body): a row for each heading that a text has."""
+    parts = F.array(*[F.struct(F.lit(k).alias("section"), section(F.col(text), h, most, until).alias("body")) for k, h in headings.items()])
+    return df.select(key, F.explode(parts).alias("_s")).select(key, "_s.section", "_s.body").where("body IS NOT NULL")
+
+
+def category_words(dictionary: DataFrame, categories: Mapping[str, str]) -> DataFrame:
+    """(word in capitals, category, syllables) from a wide dictionary: a word column, a number by category column that is not
+    0 if the word is in it (the year it was added, negative if it was taken out), and syllables. categories: name -> column."""
+    each = F.array(*[F.struct(F.lit(k).alias("category"), F.col(c).cast("double").alias("_in")) for k, c in categories.items()])
+    rows = dictionary.select(F.upper(F.trim("word")).alias("word"), F.col("syllables").cast("int").alias("syllables"), F.explode(each).alias("_c"))
+    return rows.where("_c._in > 0").select("word", "_c.category", "syllables").distinct()
+
+
 def cleaned(text: Column, block: str = r"(?is)forward[- ]looking statements.*?\n\s*\n") -> Column:
     """Without tags, runs of blanks and blank lines, and the first block of the pattern."""
     t = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
