@@ -4,6 +4,7 @@ rows (sums of products in Spark, or Spark ML). What reaches the driver is p x p.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_unit
+from ..functions.numbers import sigmoid
+from .evaluation import standardise
 
 # --- numpy solvers ------------------------------------------------------------------------------------------------
 
@@ -149,29 +152,104 @@ def _scaled(x: np.ndarray, train: np.ndarray) -> np.ndarray:
 # --- many small fits ----------------------------------------------------------------------------------------------
 
 
-def fit_each(df: DataFrame, keys: Sequence[str], fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """One call for each key's rows (a panel of groups: tens to thousands of rows) in a grouped task."""
+def fit_each(df: DataFrame, keys: Sequence[str], fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most_rows: int = 1_000_000) -> DataFrame:
+    """One call for each key's rows in a grouped task: for panels of groups, tens to many thousands of rows a key. A key of
+    more than ``most_rows`` is an error; fit_logistic and the product sums take any number of rows."""
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if longest > most_rows:
+        raise ValueError(f"a key has {longest} rows; fits in one task take at most {most_rows}")
     return df.groupBy(*keys).applyInPandas(fit, schema)
 
 
-def score_splits(df: DataFrame, keys: Sequence[str], unit: str, features: Sequence[str], label: str, held: str, c: float = 1.0, l1: bool = False) -> DataFrame:
-    """(keys, unit, label, score) of the held-out units of each key: logistic regression on the others, scaled on them."""
+def fit_logistic(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, penalty: float = 1.0, rounds: int = 30, most_keys: int = 100_000) -> DataFrame:
+    """(keys, beta): L2 logistic regression for each key (intercept first, not penalised), by Newton's method over any number of rows.
+
+    A step is one aggregation by key of the gradient and the upper half of the Hessian, partly summed in tasks; the driver
+    solves a p x p system a key. Keys that have settled take no part in later steps. Keys with one label are left out.
+    """
+    q = len(features) + 1
+    rows = df.select(*keys, F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features, 1)]).where("_y IS NOT NULL").persist()
+    two = rows.groupBy(*keys).agg(F.min("_y").alias("_a"), F.max("_y").alias("_b")).where("_a < _b").select(*keys).limit(most_keys + 1).collect()
+    if len(two) > most_keys:
+        raise ValueError(f"more than {most_keys} keys to fit")
+    beta = {tuple(r): np.zeros(q) for r in two}
+    moving, ridge = set(beta), penalty * np.eye(q)
+    ridge[0, 0] = 1e-9
+    x = [F.lit(1.0), *[F.col(f"_x{i}") for i in range(1, q)]]
+    pairs = [(i, j) for i in range(q) for j in range(i, q)]
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    table = lambda some: df.sparkSession.createDataFrame([(*k, beta[k].tolist()) for k in some], f"{kinds}, beta array<double>")
+    for _ in range(rounds):
+        if not moving:
+            break
+        z = sum((x[i] * F.col("beta")[i] for i in range(1, q)), F.col("beta")[0])
+        now = rows.join(F.broadcast(table(sorted(moving))), list(keys)).withColumn("_p", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0)))))
+        weight = F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-9))
+        now = now.withColumn("_r", F.col("_y") - F.col("_p")).withColumn("_w", weight)
+        sums = now.groupBy(*keys).agg(*[F.sum(F.col("_r") * x[i]).alias(f"g{i}") for i in range(q)], *[F.sum(F.col("_w") * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs]).collect()
+        for r in sums:
+            k = tuple(r[c] for c in keys)
+            hess = ridge.copy()
+            for i, j in pairs:
+                hess[i, j] += r[f"h{i}_{j}"]
+                hess[j, i] = hess[i, j]
+            step = np.linalg.solve(hess, np.array([r[f"g{i}"] for i in range(q)]) - ridge @ beta[k])
+            beta[k] = beta[k] + np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-9:
+                moving.discard(k)
+    rows.unpersist()
+    return table(sorted(beta))
+
+
+def score_splits(df: DataFrame, keys: Sequence[str], unit: str, features: Sequence[str], label: str, held: str, c: float = 1.0, l1: bool = False, c_column: str | None = None) -> DataFrame:
+    """(keys, unit, label, score) of the held-out units of each key: logistic regression on the others, scaled on them.
+    With L2 any number of rows a key; L1 fits a key's rows in one task, see fit_each, with the key's own C if there is a
+    ``c_column``."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if not l1:
+        z = standardise(df.select(*keys, unit, label, held, *features), keys, f"NOT `{held}`", features, sample=False)
+        beta = fit_logistic(z.where(f"NOT `{held}`"), keys, features, label, 1 / c)
+        linear = sum((F.col(x) * F.col("beta")[i] for i, x in enumerate(features, 1)), F.col("beta")[0])
+        return z.where(F.col(held)).join(F.broadcast(beta), list(keys)).select(*keys, unit, label, sigmoid(linear).alias("score"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         out, y = pdf[held].to_numpy(bool), pdf[label].to_numpy(float)
         x = _scaled(pdf[list(features)].to_numpy(float), ~out)
         if len(set(y[~out])) < 2 or not out.any():
             return pdf.loc[[], [*keys, unit, label]].assign(score=np.zeros(0))
-        b = lasso_logistic(x[~out], y[~out], c) if l1 else logistic_batch(x[~out], y[None, ~out], np.ones((1, int((~out).sum()))), 1 / c)[0]
+        b = lasso_logistic(x[~out], y[~out], float(pdf[c_column].iloc[0]) if c_column else c)
         return pdf.loc[out, [*keys, unit, label]].assign(score=_p(b[0] + x[out] @ b[1:]))
 
     return fit_each(df, keys, fit, ", ".join([*[f"`{k}` {kinds[k]}" for k in (*keys, unit, label)], "score double"]))
 
 
-def permutation_aucs(df: DataFrame, split: str, features: Sequence[str], label: str, held: str, order: str, perms: int = 100, c: float = 1.0, seed: int = 42) -> DataFrame:
-    """(split, perm, auc): perm 0 is the fit on the true training labels, the others on shuffled ones; AUC is always on the
-    true labels held out. All fits of a split are one batched Newton iteration."""
+def folds_by_class(y: np.ndarray, folds: int) -> np.ndarray:
+    """The fold of each entry of each row of labels: round by class, in the given order."""
+    one = y == 1
+    return np.where(one, np.cumsum(one, -1), np.cumsum(~one, -1)) % folds
+
+
+def chosen_batch(x: np.ndarray, ys: np.ndarray, grid: Sequence[float], folds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, C) of k fits whose C is the grid value of best cross-validated accuracy (the smallest of equal ones),
+    chosen for each row of labels by itself. x: n x p; ys: k x n."""
+    fold, grid = folds_by_class(ys, folds), sorted(grid)
+    x1, right = np.column_stack([np.ones(len(x)), x]), np.zeros((len(grid), len(ys)))
+    for i, c in enumerate(grid):
+        for f in range(folds):
+            b = logistic_batch(x, ys, (fold != f).astype(float), 1 / c)
+            right[i] += (((b @ x1.T > 0) == (ys == 1)) & (fold == f)).sum(1)
+    best = right.argmax(0)
+    out = np.zeros((len(ys), x1.shape[1]))
+    for i in np.unique(best):
+        at = best == i
+        out[at] = logistic_batch(x, ys[at], np.ones(ys[at].shape), 1 / grid[i])
+    return out, np.array(grid)[best]
+
+
+def permutation_aucs(df: DataFrame, split: str, features: Sequence[str], label: str, held: str, order: str, perms: int = 100, c: float = 1.0, seed: int = 42, grid: Sequence[float] | None = None) -> DataFrame:
+    """(split, perm, auc, c): perm 0 is the fit on the true training labels, the others on shuffled ones; AUC is always on the
+    true labels held out. All fits of a split are one batched Newton iteration. With a ``grid``, each split and permutation
+    chooses its own C by three folds of its training labels."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -179,11 +257,11 @@ def permutation_aucs(df: DataFrame, split: str, features: Sequence[str], label:
         x, train = _scaled(pdf[list(features)].to_numpy(float), ~out), y[~out]
         rng = np.random.Generator(np.random.PCG64([seed, s]))
         ys = np.stack([train] + [rng.permutation(train) for _ in range(perms)])
-        b = logistic_batch(x[~out], ys, np.ones(ys.shape), 1 / c)
+        b, used = (logistic_batch(x[~out], ys, np.ones(ys.shape), 1 / c), np.full(len(ys), c)) if grid is None else chosen_batch(x[~out], ys, grid)
         value = rank_auc(b[:, :1] + b[:, 1:] @ x[out].T, y[out])
-        return pd.DataFrame({split: s, "perm": np.arange(perms + 1), "auc": value}).dropna()
+        return pd.DataFrame({split: s, "perm": np.arange(perms + 1), "auc": value, "c": used}).dropna()
 
-    return fit_each(df, [split], fit, f"`{split}` long, perm long, auc double")
+    return fit_each(df, [split], fit, f"`{split}` long, perm long, auc double, c double")
 
 
 def choose_c(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, order: str, grid: Sequence[float], folds: int | None = 3, l1: bool = False, cluster: str | None = None) -> DataFrame:
@@ -196,7 +274,7 @@ def choose_c(df: DataFrame, keys: Sequence[str], features: Sequence[str], label:
         pdf = pdf.sort_values(order)
         y, raw = pdf[label].to_numpy(float), pdf[list(features)].to_numpy(float)
         by_cluster = pd.factorize(pdf[cluster], use_na_sentinel=False)[0] if cluster else None
-        fold = by_cluster if cluster else np.arange(len(y)) if folds is None else np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % folds
+        fold = by_cluster if cluster else np.arange(len(y)) if folds is None else folds_by_class(y, folds)
         last: dict = {}  # a fold's fit at the grid value before
         solve = (lambda x, t, c, f: lasso_logistic(x, t, c, start=last.get(f))) if l1 else (lambda x, t, c, f: logistic_batch(x, t[None], np.ones((1, len(t))), 1 / c)[0])
         best = (-1.0, 0.0, 0)
@@ -230,7 +308,7 @@ def cox_each(df: DataFrame, keys: Sequence[str], features: Sequence[str], time:
         w = pdf[weight].to_numpy(float)[t] if weight else np.ones(int(t.sum()))
         rest = pdf.loc[~t, [*keys, unit, label]]
         if not t.any() or not pdf.loc[t, event].any():
-            return rest.iloc[:0].assign(hazard=np.zeros(0), betas=[])
+            return rest.iloc[:0].assign(hazard=np.zeros(0), betas=pd.Series(dtype=object))
         b = cox_efron(x[t], pdf[time].to_numpy(float)[t], pdf[event].to_numpy()[t], w, penalty)
         return rest.assign(hazard=np.exp(np.clip(x[~t] @ b, -35, 35)), betas=[b.tolist()] * len(rest))
 
@@ -362,78 +440,120 @@ def principal_components(df: DataFrame, vector: str, k: int, name: str = "compon
 # --- hidden Markov model ------------------------------------------------------------------------------------------
 
 
-def _log_density(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    return -0.5 * (((x[:, None] - mean) ** 2 / var + np.log(2 * np.pi * var)).sum(2))
-
-
-def _posterior(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(state probabilities, summed transition probabilities, log likelihood) of a sequence, by scaled forward-backward."""
-    logs = _log_density(x, mean, var)
-    top = logs.max(1, keepdims=True)
-    e, n, s = np.exp(logs - top), len(x), len(start)
-    a, b, scale, pairs = np.zeros((n, s)), np.ones((n, s)), np.zeros(n), np.zeros((s, s))
+def _posterior(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(state probabilities, summed transition probabilities, log likelihood) of one sequence x (n x p) under m models at
+    once, by scaled forward-backward. start: m x s; move: m x s x s; mean, var: m x s x p."""
+    n, (m, s) = len(x), start.shape
+    logs = -0.5 * (((x[:, None, None] - mean) ** 2 / var + np.log(2 * np.pi * var)).sum(3))  # n x m x s
+    top = logs.max(2, keepdims=True)
+    e = np.exp(logs - top)
+    a, b, scale, pairs = np.zeros((n, m, s)), np.ones((n, m, s)), np.zeros((n, m)), np.zeros((m, s, s))
     for t in range(n):
-        v = (start if t == 0 else a[t - 1] @ move) * e[t]
-        scale[t] = max(v.sum(), 1e-300)
-        a[t] = v / scale[t]
+        v = (start if t == 0 else np.einsum("ms,mst->mt", a[t - 1], move)) * e[t]
+        scale[t] = np.maximum(v.sum(1), 1e-300)
+        a[t] = v / scale[t][:, None]
     for t in range(n - 2, -1, -1):
-        b[t] = move @ (e[t + 1] * b[t + 1]) / scale[t + 1]
-        pairs += a[t][:, None] * move * (e[t + 1] * b[t + 1]) / scale[t + 1]
-    return a * b, pairs, float(np.log(scale).sum() + top.sum())
+        ahead = e[t + 1] * b[t + 1] / scale[t + 1][:, None]
+        b[t] = np.einsum("mst,mt->ms", move, ahead)
+        pairs += a[t][:, :, None] * move * ahead[:, None]
+    return a * b, pairs, np.log(scale).sum(0) + top[..., 0].sum(0)
+
+
+@dataclass(frozen=True)
+class Markov:
+    """Gaussian hidden Markov models, one a name: start (m x s), move (m x s x s), mean and var (m x s x p)."""
+
+    names: tuple
+    start: np.ndarray
+    move: np.ndarray
+    mean: np.ndarray
+    var: np.ndarray
 
+    def of(self, names: Sequence) -> tuple[np.ndarray, ...]:
+        at = [self.names.index(x) for x in names]
+        return self.start[at], self.move[at], self.mean[at], self.var[at]
+
+
+def _sequences(df: DataFrame, sequence: str, order: str, features: Sequence[str], members: DataFrame | None, model: str, least_rows: int) -> DataFrame:
+    """The rows of sequences of enough rows, missing features as 0, with _models: the models that a sequence belongs to."""
+    rows = df.select(sequence, order, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    every = F.array(F.lit(0).cast("bigint"))
+    owners = rows.groupBy(sequence).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= least_rows)
+    if members is None:
+        owners = owners.withColumn("_models", every)
+    else:
+        owners = owners.join(members.groupBy(sequence).agg(F.sort_array(F.collect_set(F.col(model).cast("bigint"))).alias("_models")), sequence)
+    return rows.join(owners.drop("_rows"), sequence)
 
-def _e_step(order: str, features: list[str], *model: np.ndarray) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A sequence's expected sums under the model, as (index, value) rows that add up over sequences."""
+
+def _expected(order: str, features: list[str], now: Markov) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A sequence's expected sums under each of its models."""
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [int(x) for x in pdf["_models"].iloc[0]]
         x = pdf.sort_values(order)[features].to_numpy(float)
-        g, pairs, ll = _posterior(x, *model)
-        v = np.concatenate([g[0], pairs.ravel(), g.sum(0), (g.T @ x).ravel(), (g.T @ (x * x)).ravel(), [ll]])
-        return pd.DataFrame({"i": np.arange(len(v)), "v": v})
+        g, pairs, _ = _posterior(x, *now.of(own))
+        parts = (g[0], pairs.reshape(len(own), -1), g.sum(0), np.einsum("nms,np->msp", g, x).reshape(len(own), -1), np.einsum("nms,np->msp", g, x * x).reshape(len(own), -1))
+        return pd.DataFrame({"model": own, "v": list(np.concatenate(parts, 1))})
 
     return step
 
 
-def fit_hmm(df: DataFrame, sequence: str, order: str, features: Sequence[str], states: int = 3, rounds: int = 15, least_rows: int = 6) -> dict[str, np.ndarray]:
-    """A diagonal Gaussian HMM over all sequences of at least ``least_rows`` rows, by EM. The E step runs in grouped tasks, a
-    sequence each; a round's sums (states x features) are added in Spark. Starts from quantiles of the first feature."""
-    rows = df.select(sequence, order, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    long = rows.groupBy(sequence).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_rows)
-    rows = rows.join(long.select(sequence), sequence, "left_semi").persist()
+def fit_hmm(df: DataFrame, sequence: str, order: str, features: Sequence[str], states: int = 3, rounds: int = 15, least_rows: int = 6, members: DataFrame | None = None, model: str = "split") -> Markov:
+    """Diagonal Gaussian HMMs by EM: one over all sequences of at least ``least_rows`` rows (name 0), or with ``members``
+    (sequence, model: a whole number) one for each model over its sequences; a sequence may be in many.
+
+    The E step runs in grouped tasks, a sequence each under all its models at once; a round's sums (models x states x
+    features) are added in Spark. Every model starts from quantiles of the first feature over its rows.
+    """
+    rows = _sequences(df, sequence, order, features, members, model, least_rows).persist()
     s, p = states, len(features)
-    stats = rows.agg(*[F.avg(c) for c in features], *[F.var_pop(c) for c in features], F.percentile(features[0], F.array(*[F.lit((i + 0.5) / s) for i in range(s)]))).first()
-    mean = np.tile(np.array(stats[:p], float), (s, 1))
-    mean[:, 0] = stats[2 * p]
-    var = np.tile(np.maximum(np.array(stats[p : 2 * p], float), 1e-4), (s, 1))
-    start, move = np.full(s, 1 / s), np.full((s, s), 0.1 / max(s - 1, 1)) + np.eye(s) * (0.9 - 0.1 / max(s - 1, 1))
-    size = s + s * s + s + 2 * s * p + 1
+    dealt = rows.withColumn("_model", F.explode("_models"))
+    first = dealt.groupBy("_model").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(features)], F.percentile_approx(features[0], [(i + 0.5) / s for i in range(s)], 10_000).alias("q")).orderBy("_model").collect()
+    names, m = tuple(int(r["_model"]) for r in first), len(first)
+    if not m:
+        rows.unpersist()
+        return Markov((), np.zeros((0, s)), np.zeros((0, s, s)), np.zeros((0, s, p)), np.zeros((0, s, p)))
+    mean = np.array([[[r[f"m{i}"] for i in range(p)]] * s for r in first], float)
+    mean[:, :, 0] = [r["q"] for r in first]
+    var = np.array([[[max(r[f"v{i}"], 1e-4) for i in range(p)]] * s for r in first], float)
+    model_now = Markov(names, np.full((m, s), 1 / s), np.tile(np.full((s, s), 0.1 / max(s - 1, 1)) + np.eye(s) * (0.9 - 0.1 / max(s - 1, 1)), (m, 1, 1)), mean, var)
+    size = s + s * s + s + 2 * s * p
     for _ in range(rounds):
-        out = rows.groupBy(sequence).applyInPandas(_e_step(order, list(features), start, move, mean, var), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        v = np.zeros(size)
+        sums = rows.groupBy(sequence).applyInPandas(_expected(order, list(features), model_now), "model long, v array<double>")
+        out = sums.select("model", F.posexplode("v").alias("i", "v")).groupBy("model", "i").agg(F.sum("v").alias("v")).collect()
+        v = np.zeros((m, size))
         for r in out:
-            v[r["i"]] = r["v"]
-        start, move = v[:s] / max(v[:s].sum(), 1e-12), v[s : s + s * s].reshape(s, s)
-        move = (move + 1e-6) / (move + 1e-6).sum(1, keepdims=True)
+            v[names.index(r["model"]), r["i"]] = r["v"]
+        start = v[:, :s] / np.maximum(v[:, :s].sum(1, keepdims=True), 1e-12)
+        move = v[:, s : s + s * s].reshape(m, s, s) + 1e-6
         at = s + s * s
-        w = np.maximum(v[at : at + s], 1e-9)[:, None]
-        mean = v[at + s : at + s + s * p].reshape(s, p) / w
-        var = np.maximum(v[at + s + s * p : -1].reshape(s, p) / w - mean**2, 1e-4)
+        w = np.maximum(v[:, at : at + s], 1e-9)[..., None]
+        mean = v[:, at + s : at + s + s * p].reshape(m, s, p) / w
+        var = np.maximum(v[:, at + s + s * p :].reshape(m, s, p) / w - mean**2, 1e-4)
+        model_now = Markov(names, start, move / move.sum(2, keepdims=True), mean, var)
     rows.unpersist()
-    return {"start": start, "move": move, "mean": mean, "var": var}
+    return model_now
 
 
-def danger_scores(df: DataFrame, model: dict[str, np.ndarray], sequence: str, order: str, features: Sequence[str], least_rows: int = 3) -> DataFrame:
-    """(sequence, order, danger): probability of the state with the largest mean of the first feature."""
-    at, kinds = int(model["mean"][:, 0].argmax()), {f.name: f.dataType.simpleString() for f in df.schema.fields}
+def danger_scores(df: DataFrame, model: Markov, sequence: str, order: str, features: Sequence[str], least_rows: int = 3, members: DataFrame | None = None, name: str = "split") -> DataFrame:
+    """(name, sequence, order, danger): for each row under each model that its sequence belongs to (name 0 without
+    ``members``), the probability of the state with the largest mean of the first feature."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = _sequences(df, sequence, order, features, members, name, least_rows)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        if len(pdf) < least_rows:
-            return pdf.loc[[], [sequence, order]].assign(danger=np.zeros(0))
-        g, _, _ = _posterior(np.nan_to_num(pdf[list(features)].to_numpy(float)), model["start"], model["move"], model["mean"], model["var"])
-        return pdf[[sequence, order]].assign(danger=g[:, at])
-
-    return df.select(sequence, order, *features).groupBy(sequence).applyInPandas(score, f"`{sequence}` {kinds[sequence]}, `{order}` {kinds[order]}, danger double")
+        own = [int(x) for x in pdf["_models"].iloc[0] if int(x) in model.names]
+        if not own:
+            return pdf.loc[[], [sequence, order]].assign(**{name: np.zeros(0, int), "danger": np.zeros(0)})
+        start, move, mean, var = model.of(own)
+        g, _, _ = _posterior(pdf[list(features)].to_numpy(float), start, move, mean, var)
+        worst = mean[:, :, 0].argmax(1)
+        parts = [pdf[[sequence, order]].assign(**{name: k, "danger": g[:, i, worst[i]]}) for i, k in enumerate(own)]
+        return pd.concat(parts)
+
+    return rows.groupBy(sequence).applyInPandas(score, f"`{sequence}` {kinds[sequence]}, `{order}` {kinds[order]}, `{name}` long, danger double")
 
 
 def keyed_fold(key: Column, folds: int, seed: int = 42) -> Column:

@@ -1,7 +1,9 @@
-"""Models on labelled documents, suppliers' event panel and vectors. SQL can't fit them; tests compare with numpy."""
+"""Models on labelled documents, suppliers' event panel and vectors. SQL can't fit them; tests/test_models.py compares them with
+plain numpy on the same rows."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from .roles import rounded, table, with_sector
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 FEATURES = ["s1", "s2", "s3"]
+L2_GRID = [10.0 ** (-4 + 8 * i / 9) for i in range(10)]
 C_GRID = [10 ** (-3 + 4 * i / 19) for i in range(20)]
 TEXT = ["words", "word_length", "symbols", "lines", "capitals"]
 
@@ -53,9 +56,10 @@ def ridge_product_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ridge_model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated R2 of ridge models on three feature sets."""
     f = text_features(spark, sf_dir).withColumn("y", F.log("n_chars"))
-    rows = []
+    sums, rows = M.product_matrices(f, "fold", TEXT, "y"), []  # one pass over the texts for all models
     for name, cols in (("words", TEXT[:2]), ("marks", TEXT[2:]), ("all", TEXT)):
-        alpha, r2, coef = M.ridge_path(f, "fold", cols, "y")
+        at = [0, *[1 + TEXT.index(c) for c in cols], len(TEXT) + 1]
+        alpha, r2, coef = M.ridge_from_sums({k: m[np.ix_(at, at)] for k, m in sums.items()})
         rows.append((name, len(cols), float(alpha), round(r2, 6), [round(float(c), 6) for c in coef]))
     return spark.createDataFrame(rows, "model string, n_features int, alpha double, r2 double, coefficients array<double>")
 
@@ -131,7 +135,7 @@ def laplace_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chosen_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The L2 strength by three folds in each split's training rows, and the L1 strength over clusters left out, one at a time."""
     t = split_rows(spark, sf_dir).where("NOT held")
-    l2 = M.choose_c(t, ["split"], FEATURES, "label", "doc_id", [10.0**e for e in range(-4, 5)]).withColumn("kind", F.lit("l2"))
+    l2 = M.choose_c(t, ["split"], FEATURES, "label", "doc_id", L2_GRID).withColumn("kind", F.lit("l2"))
     l1 = M.choose_c(t, ["split"], FEATURES, "label", "doc_id", C_GRID, l1=True, cluster="cluster").withColumn("kind", F.lit("l1"))
     return rounded(l2.unionByName(l1), ["auc"])
 
@@ -146,17 +150,18 @@ def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fixed_or_chosen_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permutation p of two fixed penalties side by side: pooled nulls against the median observed AUC."""
+    """Permutation p with C = 1 and with C chosen by three folds for each split and permutation (20 of them), side by side:
+    pooled nulls against the median observed AUC."""
     out = None
-    for c in (1.0, 0.01):
-        a = M.permutation_aucs(split_rows(spark, sf_dir), "split", FEATURES, "label", "held", "doc_id", 50, c)
-        middle = a.where("perm = 0").agg(F.median("auc").alias("observed"))
-        p = a.where("perm > 0").crossJoin(F.broadcast(middle)).groupBy("observed").agg(F.avg((F.col("auc") >= F.col("observed")).cast("double")).alias("p"), F.median("auc").alias("null_median")).withColumn("c", F.lit(c))
+    for arm, grid in (("fixed", None), ("chosen", L2_GRID)):
+        a = M.permutation_aucs(split_rows(spark, sf_dir), "split", FEATURES, "label", "held", "doc_id", 20, grid=grid).persist()
+        middle = a.where("perm = 0").agg(F.median("auc").alias("observed"), F.median("c").alias("median_c"))
+        p = a.where("perm > 0").crossJoin(F.broadcast(middle)).groupBy("observed", "median_c").agg(F.avg((F.col("auc") >= F.col("observed")).cast("double")).alias("p"), F.median("auc").alias("null_median")).withColumn("arm", F.lit(arm))
         out = p if out is None else out.unionByName(p)
     return rounded(out, ["observed", "p", "null_median"])
 
 
-def survival_rows(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
+def survival_rows(spark: SparkSession, sf_dir: str, n: int = EQ.N) -> DataFrame:
     """Event panel rows (suppliers before their peak) for each of n splits of the suppliers."""
     p = panel.pre_peak(PQ.event_panel(spark, sf_dir), "month_end", "peak", F.col("bubble")).where(F.col("realized_vol").isNotNull())
     p = p.withColumn("label", F.col("bubble").cast("int")).withColumn("size", F.log("market_cap"))
@@ -164,6 +169,10 @@ def survival_rows(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
     return p.join(s.select("split", "l_suppkey", "held"), "l_suppkey")
 
 
+def regime_of(sector: str) -> F.Column:
+    return F.when(F.col(sector) % 2 == 0, "leverage").otherwise("mania")
+
+
 COX = ["realized_vol", "size", "n_days"]
 
 
@@ -192,13 +201,14 @@ def raw_or_demeaned_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_bootstrap_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Range of Cox coefficients over resamples of suppliers with replacement."""
-    p = survival_rows(spark, sf_dir, 1).drop("split", "held")
-    w = R.cluster_weights(p.select("l_suppkey").distinct(), "l_suppkey", 20)
+    """Range of Cox coefficients over 500 resamples of suppliers with replacement, by regime (two halves of the sectors)."""
+    p = with_sector(survival_rows(spark, sf_dir, 1).drop("split", "held"), spark, sf_dir).withColumn("regime", regime_of("sector")).drop("sector")
+    w = R.cluster_weights(p.select("l_suppkey").distinct(), "l_suppkey", 500)
     rows = w.join(p, "l_suppkey").withColumn("train", F.lit(True))
-    ghost = rows.groupBy("boot").agg(*[F.first(c).alias(c) for c in rows.columns if c != "boot"]).withColumn("train", F.lit(False))
-    h = M.cox_each(rows.unionByName(ghost), ["boot"], COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label", weight="weight")
-    betas = h.select("boot", F.posexplode("betas").alias("i", "beta")).withColumn("name", F.element_at(F.array(*[F.lit(c) for c in COX]), F.col("i") + 1))
+    keys = ["boot", "regime"]
+    ghost = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rows.columns if c not in keys]).withColumn("train", F.lit(False))
+    h = M.cox_each(rows.unionByName(ghost), keys, COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label", weight="weight")
+    betas = h.select("regime", F.posexplode("betas").alias("i", "beta")).withColumn("name", F.concat_ws("/", "regime", F.element_at(F.array(*[F.lit(c) for c in COX]), F.col("i") + 1)))
     return rounded(E.coefficient_stability(betas, "name", "beta"), ["median", "low", "high", "share_positive"])
 
 
@@ -206,7 +216,7 @@ def cluster_bootstrap_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the held-out documents of the first split: one forest, so one resample."""
     k = split_rows(spark, sf_dir).where("split = 0")
-    out = M.forest_scores(k.where("NOT held"), k.where("held"), FEATURES, "label", trees=20)
+    out = M.forest_scores(k.where("NOT held"), k.where("held"), FEATURES, "label")
     return rounded(out.select("doc_id", "label", "score"), ["score"])
 
 
@@ -214,15 +224,66 @@ def random_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def survival_forest_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = survival_rows(spark, sf_dir, 1)
     test = panel.collapse(k.where("held"), ["l_suppkey"], COX)
-    return rounded(M.survival_forest_scores(k.where("NOT held"), test, COX, "time_to_peak", "event_12m", "l_suppkey", trees=10), ["risk"])
+    return rounded(M.survival_forest_scores(k.where("NOT held"), test, COX, "time_to_peak", "event_12m", "l_suppkey"), ["risk"])
+
+
+STATES = ["realized_vol", "size"]
+
+
+def state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' months with volatility, its label and split-free features."""
+    m = PQ.months(spark, sf_dir).where(F.col("realized_vol").isNotNull())
+    return m.withColumn("size", F.log("market_cap")).withColumn("label", (F.col("l_suppkey") % 3 == 0).cast("int"))
 
 
 @query()
 def hidden_markov_danger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-state Gaussian HMM on suppliers' months: probability of the state with the highest volatility."""
-    m = PQ.months(spark, sf_dir).where(F.col("realized_vol").isNotNull()).withColumn("size", F.log("market_cap"))
-    model = M.fit_hmm(m, "l_suppkey", "month_end", ["size", "n_days"], rounds=5)
-    return rounded(M.danger_scores(m, model, "l_suppkey", "month_end", ["size", "n_days"]), ["danger"])
+    """One three-state Gaussian HMM on suppliers' months: probability of the state with the highest volatility."""
+    m = state_rows(spark, sf_dir)
+    model = M.fit_hmm(m, "l_suppkey", "month_end", STATES)
+    return rounded(M.danger_scores(m, model, "l_suppkey", "month_end", STATES).drop("split"), ["danger"])
+
+
+@query()
+def hidden_markov_auc_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An HMM for each split on the suppliers that it doesn't hold out; AUC of the mean danger of those that it does."""
+    m = state_rows(spark, sf_dir)
+    s = R.stratified_holdouts(m.select("l_suppkey", F.col("label").cast("string").alias("stratum")).distinct(), "l_suppkey", "stratum", EQ.N, 0.3)
+    model = M.fit_hmm(m, "l_suppkey", "month_end", STATES, members=s.where("NOT held"))
+    d = M.danger_scores(m, model, "l_suppkey", "month_end", STATES, members=s.where("held")).join(m.select("l_suppkey", "month_end", "label"), ["l_suppkey", "month_end"])
+    return rounded(E.group_auc(d, ["split"], "l_suppkey", "danger", "label"), ["auc"])
+
+
+@query()
+def hidden_markov_of_each_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An HMM of each supplier's own months: its danger in the last month."""
+    m = state_rows(spark, sf_dir)
+    own = m.select("l_suppkey", F.col("l_suppkey").alias("split")).distinct()
+    model = M.fit_hmm(m, "l_suppkey", "month_end", STATES, members=own)
+    d = M.danger_scores(m, model, "l_suppkey", "month_end", STATES, members=own)
+    last = joins.last_rows(d, ["l_suppkey"], [F.desc("month_end")], 1)
+    return rounded(last.select("l_suppkey", "month_end", "danger"), ["danger"])
+
+
+WALK = ["realized_vol", "size", "n_days"]
+
+
+@query()
+def walk_forward_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At each cutoff, models of the suppliers that peaked before it, on those that peak later: L2 with C = 1, and L1 with
+    features by regime and the C that leaving out one supplier at a time chooses (20 values)."""
+    p = panel.pre_peak(PQ.event_panel(spark, sf_dir), "month_end", "peak", F.col("bubble")).where(F.col("realized_vol").isNotNull())
+    p = with_sector(p.withColumn("size", F.log("market_cap")), spark, sf_dir).withColumn("peak_date", F.date_format("peak", "yyyy-MM"))
+    one = panel.collapse(p, ["l_suppkey", "sector", "peak_date", "bubble"], WALK).withColumn("label", F.col("bubble").cast("int"))
+    wide = one.select("l_suppkey", "peak_date", "label", *[c.alias(k) for k, c in numbers.with_regime(WALK, (regime_of("sector") == "mania").cast("int")).items()])
+    rows = panel.walk_forward(wide, "peak_date", PQ.cutoffs(spark)).withColumn("held", ~F.col("is_train"))
+    rows = rows.join(panel.enough(rows, ["cutoff"], "is_train", "label").select("cutoff"), "cutoff", "left_semi").persist()
+    every = [c for c in wide.columns if c not in ("l_suppkey", "peak_date", "label")]
+    chosen = M.choose_c(rows.where("NOT held"), ["cutoff"], every, "label", "l_suppkey", C_GRID, folds=None, l1=True)
+    l1 = M.score_splits(rows.join(chosen.select("cutoff", "c"), "cutoff"), ["cutoff"], "l_suppkey", every, "label", "held", l1=True, c_column="c")
+    l2 = M.score_splits(rows, ["cutoff"], "l_suppkey", WALK, "label", "held")
+    out = E.auc(l2, ["cutoff"], "score", "label", "auc_l2").join(E.auc(l1, ["cutoff"], "score", "label", "auc_l1").drop("n"), "cutoff").join(chosen.select("cutoff", "c", "nonzero"), "cutoff")
+    return rounded(out, ["auc_l1", "auc_l2", "c"])
 
 
 @query()
