@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_unit
 from ..operators import evaluation as E
+from ..operators import panel
 from ..operators import splits as R
-from .roles import rounded, table
+from . import panel_queries as PQ
+from .roles import rounded, table, with_sector
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -81,10 +83,10 @@ def leave_one_group_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["train_rate"])
 
 
-def _auc_sql(rows: str, keys: str, score: str = "score", name: str = "auc") -> str:
+def _auc_sql(rows: str, keys: str, score: str = "score", name: str = "auc", least: int = 4) -> str:
     part = f"PARTITION BY {keys}, " if keys else "PARTITION BY "
     over = f"PARTITION BY {keys} " if keys else ""
-    return f"""SELECT {keys + ", " if keys else ""}round(CASE WHEN n >= 4 AND p > 0 AND n > p THEN (s - p * (p + 1) / 2) / (p * (n - p)) END, 6) AS {name}, n
+    return f"""SELECT {keys + ", " if keys else ""}round(CASE WHEN n >= {least} AND p > 0 AND n > p THEN (s - p * (p + 1) / 2) / (p * (n - p)) END, 6) AS {name}, n
       FROM (SELECT {keys + ", " if keys else ""}sum(r * label) AS s, sum(label) AS p, count(*) AS n FROM (SELECT *, rank() OVER ({over}ORDER BY {score}) + (count(*) OVER ({part}{score}) - 1) / 2 AS r FROM {rows}) GROUP BY {keys or "1 = 1"})"""
 
 
@@ -141,9 +143,25 @@ def wilcoxon_of_paired_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("n", "w_plus", "z"), ["z", "w_plus"])
 
 
-@query(f"WITH {UNITS_SQL}, r AS (SELECT regime, rank() OVER (PARTITION BY regime ORDER BY s1) + (count(*) OVER (PARTITION BY regime, s1) - 1) / 2 AS x, rank() OVER (PARTITION BY regime ORDER BY s3) + (count(*) OVER (PARTITION BY regime, s3) - 1) / 2 AS y FROM units) SELECT regime, round(corr(x, y), 6) AS rho, count(*) AS n FROM r GROUP BY 1")
+@query(f"""WITH {UNITS_SQL}, r AS (SELECT regime, rank() OVER (PARTITION BY regime ORDER BY s1) + (count(*) OVER (PARTITION BY regime, s1) - 1) / 2 AS x, rank() OVER (PARTITION BY regime ORDER BY s3) + (count(*) OVER (PARTITION BY regime, s3) - 1) / 2 AS y FROM units),
+    c AS (SELECT regime, corr(x, y) AS rho, count(*) AS n FROM r GROUP BY 1), z AS (SELECT *, 0.5 * ln((1 + rho) / (1 - rho)) * sqrt((n - 3) / 1.06) AS z FROM c), q AS (SELECT *, -abs(z) AS q FROM z)
+    SELECT regime, round(rho, 6) AS rho, n, round(z, 5) AS z, round(2 * {PQ.hart_sql("q")}, 6) AS p FROM q""")
 def spearman_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.spearman(units(spark, sf_dir), ["regime"], "s1", "s3"), ["rho"])
+    return rounded(rounded(E.spearman(units(spark, sf_dir), ["regime"], "s1", "s3"), ["rho", "p"]), ["z"], 5)
+
+
+@query(f"WITH {SPLITS_SQL}, m AS (SELECT split, avg(s1) FILTER (WHERE label = 1) AS a, avg(s1) FILTER (WHERE label = 0) AS b FROM k WHERE held GROUP BY 1) SELECT round(avg(CASE WHEN a > b THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) AS n_splits FROM m WHERE a IS NOT NULL AND b IS NOT NULL")
+def share_of_splits_with_higher_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = E.calibration(held_out(spark, sf_dir), ["split"], "s1", "label").where("mean_1 IS NOT NULL AND mean_0 IS NOT NULL")
+    return rounded(m.agg(F.avg((F.col("mean_1") > F.col("mean_0")).cast("double")).alias("share"), F.count(F.lit(1)).alias("n_splits")), ["share"])
+
+
+@query(f"""WITH {PQ._PANEL_SQL}, w AS (SELECT sector, l_suppkey, realized_vol AS score, CASE WHEN bubble AND tau >= -12 THEN 1 ELSE 0 END AS label FROM aligned JOIN {PQ.SECTOR_SQL} USING (l_suppkey) WHERE tau >= -36 AND tau < 0),
+    h AS (SELECT * FROM w WHERE score IS NOT NULL AND l_suppkey IN (SELECT l_suppkey FROM w WHERE label = 1)) {_auc_sql('h', 'sector', name='month_auc', least=10)}""")
+def month_auc_of_event_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does volatility tell the twelve months before a peak from the earlier ones, among suppliers that have a peak?"""
+    p = with_sector(panel.pre_peak(PQ.event_panel(spark, sf_dir), "month_end", "peak", F.col("bubble")), spark, sf_dir)
+    return rounded(E.month_auc(p, ["sector"], "month_end", "l_suppkey", "realized_vol", "event_12m"), ["month_auc"])
 
 
 @query(f"""WITH {SPLITS_SQL}, {_PAIRS_SQL}, r AS (SELECT a, row_number() OVER (ORDER BY a, split) AS r, count(*) OVER () AS n FROM pairs WHERE a IS NOT NULL),

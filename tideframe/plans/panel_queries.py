@@ -69,12 +69,17 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_suppkey, lag_days, month_end, round(total_debt, 6) AS total_debt, round({_LEV}, 6) AS leverage
     FROM (SELECT * FROM months, lags) LEFT JOIN filled USING (l_suppkey, lag_days, month_end)""")
 def leverage_with_publication_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _lagged_leverage(spark, sf_dir)
+    return rounded(out.select("l_suppkey", "lag_days", "month_end", "total_debt", "leverage"), ["leverage", "total_debt"])
+
+
+def _lagged_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Firm-months with the leverage of reports that become known 0, 30, 60 and 90 days later."""
     lags = F.explode(F.array(*[F.lit(x) for x in (0, 30, 60, 90)]))
     m = months(spark, sf_dir).withColumn("lag_days", lags)
     moved = reports(spark, sf_dir).withColumn("lag_days", lags).withColumn("d", dates.lagged(F.col("datadate"), F.col("lag_days")))
     filled = joins.to_months(moved, ["l_suppkey", "lag_days"], "d", ["total_debt"])
-    out = m.join(filled, ["l_suppkey", "lag_days", "month_end"], "left").withColumn("leverage", numbers.leverage(F.col("total_debt"), F.col("market_cap")))
-    return rounded(out.select("l_suppkey", "lag_days", "month_end", "total_debt", "leverage"), ["leverage", "total_debt"])
+    return m.join(filled, ["l_suppkey", "lag_days", "month_end"], "left").withColumn("leverage", numbers.leverage(F.col("total_debt"), F.col("market_cap")))
 
 
 def leveraged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,12 +155,16 @@ def as_of_last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("event_id", "user_id", "ts", "last_value_id", "last_value"), ["last_value"])
 
 
-@query("""WITH z AS (SELECT *, CASE WHEN value IS NOT NULL THEN (value - 50) / 20 - 0.5 END AS z FROM events),
+@query("""WITH t AS (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00'),
+    z AS (SELECT events.*, CASE WHEN value IS NOT NULL THEN (value - m) / sd - 0.5 END AS z FROM events, t),
     s AS (SELECT *, coalesce(sum(z) OVER w, 0) AS s, count(value) OVER (PARTITION BY user_id) AS n FROM z WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
     SELECT event_id, user_id, round(CASE WHEN n >= 3 THEN s - least(0.0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) END, 5) AS cusum FROM s""")
 def cusum_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """z by the mean and deviation of the first half month, the training period."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return rounded(V.cusum(e, "user_id", ["ts", "event_id"], "value", F.lit(50.0), F.lit(20.0)).select("event_id", "user_id", "cusum"), ["cusum"], 5)
+    train = e.where("ts < TIMESTAMP '2024-01-15 00:00:00'").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
+    out = V.cusum(e.crossJoin(F.broadcast(train)), "user_id", ["ts", "event_id"], "value", F.col("m"), F.col("sd"))  # one row
+    return rounded(out.select("event_id", "user_id", "cusum"), ["cusum"], 5)
 
 
 @query("SELECT event_id, user_id, round(value - avg(value) OVER (PARTITION BY user_id), 10) AS value FROM events")
@@ -195,7 +204,7 @@ def sector_spread_preferring_five_years(spark: SparkSession, sf_dir: str) -> Dat
     return rounded(bonds.sector_months(with_sector(_bonds(spark, sf_dir), spark, sf_dir), "sector", "l_suppkey", "spread"), ["spread"])
 
 
-def _hart_sql(x: str) -> str:
+def hart_sql(x: str) -> str:
     top, bottom = str(credit.HART_TOP[0]), str(credit.HART_BOTTOM[0])
     for c in credit.HART_TOP[1:]:
         top = f"({top} * abs({x}) + {c})"
@@ -213,17 +222,16 @@ def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (0.05 + F.col("l_discount") * 5).alias("sigma"), (0.2 + F.col("l_tax") * 8).alias("lev"), F.when(F.col("l_quantity") <= 30, 5.0).otherwise(10.0).alias("tau"))
 
 
-@query(f"""WITH {_CREDIT_SQL}, v AS (SELECT *, {_hart_sql("d2")} + {_hart_sql("(-d1)")} / lev AS v FROM d)
+@query(f"""WITH {_CREDIT_SQL}, v AS (SELECT *, {hart_sql("d2")} + {hart_sql("(-d1)")} / lev AS v FROM d)
     SELECT l_orderkey, l_linenumber, round(greatest(-ln(v) / tau, 0.0), 8) AS spread, round(exp(-d1 * d1 / 2) / 2.5066282746310002 / (lev * sqrt(tau) * v), 6) AS vega FROM v""")
 def merton_spread_and_vega(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _quotes(spark, sf_dir)
-    args = (F.col("sigma"), F.col("lev"), F.col("tau"))
-    return q.select("l_orderkey", "l_linenumber", F.round(credit.merton_spread(*args), 8).alias("spread"), F.round(credit.merton_vega(*args), 6).alias("vega"))
+    q = credit.with_merton(_quotes(spark, sf_dir), "sigma", "lev", "tau")
+    return q.select("l_orderkey", "l_linenumber", F.round("spread", 8).alias("spread"), F.round("vega", 6).alias("vega"))
 
 
-@query(f"WITH {_CREDIT_SQL}, v AS (SELECT *, {_hart_sql('d2')} + {_hart_sql('(-d1)')} / lev AS v FROM d) SELECT l_orderkey, l_linenumber, round(sigma, 5) AS civ FROM v WHERE -ln(v) / tau > 1e-4")
+@query(f"WITH {_CREDIT_SQL}, v AS (SELECT *, {hart_sql('d2')} + {hart_sql('(-d1)')} / lev AS v FROM d) SELECT l_orderkey, l_linenumber, round(sigma, 5) AS civ FROM v WHERE -ln(v) / tau > 1e-4")
 def implied_volatility_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _quotes(spark, sf_dir).withColumn("s", credit.merton_spread(F.col("sigma"), F.col("lev"), F.col("tau"))).where("s > 1e-4")
+    q = credit.with_merton(_quotes(spark, sf_dir), "sigma", "lev", "tau", "s").where("s > 1e-4")
     return q.select("l_orderkey", "l_linenumber", F.round(credit.implied_volatility("s", "lev", "tau"), 5).alias("civ"))
 
 
@@ -275,13 +283,16 @@ def relabel_by_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("threshold").agg(F.sum("new_label").alias("n_bubbles"), F.sum(F.col("flipped").cast("int")).alias("n_flipped"))
 
 
+def cutoffs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("1997-01",), ("1998-06",), ("2000-01",)], "cutoff string")
+
+
 @query(f"""WITH {_PANEL_SQL}, e AS (SELECT l_suppkey, strftime(peak, '%Y-%m') AS peak_date, CAST(bubble AS INTEGER) AS label FROM peaks), c AS (SELECT unnest(['1997-01', '1998-06', '2000-01']) AS cutoff)
     SELECT * FROM (SELECT cutoff, count(*) FILTER (WHERE peak_date < cutoff AND label = 1) AS train_1, count(*) FILTER (WHERE peak_date < cutoff AND label = 0) AS train_0, count(*) FILTER (WHERE NOT (peak_date < cutoff) AND label = 1) AS test_1, count(*) FILTER (WHERE NOT (peak_date < cutoff) AND label = 0) AS test_0 FROM e, c GROUP BY 1)
     WHERE train_1 >= 2 AND train_0 >= 2 AND test_1 >= 1 AND test_0 >= 1""")
 def walk_forward_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_panel(spark, sf_dir).select("l_suppkey", F.date_format("peak", "yyyy-MM").alias("peak_date"), F.col("bubble").cast("int").alias("label")).distinct()
-    cut = spark.createDataFrame([("1997-01",), ("1998-06",), ("2000-01",)], "cutoff string")
-    return panel.enough(panel.walk_forward(e, "peak_date", cut), ["cutoff"], "is_train", "label")
+    return panel.enough(panel.walk_forward(e, "peak_date", cutoffs(spark)), ["cutoff"], "is_train", "label")
 
 
 @query(f"""WITH {_PANEL_SQL}, x AS (SELECT DISTINCT last_day(CAST(o_orderdate AS DATE)) AS month_end, avg(o_totalprice) OVER (PARTITION BY last_day(CAST(o_orderdate AS DATE))) AS v FROM orders WHERE o_orderstatus = 'F')
@@ -292,14 +303,96 @@ def external_series_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, ["share_known"]), ["sentiment"], 4)
 
 
-@query(f"""WITH {_PANEL_SQL}, {_BOND_SQL}, c AS (SELECT l_suppkey, (year(month_end) - year(peak)) * 12 + month(month_end) - month(peak) AS tau, avg(spread) AS spread FROM rolled JOIN peaks USING (l_suppkey) GROUP BY ALL)
-    SELECT * FROM (SELECT coalesce(a.l_suppkey, c.l_suppkey) AS l_suppkey, CAST(coalesce(a.tau, c.tau) AS INTEGER) AS tau, round(a.realized_vol, 6) AS vol, round(c.spread, 6) AS credit FROM aligned a FULL JOIN c ON a.l_suppkey = c.l_suppkey AND a.tau = c.tau) WHERE tau BETWEEN -36 AND 24""")
+_TAU = "(year({0}) - year(peak)) * 12 + month({0}) - month(peak)"
+
+
+@query(f"""WITH {_PANEL_SQL}, {_BOND_SQL}, c AS (SELECT l_suppkey, {_TAU.format("month_end")} AS tau, avg(spread) AS spread FROM rolled JOIN peaks USING (l_suppkey) GROUP BY ALL),
+    x0 AS (SELECT CAST(substr(source, 4) AS BIGINT) AS l_suppkey, DATE '1996-01-01' + CAST(doc_id % 1000 AS INTEGER) AS d, length(text) AS n FROM documents),
+    x AS (SELECT l_suppkey, {_TAU.format("d")} AS tau, avg(n) AS n FROM x0 JOIN peaks USING (l_suppkey) GROUP BY ALL),
+    k AS (SELECT l_suppkey, tau FROM aligned UNION SELECT l_suppkey, tau FROM c UNION SELECT l_suppkey, tau FROM x)
+    SELECT k.l_suppkey, CAST(k.tau AS INTEGER) AS tau, round(a.realized_vol, 6) AS vol, round(c.spread, 6) AS credit, round(x.n, 6) AS text
+    FROM k LEFT JOIN aligned a ON k.l_suppkey = a.l_suppkey AND k.tau = a.tau LEFT JOIN c ON k.l_suppkey = c.l_suppkey AND k.tau = c.tau LEFT JOIN x ON k.l_suppkey = x.l_suppkey AND k.tau = x.tau WHERE k.tau BETWEEN -36 AND 24""")
 def multi_channel_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_panel(spark, sf_dir)
-    tau = dates.event_month(F.col("month_end"), F.col("peak")).alias("tau")
-    vol = e.select("l_suppkey", tau, F.col("realized_vol").alias("vol"))
-    spread = _bonds(spark, sf_dir).join(e.select("l_suppkey", "peak").distinct(), "l_suppkey").groupBy("l_suppkey", tau).agg(F.avg("spread").alias("credit"))
-    return rounded(panel.multi_channel([vol, spread], ["l_suppkey"]), ["vol", "credit"])
+    peaks = e.select("l_suppkey", "peak").distinct()
+    tau = lambda d: dates.event_month(F.col(d), F.col("peak")).alias("tau")
+    vol = e.select("l_suppkey", tau("month_end"), F.col("realized_vol").alias("vol"))
+    spread = _bonds(spark, sf_dir).join(peaks, "l_suppkey").groupBy("l_suppkey", tau("month_end")).agg(F.avg("spread").alias("credit"))
+    docs = table(spark, sf_dir, "documents").select(F.substring("source", 4, 9).cast("bigint").alias("l_suppkey"), F.date_add(F.lit("1996-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int")).alias("d"), F.length("text").alias("n"))
+    text = docs.join(peaks, "l_suppkey").groupBy("l_suppkey", tau("d")).agg(F.avg("n").alias("text"))
+    return rounded(panel.multi_channel([vol, spread, text], ["l_suppkey"]), ["vol", "credit", "text"])
+
+
+_A_SQL = """sv AS (SELECT sector, month_end, median(realized_vol) AS sector_vol FROM months JOIN {sector} USING (l_suppkey) GROUP BY 1, 2),
+    mkt AS (SELECT d, avg(ret) AS ret FROM daily GROUP BY 1), mv AS (SELECT last_day(d) AS month_end, CASE WHEN count(*) >= 15 THEN stddev_samp(ret) * sqrt(252.0) END AS market_vol FROM mkt GROUP BY 1),
+    ma AS (SELECT sector, month_end, CASE WHEN market_vol <> 0 THEN sector_vol / market_vol END AS metric_a FROM sv LEFT JOIN mv USING (month_end))""".format(sector=SECTOR_SQL)
+
+
+def _b_sql(source: str, keys: str, name: str) -> str:
+    """Metric B of the rows of ``source`` within ``keys``, as table ``name``."""
+    k = [x.strip() for x in keys.split(",")]
+    same = " AND ".join(f"a.{x} = b.{x}" for x in k)
+    return f"""o AS (SELECT * FROM {source} WHERE leverage IS NOT NULL AND asset_vol IS NOT NULL),
+    h AS (SELECT {", ".join(f"a.{x}" for x in k)}, a.month_end, count(*) AS n, avg(b.leverage) AS mx, avg(b.asset_vol) AS my, covar_pop(b.asset_vol, b.leverage) * count(*) AS sxy, greatest(var_pop(b.leverage) * count(*), 1e-6) AS sxx, max(b.leverage) - min(b.leverage) AS span
+          FROM (SELECT DISTINCT {keys}, month_end FROM o) a JOIN o b ON {same} AND b.month_end <= a.month_end GROUP BY ALL),
+    line AS (SELECT {keys}, month_end, CASE WHEN n >= 10 THEN CASE WHEN span < 0.10 THEN 0 ELSE greatest(least(sxy / sxx, 5.0), -5.0) END END AS b, mx, my FROM h),
+    {name} AS (SELECT {keys}, month_end, median(asset_vol - (my - b * mx) - b * leverage) AS metric_b FROM o JOIN line USING ({keys}, month_end) GROUP BY ALL)"""
+
+
+@query(f"""WITH {LEVERAGED_SQL}, {_A_SQL}, {_b_sql("lev", "sector", "mb")},
+    s AS (SELECT sector, month_end, median(leverage) AS med_leverage, median(asset_vol) AS metric_d, median(realized_vol) AS v FROM lev GROUP BY 1, 2),
+    md AS (SELECT sector, month_end, metric_d, med_leverage, med_leverage - lag(med_leverage, 12) OVER (PARTITION BY sector ORDER BY month_end) AS metric_f, coalesce(v, 0) * coalesce(med_leverage, 0) AS metric_v FROM s),
+    k AS (SELECT sector, month_end FROM ma UNION SELECT sector, month_end FROM mb UNION SELECT sector, month_end FROM md)
+    SELECT sector, month_end, round(metric_a, 6) AS metric_a, round(metric_b, 5) AS metric_b, round(metric_d, 5) AS metric_d, round(metric_f, 5) AS metric_f, round(med_leverage, 5) AS med_leverage, round(metric_v, 5) AS metric_v
+    FROM k LEFT JOIN ma USING (sector, month_end) LEFT JOIN mb USING (sector, month_end) LEFT JOIN md USING (sector, month_end)""")
+def sector_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sectors' metrics side by side, a row a sector and month: one grouping of their union."""
+    lev = leveraged(spark, sf_dir)
+    a = metric_a_by_sector_month(spark, sf_dir).select("sector", "month_end", "metric_a")
+    b = V.expanding_gap(lev, "sector", "month_end", "leverage", "asset_vol")
+    d = lev.groupBy("sector", "month_end").agg(F.median("leverage").alias("med_leverage"), F.median("asset_vol").alias("metric_d"), F.median("realized_vol").alias("_v"))
+    d = V.difference(d, ["sector"], "month_end", "med_leverage", "metric_f").withColumn("metric_v", numbers.interactions(F.col("_v"), F.col("metric_d"), F.col("med_leverage"))["metric_v"]).drop("_v")
+    return rounded(joins.assemble([a, b, d], ["sector", "month_end"]), ["metric_b", "metric_d", "metric_f", "med_leverage", "metric_v"], 5)
+
+
+@query(f"""WITH {MONTHS_SQL}, {_DEBT}, {_A_SQL},
+    lags AS (SELECT unnest([0, 30, 60, 90]) AS lag_days),
+    moved AS (SELECT l_suppkey, lag_days, last_day(CAST(month_end + lag_days * INTERVAL 1 DAY AS DATE)) AS month_end, max_by(total_debt, month_end) AS total_debt FROM debt, lags GROUP BY ALL),
+    {_GRID.format(lag="lag_days, ", plag=", lag_days")},
+    lev0 AS (SELECT sector, lag_days, month_end, realized_vol, {_LEV} AS leverage FROM (SELECT * FROM months, lags) LEFT JOIN filled USING (l_suppkey, lag_days, month_end) JOIN {SECTOR_SQL} USING (l_suppkey)),
+    lev AS (SELECT *, realized_vol * (1 - leverage) AS asset_vol FROM lev0), {_b_sql("lev", "lag_days, sector", "mb")},
+    s AS (SELECT lag_days, sector, month_end, median(leverage) AS m FROM lev GROUP BY ALL),
+    mf AS (SELECT lag_days, sector, month_end, m - lag(m, 12) OVER (PARTITION BY lag_days, sector ORDER BY month_end) AS metric_f FROM s)
+    SELECT CAST(lag_days AS INTEGER) AS lag_days, sector, month_end, round(metric_a, 6) AS metric_a, round(metric_b, 5) AS metric_b, round(metric_f, 5) AS metric_f
+    FROM ma JOIN lags ON true LEFT JOIN mb USING (lag_days, sector, month_end) LEFT JOIN mf USING (lag_days, sector, month_end)""")
+def panel_with_lagged_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel's B and F built again on reports that become known 0 to 90 days later, and put in place of its own."""
+    lags = F.explode(F.array(*[F.lit(x) for x in (0, 30, 60, 90)]))
+    own = metric_a_by_sector_month(spark, sf_dir).select("sector", "month_end", "metric_a").withColumn("lag_days", lags)
+    lev = with_sector(_lagged_leverage(spark, sf_dir).withColumn("asset_vol", F.col("realized_vol") * (1 - F.col("leverage"))), spark, sf_dir)
+    keys = F.struct("lag_days", "sector").alias("_g")
+    b = V.expanding_gap(lev.select("*", keys), "_g", "month_end", "leverage", "asset_vol").select("_g.*", "month_end", "metric_b")
+    f = lev.groupBy("lag_days", "sector", "month_end").agg(F.median("leverage").alias("_m"))
+    f = V.difference(f, ["lag_days", "sector"], "month_end", "_m", "metric_f").drop("_m")
+    at = ["lag_days", "sector", "month_end"]
+    return rounded(own.join(b, at, "left").join(f, at, "left"), ["metric_b", "metric_f"], 5)
+
+
+@query("""WITH d AS (SELECT l_suppkey, sum(l_extendedprice) FILTER (WHERE l_returnflag = 'R' AND l_quantity > 49) AS short, sum(l_extendedprice) FILTER (WHERE l_returnflag = 'N' AND l_quantity < 2) AS long FROM lineitem GROUP BY 1)
+    SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik, substr(s_name, 1, 6) AS issuer, round(coalesce(short, 0) + coalesce(long, 0), 1) AS total_debt FROM supplier LEFT JOIN d ON s_suppkey = l_suppkey""")
+def ids_and_total_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda cond: F.sum(F.when(F.expr(cond), F.col("l_extendedprice")))
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(part("l_returnflag = 'R' AND l_quantity > 49").alias("short"), part("l_returnflag = 'N' AND l_quantity < 2").alias("long"))
+    s = table(spark, sf_dir, "supplier").join(d, "s_suppkey", "left")
+    return s.select("s_suppkey", numbers.digits_id(F.col("s_suppkey")).alias("cik"), numbers.issuer_id(F.col("s_name")).alias("issuer"), F.round(numbers.total_debt(F.col("short"), F.col("long")), 1).alias("total_debt"))
+
+
+@query("""SELECT c_custkey, max(l_suppkey) AS supplier FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders) ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def last_supplier_through_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer to order to supplier; of several suppliers the last one wins."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    return joins.through_bridge(table(spark, sf_dir, "customer").select("c_custkey"), [(orders, "o_custkey", "o_orderkey"), (lines, "l_orderkey", "l_suppkey")], "c_custkey", "supplier")
 
 
 @query("""SELECT o_orderpriority, count(*) AS n_rows, round(avg(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0.0 END), 6) AS share_large, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS share_final FROM orders GROUP BY 1""")

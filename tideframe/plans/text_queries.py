@@ -89,6 +89,30 @@ def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", texts.section(F.col("t"), r"(?i)\bthe\b", 400, r"(?i)\band\b").alias("section")).where("section IS NOT NULL")
 
 
+_COLLAPSED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_COLLAPSED} AS t FROM documents), p AS (SELECT doc_id, substr(t, 1, 200) AS a, substr(t, 201, 200) AS b, substr(t, 401, 200) AS c FROM t),
+    s AS (SELECT doc_id, 'business' AS section, 'Item 1. ' || a || ' ' AS body FROM p UNION ALL SELECT doc_id, 'risk', 'ITEM 1A: ' || b || ' ' FROM p UNION ALL SELECT doc_id, 'discussion', 'Item  7. ' || c FROM p WHERE c <> '')
+    SELECT doc_id, section, md5(body) AS body FROM s""")
+def filing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three item headings: texts of documents, laid out as the items of a report."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t"))
+    part = lambda a: F.substring("t", a, 200)
+    report = F.concat(F.lit("Item 1. "), part(1), F.lit(" ITEM 1A: "), part(201), F.when(part(401) != "", F.concat(F.lit(" Item  7. "), part(401))).otherwise(F.lit(" ")))
+    return texts.sections(t.select("doc_id", report.alias("text")), "doc_id", "text").withColumn("body", F.md5("body"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, '<p class="x">' || text || E'</p>\n \n\nForward-looking statements may\nfail.\n\n<b>end</b> Forward looking statements again.\n\n' AS t FROM documents),
+    a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?s)<[^>]*>', ' ', 'g'), '(?is)forward[- ]looking statements.*?\n\s*\n', '') AS t FROM t)
+    SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'))) AS body FROM a""")
+def cleaned_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without tags, blank lines and the first forward-looking block, which is put into each text here."""
+    block = F.lit("</p>\n \n\nForward-looking statements may\nfail.\n\n<b>end</b> Forward looking statements again.\n\n")
+    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('<p class="x">'), F.col("text"), block).alias("t"))
+    return t.select("doc_id", F.md5(texts.cleaned(F.col("t"))).alias("body"))
+
+
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
     i AS (SELECT doc_id, w, unnest(range(0, len(w), 192)) AS a FROM w WHERE len(w) >= 10), p AS (SELECT doc_id, CAST(a // 192 AS INTEGER) AS chunk, list_slice(w, a + 1, a + 256) AS p FROM i)
     SELECT doc_id, chunk, CAST(len(p) AS INTEGER) AS words, md5(array_to_string(p, ' ')) AS body FROM p WHERE len(p) >= 10""")
