@@ -251,3 +251,32 @@ def test_leverage_reaches_past_the_last_report_if_asked(spark):
     reports = spark.createDataFrame([("f", date(2020, 1, 31), 10.0), ("f", date(2020, 2, 29), 30.0)], "f string, r date, debt double")
     get = lambda extend: [r["leverage"] for r in joins.firm_leverage(months, reports, "f", "debt", "r", "e", extend=extend).orderBy("month_end").collect()]
     assert get(False) == [0.5, 0.75, None, None] and get(True) == [0.5, 0.75, 0.75, 0.75]
+
+
+def test_sector_credit_volatility_is_the_plain_loop(spark, sf_dir):
+    from tideframe.functions import credit
+    from tideframe.plans import panel_queries as Q
+
+    got = {(r["sector"], r["month_end"]): r for r in Q.sector_credit_implied_vol(spark, sf_dir).collect()}
+    lev = Q.leveraged(spark, sf_dir).toPandas()
+    b = Q._bonds(spark, sf_dir).toPandas().merge(lev[["l_suppkey", "month_end", "leverage", "sector"]], on=["l_suppkey", "month_end"])
+    b["civ"] = credit.invert_spreads(b["spread"].to_numpy(float), b["leverage"].to_numpy(float), b["bucket"].to_numpy(float))
+    want = {}
+    for key, rows in b.groupby(["sector", "month_end"]):
+        firms = []
+        for _, own in rows.groupby("l_suppkey"):
+            five = own.loc[own["bucket"] == 5, "civ"].dropna()
+            firms.append(five.median() if len(five) else own["civ"].median())
+        firms = [x for x in firms if x == x]
+        if firms:
+            want[key] = float(np.median(firms))
+    asset = lev.groupby(["sector", "month_end"])["asset_vol"].median()
+    assert set(got) == set(want)
+    for key, value in want.items():
+        assert got[key]["metric_o"] == pytest.approx(value, abs=2e-6)
+        if got[key]["metric_p"] is not None:
+            assert got[key]["metric_p"] == pytest.approx(value - asset[key], abs=3e-6)
+    for sector in {k[0] for k in want}:
+        months = sorted(k[1] for k in want if k[0] == sector)
+        for before, now in zip(months, months[12:], strict=False):
+            assert got[sector, now]["metric_q"] == pytest.approx(want[sector, now] - want[sector, before], abs=3e-6)

@@ -160,3 +160,10 @@ def mean_vectors(df: DataFrame, keys: Sequence[str], vector: str, size: int, eve
     if every is not None:
         out = every.select(*keys).distinct().join(out, list(keys), "left").withColumn(vector, F.coalesce(vector, F.array_repeat(F.lit(0.0), size)))
     return out
+
+
+def medians_and_mean_vectors(df: DataFrame, keys: Sequence[str], scores: Sequence[str], vector: str, size: int) -> DataFrame:
+    """A row a key: the median of each score and the mean vector; a zero vector where no row of the key has one."""
+    medians = df.groupBy(*keys).agg(*[F.median(c).alias(c) for c in scores])
+    vectors = mean_vectors(df.where(F.col(vector).isNotNull()), keys, vector, size, df)
+    return medians.join(vectors, list(keys))

@@ -293,17 +293,34 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i + 1, round(float(s), 6)) for i, s in enumerate(shares)], "component int, share double")
 
 
+def target_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of suppliers by regime with trailing means; the held-out suppliers of one split are the targets."""
+    rows = with_sector(survival_rows(spark, sf_dir, 1), spark, sf_dir).withColumn("regime", regime_of("sector"))
+    rows = V.trailing_mean(rows, "l_suppkey", "month_end", COX)
+    return rows.withColumn("unit", F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("month_end").cast("string")))
+
+
+def ranked_targets(scored: DataFrame, score: str) -> DataFrame:
+    """Targets' months ranked among the bubbles' months of their regime."""
+    out = E.percentile_rank(scored, scored.where("label = 1"), "regime", score)
+    return rounded(out.select("regime", "unit", score, "percentile", "out_of_range"), [score, "percentile"])
+
+
 @query()
 def target_scores_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit once on training suppliers, score targets' months on trailing means, and rank them among matched bubbles."""
-    rows = survival_rows(spark, sf_dir, 1)
-    smooth = V.trailing_mean(rows, "l_suppkey", "month_end", COX)
-    fit = panel.collapse(smooth.where("NOT held"), ["l_suppkey", "label"], COX).withColumn("held", F.lit(False)).withColumn("month_end", F.lit(None).cast("date"))
-    test = smooth.where("held").select("l_suppkey", "label", *COX, "held", "month_end")
-    both = fit.unionByName(test).withColumn("g", F.lit(0)).withColumn("unit", F.struct("l_suppkey", "month_end").cast("string"))
-    scored = M.score_splits(both.drop("month_end", "l_suppkey"), ["g"], "unit", COX, "label", "held")
-    ref = scored.where("label = 1").withColumn("regime", F.lit("all"))
-    return rounded(E.percentile_rank(scored.withColumn("regime", F.lit("all")), ref, "regime", "score").select("unit", "score", "percentile", "out_of_range"), ["score", "percentile"])
+    """A model a regime, fitted once on training suppliers' means; targets' months on trailing means."""
+    rows = target_rows(spark, sf_dir)
+    fit = panel.collapse(rows.where("NOT held"), ["regime", "l_suppkey", "label"], COX).withColumn("held", F.lit(False)).withColumn("unit", F.col("l_suppkey").cast("string"))
+    both = fit.drop("l_suppkey").unionByName(rows.where("held").select("regime", "unit", "label", *COX, "held"))
+    return ranked_targets(M.score_splits(both, ["regime"], "unit", COX, "label", "held"), "score")
+
+
+@query()
+def target_hazards_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Cox model a regime; targets' hazards month by month."""
+    rows = target_rows(spark, sf_dir).withColumn("train", ~F.col("held"))
+    h = M.cox_each(rows, ["regime"], COX, "time_to_peak", "event_12m", "train", "unit", "label")
+    return ranked_targets(h, "hazard")
 
 
 @query()

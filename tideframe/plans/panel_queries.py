@@ -197,6 +197,17 @@ def bond_issuer_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_bonds(spark, sf_dir), ["spread"])
 
 
+@query(f"""WITH {_BOND_SQL}, {LEVERAGED_SQL}, b2 AS (SELECT l_suppkey, date_trunc('quarter', month_end) AS quarter, median(spread) AS spread FROM rolled GROUP BY 1, 2),
+    l2 AS (SELECT l_suppkey, date_trunc('quarter', month_end) AS quarter, median(leverage) AS leverage FROM lev GROUP BY 1, 2)
+    SELECT l_suppkey, CAST(quarter AS DATE) AS quarter, round(spread, 6) AS spread, round(leverage, 6) AS leverage FROM b2 FULL JOIN l2 USING (l_suppkey, quarter)""")
+def issuer_quarter_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An issuer's quarterly medians of spread and leverage."""
+    quarter = F.trunc("month_end", "quarter").alias("quarter")
+    spread = _bonds(spark, sf_dir).groupBy("l_suppkey", quarter).agg(F.median("spread").alias("spread"))
+    lev = leveraged(spark, sf_dir).groupBy("l_suppkey", quarter).agg(F.median("leverage").alias("leverage"))
+    return rounded(joins.assemble([spread, lev], ["l_suppkey", "quarter"]), ["spread", "leverage"])
+
+
 @query(f"""WITH {_BOND_SQL},
     i AS (SELECT sector, month_end, l_suppkey, median(spread) FILTER (WHERE bucket = 5) AS p, median(spread) AS a FROM rolled JOIN {SECTOR_SQL} USING (l_suppkey) GROUP BY 1, 2, 3)
     SELECT sector, month_end, round(median(coalesce(p, a)), 6) AS spread, count(*) AS n_issuers FROM i GROUP BY 1, 2""")

@@ -138,3 +138,16 @@ def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quarterly_text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = filings(spark, sf_dir).select("doc_id", "source", (F.substring("source", 4, 9).cast("int") % 3).alias("sector"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int")).alias("d"), F.size(texts.words_of(F.col("text"))).alias("n_words"))
     return joins.quarter_medians(f, "source", "sector", "d", ["n_words"], ["n_words", "doc_id"]).select("sector", "stamp", "n_words", "n_entities")
+
+
+@query("""WITH d AS (SELECT source, doc_id % 2 AS half, length(text) AS n, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+    m AS (SELECT source, half, median(n) AS n_chars FROM d GROUP BY 1, 2), u AS (SELECT source, half, unnest(range(1, 65)) AS i, embedding FROM d WHERE embedding IS NOT NULL),
+    v AS (SELECT source, half, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM u GROUP BY 1, 2, 3), n AS (SELECT source, half, sum(v * v) AS norm2 FROM v GROUP BY 1, 2)
+    SELECT source, half, n_chars, round(coalesce(norm2, 0), 6) AS norm2 FROM m LEFT JOIN n USING (source, half)""")
+def scores_and_vectors_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of a score next to mean vectors; a vector belongs to the document of its number."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 2).alias("half"), F.length("text").cast("double").alias("n_chars")).join(v, "doc_id", "left")
+    out = texts.medians_and_mean_vectors(d, ["source", "half"], ["n_chars"], "embedding", 64)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return rounded(out.select("source", "half", "n_chars", norm.alias("norm2")), ["norm2"])
