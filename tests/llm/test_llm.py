@@ -12,8 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tideframe.llm import components, gif, language, minhash, mixing, packing, quality, queries, sharding, shared, toxicity, urls, warc
+from tideframe.llm import components, gif, language, minhash, mixing, oracle, packing, quality, queries, sharding, shared, toxicity, urls, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EN, DE = "the cat and the dog went to a house with some other things there", "der hund und die katze gingen zu einem haus mit ein paar anderen dingen"
@@ -503,22 +502,30 @@ def test_url_rules_and_link_graph(spark):
 # --- queries ------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages_keep_columns(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = shared.written(stage(spark, docs, sf_dir))
-        assert out.columns == docs.columns, name
-        assert name == "mixing" or out.count() <= docs.count()
-        docs = out
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
-    assert packed.agg(F.sum("length")).first()[0] == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    want = con.sql(queries.ORACLE_SQL[name]).df()
+    got = queries.QUERIES[name](spark, sf_dir).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    key = lambda d: sorted(map(str, d[sorted(want.columns)].astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
+    assert key(got) == key(want)
 
 
-def test_warc_query_equals_its_sql(spark, sf_dir):
+def test_verdicts_over_links_equal_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
+    pd = pytest.importorskip("pandas")
+    rng = np.random.default_rng(2)
+    hosts = [f"h{i}.example" for i in range(12)] + ["bad.org", "good.org"]
+    rules = [("block", "bad.org", "/"), ("allow", "good.org", "/"), ("block", "h3.example", "/b")]
+    rows = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['a', 'b'])}{i}", "".join(f'<a href="//{h}/">' for h in rng.choice(hosts, int(rng.integers(0, 5))))) for i in range(150)]
+    frame = pd.DataFrame(rows, columns=["page_id", "url", "html"])
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf_dir}/pages.parquet')")
-    want = con.sql(queries.ORACLE_SQL["op6_warc"]).df()
-    got = queries.op6_warc(spark, sf_dir).toPandas()[list(want.columns)]
-    key = lambda d: sorted(map(str, d.astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
-    assert key(got) == key(want)
+    con.register("pages", frame)
+    want = {r[0]: r[1:] for r in con.sql(oracle.url_verdicts(rules)).fetchall()}
+    out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html", rules).collect()
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out} == want
+    assert {"allow", "block"} == {r["verdict"] for r in out if r["rule"] is None}

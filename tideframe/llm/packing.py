@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_names, gapless_rank, unit_hash, written
+from .shared import free_names, gapless_rank, spread_over, unit_hash, written
 
 
 class RoomTree:
@@ -181,7 +181,7 @@ def pack(df: DataFrame, length: str, order: list[str], capacity: int = 2048, see
     size, a, b, window, each, at, h, rank = free_names(df, "_length", "_a", "_b", "_window", "_each", "_offset", "_h", "_rank")
     plan = [tuple(map(int, x)) for x in plan_windows(counts, capacity)]
     rows = df.sparkSession.createDataFrame(plan, ", ".join(f"{x} long" for x in (size, a, b, window, each, at)))
-    ranked = gapless_rank(df.withColumn(h, unit_hash(seed, *order)), [length], [h, *order], F.col(h), rank).drop(h)
+    ranked = gapless_rank(df.withColumn(h, unit_hash(seed, *order)), [length], [h, *order], F.col(h), rank, spread_over(sum(counts.values()))).drop(h)
     # the plan has at most a few rows for each length and room, however many pieces there are
     out = ranked.join(F.broadcast(rows), (F.col(length) == F.col(size)) & (F.col(rank) >= F.col(a)) & (F.col(rank) < F.col(b)))
     place = F.col(rank) - F.col(a)
