@@ -1,4 +1,8 @@
-"""A corpus from documents to packed sequences: five stages, each a DataFrame that is written and read by the next."""
+"""A corpus from documents to packed sequences: five stages, each a DataFrame that is written and read by the next.
+
+Every stage takes an empty table to an empty one, keeps columns that it doesn't know, and reads no label, language or source
+of a document but where it says so. doc_id may be null or repeated.
+"""
 
 from __future__ import annotations
 
@@ -16,27 +20,30 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that compression distance rejects go."""
+    """Documents that compression distance rejects go. Null and empty texts are not toxic; repeated rows go or stay alike."""
     return toxicity.reject_toxic(docs, "text", toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that is more likely than not go."""
+    """Documents without a language that is more likely than not go, and so do null texts and those without a letter. Repeated
+    rows go or stay alike."""
     return language.reject_unknown(docs, "text", language_model(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays."""
+    """One document of each group of near copies (five words, similarity 0.8) stays, that of the smallest doc_id. Null and
+    empty texts have no copies; of rows with one doc_id and text, one stays."""
     return minhash.drop_near_duplicates(docs, "doc_id", "text", 80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights 1, 2, 3 in turn; a document that the mix takes more than once is there more than once."""
+    """Sources at weights 1, 2, 3 in turn (null is a source, the last); a document that the mix takes more than once is there
+    more than once. Null texts have no words and are taken as often as their whole source is."""
     return mixing.mixed_documents(docs, "source", "text", ["doc_id"])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2,048 tokens."""
+    """Pieces of documents in sequences of 2,048 tokens. A null text is its end id alone; repeated rows are packed each."""
     out = packing.pack_documents(docs, "doc_id", "text", tokenizer_path(), CAPACITY)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
