@@ -34,7 +34,8 @@ def category_scores(df: DataFrame, key: str, text: str, dictionary: DataFrame, c
     """
     flags = dictionary.groupBy("word").agg(*[F.max((F.col("category") == c).cast("int")).alias(f"_{c}") for c in categories])
     own = [key, "sentence_count", "filing_size"]
-    words = df.select(key, sentence_count(F.col(text)).cast("bigint").alias("sentence_count"), F.length(text).cast("bigint").alias("filing_size"), F.explode_outer(words_of(F.col(text))).alias("word"))
+    words = df.select(key, sentence_count(F.col(text)).cast("bigint").alias("sentence_count"), F.length(text).cast("bigint").alias("filing_size"), words_of(F.col(text)).alias("_words"))
+    words = words.select(*own, F.explode_outer("_words").alias("word"))  # what is measured of a text is measured before its words are rows
     counts = words.groupBy(*own, F.upper("word").alias("word")).agg(F.count("word").alias("_n"))
     hit = lambda c: F.sum(F.col("_n") * F.coalesce(F.col(f"_{c}"), F.lit(0))).cast("bigint").alias(f"{c}_count")
     out = counts.join(flags, "word", "left").groupBy(*own).agg(F.sum("_n").alias("word_count"), *[hit(c) for c in categories])
