@@ -1,5 +1,5 @@
 """DuckDB SQL for the queries that SQL can express over whole tables: sets and links of op5, rules and link scores of op10,
-counts and limits of op4, records of op6."""
+counts and limits of op4, records of op6, divergences of op11, trees of op12."""
 
 from __future__ import annotations
 
@@ -98,3 +98,51 @@ RECORDS = f"""
                CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> last THEN last END AS refers_to
         FROM m"""
+
+DIVERGENCES = rf"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+         t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+         c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM t GROUP BY ALL),
+         k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+         v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY ALL),
+         g AS (SELECT DISTINCT lang, source FROM d),
+         o AS (SELECT lang, source, sum(c.n) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+         p AS (SELECT lang, g.source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(o.n, 0) + v.v)::HUGEINT AS p, 1 + 1000000000::HUGEINT * (k.n + 1) // (v.n + v.v)::HUGEINT AS q
+               FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN o USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+         pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+         pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+         r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= 200"""
+
+
+def _fields(n_chars: str) -> str:
+    field = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+    return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+def manifest(tampered: str) -> str:
+    """Trees level by level as a recursion over (lang, level, place), then every row's path up both trees. tampered: of
+    which rows n_chars is one more."""
+    up = "sha256(string_agg(h, '' ORDER BY i))"
+    return f"""
+    WITH RECURSIVE leaf AS (SELECT doc_id, lang, {_fields("n_chars")} AS h, CASE WHEN {tampered} THEN {_fields("n_chars + 1")} ELSE {_fields("n_chars")} END AS t FROM documents),
+         x AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+         a AS (SELECT lang, 0 AS level, i, h, n FROM x UNION ALL SELECT lang, level + 1, i // 2, {up}, any_value((n + 1) // 2) FROM a WHERE n > 1 GROUP BY lang, level, i // 2),
+         s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM a WHERE n = 1),
+         b AS (SELECT 0 AS level, i, h, n FROM s UNION ALL SELECT level + 1, i // 2, {up}, any_value((n + 1) // 2) FROM b WHERE n > 1 GROUP BY level, i // 2),
+         f AS (SELECT doc_id, lang, h, i, n, 0 AS level, t, '' AS proof FROM x
+               UNION ALL SELECT doc_id, lang, f.h, i // 2, (n + 1) // 2, level + 1, sha256(CASE WHEN i % 2 = 1 THEN coalesce(o.h, '') || t ELSE t || coalesce(o.h, '') END), proof || coalesce(o.h, '')
+               FROM f LEFT JOIN (SELECT lang AS lg, level AS lv, i AS at, h FROM a) o ON o.lg IS NOT DISTINCT FROM lang AND o.lv = level AND o.at = xor(i, 1) WHERE n > 1),
+         e AS (SELECT doc_id, s.h AS subroot, f.h, s.i, s.n, 0 AS level, t, proof FROM f JOIN s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+               UNION ALL SELECT doc_id, subroot, e.h, i // 2, (n + 1) // 2, level + 1, sha256(CASE WHEN i % 2 = 1 THEN coalesce(o.h, '') || t ELSE t || coalesce(o.h, '') END), proof || coalesce(o.h, '')
+               FROM e LEFT JOIN (SELECT level AS lv, i AS at, h FROM b) o ON o.lv = level AND o.at = xor(i, 1) WHERE n > 1)
+    SELECT doc_id, e.h AS leaf, subroot, b.h AS root, sha256(proof) AS proof_sha256, t AS folded_root, t = b.h AS verified FROM e JOIN b ON b.n = 1 WHERE e.n = 1"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    bits = f"list_transform(range(0, 8 * length({text})), lambda k: CAST((ascii(substr({text}, CAST(k // 8 + 1 AS BIGINT), 1)) >> CAST(k % 8 AS INTEGER)) & 1 AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, bit: CASE WHEN xor(c, bit) & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT)"
+
+
+MANIFEST = manifest(f"{crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0")

@@ -1,11 +1,11 @@
-"""The ten queries over whole tables, and their SQL where SQL can express them. Each digests what its operator returns."""
+"""The thirteen queries over whole tables, and their SQL where SQL can express them. Each digests what its operator returns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, language, minhash, mixing, oracle, packing, quality, sharding, toxicity, urls, warc
+from . import divergence, gif, language, merkle, minhash, mixing, oracle, packing, quality, sharding, tokens, toxicity, urls, warc
 from .shared import text_batches, written
 
 CAPACITY = 2048
@@ -22,10 +22,10 @@ def id_remainder(doc_id: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def language_model(docs: DataFrame) -> language.Model:
@@ -92,12 +92,30 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergences(table(spark, sf_dir, "documents"), "text")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = lambda n_chars: merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", fields(F.col("n_chars")).alias("leaf"), F.when(id_remainder("doc_id", 7) == 0, fields(F.col("n_chars") + 1)).alias("other"))
+    out = merkle.merkle_proofs(docs, "lang", ["doc_id"], "leaf", ["doc_id", "other"])
+    steps, own = F.col("steps"), F.coalesce("other", "leaf")
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(steps), 256).alias("proof_sha256"), merkle.fold(own, steps).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return tokens.count_tokens(docs, "text", tokenizer_path("word_bpe_49k.json"), "n_tokens", CAPACITY, ["doc_id", "n_bytes"])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_sharding, op4_quality, op5_minhash, op6_warc, op7_mixing, op8_packing, op9_gif, op10_urls, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_sharding, op4_quality, op5_minhash, op6_warc, op7_mixing, op8_packing, op9_gif, op10_urls, op11_divergence, op12_merkle, op13_tokens, pipeline)}
 
-ORACLE_SQL = {"op4_quality": oracle.QUALITY, "op5_minhash": oracle.NEAR_DUPLICATES, "op6_warc": oracle.RECORDS, "op10_urls": oracle.url_verdicts(URL_RULES)}
+ORACLE_SQL = {"op4_quality": oracle.QUALITY, "op5_minhash": oracle.NEAR_DUPLICATES, "op6_warc": oracle.RECORDS, "op10_urls": oracle.url_verdicts(URL_RULES), "op11_divergence": oracle.DIVERGENCES, "op12_merkle": oracle.MANIFEST}
