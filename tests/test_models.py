@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import plain_models as plain
 from tideframe.functions import dates
-from tideframe.operators import evaluation, joins, models, texts
+from tideframe.operators import evaluation, fits, joins, models, survival, texts
 from tideframe.sources import tables as S
 
 
@@ -30,7 +31,7 @@ def test_newton_steps_over_rows_are_the_batched_fit(spark):
     assert set(got) == {0, 1, 2}  # a key with one label has no fit
     for k in got:
         own = df.where(F.col("k") == k).toPandas()
-        want = models.logistic_batch(own[names].to_numpy(), own["y"].to_numpy(float)[None], np.ones((1, len(own))), 2.0)[0]
+        want = plain.logistic_batch(own[names].to_numpy(), own["y"].to_numpy(float)[None], np.ones((1, len(own))), 2.0)[0]
         assert np.allclose(got[k], want, atol=1e-6)
 
 
@@ -42,41 +43,139 @@ def test_scores_of_splits(spark, l1):
     for k in (0, 1, 2):
         own = df.where(F.col("k") == k).orderBy("u").toPandas()
         out = own["held"].to_numpy(bool)
-        x = models._scaled(own[names].to_numpy(), ~out)
+        x = plain._scaled(own[names].to_numpy(), ~out)
         y = own["y"].to_numpy(float)
-        b = models.lasso_logistic(x[~out], y[~out], 0.5) if l1 else models.logistic_batch(x[~out], y[None, ~out], np.ones((1, (~out).sum())), 2.0)[0]
+        b = plain.lasso_logistic(x[~out], y[~out], 0.5) if l1 else plain.logistic_batch(x[~out], y[None, ~out], np.ones((1, (~out).sum())), 2.0)[0]
         want = 1 / (1 + np.exp(-(b[0] + x[out] @ b[1:])))
         assert np.allclose([got[k, u] for u in own["u"][out]], want, atol=1e-6)
     assert len(got) == 90
 
 
-def test_a_key_beyond_one_task_is_an_error(spark):
-    df, _ = panel(spark)
-    with pytest.raises(ValueError, match="one task"):
-        models.fit_each(df, ["k"], lambda pdf: pdf, "k long", most_rows=10)
-
-
-def test_chosen_penalty_is_the_loop_over_folds():
-    rng = np.random.default_rng(5)
-    x, grid = rng.normal(size=(60, 3)), [0.01, 0.1, 1.0, 10.0]
-    first = (x[:, 0] + rng.normal(size=60) > 0).astype(float)
-    ys = np.stack([first, *[rng.permutation(first) for _ in range(6)]])
-    got, used = models.chosen_batch(x, ys, grid)
-    for y, b, c in zip(ys, got, used, strict=True):
-        fold, seen = np.zeros(60, int), {0.0: 0, 1.0: 0}
-        for i, v in enumerate(y):
-            seen[v] += 1
-            fold[i] = seen[v] % 3
-        right = []
-        for value in grid:
-            hits = 0
-            for f in range(3):
-                t = fold != f
-                w = models.logistic_batch(x[t], y[None, t], np.ones((1, t.sum())), 1 / value)[0]
-                hits += ((w[0] + x[~t] @ w[1:] > 0) == (y[~t] == 1)).sum()
-            right.append(hits)
-        assert c == grid[int(np.argmax(right))]
-        assert np.allclose(b, models.logistic_batch(x, y[None], np.ones((1, 60)), 1 / c)[0], atol=1e-6)
+def train_rows(df, names, k):
+    """(scaled features, labels, unit draws, held) of a key by unit, as the fits see them."""
+    own = df.where(F.col("k") == k).withColumn("key", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("42"), F.col("k").cast("string"), F.col("u").cast("string"))), 1, 16), 16, 10)).orderBy("u").toPandas()
+    out = own["held"].to_numpy(bool)
+    return plain._scaled(own[names].to_numpy(), ~out), own["y"].to_numpy(float), np.array([int(x) for x in own["key"]], np.uint64), out
+
+
+def shuffled(y, keys, perm):
+    """The labels of a shuffle: as many ones as there are, at the smallest draws."""
+    d = fits.draws(keys, np.array([perm]))[:, 0]
+    out = np.zeros(len(y))
+    out[np.argsort(d)[: int(y.sum())]] = 1
+    return y if perm == 0 else out
+
+
+@pytest.mark.parametrize("wave", [None, 10])
+def test_permutation_aucs_are_numpys(spark, monkeypatch, wave):
+    if wave:
+        monkeypatch.setattr(fits, "WAVE", wave)
+    df, names = panel(spark, 2)
+    a = models.permutation_aucs(df.repartition(7), "k", names, "y", "held", "u", 40)
+    got = {(r["k"], r["perm"]): r["auc"] for r in a.collect()}
+    for k in (0, 1, 2):
+        x, y, keys, out = train_rows(df, names, k)
+        ys = np.stack([shuffled(y[~out], keys[~out], p) for p in range(41)])
+        b = plain.logistic_batch(x[~out], ys, np.ones(ys.shape), 1.0)
+        want = plain.rank_auc(b[:, :1] + b[:, 1:] @ x[out].T, y[out])
+        assert np.allclose([got[k, p] for p in range(41)], want)
+    nulls, seen = a.where("perm > 0"), a.where("perm = 0").select("k", "auc")
+    p = {r["k"]: r["p"] for r in evaluation.null_summary(nulls, seen, ["k"], "auc").collect()}
+    assert p == {k: pytest.approx(np.mean([got[k, i] >= got[k, 0] for i in range(1, 41)])) for k in (0, 1, 2)}
+
+
+def test_shuffles_are_many_different_ones(spark):
+    df, names = panel(spark, 3, keys=(0,), n=400)
+    rows = fits.fit_rows(df, ["k"], "u", names, "y", "held")
+    x, y, keys, out = train_rows(df, names, 0)
+    n, m = int((~out).sum()), int(y[~out].sum())
+    cut = fits.cuts(rows.table.where("NOT _held"), {0: m}, {0: n}, 300, 4)[0]
+    d = fits.draws(keys[~out], np.arange(300)) <= cut
+    assert (d[:, 1:].sum(0) == m).all() and len({bytes(c) for c in d[:, 1:].T}) == 299
+    share = d[:, 1:].mean(1)
+    assert abs(share.mean() - m / n) < 1e-9 and share.std() < 2.5 * np.sqrt(m / n * (1 - m / n) / 299)
+    for ones, size in ((0, n), (n, n)):
+        assert set(fits.cuts(rows.table.where("NOT _held"), {0: ones}, {0: size}, 3)[0][1:]) == ({-1.0} if not ones else {1.0})
+    rows.close()
+
+
+def test_each_shuffle_chooses_its_penalty(spark):
+    df, names = panel(spark, 5, keys=(0, 1), n=90)
+    grid = [0.01, 0.1, 1.0, 10.0]
+    got = {(r["k"], r["perm"]): (r["c"], r["auc"]) for r in models.permutation_aucs(df, "k", names, "y", "held", "u", 6, grid=grid).collect()}
+    for k in (0, 1):
+        raw = df.where(F.col("k") == k).orderBy("u").toPandas()[names].to_numpy()
+        x, y, keys, out = train_rows(df, names, k)
+        fold = fits.fold_of(keys, 3)
+        for perm in range(7):
+            t, right = ~out, []
+            label = np.full(len(y), -1.0)
+            label[t] = shuffled(y[t], keys[t], perm)
+            for c in grid:
+                hits = 0
+                for f in range(3):
+                    on, off = t & (fold != f), t & (fold == f)
+                    z = plain._scaled(raw, on)
+                    b = plain.logistic_batch(z[on], label[None, on], np.ones((1, on.sum())), 1 / c)[0]
+                    hits += ((b[0] + z[off] @ b[1:] > 0) == (label[off] == 1)).sum()
+                right.append(hits)
+            c = grid[int(np.argmax(right))]
+            b = plain.logistic_batch(x[t], label[None, t], np.ones((1, t.sum())), 1 / c)[0]
+            assert got[k, perm] == (c, pytest.approx(plain.rank_auc((b[0] + x[out] @ b[1:])[None], y[out])[0]))
+
+
+@pytest.mark.parametrize("l1", [False, True])
+def test_chosen_penalties_by_clusters_are_the_loop(spark, l1):
+    df, names = panel(spark, 6, keys=(0, 1), n=80)
+    df = df.withColumn("g", F.when(F.col("u") % 5 < 4, F.col("u") % 5))  # a fifth of the rows is in no cluster
+    grid = [0.02, 0.2, 2.0]
+    got = {r["k"]: r for r in models.choose_c(df, ["k"], names, "y", "u", grid, l1=l1, cluster="g").collect()}
+    for k in (0, 1):
+        own = df.where(F.col("k") == k).orderBy("u").toPandas()
+        raw, y, g = own[names].to_numpy(), own["y"].to_numpy(float), own["g"].to_numpy(float)
+        fit = (lambda x, t, c: plain.lasso_logistic(x, t, c)) if l1 else (lambda x, t, c: plain.logistic_batch(x, t[None], np.ones((1, len(t))), 1 / c)[0])
+        best = (-1.0, None)
+        for c in grid:
+            score = np.full(len(y), np.nan)
+            for f in range(4):
+                t = g != f
+                x = plain._scaled(raw, t)
+                b = fit(x[t], y[t], c)
+                score[~t] = b[0] + x[~t] @ b[1:]
+            has = ~np.isnan(score)
+            value = float(plain.rank_auc(score[None, has], y[has])[0])
+            if value > best[0] + 1e-12:
+                best = (value, c)
+        b = fit(plain._scaled(raw, np.ones(len(y), bool)), y, best[1])
+        assert (got[k]["c"], got[k]["nonzero"]) == (best[1], int((np.abs(b[1:]) > 1e-8).sum())) and got[k]["auc"] == pytest.approx(best[0])
+
+
+def test_leaving_one_row_out(spark):
+    df, names = panel(spark, 7, keys=(3,), n=24)
+    got = models.choose_c(df, ["k"], names, "y", "u", [0.1, 1.0], folds=None, l1=True).first()
+    own = df.orderBy("u").toPandas()
+    raw, y, best = own[names].to_numpy(), own["y"].to_numpy(float), (-1.0, None)
+    for c in (0.1, 1.0):
+        score = np.zeros(24)
+        for i in range(24):
+            t = np.arange(24) != i
+            x = plain._scaled(raw, t)
+            b = plain.lasso_logistic(x[t], y[t], c)
+            score[i] = b[0] + x[i] @ b[1:]
+        value = float(plain.rank_auc(score[None], y)[0])
+        if value > best[0] + 1e-12:
+            best = (value, c)
+    assert got["c"] == best[1] and got["auc"] == pytest.approx(best[0])
+
+
+def test_aucs_by_ranges_of_the_score_are_the_same(spark):
+    df, names = panel(spark, 8)
+    rows = fits.fit_rows(df, ["k"], "u", names, "y", "held")
+    found = fits.fit_all(rows, fits.Plan(3))
+    score = lambda k, b: (np.round(fits.scaled(b, found.scale[k], -1) @ found.beta[k].T, 1), np.arange(3))
+    one, many = fits.aucs(rows, found, "_held", score), fits.aucs(rows, found, "_held", score, most=4)
+    assert one == {k: pytest.approx(v) for k, v in many.items()} and set(one) == {0, 1, 2}
+    rows.close()
 
 
 def test_permutation_zero_is_the_fit(spark):
@@ -147,7 +246,7 @@ def test_forests_order_what_they_were_shown(spark):
     df, names = panel(spark, 3, keys=(4,), n=200)
     out = models.forest_scores(df.where("NOT held"), df.where("held"), names, "y", trees=30).collect()
     assert all(0 <= r["score"] <= 1 for r in out)
-    assert models.rank_auc(np.array([[r["score"] for r in out]]), np.array([r["y"] for r in out]))[0] > 0.9
+    assert plain.rank_auc(np.array([[r["score"] for r in out]]), np.array([r["y"] for r in out]))[0] > 0.9
     rng = np.random.default_rng(8)
     rows = [(i, x := float(rng.uniform(-1, 1)), max(1, int(rng.exponential(4 * np.exp(-1.5 * x)))) if i % 5 else 6, int(i % 5 > 0)) for i in range(200)]
     life = spark.createDataFrame([(i, x, min(t, 12), e) for i, x, t, e in rows], "u long, x double, t int, e int")
@@ -280,3 +379,29 @@ def test_sector_credit_volatility_is_the_plain_loop(spark, sf_dir):
         months = sorted(k[1] for k in want if k[0] == sector)
         for before, now in zip(months, months[12:], strict=False):
             assert got[sector, now]["metric_q"] == pytest.approx(want[sector, now] - want[sector, before], abs=3e-6)
+
+
+@pytest.mark.parametrize("months", [True, False])
+def test_cox_sums_are_the_loop_over_risk_sets(spark, months):
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(3):
+        x = rng.normal(size=(150, 3)) * [1, 5, 0.1]
+        t = rng.exponential(10 * np.exp(-0.8 * x[:, 0]))
+        t = np.minimum(np.ceil(t), 12) if months else t
+        rows += [(k, i, i % 3 > 0, float(t[i]), int(rng.uniform() < 0.7), int(rng.integers(1, 4)), *map(float, x[i])) for i in range(150)]
+    rows += [(7, i, True, 3.0, 0, 1, 0.1, 0.2, 0.3) for i in range(5)]  # no event
+    names = ["a", "b", "c"]
+    df = spark.createDataFrame(rows, "k int, u int, train boolean, t double, e int, w int, a double, b double, c double").withColumn("y", F.lit(1))
+    for weight in (None, "w"):
+        out = survival.cox_each(df.repartition(5), ["k"], names, "t", "e", "train", "u", "y", weight).collect()
+        assert {r["k"] for r in out} == {0, 1, 2}
+        for k in range(3):
+            own = df.where(F.col("k") == k).orderBy("u").toPandas()
+            on = own["train"].to_numpy(bool)
+            x = plain._scaled(own[names].to_numpy(), on)
+            b = plain.cox_efron(x[on], own["t"].to_numpy()[on], own["e"].to_numpy()[on], own["w"].to_numpy(float)[on] if weight else np.ones(on.sum()))
+            mine = {r["u"]: r for r in out if r["k"] == k}
+            assert np.allclose(next(iter(mine.values()))["betas"], b, atol=1e-7)
+            assert np.allclose([mine[u]["hazard"] for u in own["u"][~on]], np.exp(x[~on] @ b))
+    assert survival.fit_cox(df.where("k > 9"), ["k"], names, "t", "e").count() == 0

@@ -4,6 +4,7 @@ import math
 from datetime import date
 
 import numpy as np
+import plain_models as plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,7 +120,7 @@ def test_auc_ties_reversal_and_null(spark):
     a = {r["k"]: r["auc"] for r in evaluation.auc(df, ["k"], "s", "y").collect()}
     b = {r["k"]: r["auc"] for r in evaluation.auc(df.withColumn("s", -F.col("s")), ["k"], "s", "y").collect()}
     assert a[0] == 0.625 and b[0] == 1 - 0.625 and a[1] is None
-    assert models.rank_auc(np.array([[1.0, 2, 2, 0]]), np.array([1, 1, 0, 0]))[0] == 0.625
+    assert plain.rank_auc(np.array([[1.0, 2, 2, 0]]), np.array([1, 1, 0, 0]))[0] == 0.625
 
 
 def test_held_out_rows_do_not_change_train_statistics(spark):
@@ -200,10 +201,10 @@ def test_logistic_solvers_reach_stationary_points():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 4))
     y = (x[:, 0] + rng.normal(size=120) > 0).astype(float)
-    b = models.logistic_batch(x, y[None], np.ones((1, 120)), 1.0)[0]
+    b = plain.logistic_batch(x, y[None], np.ones((1, 120)), 1.0)[0]
     p = 1 / (1 + np.exp(-(b[0] + x @ b[1:])))
     assert np.abs(x.T @ (y - p) - b[1:]).max() < 1e-5 and abs((y - p).sum()) < 1e-5
-    c = models.lasso_logistic(x, y, 0.2)
+    c = plain.lasso_logistic(x, y, 0.2)
     p = 1 / (1 + np.exp(-(c[0] + x @ c[1:])))
     g = 0.2 * np.column_stack([np.ones(120), x]).T @ (y - p)
     assert all(abs(gi - np.sign(ci)) < 1e-3 if abs(ci) > 1e-6 else abs(gi) <= 1 + 1e-3 for gi, ci in zip(g, c, strict=True))
@@ -213,7 +214,7 @@ def test_cox_gradient_vanishes():
     rng = np.random.default_rng(4)
     x, t = rng.normal(size=(80, 2)), rng.integers(1, 6, 80).astype(float)
     e = rng.uniform(size=80) < 0.6
-    b = models.cox_efron(x, t, e, np.ones(80))
+    b = plain.cox_efron(x, t, e, np.ones(80))
 
     def loglik(beta):
         r, total = np.exp(x @ beta), -80 * 0.1 / 2 * beta @ beta
@@ -242,10 +243,10 @@ def test_l1_penalty_leaves_out_each_cluster_of_all_rows(spark, sf_dir):
         score = np.zeros(len(y))
         for k in set(cluster):
             t = cluster != k
-            x = models._scaled(raw, t)
-            b = models.lasso_logistic(x[t], y[t], c)
+            x = plain._scaled(raw, t)
+            b = plain.lasso_logistic(x[t], y[t], c)
             score[~t] = b[0] + x[~t] @ b[1:]
-        value = float(models.rank_auc(score[None], y)[0])
+        value = float(plain.rank_auc(score[None], y)[0])
         best = (value, c) if value > best[0] + 1e-12 else best
     assert got["auc"] == pytest.approx(best[0], abs=1e-6) and got["c"] == pytest.approx(best[1])
 

@@ -1,9 +1,9 @@
-"""Models on two axes of scale: many small fits (a fit for each key, solved with numpy in grouped tasks) and fits on many
-rows (sums of products in Spark, or Spark ML). What reaches the driver is p x p."""
+"""Models on two axes of scale: many fits and many rows. Fits are sums over rows (see fits and survival), products of columns,
+or Spark ML; what reaches the driver is features x features a fit."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,154 +11,15 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_unit
 from ..functions.numbers import sigmoid
+from . import fits
 from .evaluation import standardise
 
-# --- numpy solvers ------------------------------------------------------------------------------------------------
-
-
-def _p(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-
-
-def logistic_batch(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 50) -> np.ndarray:
-    """Coefficients (intercept first) of k L2 logistic fits by Newton's method at once. x: n x p; y, weight: k x n. The
-    intercept isn't penalised; penalty = 1 / C."""
-    x1 = np.column_stack([np.ones(len(x)), x])
-    k, q = len(y), x1.shape[1]
-    beta, ridge = np.zeros((k, q)), penalty * np.eye(q)
-    ridge[0, 0] = 1e-9
-    for _ in range(rounds):
-        p = _p(beta @ x1.T)
-        grad = (weight * (y - p)) @ x1 - beta @ ridge
-        hess = np.einsum("kn,ni,nj->kij", weight * np.maximum(p * (1 - p), 1e-9), x1, x1, optimize=True) + ridge
-        step = np.linalg.solve(hess, grad[..., None])[..., 0]
-        beta = beta + np.clip(step, -5, 5)
-        if np.abs(step).max(initial=0) < 1e-9:
-            break
-    return beta
-
-
-def _lasso_quadratic(hess: np.ndarray, r: np.ndarray, cost: np.ndarray, start: np.ndarray, sweeps: int = 1000) -> np.ndarray:
-    """Minimises b'Hb / 2 - r'b + cost'|b|: sweeps over coordinates find the signs, one linear solve the values."""
-    h, rs, k, b = hess.tolist(), r.tolist(), cost.tolist(), start.tolist()
-    q = range(len(b))
-    for sweep in range(sweeps):
-        most = 0.0
-        for j in q:
-            row = h[j]
-            g = rs[j] - sum(row[i] * b[i] for i in q) + row[j] * b[j]
-            new = (g - k[j] if g > k[j] else g + k[j] if g < -k[j] else 0.0) / row[j]
-            most, b[j] = max(most, abs(new - b[j])), new
-        if most < 1e-12:
-            break
-        if sweep % 4 == 3:
-            v = np.array(b)
-            on, sign, out = v != 0, np.sign(v), np.zeros(len(b))
-            out[on] = np.linalg.solve(hess[np.ix_(on, on)], r[on] - cost[on] * sign[on])
-            if (np.sign(out) == sign).all() and (np.abs(r - hess @ out)[~on] <= cost[~on] * (1 + 1e-9)).all():
-                return out
-    return np.array(b)
-
-
-def lasso_logistic(x: np.ndarray, y: np.ndarray, c: float, penalize_intercept: bool = True, rounds: int = 200, start: np.ndarray | None = None) -> np.ndarray:
-    """Coefficients (intercept first) of an L1 logistic fit by proximal Newton steps; minimises |b| + C * loss."""
-    x1 = np.column_stack([np.ones(len(x)), x])
-    q = x1.shape[1]
-    cost = np.ones(q)
-    if not penalize_intercept:
-        cost[0] = 0
-    value = lambda b: cost @ np.abs(b) + c * (np.logaddexp(0, z := x1 @ b) - y * z).sum()
-    b = np.zeros(q) if start is None else start
-    now = value(b)
-    for _ in range(rounds):
-        p = _p(x1 @ b)
-        grad = -c * (x1.T @ (y - p))
-        hess = c * (x1 * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x1 + 1e-10 * np.eye(q)
-        new = _lasso_quadratic(hess, hess @ b - grad, cost, b)
-        step, t = new - b, 1.0
-        slope = grad @ step + cost @ (np.abs(new) - np.abs(b))
-        while t > 1e-10 and (then := value(b + t * step)) > now + 1e-4 * t * slope + 1e-12:
-            t /= 2
-        if t <= 1e-10:
-            break
-        b, now = b + t * step, then
-        if np.abs(t * step).max() < 1e-9:
-            break
-    return b
-
-
-def cox_efron(x: np.ndarray, time: np.ndarray, event: np.ndarray, weight: np.ndarray, penalty: float = 0.1, rounds: int = 50) -> np.ndarray:
-    """Coefficients of a ridge Cox model with Efron's ties: maximises the log partial likelihood less n * penalty / 2 * |b|^2."""
-    order = np.argsort(-time, kind="stable")
-    x, time, event, weight = x[order], time[order], event[order].astype(bool), weight[order]
-    n, p = x.shape
-    beta = np.zeros(p)
-    cuts = np.flatnonzero(np.diff(time, prepend=np.inf))
-    for _ in range(rounds):
-        r = weight * np.exp(np.clip(x @ beta, -35, 35))
-        grad, hess = -n * penalty * beta, n * penalty * np.eye(p)
-        s0, s1, s2 = 0.0, np.zeros(p), np.zeros((p, p))
-        for a, b in zip(cuts, [*cuts[1:], n], strict=True):
-            xs, rs = x[a:b], r[a:b]
-            s0, s1, s2 = s0 + rs.sum(), s1 + rs @ xs, s2 + (xs * rs[:, None]).T @ xs
-            e = event[a:b]
-            d = int(e.sum())
-            if not d:
-                continue
-            xe, re, w = xs[e], rs[e], weight[a:b][e]
-            d0, d1, d2 = re.sum(), re @ xe, (xe * re[:, None]).T @ xe
-            grad = grad + w @ xe
-            for j in range(d):
-                f = j / d
-                m = (s1 - f * d1) / (s0 - f * d0)
-                grad = grad - w.mean() * m
-                hess = hess + w.mean() * ((s2 - f * d2) / (s0 - f * d0) - np.outer(m, m))
-        step = np.linalg.solve(hess, grad)
-        beta = beta + np.clip(step, -2, 2)
-        if np.abs(step).max(initial=0) < 1e-8:
-            break
-    return beta
-
-
-def rank_auc(score: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """AUC of each row of scores (k x n); NaN with one class."""
-    order = np.argsort(score, axis=1, kind="stable")
-    s = np.take_along_axis(score, order, 1)
-    n = s.shape[1]
-    first = np.ones(s.shape, bool)
-    first[:, 1:] = s[:, 1:] != s[:, :-1]
-    start = np.maximum.accumulate(np.where(first, np.arange(n), 0), 1)
-    last = np.ones(s.shape, bool)
-    last[:, :-1] = first[:, 1:]
-    end = np.minimum.accumulate(np.where(last, np.arange(n), n)[:, ::-1], 1)[:, ::-1]
-    rank = np.empty(s.shape)
-    np.put_along_axis(rank, order, (start + end) / 2 + 1, 1)
-    p, q = int((label == 1).sum()), int((label == 0).sum())
-    return (rank[:, label == 1].sum(1) - p * (p + 1) / 2) / (p * q) if p and q else np.full(len(score), np.nan)
-
-
-def _scaled(x: np.ndarray, train: np.ndarray) -> np.ndarray:
-    """Missing as 0, then less the train mean over its deviation (ddof 0)."""
-    x = np.nan_to_num(x.astype(float))
-    m, s = x[train].mean(0), x[train].std(0)
-    return np.where(s > 1e-8, (x - m) / np.where(s > 1e-8, s, 1), 0.0)
-
-
-# --- many small fits ----------------------------------------------------------------------------------------------
-
-
-def fit_each(df: DataFrame, keys: Sequence[str], fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most_rows: int = 1_000_000) -> DataFrame:
-    """One call for each key's rows in a grouped task: for panels of groups, tens to many thousands of rows a key. A key of
-    more than ``most_rows`` is an error; fit_logistic and the product sums take any number of rows."""
-    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if longest > most_rows:
-        raise ValueError(f"a key has {longest} rows; fits in one task take at most {most_rows}")
-    return df.groupBy(*keys).applyInPandas(fit, schema)
+# --- logistic fits ------------------------------------------------------------------------------------------------
 
 
 def fit_logistic(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, penalty: float = 1.0, rounds: int = 30, most_keys: int = 100_000) -> DataFrame:
@@ -201,144 +62,116 @@ def fit_logistic(df: DataFrame, keys: Sequence[str], features: Sequence[str], la
     return table(sorted(beta))
 
 
+def _frame(spark: SparkSession, df: DataFrame, keys: Sequence[str], rows: list[tuple], more: str) -> DataFrame:
+    """A table of a few values a key."""
+    return spark.createDataFrame(rows, ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], more]))
+
+
 def score_splits(df: DataFrame, keys: Sequence[str], unit: str, features: Sequence[str], label: str, held: str, c: float = 1.0, l1: bool = False, c_column: str | None = None) -> DataFrame:
-    """(keys, unit, label, score) of the held-out units of each key: logistic regression on the others, scaled on them.
-    With L2 any number of rows a key; L1 fits a key's rows in one task, see fit_each, with the key's own C if there is a
-    ``c_column``."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    if not l1:
-        z = standardise(df.select(*keys, unit, label, held, *features), keys, f"NOT `{held}`", features, sample=False)
+    """(keys, unit, label, score) of the held-out units of each key: logistic regression on the others, scaled on them. L1
+    takes the key's own C if there is a ``c_column``."""
+    z = standardise(df.select(*keys, unit, label, held, *features), keys, f"NOT `{held}`", features, sample=False)
+    if l1:
+        rows = fits.fit_rows(df, keys, unit, features, label, held)
+        own = {tuple(r[k] for k in keys): r["_c"] for r in df.groupBy(*keys).agg(F.max(c_column).alias("_c")).collect()} if c_column else {}
+        plan = fits.Plan(1, (1 / c,), each={i: np.array([1 / own[k]]) for i, k in enumerate(rows.keys) if own.get(k)})
+        found = fits.fit_all(rows, plan, l1=True)
+        rows.close()
+        beta = _frame(df.sparkSession, df, keys, [(*rows.keys[i], b[0].tolist()) for i, b in found.beta.items()], "beta array<double>")
+    else:
         beta = fit_logistic(z.where(f"NOT `{held}`"), keys, features, label, 1 / c)
-        linear = sum((F.col(x) * F.col("beta")[i] for i, x in enumerate(features, 1)), F.col("beta")[0])
-        return z.where(F.col(held)).join(F.broadcast(beta), list(keys)).select(*keys, unit, label, sigmoid(linear).alias("score"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, y = pdf[held].to_numpy(bool), pdf[label].to_numpy(float)
-        x = _scaled(pdf[list(features)].to_numpy(float), ~out)
-        if len(set(y[~out])) < 2 or not out.any():
-            return pdf.loc[[], [*keys, unit, label]].assign(score=np.zeros(0))
-        b = lasso_logistic(x[~out], y[~out], float(pdf[c_column].iloc[0]) if c_column else c)
-        return pdf.loc[out, [*keys, unit, label]].assign(score=_p(b[0] + x[out] @ b[1:]))
-
-    return fit_each(df, keys, fit, ", ".join([*[f"`{k}` {kinds[k]}" for k in (*keys, unit, label)], "score double"]))
-
-
-def folds_by_class(y: np.ndarray, folds: int) -> np.ndarray:
-    """The fold of each entry of each row of labels: round by class, in the given order."""
-    one = y == 1
-    return np.where(one, np.cumsum(one, -1), np.cumsum(~one, -1)) % folds
-
-
-def chosen_batch(x: np.ndarray, ys: np.ndarray, grid: Sequence[float], folds: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(coefficients, C) of k fits whose C is the grid value of best cross-validated accuracy (the smallest of equal ones),
-    chosen for each row of labels by itself. x: n x p; ys: k x n."""
-    fold, grid = folds_by_class(ys, folds), sorted(grid)
-    x1, right = np.column_stack([np.ones(len(x)), x]), np.zeros((len(grid), len(ys)))
-    for i, c in enumerate(grid):
-        for f in range(folds):
-            b = logistic_batch(x, ys, (fold != f).astype(float), 1 / c)
-            right[i] += (((b @ x1.T > 0) == (ys == 1)) & (fold == f)).sum(1)
-    best = right.argmax(0)
-    out = np.zeros((len(ys), x1.shape[1]))
-    for i in np.unique(best):
-        at = best == i
-        out[at] = logistic_batch(x, ys[at], np.ones(ys[at].shape), 1 / grid[i])
-    return out, np.array(grid)[best]
+    linear = sum((F.col(x) * F.col("beta")[i] for i, x in enumerate(features, 1)), F.col("beta")[0])
+    return z.where(F.col(held)).join(F.broadcast(beta), list(keys)).select(*keys, unit, label, sigmoid(linear).alias("score"))
 
 
 def permutation_aucs(df: DataFrame, split: str, features: Sequence[str], label: str, held: str, order: str, perms: int = 100, c: float = 1.0, seed: int = 42, grid: Sequence[float] | None = None) -> DataFrame:
     """(split, perm, auc, c): perm 0 is the fit on the true training labels, the others on shuffled ones; AUC is always on the
-    true labels held out. All fits of a split are one batched Newton iteration. With a ``grid``, each split and permutation
-    chooses its own C by three folds of its training labels."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, y, s = pdf[held].to_numpy(bool), pdf[label].to_numpy(float), int(pdf[split].iloc[0])
-        x, train = _scaled(pdf[list(features)].to_numpy(float), ~out), y[~out]
-        rng = np.random.Generator(np.random.PCG64([seed, s]))
-        ys = np.stack([train] + [rng.permutation(train) for _ in range(perms)])
-        b, used = (logistic_batch(x[~out], ys, np.ones(ys.shape), 1 / c), np.full(len(ys), c)) if grid is None else chosen_batch(x[~out], ys, grid)
-        value = rank_auc(b[:, :1] + b[:, 1:] @ x[out].T, y[out])
-        return pd.DataFrame({split: s, "perm": np.arange(perms + 1), "auc": value, "c": used}).dropna()
-
-    return fit_each(df, [split], fit, f"`{split}` long, perm long, auc double, c double")
+    true labels held out. With a ``grid``, each split and permutation chooses its own C: the value of best accuracy over
+    three keyed folds of its training rows (the smallest of equal ones). Any number of rows a split, see fits."""
+    rows = fits.fit_rows(df, [split], order, features, label, held, seed=seed)
+    if grid is None:
+        found, used = fits.fit_all(rows, fits.Plan(perms + 1, (1 / c,))), {}
+    else:
+        tried = sorted(grid)
+        cv = fits.fit_all(rows, fits.Plan(perms + 1, [1 / x for x in tried], 3))
+
+        def right(k: int, b: dict[str, np.ndarray]) -> dict[int, np.ndarray]:
+            if k not in cv.beta:
+                return {}
+            perm, _, fold = cv.plan.of(k)
+            own, out = cv.plan.fold(b), np.zeros(len(perm))
+            for f in range(3):
+                part, at = {n: v[own == f] for n, v in b.items()}, np.flatnonzero(fold == f)
+                for a in range(0, len(part["y"]), step := max(1, fits.CELLS // len(at))):
+                    some = {n: v[a : a + step] for n, v in part.items()}
+                    which, back = np.unique(perm[at], return_inverse=True)
+                    y = fits.labels(some, which, cv.cut[k])[:, back]
+                    out[at] += ((fits.scaled(some, cv.scale[k], f) @ cv.beta[k][at].T > 0) == (y == 1)).sum(0)
+            return {k: out}
+
+        hits = fits.sums(rows.table.where("NOT _held"), right)
+        used = {k: np.array(tried)[v.reshape(perms + 1, len(tried), 3).sum(2).argmax(1)] for k, v in hits.items()}
+        found = fits.fit_all(rows, fits.Plan(perms + 1, each={k: 1 / v for k, v in used.items()}), cut=cv.cut)
+    value = fits.aucs(rows, found, "_held", lambda k, b: (fits.scaled(b, found.scale[k], -1) @ found.beta[k].T, np.arange(perms + 1)))
+    rows.close()
+    out = [(rows.keys[k][0], p, v, float(used[k][p]) if k in used else c) for k, own in value.items() for p, v in own.items()]
+    return _frame(df.sparkSession, df, [split], out, "perm long, auc double, c double")
 
 
 def choose_c(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, order: str, grid: Sequence[float], folds: int | None = 3, l1: bool = False, cluster: str | None = None) -> DataFrame:
     """(keys, c, auc, nonzero): the grid value with the best pooled cross-validated AUC (the smallest of equal ones).
-    folds=None leaves one out. Folds go round by class in the given order; with ``cluster``, each of its values is a fold.
-    Rows that have one class only outside their cluster have no score."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        y, raw = pdf[label].to_numpy(float), pdf[list(features)].to_numpy(float)
-        by_cluster = pd.factorize(pdf[cluster], use_na_sentinel=False)[0] if cluster else None
-        fold = by_cluster if cluster else np.arange(len(y)) if folds is None else folds_by_class(y, folds)
-        last: dict = {}  # a fold's fit at the grid value before
-        solve = (lambda x, t, c, f: lasso_logistic(x, t, c, start=last.get(f))) if l1 else (lambda x, t, c, f: logistic_batch(x, t[None], np.ones((1, len(t))), 1 / c)[0])
-        best = (-1.0, 0.0, 0)
-        for c in sorted(grid):
-            score = np.zeros(len(y))
-            for f in np.unique(fold):
-                t = fold != f
-                if cluster and len(set(y[t])) < 2:
-                    score[~t] = np.nan
-                    continue
-                x = _scaled(raw, t)
-                b = last[f] = solve(x[t], y[t], c, f)
-                score[~t] = b[0] + x[~t] @ b[1:]
-            has = ~np.isnan(score)
-            value = float(rank_auc(score[None, has], y[has])[0])
-            if value > best[0] + 1e-12:
-                b = solve(_scaled(raw, np.ones(len(y), bool)), y, c, None)
-                best = (value, c, int((np.abs(b[1:]) > 1e-8).sum()))
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "c": best[1], "auc": best[0], "nonzero": best[2]}])
-
-    return fit_each(df, keys, fit, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "c double, auc double, nonzero long"]))
-
-
-def cox_each(df: DataFrame, keys: Sequence[str], features: Sequence[str], time: str, event: str, train: str, unit: str, label: str, weight: str | None = None, penalty: float = 0.1) -> DataFrame:
-    """(keys, unit, label, hazard, betas) of each key's rows outside ``train``: Cox model on its train rows, scaled on them."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf[train].to_numpy(bool)
-        x = _scaled(pdf[list(features)].to_numpy(float), t)
-        w = pdf[weight].to_numpy(float)[t] if weight else np.ones(int(t.sum()))
-        rest = pdf.loc[~t, [*keys, unit, label]]
-        if not t.any() or not pdf.loc[t, event].any():
-            return rest.iloc[:0].assign(hazard=np.zeros(0), betas=pd.Series(dtype=object))
-        b = cox_efron(x[t], pdf[time].to_numpy(float)[t], pdf[event].to_numpy()[t], w, penalty)
-        return rest.assign(hazard=np.exp(np.clip(x[~t] @ b, -35, 35)), betas=[b.tolist()] * len(rest))
-
-    return fit_each(df, keys, fit, ", ".join([*[f"`{k}` {kinds[k]}" for k in (*keys, unit, label)], "hazard double, betas array<double>"]))
-
-
-def laplace_each(df: DataFrame, keys: Sequence[str], unit: str, features: Sequence[str], label: str, held: str, prior_sd: float = 1.0, intercept_sd: float = 2.0, draws: int = 400, seed: int = 42) -> DataFrame:
+    folds=None leaves one row (``order``) out. Folds are keyed draws; with ``cluster``, each of its values is a fold. Rows
+    that have one class only outside their fold have no score; keys without an AUC are left out."""
+    tried = sorted(grid)
+    one = cluster or (order if folds is None else None)
+    rows = fits.fit_rows(df, keys, order, features, label, cluster=one)
+    cv = fits.fit_all(rows, fits.Plan(1, [1 / c for c in tried], 0 if one else folds, bool(one)), l1)
+
+    def scores(k: int, b: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own, out = cv.plan.fold(b), np.full((len(b["y"]), len(tried)), np.nan)
+        beta = cv.beta[k].reshape(len(tried), -1, len(features) + 1)
+        rest = cv.lines[k].sum(0) - cv.lines[k][1:]
+        for f in np.unique(own[own >= 0]):
+            if 0 < rest[f, 1] < rest[f, 0]:
+                out[own == f] = (fits.scaled(b, cv.scale[k], f) @ beta[:, f].T)[own == f]
+        return out, np.arange(len(tried))
+
+    value = fits.aucs(rows, cv, "NOT _held", scores)
+    best = {k: max(own, key=lambda i, own=own: (round(own[i], 12), -i)) for k, own in value.items()}
+    full = fits.fit_all(rows, fits.Plan(1, (1.0,), each={k: np.array([1 / tried[i]]) for k, i in best.items()}), l1)
+    rows.close()
+    out = [(*rows.keys[k], float(tried[i]), value[k][i], int((np.abs(full.beta[k][0, 1:]) > 1e-8).sum())) for k, i in best.items()]
+    return _frame(df.sparkSession, df, keys, out, "c double, auc double, nonzero long")
+
+
+def laplace_each(df: DataFrame, keys: Sequence[str], unit: str, features: Sequence[str], label: str, held: str, prior_sd: float = 1.0, intercept_sd: float = 2.0, n_draws: int = 400, seed: int = 42) -> DataFrame:
     """(keys, unit, label, score, width): Bayesian logistic regression by Laplace's approximation. score is the mean
-    prediction over normal draws of the coefficients, width that of its central 95 %."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    prediction over normal draws of the coefficients, width that of its central 95 %. A key's draws go to the tasks, its
+    rows stay where they are."""
+    rows = fits.fit_rows(df, keys, unit, features, label, held, seed=seed)
+    found = fits.fit_all(rows, fits.Plan(1, (prior_sd**-2,)), intercept=intercept_sd**-2)
+    normal = np.random.Generator(np.random.PCG64(seed)).standard_normal((n_draws, len(features) + 1))
+    prior = np.diag([intercept_sd**-2] + [prior_sd**-2] * len(features))
+    at = fits.information(rows.table.where("NOT _held"), found, {k: np.zeros(1, int) for k in found.beta})
+    rows.close()
+    drawn = {k: found.beta[k][0] + normal @ np.linalg.inv(np.linalg.cholesky(h[0] + prior)) for k, (_, h, _) in at.items()}
+    numbers = _frame(df.sparkSession, df, keys, [(*rows.keys[k], k) for k in drawn], "_k int")
+    z = standardise(df.select(*keys, unit, label, held, *features), keys, f"NOT `{held}`", features, sample=False).where(F.col(held))
+    z = z.join(F.broadcast(numbers), list(keys)).select(*keys, unit, label, "_k", F.array(F.lit(1.0), *features).alias("_x"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, part in pdf.groupby("_k"):
+                x, out = np.stack(part["_x"]), part[[*keys, unit, label]].copy()
+                means, widths = [], []
+                for a in range(0, len(x), 2000):
+                    p = fits.sigmoid(drawn[k] @ x[a : a + 2000].T)
+                    means.append(p.mean(0))
+                    widths.append(np.percentile(p, 97.5, axis=0) - np.percentile(p, 2.5, axis=0))
+                yield out.assign(score=np.concatenate(means), width=np.concatenate(widths))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(unit)
-        out, y = pdf[held].to_numpy(bool), pdf[label].to_numpy(float)
-        x = np.column_stack([np.ones(len(y)), _scaled(pdf[list(features)].to_numpy(float), ~out)])
-        rest = pdf.loc[out, [*keys, unit, label]]
-        prec, b = np.diag([intercept_sd**-2] + [prior_sd**-2] * len(features)), np.zeros(x.shape[1])
-        for _ in range(50):
-            p = _p(x[~out] @ b)
-            h = (x[~out] * (p * (1 - p))[:, None]).T @ x[~out] + prec
-            step = np.linalg.solve(h, x[~out].T @ (y[~out] - p) - prec @ b)
-            b = b + step
-            if np.abs(step).max() < 1e-9:
-                break
-        rng = np.random.Generator(np.random.PCG64(seed))
-        z = rng.standard_normal((draws, len(b)))
-        p = _p((b + z @ np.linalg.inv(np.linalg.cholesky(h))) @ x[out].T)
-        return rest.assign(score=p.mean(0), width=np.percentile(p, 97.5, axis=0) - np.percentile(p, 2.5, axis=0))
-
-    return fit_each(df, keys, fit, ", ".join([*[f"`{k}` {kinds[k]}" for k in (*keys, unit, label)], "score double, width double"]))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return z.mapInPandas(score, ", ".join([*[f"`{k}` {kinds[k]}" for k in (*keys, unit, label)], "score double, width double"]))
 
 
 # --- fits on many rows --------------------------------------------------------------------------------------------

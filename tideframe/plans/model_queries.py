@@ -12,6 +12,7 @@ from ..operators import evaluation as E
 from ..operators import joins, panel
 from ..operators import models as M
 from ..operators import splits as R
+from ..operators import survival as SV
 from ..operators import volatility as V
 from . import evaluation_queries as EQ
 from . import panel_queries as PQ
@@ -179,13 +180,13 @@ COX = ["realized_vol", "size", "n_days"]
 @query()
 def cox_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of each supplier's mean hazard among those held out."""
-    h = M.cox_each(survival_rows(spark, sf_dir).withColumn("train", ~F.col("held")), ["split"], COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label")
+    h = SV.cox_each(survival_rows(spark, sf_dir).withColumn("train", ~F.col("held")), ["split"], COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label")
     return rounded(E.group_auc(h, ["split"], "l_suppkey", "hazard", "label"), ["auc"])
 
 
 @query()
 def cox_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = M.cox_each(survival_rows(spark, sf_dir).withColumn("train", ~F.col("held")), ["split"], COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label")
+    h = SV.cox_each(survival_rows(spark, sf_dir).withColumn("train", ~F.col("held")), ["split"], COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label")
     betas = h.groupBy("split").agg(F.first("betas").alias("b")).select("split", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in COX]).alias("name"), F.col("b").alias("beta"))).alias("e")).select("split", "e.*")
     return rounded(E.coefficient_stability(betas, "name", "beta"), ["median", "low", "high", "share_positive"])
 
@@ -194,7 +195,7 @@ def cox_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_or_demeaned_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same splits on raw and on supplier-demeaned features: paired AUCs and their gap."""
     rows = survival_rows(spark, sf_dir).withColumn("train", ~F.col("held")).withColumn("unit", F.concat_ws("/", F.col("split").cast("string"), F.col("l_suppkey").cast("string")))
-    score = lambda d, name: E.group_auc(M.cox_each(d, ["split"], COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label"), ["split"], "l_suppkey", "hazard", "label", name).drop("n")
+    score = lambda d, name: E.group_auc(SV.cox_each(d, ["split"], COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label"), ["split"], "l_suppkey", "hazard", "label", name).drop("n")
     out = score(rows, "raw").join(score(V.demeaned(rows, "unit", COX), "demeaned"), "split")
     return rounded(out.withColumn("gap", F.col("raw") - F.col("demeaned")), ["raw", "demeaned", "gap"])
 
@@ -204,10 +205,7 @@ def cluster_bootstrap_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range of Cox coefficients over 500 resamples of suppliers with replacement, by regime (two halves of the sectors)."""
     p = with_sector(survival_rows(spark, sf_dir, 1).drop("split", "held"), spark, sf_dir).withColumn("regime", regime_of("sector")).drop("sector")
     w = R.cluster_weights(p.select("l_suppkey").distinct(), "l_suppkey", 500)
-    rows = w.join(p, "l_suppkey").withColumn("train", F.lit(True))
-    keys = ["boot", "regime"]
-    ghost = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rows.columns if c not in keys]).withColumn("train", F.lit(False))
-    h = M.cox_each(rows.unionByName(ghost), keys, COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label", weight="weight")
+    h = SV.cox_betas(w.join(p, "l_suppkey"), ["boot", "regime"], COX, "time_to_peak", "event_12m", weight="weight")
     betas = h.select("regime", F.posexplode("betas").alias("i", "beta")).withColumn("name", F.concat_ws("/", "regime", F.element_at(F.array(*[F.lit(c) for c in COX]), F.col("i") + 1)))
     return rounded(E.coefficient_stability(betas, "name", "beta"), ["median", "low", "high", "share_positive"])
 
@@ -319,7 +317,7 @@ def target_scores_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 def target_hazards_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Cox model a regime; targets' hazards month by month."""
     rows = target_rows(spark, sf_dir).withColumn("train", ~F.col("held"))
-    h = M.cox_each(rows, ["regime"], COX, "time_to_peak", "event_12m", "train", "unit", "label")
+    h = SV.cox_each(rows, ["regime"], COX, "time_to_peak", "event_12m", "train", "unit", "label")
     return ranked_targets(h, "hazard")
 
 
