@@ -21,6 +21,8 @@ from .roles import rounded, table, with_sector
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 FEATURES = ["s1", "s2", "s3"]
+#: Shuffles of the labels in permutation tests.
+PERMS = 500
 L2_GRID = [10.0 ** (-4 + 8 * i / 9) for i in range(10)]
 C_GRID = [10 ** (-3 + 4 * i / 19) for i in range(20)]
 TEXT = ["words", "word_length", "symbols", "lines", "capitals"]
@@ -144,18 +146,18 @@ def chosen_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed AUC of each split and the share of refits on shuffled labels that reach it."""
-    a = M.permutation_aucs(EQ.splits(spark, sf_dir), "split", FEATURES, "label", "held", "doc_id", 100)
+    a = M.permutation_aucs(EQ.splits(spark, sf_dir), "split", FEATURES, "label", "held", "doc_id", PERMS)
     seen = a.where("perm = 0").select("split", "auc")
     return rounded(E.null_summary(a.where("perm > 0"), seen, ["split"], "auc"), ["mean", "std", "q05", "q95", "p", "p1"])
 
 
 @query()
 def fixed_or_chosen_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permutation p with C = 1 and with C chosen by three folds for each split and permutation (20 of them), side by side:
-    pooled nulls against the median observed AUC."""
+    """Permutation p with C = 1 and with C chosen by three folds for each split and permutation, side by side: pooled nulls
+    against the median observed AUC."""
     out = None
     for arm, grid in (("fixed", None), ("chosen", L2_GRID)):
-        a = M.permutation_aucs(split_rows(spark, sf_dir), "split", FEATURES, "label", "held", "doc_id", 20, grid=grid).persist()
+        a = M.permutation_aucs(split_rows(spark, sf_dir), "split", FEATURES, "label", "held", "doc_id", PERMS, grid=grid)
         middle = a.where("perm = 0").agg(F.median("auc").alias("observed"), F.median("c").alias("median_c"))
         p = a.where("perm > 0").crossJoin(F.broadcast(middle)).groupBy("observed", "median_c").agg(F.avg((F.col("auc") >= F.col("observed")).cast("double")).alias("p"), F.median("auc").alias("null_median")).withColumn("arm", F.lit(arm))
         out = p if out is None else out.unionByName(p)
