@@ -111,6 +111,27 @@ def test_language_scores_are_the_formula():
     assert names[1:3] == ["und", "und"]
 
 
+def plain_windows(text, least, first):
+    words = re.sub(r"[^a-z\x80-\U0010ffff]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)).split()
+    at = 0
+    while at < len(words):
+        size, end = 0, at
+        while end < len(words) and size < first:
+            size += len(words[end].encode()) + 1
+            end += 1
+        yield f" {' '.join(words[at:end])} ".encode() + bytes(range(128, 160))
+        at, first = end, least
+
+
+def plain_compressor(content):
+    import zstandard
+
+    held = zstandard.ZstdCompressionDict(bytes(range(128, 160)) + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    how = zstandard.ZstdCompressionParameters.from_level(9, dict_size=32 + len(content), source_size=64, min_match=5, strategy=zstandard.STRATEGY_LAZY2, search_log=9, window_log=18, write_content_size=False, write_checksum=False, write_dict_id=False)
+    held.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress
+
+
 def test_toxicity(spark, docs):
     rng = np.random.default_rng(1)
     words = "kabel lodun mifa nergri torhes sajo kafa lobel midun".split()
@@ -128,11 +149,19 @@ def test_toxicity(spark, docs):
     assert toxicity.score_toxicity(none(df), "text", model).count() == 0
     long = " ".join(words * 30_000) + " " + BAD
     assert max(toxicity.differences(toxicity.windows(long), model.toxic, model.ordinary)) >= 6
-    # the score is the plain sum over windows
+    # the score by a plain program: its own windows, its own compressors
+    pack = [plain_compressor(x) for x in (model.toxic, model.ordinary)]
     for text in (long, make(True), None, "", "x" * 3000):
-        total = sum(model.weights[min(max(d, 0), toxicity.BINS - 1)] for d in toxicity.differences(toxicity.windows(text), model.toxic, model.ordinary))
-        bias, slope, floor = model.curve
-        want = floor + (1 - floor) / (1 + np.exp(-np.clip(bias + slope * np.clip(total, -30, 30), -30, 30)))
+        z = model.curve[0]
+        for i, width in enumerate((96, 400)):
+            total = 0.0
+            for first in (96, 48) if width == 96 else (400,):
+                for w in plain_windows(text or "", width, first):
+                    m, n = (len(x(w)) for x in pack)
+                    saved = n - m if min(m, n) <= 0.75 * (len(w) - 32) else 0
+                    total += model.weights[i][min(max(saved + 2, 0), 13)]
+            z += model.curve[1 + i] * np.clip(total, -30, 30)
+        want = model.curve[-1] + (1 - model.curve[-1]) / (1 + np.exp(-np.clip(z, -30, 30)))
         assert toxicity.score_texts([text], model)[0] == pytest.approx(want)
     again = toxicity.fit(df.repartition(7).select("doc_id", "text"), df.where("doc_id < 180").select("doc_id", "toxic"), "doc_id", "text", "toxic")
     assert again == model
@@ -143,15 +172,22 @@ def test_windows_are_whole_words_in_order():
         plain = bytes(toxicity._PLAIN[b] for b in (text or "").encode()).split()
         got = list(toxicity.windows(text))
         assert b" ".join(w.strip() for w in got).split() == plain
-        assert all(len(w) >= toxicity.WINDOW for w in got[:-1])
+        assert all(len(w) >= 96 for w in got[:-1])
     long = "ab cde " * 400_000
     assert sum(w.count(b"cde") for w in toxicity.windows(long)) == 400_000
 
 
-def test_residue_is_what_known_parts_lack():
-    known = np.unique(toxicity._parts(b" the cat and the dog went to the house "))
-    assert toxicity.residue(b" the cat and the dog ", known) == []
-    assert any(b"idiot" in x for x in toxicity.residue(b" the cat and the idiot went to ", known))
+@pytest.mark.parametrize(("sf", "least", "most"), [("sf0.01", 11, 1), ("sf0.1", 57, 4)])
+def test_toxic_texts_of_the_tables_are_found(spark, sf, least, most):
+    """Held-out rows: about half of those of label 1 have nothing toxic in them."""
+    path = f"/root/testdata/{sf}"
+    labels = spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "toxic")
+    texts = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    model = queries.toxicity_model(texts, labels)
+    held = texts.join(labels.where(queries.id_remainder("doc_id", 3) == 1), "doc_id")
+    got = toxicity.score_toxicity(held, "text", model).groupBy("toxic").agg(F.sum((F.col("toxicity") >= 0.7).cast("int")).alias("n")).collect()
+    got = {r["toxic"]: r["n"] for r in got}
+    assert got[1] >= least and got[0] <= most
 
 
 # --- sharding, mixing, packing ------------------------------------------------------------------------------------

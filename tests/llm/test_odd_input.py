@@ -40,7 +40,7 @@ def test_text_ids_and_clashing_columns(spark):
         odd = odd.withColumn(c, F.lit(c))
     assert {r["doc_id"] for r in packing.pack_documents(odd, "doc_id", "text", queries.tokenizer_path(), 64).collect()} == {"a", "b", "c", None}
     assert collections.Counter(r["component_id"] for r in minhash.near_duplicates(odd, "doc_id", "text").collect()) == {"a": 2, "c": 1, None: 1}
-    model, mild = language.fit(odd, "text", "lang", ["doc_id"]), toxicity.Model(b"", b"", (0.0,) * toxicity.BINS, (-5.0, 0.0, 0.0))
+    model, mild = language.fit(odd, "text", "lang", ["doc_id"]), toxicity.NOTHING
     same = (language.reject_unknown(odd, "text", model), minhash.drop_near_duplicates(odd, "doc_id", "text"), mixing.mixed_documents(odd, "source", "text", ["doc_id"]), toxicity.reject_toxic(odd, "text", mild))
     sized = odd.withColumn("size", F.lit(3).cast("long"))
     more = (sharding.shard_groups(sized, "text", "size", 2, ["doc_id"]), mixing.mix_sources(sized, "source", "size", ["doc_id"]), urls.filter_urls(odd.withColumn("url", F.lit("http://a.com/")), "url", "text", queries.URL_RULES))
