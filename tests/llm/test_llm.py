@@ -533,6 +533,41 @@ def test_url_rules_and_link_graph(spark):
         score = {h: 0.15 * seed.get(h, 0.0) + 0.85 * (flow[h] + stay * seed.get(h, 0.0)) for h in hosts}
     got = {r["host"]: r["distrust"] for r in out.values() if r["host"]}
     assert all(got[h] == pytest.approx(score[h], abs=1e-4) for h in hosts)
+    seed = {"t.net": 1.0, "a.example.com": 1 / 3}
+    score = {h: seed.get(h, 0.0) for h in hosts}
+    for _ in range(60):
+        stay = sum(v for h, v in score.items() if h not in {a for a, _ in edges}) / sum(seed.values())
+        flow = collections.Counter()
+        for a, b in edges:
+            flow[b] += score[a]
+        score = {h: 0.15 * seed.get(h, 0.0) + 0.85 * (flow[h] + stay * seed.get(h, 0.0)) for h in hosts}
+    got = {r["host"]: r["trust"] for r in out.values() if r["host"]}
+    assert all(got[h] == pytest.approx(score[h], abs=1e-4) for h in hosts) and got["e.info"] > 0.1
+
+
+def test_received_parts_are_those_of_all_seeds(spark, monkeypatch):
+    """Trust and distrust against matrices, with hub hosts that are joined by salts."""
+    rng = np.random.default_rng(4)
+    n = 30
+    links = {(int(a), int(b)) for a, b in rng.integers(0, n, (80, 2)) if a != b} | {(i, 0) for i in range(1, n)} | {(1, i) for i in range(2, n)}
+    w = np.zeros((n, n))
+    for a, b in links:
+        w[a, b] = rng.uniform(0.5, 2)
+    w /= np.maximum(w.sum(1, keepdims=True), 1e-12)
+    trusted, blocked = (0.5 * rng.uniform(size=n) * (rng.uniform(size=n) < 0.2) for _ in range(2))
+    hosts = spark.createDataFrame([(f"h{i}", float(trusted[i]), float(blocked[i])) for i in range(n)], "host string, trusted double, blocked double")
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", float(w[a, b])) for a, b in links], "src string, dst string, share double")
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    got = {r["host"]: r for r in urls.spread_trust(hosts, edges, rounds=200).collect()}
+    back = w.T / np.maximum(w.sum(0)[:, None], 1e-12)
+    for kind, move, seed in (("trust", w, trusted), ("distrust", back, blocked)):
+        mass = np.linalg.inv(np.eye(n) - 0.85 * move.T) @ seed
+        received = np.linalg.inv(np.eye(n) - 0.85 * move.T @ np.diag(1 - trusted - blocked)) @ (0.85 * move.T)
+        seen, one = received @ seed, received @ np.ones(n)
+        part = np.divide(seen, one, out=np.zeros(n), where=one > 1e-12)
+        for i in range(n):
+            assert got[f"h{i}"][kind] == pytest.approx(mass[i] * seed.sum() / mass.sum(), abs=1e-5)
+            assert got[f"h{i}"][f"{kind}_in"] == pytest.approx(part[i], abs=1e-4)
 
 
 # --- queries ------------------------------------------------------------------------------------------------------
@@ -558,6 +593,7 @@ def test_verdicts_over_links_equal_their_sql(spark):
     hosts = [f"h{i}.example" for i in range(12)] + ["bad.org", "good.org"]
     rules = [("block", "bad.org", "/"), ("allow", "good.org", "/"), ("block", "h3.example", "/b")]
     rows = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['a', 'b'])}{i}", "".join(f'<a href="//{h}/">' for h in rng.choice(hosts, int(rng.integers(0, 5))))) for i in range(150)]
+    rows += [(200 + i, f"http://only{i % 3}.example/{i}", '<a href="//bad.org/">') for i in range(9)]  # these link to the blocked host alone
     frame = pd.DataFrame(rows, columns=["page_id", "url", "html"])
     con = duckdb.connect()
     con.register("pages", frame)

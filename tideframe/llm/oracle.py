@@ -28,7 +28,8 @@ def _host(url: str) -> str:
 
 
 def url_verdicts(rules: list[tuple[str, str, str]]) -> str:
-    """Rules and blame and credit over links, see urls.filter_urls."""
+    """Rules, and PageRank by the length of walks: mass of the seeds that a host receives over links, as a part of the mass that
+    it receives from seeds of 1 at every host; walks go on by the share of a host's URLs that no rule judges."""
     whens = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'rule': '{h + p}', 'verdict': '{v}'}}" for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])))
     link = r"""(?i)\bhref\s*=\s*["'']?((?:https?:)?//[^\s"''<>]+)"""
     return rf"""
@@ -41,13 +42,14 @@ def url_verdicts(rules: list[tuple[str, str, str]]) -> str:
          l AS (SELECT src, {_host("link")} AS dst FROM l1),
          e0 AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
          e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM e0),
-         f AS (SELECT 'blame' AS kind, src AS "to", dst AS "from", share AS w FROM e UNION ALL SELECT 'credit', dst, src, share / sum(share) OVER (PARTITION BY dst) FROM e),
+         f0 AS (SELECT 'trust' AS kind, src AS "from", dst AS "to", share AS w FROM e UNION ALL SELECT 'distrust', dst, src, share / sum(share) OVER (PARTITION BY dst) FROM e),
+         f AS (SELECT f0.*, coalesce(1 - blocked - trusted, 1.0) AS open FROM f0 LEFT JOIN h ON h.host = "from"),
          nodes AS (SELECT host FROM h UNION SELECT "to" FROM f),
-         s AS (SELECT kind, nodes.host, coalesce(CASE kind WHEN 'blame' THEN blocked ELSE trusted END, 0.0) AS seed, 1 - coalesce(blocked, 0.0) - coalesce(trusted, 0.0) AS open FROM nodes LEFT JOIN h USING (host), (SELECT unnest(['blame', 'credit']) AS kind)),
-         g AS (SELECT kind, "to", "from", w FROM f UNION ALL SELECT kind, host, host, 0.0 FROM s),
-         r AS (SELECT kind, host, CAST(seed AS DOUBLE) AS score, 0 AS i FROM s
-               UNION ALL SELECT s.kind, s.host, any_value(s.seed) + 0.85 * any_value(s.open) * sum(g.w * r.score), any_value(r.i) + 1 FROM r JOIN g ON g.kind = r.kind AND g."from" = r.host JOIN s ON s.kind = g.kind AND s.host = g."to" WHERE r.i < 30 GROUP BY s.kind, s.host),
-         v AS (SELECT host, max(score) FILTER (WHERE kind = 'blame') - max(score) FILTER (WHERE kind = 'credit') AS over FROM r WHERE i = 30 GROUP BY 1)
+         s AS (SELECT kind, nodes.host, coalesce(CASE kind WHEN 'distrust' THEN blocked ELSE trusted END, 0.0) AS seed FROM nodes LEFT JOIN h USING (host), (SELECT unnest(['trust', 'distrust']) AS kind)),
+         m AS (SELECT kind, host, CAST(seed AS DOUBLE) AS mass, CAST(1 AS DOUBLE) AS one, 0 AS i FROM s
+               UNION ALL SELECT f.kind, f."to", 0.85 * sum(f.w * m.mass * CASE WHEN m.i > 0 THEN f.open ELSE 1 END), 0.85 * sum(f.w * m.one * CASE WHEN m.i > 0 THEN f.open ELSE 1 END), any_value(m.i) + 1 FROM m JOIN f ON f.kind = m.kind AND f."from" = m.host WHERE m.i < 30 GROUP BY f.kind, f."to"),
+         n AS (SELECT kind, host, 0.85 * sum(mass) / sum(one) AS part FROM m WHERE i > 0 GROUP BY 1, 2),
+         v AS (SELECT host, greatest(blocked, coalesce(b.part, 0)) - greatest(trusted, coalesce(g.part, 0)) AS over FROM h LEFT JOIN (SELECT host, part FROM n WHERE kind = 'distrust') b USING (host) LEFT JOIN (SELECT host, part FROM n WHERE kind = 'trust') g USING (host))
     SELECT page_id, j.host, path, j.r.rule AS rule, coalesce(j.r.verdict, CASE WHEN v.over > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN v ON j.host = v.host"""
 
 
