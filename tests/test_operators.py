@@ -261,3 +261,34 @@ def test_text_model_sees_every_split(spark, sf_dir):
     _, _, coef = models.ridge_path(f.join(k, "doc_id", "left_anti"), "fold", Q.TEXT[1:], "y")
     want = evaluation.auc(f.join(k, "doc_id").withColumn("own", models.linear_score(Q.TEXT[1:], coef)), ["split"], "own", "label").first()["auc"]
     assert out[31]["auc_per_fold"] == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("block", [500, 4])
+def test_pair_sums_of_blocks_are_pandas_correlations(spark, block):
+    import pandas as pd
+
+    rng = np.random.default_rng(31)
+    rows = []
+    for g in "ab":
+        for f in range(11 if g == "a" else 2):
+            for i in range(150):
+                if rng.uniform() < 0.8:
+                    rows.append((g, f, date.fromordinal(date(2020, 1, 1).toordinal() + i), 7.0 if f == 3 else float(1e3 * (f == 5) + rng.normal())))
+    df = spark.createDataFrame([*rows, ("a", 1, date(2020, 2, 2), None)], "g string, f int, d date, r double").repartition(5)
+    got = {(r["g"], r["month_end"]): (r["metric_c"], r["n_firms"]) for r in V.pairwise_correlation(df, "g", "f", "d", "r", block=block).collect()}
+    frame = pd.DataFrame(rows, columns=["g", "f", "d", "r"])
+    frame["d"] = pd.to_datetime(frame["d"])
+    want = {}
+    for (g, month), _ in frame.groupby(["g", frame["d"] + pd.offsets.MonthEnd(0)]):
+        own = frame[(frame["g"] == g) & (frame["d"] <= month) & (frame["d"] >= month - pd.Timedelta(days=100))].sort_values("d").groupby("f").tail(63)
+        own = own[own.groupby("f")["r"].transform("size") >= 40]
+        if len(own):
+            wide = own.pivot(index="d", columns="f", values="r")
+            with np.errstate(all="ignore"):
+                c = wide.drop(columns=[x for x in wide if wide[x].std() == 0]).corr(min_periods=2).to_numpy()
+            n = wide.shape[1]
+            values = c[np.triu_indices(len(c), 1)]
+            want[g, month.date()] = (float(np.nanmean(values)) if n >= 3 else None, n)
+    assert got.keys() == want.keys() and len(want) > 6
+    for k, (value, n) in want.items():
+        assert got[k] == (value if value is None else pytest.approx(value, abs=1e-9), n)

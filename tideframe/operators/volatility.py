@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,29 +80,59 @@ def expanding_gap(df: DataFrame, group: str, date: str, x: str, y: str, name: st
     return rows.join(lines, [group, date]).groupBy(group, date).agg(F.median(F.col(y) - F.col("_a") - F.col("_b") * F.col(x)).alias(name))
 
 
-def pairwise_correlation(daily: DataFrame, group: str, firm: str, date: str, ret: str, name: str = "metric_c", days: int = 100, window: int = 63, least: int = 40, least_firms: int = 3) -> DataFrame:
+def pairwise_correlation(daily: DataFrame, group: str, firm: str, date: str, ret: str, name: str = "metric_c", days: int = 100, window: int = 63, least: int = 40, least_firms: int = 3, block: int = 500) -> DataFrame:
     """(group, month_end, name, n_firms): mean correlation of all pairs of firms over the last ``window`` returns of each in
     the ``days`` days up to the month's end, of firms with at least ``least`` of them; NULL below ``least_firms`` firms.
 
-    Every day is sent to the month ends it can serve. Pairs meet by (group, month, date), and a firm's number of partners
-    is the number of firms in its group.
+    Every day is sent to the month ends it can serve. A group's months are calendars of days by firms: each firm's returns of
+    a month become one row of numbers, dealt to blocks of firms, and pairs of blocks meet in a task, where matrix products
+    give the sums of all pairs of firms over the days that both have. Blocks are rows of arrays, so what is shuffled grows with
+    firms x blocks, not with firms x firms x days; a pair of blocks sends one number on.
     """
-    rows = daily.where(F.col(ret).isNotNull()).select(group, firm, F.to_date(date).alias("_d"), ret)
+    rows = daily.where(F.col(ret).isNotNull()).select(group, firm, F.to_date(date).alias("_d"), F.col(ret).cast("double").alias(ret))
     ends = F.transform(F.sequence(F.lit(0), F.lit(days // 28 + 1)), lambda i: F.last_day(F.add_months(F.trunc("_d", "month"), i.cast("int"))))
     served = rows.withColumn("month_end", F.explode(ends)).where(F.date_sub("month_end", days) <= F.col("_d"))
     # a month exists for a group if it has a day in it
     months = rows.select(group, F.last_day("_d").alias("month_end")).distinct()
     served = served.join(months, [group, "month_end"], "left_semi")
-    w = Window.partitionBy(group, "month_end", firm)
-    served = served.withColumn("_r", F.row_number().over(w.orderBy(F.desc("_d")))).where(F.col("_r") <= window)
-    served = served.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least).drop("_r", "_n")
-    x, y = served.alias("x"), served.alias("y")
-    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (group, "month_end", "_d")]
-    pairs = x.join(y, on[0] & on[1] & on[2] & (F.col(f"x.{firm}") < F.col(f"y.{firm}")))
-    corr = pairs.groupBy(F.col(f"x.{group}").alias(group), F.col("x.month_end").alias("month_end"), F.col(f"x.{firm}").alias("_a"), F.col(f"y.{firm}").alias("_b")).agg(correlation(F.col(f"x.{ret}"), F.col(f"y.{ret}")).alias("_c"))
-    mean = corr.groupBy(group, "month_end").agg(F.avg("_c").alias("_m"))
-    firms = served.groupBy(group, "month_end").agg(F.countDistinct(firm).alias("n_firms"))
-    return firms.join(mean, [group, "month_end"], "left").select(group, "month_end", F.when(F.col("n_firms") >= least_firms, F.col("_m")).alias(name), "n_firms")
+    # a firm's last returns of a month, by the day's distance from its end
+    line = F.slice(F.sort_array(F.collect_list(F.struct(F.datediff("month_end", "_d").alias("at"), F.col(ret).alias("r")))), 1, window)
+    firms = served.groupBy(group, "month_end", firm).agg(line.alias("_line")).where(F.size("_line") >= least)
+    sizes = firms.groupBy(group, "month_end").agg(F.count(F.lit(1)).alias("n_firms"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    dealt = firms.join(sizes, [group, "month_end"]).withColumn("_own", F.pmod(F.xxhash64(firm), F.col("_blocks")).cast("int"))
+    # a block meets itself and every other block once: the pair's lower block comes first
+    other = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("a"), F.greatest(j, F.col("_own")).alias("b")))
+    meet = dealt.select(group, "month_end", "_own", "_line", F.explode(other).alias("_pair")).select(group, "month_end", "_own", "_line", "_pair.*")
+    kinds = {f.name: f.dataType.simpleString() for f in meet.schema.fields}
+    sums = meet.groupBy(group, "month_end", "a", "b").applyInArrow(lambda t: _pair_sums(t, group, days + 31), f"`{group}` {kinds[group]}, month_end date, s double, n long")
+    mean = sums.groupBy(group, "month_end").agg((F.sum("s") / F.when(F.sum("n") > 0, F.sum("n"))).alias("_m"))
+    return sizes.join(mean, [group, "month_end"], "left").select(group, "month_end", F.when(F.col("n_firms") >= least_firms, F.col("_m")).alias(name), "n_firms")
+
+
+def _pair_sums(table: pa.Table, group: str, days: int) -> pa.Table:
+    """(group, month_end, s, n): the sum and number of the correlations of the pairs of firms of two blocks, or of one with
+    itself. Rows have _own (the firm's block), a, b (the blocks that meet) and _line (day, return)."""
+    lines = table["_line"].combine_chunks()
+    own, a, b = (np.asarray(table[c]) for c in ("_own", "a", "b"))
+    at = np.repeat(np.arange(len(own)), np.diff(np.asarray(lines.offsets)))
+    x, has = np.zeros((len(own), days + 1)), np.zeros((len(own), days + 1))
+    day, value = np.asarray(lines.values.field("at")), np.asarray(lines.values.field("r"))
+    x[at, day], has[at, day] = value, 1.0
+    first, second = np.flatnonzero(own == a[0]), np.flatnonzero(own == b[0])
+    s, n = 0.0, 0
+    for i in range(0, len(first), 256):
+        p, q = first[i : i + 256], second
+        # centred on each firm's own mean first, so that sums of squares lose no digits
+        xp, xq = (np.where(has[z] > 0, x[z] - (x[z].sum(1) / has[z].sum(1))[:, None], 0.0) for z in (p, q))
+        m = has[p] @ has[q].T
+        with np.errstate(all="ignore"):
+            sx, sy = xp @ has[q].T, has[p] @ xq.T
+            xx, yy = (xp**2) @ has[q].T - sx**2 / m, has[p] @ (xq**2).T - sy**2 / m
+            corr = (xp @ xq.T - sx * sy / m) / np.sqrt(xx * yy)
+        pairs = (q[None, :] > p[:, None]) if a[0] == b[0] else np.ones(m.shape, bool)
+        known = pairs & (m > 0) & (xx > 1e-14) & (yy > 1e-14)
+        s, n = s + float(corr[known].sum()), n + int(known.sum())
+    return pa.table({group: table[group][:1], "month_end": table["month_end"][:1], "s": pa.array([s]), "n": pa.array([n], pa.int64())})
 
 
 def cusum(df: DataFrame, group: str, order: list[str], value: str, mean: Column, std: Column, slack: float = 0.5, least: int = 3, name: str = "cusum") -> DataFrame:
