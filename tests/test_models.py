@@ -242,6 +242,17 @@ def test_hidden_states_are_found_and_many_models_are_the_single_ones(spark):
     assert models.fit_hmm(df.where("s < 0"), "s", "t", ["v", "w"], 2).names == ()
 
 
+def test_an_hmm_of_each_sequence_is_the_joint_fit_of_it(spark):
+    rng = np.random.default_rng(17)
+    rows = [(s, t, float(rng.normal([0.2, 1.5][(t // 7 + s) % 2], 0.2)), float(rng.normal())) for s in range(4) for t in range(40 if s else 4)]
+    df = spark.createDataFrame(rows, "s long, t int, v double, w double")
+    got = models.danger_of_each(df, "s", "t", ["v", "w"], 2).collect()
+    assert {r["s"] for r in got} == {1, 2, 3} and all(1 < r["rounds"] < 200 for r in got)
+    one = models.fit_hmm(df.where("s = 2"), "s", "t", ["v", "w"], 2, rounds=max(r["rounds"] for r in got if r["s"] == 2) - 1)
+    want = {r["t"]: r["danger"] for r in models.danger_scores(df.where("s = 2"), one, "s", "t", ["v", "w"]).collect()}
+    assert {r["t"]: r["danger"] for r in got if r["s"] == 2} == {t: pytest.approx(v, abs=1e-5) for t, v in want.items()}
+
+
 def test_forests_order_what_they_were_shown(spark):
     df, names = panel(spark, 3, keys=(4,), n=200)
     out = models.forest_scores(df.where("NOT held"), df.where("held"), names, "y", trees=30).collect()

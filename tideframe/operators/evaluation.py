@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.credit import normal_cdf
 from ..functions.numbers import correlation, pipe_list, ratio
+from .splits import numbered
 
 
 def average_rank(keys: Sequence[str], value: str) -> Column:
@@ -88,11 +89,11 @@ def tail_means(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[s
 
 def enrichment(splits: DataFrame, split: str, listed: str, value: str, percent: float = 10) -> DataFrame:
     """(episode, n_all, n_worst, enrichment): share of an episode ('a|b' lists) among the worst splits over its share in all."""
-    n = splits.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * percent / 100)))
-    ranked = splits.withColumn("_r", F.row_number().over(Window.orderBy(value, split))).crossJoin(F.broadcast(n))
-    rows = ranked.select("_r", "_k", "_n", F.explode(pipe_list(F.col(listed))).alias("episode"))
-    out = rows.groupBy("episode").agg(F.count(F.lit(1)).alias("n_all"), F.sum((F.col("_r") <= F.col("_k")).cast("int")).alias("n_worst"), F.max("_k").alias("_k"), F.max("_n").alias("_n"))
-    return out.select("episode", "n_all", "n_worst", ((F.col("n_worst") / F.col("_k")) / (F.col("n_all") / F.col("_n"))).alias("enrichment"))
+    ranked, n = numbered(splits, [value, split], "_r")
+    k = max(1, int(n * percent // 100))
+    rows = ranked.select("_r", F.explode(pipe_list(F.col(listed))).alias("episode"))
+    out = rows.groupBy("episode").agg(F.count(F.lit(1)).alias("n_all"), F.sum((F.col("_r") < k).cast("int")).alias("n_worst"))
+    return out.select("episode", "n_all", "n_worst", ((F.col("n_worst") / k) / (F.col("n_all") / n)).alias("enrichment"))
 
 
 def impact(members: DataFrame, split: str, unit: str, held: str, value: str) -> DataFrame:

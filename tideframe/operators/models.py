@@ -369,6 +369,47 @@ def fit_hmm(df: DataFrame, sequence: str, order: str, features: Sequence[str], s
     return model_now
 
 
+def _settled_hmm(x: np.ndarray, states: int, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(state probabilities, means, rounds taken) of a diagonal Gaussian HMM fitted to one sequence by EM, until the log
+    likelihood grows by less than ``tolerance`` of itself."""
+    n, p = x.shape
+    first = np.sort(x[:, 0])
+    mean = np.tile(x.mean(0), (states, 1))
+    mean[:, 0] = [first[max(0, int(np.ceil((i + 0.5) / states * n)) - 1)] for i in range(states)]
+    var = np.tile(np.maximum(x.var(0), 1e-4), (states, 1))
+    start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * (0.9 - 0.1 / max(states - 1, 1))
+    last, done = -np.inf, 0
+    for done in range(1, rounds + 1):
+        g, pairs, value = _posterior(x, start[None], move[None], mean[None], var[None])
+        if value[0] - last <= tolerance * max(1.0, abs(value[0])):
+            break
+        g, pairs, last = g[:, 0], pairs[0] + 1e-6, value[0]
+        w = np.maximum(g.sum(0), 1e-9)[:, None]
+        start, move, mean = g[0] / max(g[0].sum(), 1e-12), pairs / pairs.sum(1, keepdims=True), (g.T @ x) / w
+        var = np.maximum((g.T @ (x * x)) / w - mean**2, 1e-4)
+    return _posterior(x, start[None], move[None], mean[None], var[None])[0][:, 0], mean, done
+
+
+def danger_of_each(df: DataFrame, sequence: str, order: str, features: Sequence[str], states: int = 3, rounds: int = 200, tolerance: float = 1e-6, least_rows: int = 6) -> DataFrame:
+    """(sequence, order, danger, rounds): for each row, the probability of the state with the largest mean of the first feature
+    under an HMM of its own sequence, for sequences of at least ``least_rows`` rows; rounds taken to settle.
+
+    A model is fitted and applied where its sequence's rows are, in one grouped task: nothing of it goes to the driver or to
+    another task. Missing features are 0. As every HMM's, a sequence's recursion is one task's work.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = df.select(sequence, order, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        if len(pdf) < least_rows:
+            return pdf.loc[[], [sequence, order]].assign(danger=np.zeros(0), rounds=np.zeros(0, int))
+        g, mean, done = _settled_hmm(pdf[list(features)].to_numpy(float), states, rounds, tolerance)
+        return pdf[[sequence, order]].assign(danger=g[:, mean[:, 0].argmax()], rounds=done)
+
+    return rows.groupBy(sequence).applyInPandas(fit, f"`{sequence}` {kinds[sequence]}, `{order}` {kinds[order]}, danger double, rounds int")
+
+
 def danger_scores(df: DataFrame, model: Markov, sequence: str, order: str, features: Sequence[str], least_rows: int = 3, members: DataFrame | None = None, name: str = "split") -> DataFrame:
     """(name, sequence, order, danger): for each row under each model that its sequence belongs to (name 0 without
     ``members``), the probability of the state with the largest mean of the first feature."""

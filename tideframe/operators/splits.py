@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,16 +56,48 @@ def permuted_labels(rows: DataFrame, keys: list[str], unit: str, label: str, n:
     return a.join(b, [*keys, "perm", "_k"]).withColumn(label, F.col("_l")).drop("_k", "_l")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and checkpointed in the folder of spark.checkpoint.dir; where that is unset, in local mode, in the
+    machine's temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = f"{tempfile.gettempdir()}/tideframe-checkpoints"
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> tuple[DataFrame, int]:
+    """(rows with ``name``: 0, 1, 2, ... in the order, how many there are). Rows are dealt to tasks by ranges of the order, a
+    task numbers its own, and the driver adds up the tasks' counts: no task sees all rows."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = settled(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    counts = own.groupBy("_task").agg(F.min("_at").alias("a"), F.count(F.lit(1)).alias("n")).orderBy("_task").collect()  # a row a task
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r["_task"], total - r["a"]))
+        total += r["n"]
+    shifts = rows.sparkSession.createDataFrame(starts, "_task int, _shift long")
+    return own.join(F.broadcast(shifts), "_task").withColumn(name, F.col("_at") + F.col("_shift")).drop("_task", "_at", "_shift"), total
+
+
+def _drawn(rows: DataFrame, size: int, n: int, seed: int) -> DataFrame:
+    """(boot, _i): as many draws of a number below size as there are rows, for each of n resamples."""
+    every = rows.sparkSession.range(n * size).select(F.expr(f"id div {max(size, 1)}").alias("boot"), (F.col("id") % max(size, 1)).alias("_k"))
+    return every.select("boot", (draw_int(seed, F.col("boot"), F.col("_k")) % max(size, 1)).alias("_i"))
+
+
 def bootstrap(rows: DataFrame, order: list[str], n: int, seed: int = 42) -> DataFrame:
-    """(boot, the row's columns): n resamples of all rows with replacement, drawn by index. For small tables of statistics."""
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
-    size = rows.agg(F.count(F.lit(1)).alias("_n"))
-    draws = rows.sparkSession.range(n).select(F.col("id").alias("boot")).crossJoin(F.broadcast(size)).where("_n > 0")
-    draws = draws.withColumn("_k", F.explode(F.expr("sequence(0, _n - 1)"))).withColumn("_i", draw_int(seed, F.col("boot"), F.col("_k")) % F.col("_n"))
-    return draws.join(F.broadcast(numbered), "_i").drop("_i", "_k", "_n")
+    """(boot, the row's columns): n resamples of all rows with replacement, drawn by the number of a row in the order."""
+    own, size = numbered(rows, order, "_i")
+    return _drawn(rows, size, n, seed).join(own, "_i").drop("_i")
 
 
 def cluster_weights(units: DataFrame, unit: str, n: int, seed: int = 42) -> DataFrame:
-    """(boot, unit, weight): how often each unit is drawn in a resample of units with replacement."""
-    drawn = bootstrap(units.select(unit), [unit], n, seed)
-    return drawn.groupBy("boot", unit).agg(F.count(F.lit(1)).alias("weight"))
+    """(boot, unit, weight): how often each unit is drawn in a resample of units with replacement; draws are counted before
+    they meet the units."""
+    own, size = numbered(units.select(unit), [unit], "_i")
+    return _drawn(units, size, n, seed).groupBy("boot", "_i").agg(F.count(F.lit(1)).alias("weight")).join(own, "_i").select("boot", unit, "weight")

@@ -258,10 +258,7 @@ def hidden_markov_auc_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hidden_markov_of_each_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An HMM of each supplier's own months: its danger in the last month."""
     m = state_rows(spark, sf_dir)
-    own = m.select("l_suppkey", F.col("l_suppkey").alias("split")).distinct()
-    model = M.fit_hmm(m, "l_suppkey", "month_end", STATES, members=own)
-    d = M.danger_scores(m, model, "l_suppkey", "month_end", STATES, members=own)
-    last = joins.last_rows(d, ["l_suppkey"], [F.desc("month_end")], 1)
+    last = joins.last_rows(M.danger_of_each(m, "l_suppkey", "month_end", STATES), ["l_suppkey"], [F.desc("month_end")], 1)
     return rounded(last.select("l_suppkey", "month_end", "danger"), ["danger"])
 
 
