@@ -292,3 +292,39 @@ def test_pair_sums_of_blocks_are_pandas_correlations(spark, block):
     assert got.keys() == want.keys() and len(want) > 6
     for k, (value, n) in want.items():
         assert got[k] == (value if value is None else pytest.approx(value, abs=1e-9), n)
+
+
+def test_a_stage_is_read_by_its_partitions(spark, tmp_path):
+    rows = [(f"e{i % 6}", date(2020, 1 + i % 12, 1), float(i)) for i in range(120)]
+    path = f"{tmp_path}/stage"
+    S.write_stage(spark.createDataFrame(rows, "episode_id string, d date, v double"), path)
+    assert {p.name for p in (tmp_path / "stage").iterdir() if p.is_dir()} == {f"episode_id=e{i}" for i in range(6)}
+    stage = spark.read.parquet(path)
+    spark.createDataFrame([(f"e{i}", i % 2 if i < 5 else 0) for i in range(6)], "episode_id string, kind int").write.parquet(f"{tmp_path}/catalog")
+    some = S.scan_keys(stage, spark.read.parquet(f"{tmp_path}/catalog").where("kind = 1"), "episode_id", "d", "2020-03-01", "2020-09-30")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)
+    assert "dynamicpruning" in scan.split("PartitionFilters")[1].split("PushedFilters")[0] and "GreaterThanOrEqual(d" in scan
+    assert sorted(r["v"] for r in some.collect()) == sorted(v for e, d, v in rows if e in ("e1", "e3") and date(2020, 3, 1) <= d <= date(2020, 9, 30))
+    one = stage.where("episode_id = 'e2'")._jdf.queryExecution().executedPlan().toString()
+    assert "(episode_id" in one.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
+def test_the_metric_panel_is_its_single_queries(spark):
+    from tideframe.plans import metric_panel as P
+    from tideframe.plans import model_queries as Q
+    from tideframe.plans import panel_queries as R
+
+    path = "/root/testdata/sf0.01"
+    panel_ = P.whole_metric_panel(spark, path)
+    # the daily table is made once: of lineitem's scans, the bond quotes' and the leverage behind them are left
+    assert "lineitem" not in P.metric_panel(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["sector"], r["month_end"]): r for r in panel_.collect()}
+    assert {f"metric_{c}" for c in "abcdefmopqrsuvwx"} <= set(panel_.columns)
+    known = {c: sum(r[c] is not None for r in got.values()) for c in panel_.columns}
+    assert all(known[f"metric_{c}"] for c in "abcdefmopqrsuvwx")
+    for query, columns in ((R.metric_a_by_sector_month, "a"), (R.expanding_regression_gap, "b"), (R.leverage_metrics_and_interactions, "fuvwx"), (R.sector_credit_implied_vol, "opq"), (Q.text_implied_volatility, "rs")):
+        for r in query(spark, path).collect():
+            for c in columns:
+                mine, want = got[r["sector"], r["month_end"]][f"metric_{c}"], r[f"metric_{c}"]
+                assert mine == (want if want is None else pytest.approx(want, abs=2e-5)), (query.__name__, c)

@@ -8,10 +8,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from tideframe.plans import evaluation_queries, model_queries, panel_queries, text_queries
+from tideframe.plans import evaluation_queries, metric_panel, model_queries, panel_queries, text_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = [m for m in (panel_queries, text_queries, evaluation_queries, model_queries)]
+PLANS = [m for m in (panel_queries, text_queries, evaluation_queries, model_queries, metric_panel)]
 WITH_SQL = [(k, m) for m in PLANS for k in m.QUERIES if k in m.SQL]
 WITHOUT = [(k, m) for m in PLANS for k in m.QUERIES if k not in m.SQL]
 
