@@ -123,6 +123,12 @@ def linked_to(df: DataFrame, bridge: DataFrame, chosen: DataFrame, left_key: str
     return df.join(ok, left_key, "left_semi")
 
 
+def member_sets(df: DataFrame, key: str, member: str, name: str) -> DataFrame:
+    """(key, name, n): the set of a key's members in order. A set is as large as a key has different members; repeated rows
+    are taken out before they meet."""
+    return df.select(key, member).where(F.col(member).isNotNull()).distinct().groupBy(key).agg(F.sort_array(F.collect_list(member)).alias(name)).withColumn("n", F.size(name))
+
+
 def union_rows(*frames: DataFrame, distinct_on: Sequence[str] | None = None) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -54,6 +54,12 @@ def with_series(df: DataFrame, keys: Sequence[str], month: str, series: DataFram
     return out.where(F.col("share_known") >= least_share)
 
 
+def z_scored(series: DataFrame, value: str) -> DataFrame:
+    """The series with its value less the mean over the deviation of all its known months (ddof 1); NULL if it is constant."""
+    stats = series.agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    return series.crossJoin(F.broadcast(stats)).withColumn(value, F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
+
+
 def multi_channel(frames: Sequence[DataFrame], keys: Sequence[str], low: int = -36, high: int = 24) -> DataFrame:
     """Full outer join of channels (keys, tau, values) on keys and tau within the window: one grouping of their union."""
     values = [[c for c in f.columns if c not in (*keys, "tau")] for f in frames]

@@ -314,6 +314,24 @@ def external_series_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, ["share_known"]), ["sentiment"], 4)
 
 
+@query(f"""WITH {_PANEL_SQL}, x0 AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS month_end, avg(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+    x AS (SELECT month_end, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS z FROM x0)
+    SELECT l_suppkey, round(avg(z), 5) AS sentiment, round(avg(CASE WHEN z IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS share_known FROM (SELECT * FROM aligned WHERE tau >= -36 AND tau < 0) LEFT JOIN x USING (month_end) GROUP BY 1 HAVING avg(CASE WHEN z IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.5""")
+def external_series_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As external_series_mean, of the z-scored series."""
+    s = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.last_day("o_orderdate").alias("month")).agg(F.avg("o_totalprice").alias("sentiment"))
+    out = panel.with_series(panel.pre_peak(event_panel(spark, sf_dir), "month_end", "peak", F.col("bubble")), ["l_suppkey"], "month_end", panel.z_scored(s, "sentiment"), "sentiment")
+    return rounded(rounded(out, ["share_known"]), ["sentiment"], 5)
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey, strftime(l_shipdate, '%Y') || l_returnflag AS episode FROM lineitem WHERE l_discount > 0)
+    SELECT l_suppkey, string_agg(episode, '|' ORDER BY episode) AS episodes, CAST(count(*) AS INTEGER) AS n FROM e GROUP BY 1""")
+def episodes_of_issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An issuer's episodes: the years and flags of its quotes, as a set."""
+    quotes = table(spark, sf_dir, "lineitem").where("l_discount > 0").select("l_suppkey", F.concat(F.year("l_shipdate").cast("string"), "l_returnflag").alias("episode"))
+    return joins.member_sets(quotes, "l_suppkey", "episode", "episodes").withColumn("episodes", F.array_join("episodes", "|"))
+
+
 _TAU = "(year({0}) - year(peak)) * 12 + month({0}) - month(peak)"
 
 

@@ -151,3 +151,29 @@ def scores_and_vectors_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = texts.medians_and_mean_vectors(d, ["source", "half"], ["n_chars"], "embedding", 64)
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     return rounded(out.select("source", "half", "n_chars", norm.alias("norm2")), ["norm2"])
+
+
+#: The eight categories of a dictionary of financial words, by the column of each.
+CATEGORIES = {c: c.title() for c in ("negative", "positive", "uncertainty", "litigious", "strong", "weak", "moderate", "constraining")}
+_DRAW = "CAST(('0x' || substr(md5(upper(w)), 1, 8))::UBIGINT % 11 AS INTEGER)"
+
+
+def wide_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide dictionary in the form of the licensed one: every word of three letters and more of the texts, in a category or
+    none by a draw (2009: added, -2020: taken out again, which counts as not being in it), and its syllables."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.transform(texts.words_of(F.col("text")), F.upper))).alias("word")).where(F.length("word") >= 3).distinct()
+    words = words.withColumn("_k", F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % 11)
+    flag = lambda i: F.when(F.col("_k") == i, "2009").when(F.col("_k") == i + 1, "-2020").otherwise("0")
+    return words.select("word", *[flag(i).alias(c) for i, c in enumerate(CATEGORIES.values())], F.greatest(F.floor(F.length("word") / 3), F.lit(1)).cast("int").alias("syllables"))
+
+
+@query(f"""WITH {FILINGS_SQL}, x AS (SELECT doc_id, s, unnest(words) AS w FROM f),
+    y AS (SELECT doc_id, s, w, CASE WHEN length(w) >= 3 THEN {_DRAW} END AS k, len(regexp_extract_all(lower(w), '[aeiouy]+')) AS v FROM x),
+    z AS (SELECT *, CASE WHEN k < 8 THEN greatest(length(w) // 3, 1) ELSE greatest(v - CASE WHEN lower(w) LIKE '%e' AND v > 1 THEN 1 ELSE 0 END, 1) END AS syl FROM y)
+    SELECT doc_id, count(*) AS word_count, {", ".join(f"count(*) FILTER (WHERE k = {i}) AS {c}_count" for i, c in enumerate(CATEGORIES))}, CAST(sum(syl) AS BIGINT) AS total_syllables,
+      round(0.4 * (count(*) / s + 100 * count(*) FILTER (WHERE syl >= 3) / count(*)), 5) AS fog_index FROM z GROUP BY doc_id, s""")
+def dictionary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the eight categories, and readability by the dictionary's syllables for the words in it."""
+    known, f = texts.category_words(wide_dictionary(spark, sf_dir), CATEGORIES), filings(spark, sf_dir)
+    counts = texts.category_scores(f, "doc_id", "text", known, list(CATEGORIES)).select("doc_id", "word_count", *[f"{c}_count" for c in CATEGORIES])
+    return rounded(counts.join(texts.readability(f, "doc_id", "text", known).select("doc_id", "total_syllables", "fog_index"), "doc_id"), ["fog_index"], 5)
