@@ -124,3 +124,24 @@ def test_language_reads_long_texts_in_stretches():
     whole, stretches = language.gram_buckets([text])[0], [language.gram_buckets([x])[0] for p in parts for x in p if x != "kurz"]
     assert np.array_equal(np.bincount(whole, minlength=language.BUCKETS), sum(np.bincount(x, minlength=language.BUCKETS) for x in stretches))
     assert language.scores([text], model)[0] == language.scores([text[:-1] + " "], model)[0]
+
+
+def test_a_budget_that_no_total_meets_keeps_a_small_window():
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    tracemalloc.start()
+    taken = mixing.subset_sum([1000, 1001], [10**6, 1], 300_000_500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert taken[0] * 1000 + taken[1] * 1001 == 300_000_001
+    assert time.process_time() - began < 10 and peak < 200e6
+    rng = np.random.default_rng(8)
+    for _ in range(40):  # what is missing is less than the shortest length of which items are left
+        lengths = sorted(set(rng.integers(2, 400, 6).tolist()))
+        counts = rng.integers(1, 60, len(lengths)).tolist()
+        budget = int(rng.integers(1, sum(a * b for a, b in zip(lengths, counts, strict=True))))
+        got = mixing.subset_sum(lengths, counts, budget, exact=64, enough=128)
+        short = budget - sum(a * k for a, k in zip(lengths, got, strict=True))
+        assert 0 <= short < min(a for a, n, k in zip(lengths, counts, got, strict=True) if k < n) and all(0 <= k <= n for k, n in zip(got, counts, strict=True))

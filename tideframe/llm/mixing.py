@@ -2,7 +2,7 @@
 
 Documents are counted by exact length. A source first takes all its documents as often as the target holds them whole.
 What is left of the budget is a bounded subset-sum problem over (length, count): the long way down is greedy, the rest is
-met by dynamic programming over a window that grows until the total is the nearest there is. A length's count is then met by its first documents in seeded order.
+met by dynamic programming over a window that grows until the total is met or comes no nearer. A length's count is then met by its first documents in seeded order.
 """
 
 from __future__ import annotations
@@ -48,13 +48,14 @@ def targets(sizes: Sequence[tuple[str | None, int]], total: float | None = None,
     return {name: out[name] for name, _ in names}
 
 
-def subset_sum(lengths: Sequence[int], counts: Sequence[int], budget: int, exact: int = 1 << 16) -> list[int]:
-    """How many items of each length to take, at most its count, so that the total comes as near to the budget as it can from below.
+def subset_sum(lengths: Sequence[int], counts: Sequence[int], budget: int, exact: int = 1 << 16, enough: int = 1 << 24) -> list[int]:
+    """How many items of each length to take, at most its count, so that the total comes near to the budget from below.
 
     Longest first, items are taken while more than a window of words is left; the rest is an exact bounded knapsack. The
     window is ``exact`` or twice the largest length, if that is more. While the budget is not met and something was taken
-    before the window, it doubles; a window of the whole budget leaves nothing to chance. Lengths are divided by their
-    greatest common divisor first. Memory is about three bytes a word of the last window.
+    before the window, it doubles; from ``enough`` words on only as long as that brings a smaller shortfall. So a budget of up
+    to ``enough`` is met as nearly as can be, and a larger one up to less than the shortest length of which items are left.
+    Lengths are divided by their greatest common divisor first. Memory is about five bytes a word of the last window.
 
     >>> subset_sum([5, 4, 3], [1, 2, 1], 11)
     [0, 2, 1]
@@ -71,11 +72,14 @@ def subset_sum(lengths: Sequence[int], counts: Sequence[int], budget: int, exact
         got = have
     else:
         window = max(exact, 2 * size[0])
-        while True:
-            got, short = _within(size, have, left, window)
-            if not short or window >= left:
-                break
+        got, short = _within(size, have, left, window)
+        while short and window < left:
             window *= 2
+            more, less = _within(size, have, left, window)
+            if less < short:
+                got, short = more, less
+            elif window >= enough:
+                break
     for i, k in zip(order, got, strict=True):
         taken[i] = k
     return taken
