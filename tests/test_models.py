@@ -416,3 +416,29 @@ def test_cox_sums_are_the_loop_over_risk_sets(spark, months):
             assert np.allclose(next(iter(mine.values()))["betas"], b, atol=1e-7)
             assert np.allclose([mine[u]["hazard"] for u in own["u"][~on]], np.exp(x[~on] @ b))
     assert survival.fit_cox(df.where("k > 9"), ["k"], names, "t", "e").count() == 0
+
+
+def test_dealt_cox_models_are_those_of_repeated_rows(spark, monkeypatch):
+    """Fits that share units pack their rows once; the coefficients are those of the rows repeated for each fit."""
+    monkeypatch.setattr(survival, "PACKED", 7)
+    monkeypatch.setattr(survival, "CELLS", 64)
+    monkeypatch.setattr(survival, "HELD", 500)
+    rng = np.random.default_rng(3)
+    rows = [(u, u % 2, int(rng.integers(1, 9)), int(rng.random() < 0.5), float(rng.normal(5, 2)), None if i == 3 else float(rng.normal())) for u in range(12) for i in range(10)]
+    df = spark.createDataFrame(rows, "u long, g int, t int, e int, a double, b double").repartition(3)
+    deals = spark.createDataFrame([(u, f, int(rng.integers(1, 4))) for f in range(3) for u in range(12) if rng.random() < 0.7], "u long, f long, weight long")
+    got = {(r["g"], r["f"]): r for r in survival.cox_dealt(df, deals, "u", "g", "f", ["a", "b"], "t", "e").collect()}
+    want = survival.cox_betas(df.join(deals, "u"), ["g", "f"], ["a", "b"], "t", "e", "weight").collect()
+    assert set(got) == {(r["g"], r["f"]) for r in want}
+    for r in want:
+        assert np.allclose(got[r["g"], r["f"]]["betas"], r["betas"], atol=1e-8)
+
+
+@pytest.mark.parametrize("events", [1, 32, 33, 5000])
+@pytest.mark.parametrize("all_events", [False, True])
+def test_efron_sums_of_many_events_are_the_loop(spark, events, all_events):
+    s0, d0 = (40.0, 40.0) if all_events else (1000.0, 3.0)
+    got = survival._efron(spark.createDataFrame([(s0, d0, float(events))], "s0 double, d0 double, d double")).first()["_q"]
+    f = np.arange(events) / events
+    q = 1 / (s0 - f * d0)
+    assert np.allclose(got, [q.sum(), (f * q).sum(), (q * q).sum(), (f * q * q).sum(), (f * f * q * q).sum()], rtol=1e-9)

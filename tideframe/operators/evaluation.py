@@ -51,7 +51,7 @@ def standardise(df: DataFrame, keys: Sequence[str], train: str, columns: Sequenc
     (mean and deviation are taken before that); else ddof 0 after missing became 0. A deviation up to 1e-8 gives 0."""
     x = {c: F.col(c) if sample else F.coalesce(F.col(c), F.lit(0.0)) for c in columns}
     dev = F.stddev_samp if sample else F.stddev_pop
-    stats = df.where(train).groupBy(*keys).agg(*[f(x[c]).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", dev), ("q", F.median))])
+    stats = df.where(train).groupBy(*keys).agg(*[f(x[c]).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", dev), *([("q", F.median)] if sample else []))])
     joined = df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))
     full = {c: F.coalesce(F.col(c), F.col(f"_q_{c}")) if sample else x[c] for c in columns}
     out = {c: F.when(F.col(f"_s_{c}") > 1e-8, (full[c] - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0) for c in columns}

@@ -164,12 +164,21 @@ def fixed_or_chosen_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["observed", "p", "null_median"])
 
 
-def survival_rows(spark: SparkSession, sf_dir: str, n: int = EQ.N) -> DataFrame:
-    """Event panel rows (suppliers before their peak) for each of n splits of the suppliers."""
+def survival_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event panel rows (suppliers before their peak), computed once."""
     p = panel.pre_peak(PQ.event_panel(spark, sf_dir), "month_end", "peak", F.col("bubble")).where(F.col("realized_vol").isNotNull())
-    p = p.withColumn("label", F.col("bubble").cast("int")).withColumn("size", F.log("market_cap"))
-    s = R.stratified_holdouts(p.select("l_suppkey", F.col("label").cast("string").alias("stratum")).distinct(), "l_suppkey", "stratum", n, 0.3)
-    return p.join(s.select("split", "l_suppkey", "held"), "l_suppkey")
+    return R.settled(p.withColumn("label", F.col("bubble").cast("int")).withColumn("size", F.log("market_cap")))
+
+
+def survival_splits(p: DataFrame, n: int = EQ.N) -> DataFrame:
+    """(split, l_suppkey, held): n splits of the panel's suppliers."""
+    return R.stratified_holdouts(p.select("l_suppkey", F.col("label").cast("string").alias("stratum")).distinct(), "l_suppkey", "stratum", n, 0.3).select("split", "l_suppkey", "held")
+
+
+def survival_rows(spark: SparkSession, sf_dir: str, n: int = EQ.N) -> DataFrame:
+    """The panel's rows for each of n splits of the suppliers."""
+    p = survival_panel(spark, sf_dir)
+    return p.join(survival_splits(p, n), "l_suppkey")
 
 
 def regime_of(sector: str) -> F.Column:
@@ -179,35 +188,47 @@ def regime_of(sector: str) -> F.Column:
 COX = ["realized_vol", "size", "n_days"]
 
 
+def split_cox(p: DataFrame, s: DataFrame) -> DataFrame:
+    """A Cox model of each split's training suppliers."""
+    return SV.cox_dealt(p.withColumn("_g", F.lit(0)), s.where("NOT held").withColumn("weight", F.lit(1)), "l_suppkey", "_g", "split", COX, "time_to_peak", "event_12m")
+
+
+def split_cox_auc(p: DataFrame, s: DataFrame, name: str = "auc") -> DataFrame:
+    """AUC of each held-out supplier's mean hazard under the models of its splits."""
+    h = p.join(s.where("held"), "l_suppkey").join(F.broadcast(split_cox(p, s)), "split").withColumn("hazard", SV.hazards(COX))
+    return E.group_auc(h, ["split"], "l_suppkey", "hazard", "label", name)
+
+
 @query()
 def cox_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of each supplier's mean hazard among those held out."""
-    h = SV.cox_each(survival_rows(spark, sf_dir).withColumn("train", ~F.col("held")), ["split"], COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label")
-    return rounded(E.group_auc(h, ["split"], "l_suppkey", "hazard", "label"), ["auc"])
+    p = survival_panel(spark, sf_dir)
+    return rounded(split_cox_auc(p, survival_splits(p)), ["auc"])
 
 
 @query()
 def cox_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = SV.cox_each(survival_rows(spark, sf_dir).withColumn("train", ~F.col("held")), ["split"], COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label")
-    betas = h.groupBy("split").agg(F.first("betas").alias("b")).select("split", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in COX]).alias("name"), F.col("b").alias("beta"))).alias("e")).select("split", "e.*")
+    p = survival_panel(spark, sf_dir)
+    b = split_cox(p, survival_splits(p))
+    betas = b.select("split", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in COX]).alias("name"), F.col("betas").alias("beta"))).alias("e")).select("split", "e.*")
     return rounded(E.coefficient_stability(betas, "name", "beta"), ["median", "low", "high", "share_positive"])
 
 
 @query()
 def raw_or_demeaned_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same splits on raw and on supplier-demeaned features: paired AUCs and their gap."""
-    rows = survival_rows(spark, sf_dir).withColumn("train", ~F.col("held")).withColumn("unit", F.concat_ws("/", F.col("split").cast("string"), F.col("l_suppkey").cast("string")))
-    score = lambda d, name: E.group_auc(SV.cox_each(d, ["split"], COX, "time_to_peak", "event_12m", "train", "l_suppkey", "label"), ["split"], "l_suppkey", "hazard", "label", name).drop("n")
-    out = score(rows, "raw").join(score(V.demeaned(rows, "unit", COX), "demeaned"), "split")
+    p = survival_panel(spark, sf_dir)
+    s = R.settled(survival_splits(p))
+    out = split_cox_auc(p, s, "raw").drop("n").join(split_cox_auc(V.demeaned(p, "l_suppkey", COX), s, "demeaned").drop("n"), "split")
     return rounded(out.withColumn("gap", F.col("raw") - F.col("demeaned")), ["raw", "demeaned", "gap"])
 
 
 @query()
 def cluster_bootstrap_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range of Cox coefficients over 500 resamples of suppliers with replacement, by regime (two halves of the sectors)."""
-    p = with_sector(survival_rows(spark, sf_dir, 1).drop("split", "held"), spark, sf_dir).withColumn("regime", regime_of("sector")).drop("sector")
+    p = with_sector(survival_panel(spark, sf_dir), spark, sf_dir).withColumn("regime", regime_of("sector")).drop("sector")
     w = R.cluster_weights(p.select("l_suppkey").distinct(), "l_suppkey", 500)
-    h = SV.cox_betas(w.join(p, "l_suppkey"), ["boot", "regime"], COX, "time_to_peak", "event_12m", weight="weight")
+    h = SV.cox_dealt(p, w, "l_suppkey", "regime", "boot", COX, "time_to_peak", "event_12m")
     betas = h.select("regime", F.posexplode("betas").alias("i", "beta")).withColumn("name", F.concat_ws("/", "regime", F.element_at(F.array(*[F.lit(c) for c in COX]), F.col("i") + 1)))
     return rounded(E.coefficient_stability(betas, "name", "beta"), ["median", "low", "high", "share_positive"])
 
