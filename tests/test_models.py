@@ -442,3 +442,26 @@ def test_efron_sums_of_many_events_are_the_loop(spark, events, all_events):
     f = np.arange(events) / events
     q = 1 / (s0 - f * d0)
     assert np.allclose(got, [q.sum(), (f * q).sum(), (q * q).sum(), (f * q * q).sum(), (f * f * q * q).sum()], rtol=1e-9)
+
+
+def test_many_sequences_at_once_are_the_single_ones(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    size = np.array([7, 1, 5, 4])
+    x = rng.normal(size=(7, 4, 2))
+    start, move, mean, var = rng.dirichlet([1, 1, 1], 4), rng.dirichlet([1, 1, 1], (4, 3)), rng.normal(size=(4, 3, 2)), rng.uniform(0.5, 2, (4, 3, 2))
+    g, pairs, value = models._posteriors(x, size, start, move, mean, var)
+    for i, n in enumerate(size):
+        one = models._posterior(x[:n, i], start[i : i + 1], move[i : i + 1], mean[i : i + 1], var[i : i + 1])
+        assert np.allclose(g[:n, i], one[0][:, 0]) and not g[n:, i].any() and np.allclose(pairs[i], one[1][0]) and np.allclose(value[i], one[2][0])
+
+
+def test_hidden_states_of_sequences_of_many_lengths_in_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(s, t, float(rng.normal(3 * (t // 5 % 2)))) for s in range(9) for t in range(3 + 4 * s)], "s long, t int, v double").repartition(3)
+    each = {(r["s"], r["t"]): (r["danger"], r["rounds"]) for r in models.danger_of_each(df, "s", "t", ["v"], 2).collect()}
+    alone = {(r["s"], r["t"]): (r["danger"], r["rounds"]) for r in models.danger_of_each(df.where("s = 4"), "s", "t", ["v"], 2).collect()}
+    assert {k for k, _ in each} == set(range(1, 9)) and all(each[k][1] == v[1] and np.isclose(each[k][0], v[0]) for k, v in alone.items())
+    now = models.fit_hmm(df, "s", "t", ["v"], 2, 5)
+    monkeypatch.setattr(models, "CELLS", 10)
+    assert np.allclose(models.fit_hmm(df, "s", "t", ["v"], 2, 5).mean, now.mean)
+    assert models.danger_scores(df, now, "s", "t", ["v"]).where("s = 8").count() == 35

@@ -252,9 +252,9 @@ STATES = ["realized_vol", "size"]
 
 
 def state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' months with volatility, its label and split-free features."""
+    """Suppliers' months with volatility, its label and split-free features, computed once."""
     m = PQ.months(spark, sf_dir).where(F.col("realized_vol").isNotNull())
-    return m.withColumn("size", F.log("market_cap")).withColumn("label", (F.col("l_suppkey") % 3 == 0).cast("int"))
+    return R.settled(m.withColumn("size", F.log("market_cap")).withColumn("label", (F.col("l_suppkey") % 3 == 0).cast("int")))
 
 
 @query()
