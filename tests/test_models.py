@@ -84,6 +84,34 @@ def test_permutation_aucs_are_numpys(spark, monkeypatch, wave):
     assert p == {k: pytest.approx(np.mean([got[k, i] >= got[k, 0] for i in range(1, 41)])) for k in (0, 1, 2)}
 
 
+def test_fits_with_long_tails_settle(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([-np.exp(rng.normal(size=600) * 2.5) * (rng.random(600) < 0.3), rng.normal(size=600)])
+    y = (rng.random(600) < np.where(x[:, 0] < -3, 0.03, 0.97)).astype(int)
+    df = spark.createDataFrame([(0, i, int(y[i]), i % 4 == 0, *map(float, x[i])) for i in range(600)], "k long, u long, y int, held boolean, a double, b double")
+    rows = fits.fit_rows(df, ["k"], "u", ["a", "b"], "y", "held")
+    t = np.arange(600) % 4 != 0
+    z = np.column_stack([np.ones(t.sum()), plain._scaled(x, t)[t]])
+    grid = [1e-4, 1e-2, 1.0, 100.0]
+    for l1 in (False, True):
+        found = fits.fit_all(rows, fits.Plan(1, grid), l1)
+        for c, b in zip(grid, found.beta[0], strict=True):
+            g = z.T @ (y[t] - fits.sigmoid(z @ b))
+            off = np.where(b != 0, g - c * np.sign(b), np.maximum(np.abs(g) - c, 0)) if l1 else g - c * b * [0, 1, 1]
+            assert np.abs(off).max() < 1e-5
+    rows.close()
+
+
+def test_lasso_minima_of_nearly_dependent_features():
+    """Sweeps over coordinates alone take many thousands here."""
+    h = np.array([[867.515, -155.71, 226.197, -198.455], [-155.71, 266.85, -40.619, 223.745], [226.197, -40.619, 58.985, -51.778], [-198.455, 223.745, -51.778, 242.015]])
+    r, cost = np.array([2126.57606885, -374.49871254, 557.24723152, -379.00149485]), np.full(4, 1.12883789)
+    h += np.eye(4) * max(0.0, 1e-3 - np.linalg.eigvalsh(h)[0])
+    b = fits._lasso_minima(h[None], r[None], cost[None], np.array([[0.67274645, -1.60634184, 7.57242568, 2.11884901]]))[0]
+    g = r - h @ b
+    assert np.where(b != 0, np.abs(g - cost * np.sign(b)), np.abs(g) - cost).max() < 1e-6
+
+
 def test_shuffles_are_many_different_ones(spark):
     df, names = panel(spark, 3, keys=(0,), n=400)
     rows = fits.fit_rows(df, ["k"], "u", names, "y", "held")
