@@ -329,6 +329,15 @@ def test_percentile_rank_is_the_count(spark):
         assert r["percentile"] == pytest.approx(100 * np.mean([v <= r["s"] for v in known])) and r["out_of_range"] == (r["s"] > max(known))
 
 
+def test_percentile_ranks_of_a_long_tail_are_dealt_evenly(spark):
+    """One huge value doesn't put all others into one range."""
+    ref = spark.range(2000).select(F.lit("k").alias("k"), F.when(F.col("id") == 0, 1e12).otherwise(F.col("id").cast("double")).alias("s"))
+    out = evaluation.percentile_rank(ref, ref, "k", "s", 16)
+    assert {r["s"]: r["percentile"] for r in out.collect()} == {(1e12 if i == 2000 else float(i)): pytest.approx(i / 20) for i in range(1, 2001)}
+    tree = out._jdf.queryExecution().analyzed().toString()
+    assert "_bounds" in tree
+
+
 def test_spearman_p_is_near_that_of_permutations(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=60)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.credit import normal_cdf
 from ..functions.numbers import correlation, pipe_list, ratio
-from .splits import numbered
+from .splits import numbered, settled
 
 
 def average_rank(keys: Sequence[str], value: str) -> Column:
@@ -102,19 +102,19 @@ def impact(members: DataFrame, split: str, unit: str, held: str, value: str) ->
     return members.groupBy(unit).agg((m(~F.col(held)) - m(F.col(held))).alias("impact"), F.sum(F.col(held).cast("int")).alias("n_held"))
 
 
-def percentile_rank(targets: DataFrame, reference: DataFrame, key: str, score: str, parts: int = 256) -> DataFrame:
+def percentile_rank(targets: DataFrame, reference: DataFrame, key: str, score: str, parts: int = 64) -> DataFrame:
     """targets with the share (in %) of reference scores of the key that are not greater, and whether it is above them all;
     NULL without a reference or score.
 
-    Scores of a key are counted by value, dealt into ``parts`` ranges, and summed up to each value within its range and
+    Scores of a key are counted by value, dealt into ``parts`` ranges of about as many values, and summed up to each value within its range and
     over the ranges before it: no target meets a reference row, and no task needs all values of a key.
     """
     ref = reference.where(F.col(score).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(score).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     own = targets.where(F.col(score).isNotNull()).select(F.col(key).alias("_k"), F.col(score).alias("_v")).distinct().withColumn("_n", F.lit(0).cast("bigint"))
-    values = ref.unionByName(own).groupBy("_k", "_v").agg(F.sum("_n").alias("_n"))
-    span = values.groupBy("_k").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_n").alias("_all"), F.max(F.when(F.col("_n") > 0, F.col("_v"))).alias("_top"))
-    part = F.when(F.col("_b") > F.col("_a"), F.floor((F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * (parts - 1))).otherwise(0).cast("int")
-    dealt = values.join(span, "_k").withColumn("_part", part)
+    values = settled(ref.unionByName(own).groupBy("_k", "_v").agg(F.sum("_n").alias("_n")))
+    span = values.groupBy("_k").agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 10 * parts).alias("_bounds"), F.sum("_n").alias("_all"), F.max(F.when(F.col("_n") > 0, F.col("_v"))).alias("_top"))
+    part = F.size(F.filter("_bounds", lambda b: b < F.col("_v")))
+    dealt = values.join(F.broadcast(span), "_k").withColumn("_part", part).drop("_bounds")  # a row a key
     before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("_k", "_part").agg(F.sum("_n").alias("_m")).withColumn("_m", F.coalesce(F.sum("_m").over(before), F.lit(0)))
     cum = F.sum("_n").over(Window.partitionBy("_k", "_part").orderBy("_v")) + F.col("_m")

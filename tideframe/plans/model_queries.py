@@ -315,11 +315,12 @@ def target_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months of suppliers by regime with trailing means; the held-out suppliers of one split are the targets."""
     rows = with_sector(survival_rows(spark, sf_dir, 1), spark, sf_dir).withColumn("regime", regime_of("sector"))
     rows = V.trailing_mean(rows, "l_suppkey", "month_end", COX)
-    return rows.withColumn("unit", F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("month_end").cast("string")))
+    return R.settled(rows.withColumn("unit", F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("month_end").cast("string"))))
 
 
 def ranked_targets(scored: DataFrame, score: str) -> DataFrame:
     """Targets' months ranked among the bubbles' months of their regime."""
+    scored = R.settled(scored)
     out = E.percentile_rank(scored, scored.where("label = 1"), "regime", score)
     return rounded(out.select("regime", "unit", score, "percentile", "out_of_range"), [score, "percentile"])
 
