@@ -84,6 +84,24 @@ def test_permutation_aucs_are_numpys(spark, monkeypatch, wave):
     assert p == {k: pytest.approx(np.mean([got[k, i] >= got[k, 0] for i in range(1, 41)])) for k in (0, 1, 2)}
 
 
+def test_tasks_pass_on_sums_of_few_keys(spark):
+    df, names = panel(spark, 5, range(24), 60)
+    rows = fits.fit_rows(df.repartition(8), ["k"], "u", names, "y", "held")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    assert rows.table.count() == 24 * 60
+    assert rows.table.select(F.spark_partition_id(), "_k").distinct().count() < 24 + tasks  # not 24 from every task
+    rows.close()
+
+
+def test_a_step_sends_tasks_its_moving_fits_alone(spark):
+    plan = fits.Plan(100, each={0: np.ones(100), 1: np.ones(100)})
+    beta, scale = {0: np.zeros((100, 3)), 1: np.zeros((100, 3))}, (np.zeros((1, 2)), np.ones((1, 2)))
+    part, state = fits._step(fits.Fitted(plan, beta, {}, {0: scale, 1: scale}, {}), {1: np.array([4, 7])}, False)
+    assert set(state) == {1} and state[1][0].shape == (2, 3)
+    held = {n: c.cell_contents for n, c in zip(part.__code__.co_freevars, part.__closure__, strict=True)}
+    assert set(held) <= {"loss", "plan"} and not held["plan"].each
+
+
 def test_fits_with_long_tails_settle(spark):
     rng = np.random.default_rng(4)
     x = np.column_stack([-np.exp(rng.normal(size=600) * 2.5) * (rng.random(600) < 0.3), rng.normal(size=600)])
