@@ -214,6 +214,23 @@ def test_leaving_one_row_out(spark):
     assert got["c"] == best[1] and got["auc"] == pytest.approx(best[0])
 
 
+@pytest.mark.parametrize("l1", [True, False])
+def test_leaving_one_of_many_rows_out_by_series_is_the_fits(spark, monkeypatch, l1):
+    df, names = panel(spark, 11, keys=(0, 4), n=90)
+    grid, asked = [0.02, 0.1, 1.0], []
+    want = {r["k"]: r for r in models.choose_c(df, ["k"], names, "y", "u", grid, folds=None, l1=l1).collect()}
+    of, rows_off = fits.Plan.of, fits.SERIES_OFF
+    monkeypatch.setattr(fits, "SERIES_ROWS", 50)
+    monkeypatch.setattr(fits.Plan, "of", lambda self, k: (asked.append(len(self.only[k][0])) if k in self.only else None) or of(self, k))
+    for off in (1e9, rows_off, -1.0):  # all by series, some of them, none
+        monkeypatch.setattr(fits, "SERIES_OFF", off)
+        asked.clear()
+        got = {r["k"]: r for r in models.choose_c(df, ["k"], names, "y", "u", grid, folds=None, l1=l1).collect()}
+        assert max(asked, default=0) == 0 if off > 1 else max(asked) == 270 if off < 0 else 0 < max(asked) < 270
+        for k, r in want.items():
+            assert (got[k]["c"], got[k]["nonzero"]) == (r["c"], r["nonzero"]) and got[k]["auc"] == pytest.approx(r["auc"], abs=1e-3 if off > 1 else 1e-9)
+
+
 def test_aucs_by_ranges_of_the_score_are_the_same(spark):
     df, names = panel(spark, 8)
     rows = fits.fit_rows(df, ["k"], "u", names, "y", "held")
