@@ -328,6 +328,19 @@ def test_forests_order_what_they_were_shown(spark):
     assert np.corrcoef([risk[i] for i, *_ in rows], [x for _, x, *_ in rows])[0, 1] > 0.7
 
 
+def test_survival_forest_tells_small_hazards_apart_in_any_partitioning(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, x := float(rng.uniform(-1, 1)), min(12, 1 + int(rng.exponential(20 * np.exp(-1.5 * x))))) for i in range(400)]
+    life = spark.createDataFrame([(i, x, t, int(t < 12)) for i, x, t in rows], "u long, x double, t int, e int")
+    score = lambda df: {r["u"]: r["risk"] for r in models.survival_forest_scores(df, life, ["x"], "t", "e", "u", trees=30, prune=False).collect()}
+    one = score(life.repartition(1))
+    assert one == score(life.repartition(7))
+    assert np.corrcoef([one[i] for i, *_ in rows], [x for _, x, _ in rows])[0, 1] > 0.7
+    # a known hazard: of 300 rows in period 1 every fourth has its event
+    flat = spark.createDataFrame([(i, 0.0, 1, int(i % 4 == 0)) for i in range(300)], "u long, x double, t int, e int")
+    assert models.survival_forest_scores(flat, flat.limit(1), ["x"], "t", "e", "u").first()["risk"] == pytest.approx(0.25, abs=0.01)
+
+
 def test_principal_components_are_the_eigenvectors(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(80, 5)) @ rng.normal(size=(5, 5))

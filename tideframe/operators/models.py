@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw_unit
 from ..functions.numbers import sigmoid
 from . import fits
+from .forests import survival_forest_scores  # noqa: F401
 
 # --- logistic fits ------------------------------------------------------------------------------------------------
 
@@ -293,16 +294,6 @@ def forest_scores(train: DataFrame, test: DataFrame, features: Sequence[str], la
     return out.select(*test.columns, "score")
 
 
-def survival_forest_scores(train: DataFrame, test: DataFrame, features: Sequence[str], time: str, event: str, unit: str, trees: int = 100, depth: int = 5, leaf: int = 10, seed: int = 42) -> DataFrame:
-    """(unit, risk): a forest of discrete hazards. A train row of duration t becomes t rows (periods 1 to t), the last with the
-    event; risk is the sum of a test row's hazards over all periods. Durations are months: a small whole number."""
-    person = train.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col(time).cast("int")))).withColumn("_e", ((F.col("_t") == F.col(time)) & (F.col(event) == 1)).cast("int"))
-    longest = train.agg(F.max(time)).first()[0] or 1
-    grid = test.withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(int(longest)))))
-    scored = forest_scores(person, grid, [*features, "_t"], "_e", trees, depth, leaf, seed)
-    return scored.groupBy(unit).agg(F.sum("score").alias("risk"))
-
-
 def principal_components(df: DataFrame, vector: str, k: int, name: str = "components") -> tuple[DataFrame, list[float]]:
     """df with its vectors' first k components after scaling, and the shares of variance."""
     rows = df.withColumn("_v", array_to_vector(F.col(vector)))
