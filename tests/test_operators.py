@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideframe.functions import credit, dates, numbers
 from tideframe.operators import bonds, evaluation, joins, models, panel, splits, texts
 from tideframe.operators import volatility as V
+from tideframe.plans import roles
 from tideframe.sources import tables as S
 
 
@@ -328,3 +329,18 @@ def test_the_metric_panel_is_its_single_queries(spark):
             for c in columns:
                 mine, want = got[r["sector"], r["month_end"]][f"metric_{c}"], r[f"metric_{c}"]
                 assert mine == (want if want is None else pytest.approx(want, abs=2e-5)), (query.__name__, c)
+
+
+def test_months_of_lineitem_need_one_shuffle(spark, sf_dir):
+    plan = roles.months(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_realized_vol_is_the_deviation_of_the_last_rows(spark):
+    rng = np.random.default_rng(3)
+    rets = [None if i % 11 == 0 else float(np.clip(rng.normal(0, 0.6), -2, 2)) if i < 150 else 0.3 for i in range(260)]
+    df = spark.createDataFrame([(f, i, r) for f in range(2) for i, r in enumerate(rets)], "f int, i int, r double")
+    got = {r["i"]: r["realized_vol"] for r in V.realized_vol(df, "f", "i", "r").where("f = 1").collect()}
+    for i in range(260):
+        last = [r for r in rets[max(0, i - 62) : i + 1] if r is not None]
+        assert got[i] == (pytest.approx(np.std(last, ddof=1) * np.sqrt(252), abs=1e-6) if len(last) >= 15 else None)

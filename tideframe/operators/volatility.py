@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,22 +15,35 @@ YEAR = 252.0
 
 
 def realized_vol(daily: DataFrame, firm: str, date: str, ret: str, window: int = 63, least: int = 15, name: str = "realized_vol") -> DataFrame:
-    """Annual standard deviation of the last ``window`` rows of a firm with at least ``least`` returns. Rows count, not days."""
-    w = Window.partitionBy(firm).orderBy(date).rowsBetween(1 - window, 0)
-    return daily.withColumn(name, F.when(F.count(ret).over(w) >= least, F.stddev_samp(ret).over(w) * F.sqrt(F.lit(YEAR))))
+    """Annual standard deviation of the last ``window`` rows of a firm with at least ``least`` returns. Rows count, not days.
+
+    Running sums less those of ``window`` rows before, so a row costs the same whatever the window; returns are fractions
+    (within -2 and 2 here), so the sums lose some 1e-14 of the variance, and one below 1e-13 is 0.
+    """
+    order = Window.partitionBy(firm).orderBy(date)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(ret).cast("double")
+    sums = daily.withColumns({"_n": F.count(ret).over(so_far), "_s": F.coalesce(F.sum(x).over(so_far), F.lit(0.0)), "_ss": F.coalesce(F.sum(x * x).over(so_far), F.lit(0.0))})
+    n, s, ss = (F.col(c) - F.coalesce(F.lag(c, window).over(order), F.lit(0)) for c in ("_n", "_s", "_ss"))
+    last = sums.withColumns({"_n": n, "_s": s, "_ss": ss})
+    n, s, ss = (F.col(c) for c in ("_n", "_s", "_ss"))
+    var = (ss - s * s / n) / (n - 1)
+    return last.withColumn(name, F.when((n >= least) & (n > 1), F.when(var < 1e-13, 0.0).otherwise(F.sqrt(var)) * F.sqrt(F.lit(YEAR)))).drop("_n", "_s", "_ss")
 
 
 def last_known(col: str, date: str) -> Column:
     return F.max_by(col, F.when(F.col(col).isNotNull(), F.col(date)))
 
 
-def firm_months(daily: DataFrame, firm: str, date: str, ret: str = "ret", price: str = "price", shares: str = "shrout", window: int = 63, least: int = 15, least_days: int = 15) -> DataFrame:
+def firm_months(daily: DataFrame, firm: str, date: str, ret: str = "ret", price: str = "price", shares: str = "shrout", window: int = 63, least: int = 15, least_days: int = 15, more: Sequence[Column] = ()) -> DataFrame:
     """firm, month end, realized_vol, market_cap and n_days: the last known value of each column in the month, and the
-    number of returns. Months with fewer than ``least_days`` returns are dropped. Vol and months share one exchange by firm."""
+    number of returns; ``more``: named aggregates of the month's days. Months with fewer than ``least_days`` returns are
+    dropped. Vol and months share one exchange by firm."""
     rows = realized_vol(daily.withColumn(ret, clip(F.col(ret), -2.0, 2.0)), firm, date, ret, window, least)
-    months = rows.groupBy(firm, F.last_day(date).alias("month_end")).agg(last_known("realized_vol", date).alias("realized_vol"), last_known(price, date).alias("_p"), last_known(shares, date).alias("_s"), F.count(ret).alias("n_days"))
+    months = rows.groupBy(firm, F.last_day(date).alias("month_end")).agg(last_known("realized_vol", date).alias("realized_vol"), last_known(price, date).alias("_p"), last_known(shares, date).alias("_s"), F.count(ret).alias("n_days"), *more)
+    extra = [c for c in months.columns if c not in (firm, "month_end", "realized_vol", "_p", "_s", "n_days")]
     months = months.where(F.col("n_days") >= least_days)
-    return months.select(firm, "month_end", clip(F.col("realized_vol"), high=5.0).alias("realized_vol"), market_cap(F.col("_p"), F.col("_s")).alias("market_cap"), "n_days")
+    return months.select(firm, "month_end", clip(F.col("realized_vol"), high=5.0).alias("realized_vol"), market_cap(F.col("_p"), F.col("_s")).alias("market_cap"), "n_days", *extra)
 
 
 def rolling_std(df: DataFrame, firm: str, date: str, value: str, name: str, window: int = 6, least: int = 3) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import volatility as V
 from ..operators.splits import settled
 from . import model_queries as MQ
 from . import panel_queries as PQ
-from .roles import SECTOR_SQL, daily, rounded, table, with_sector
+from .roles import SECTOR_SQL, daily, every_month, known_months, reported, rounded, table, with_sector
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -23,9 +23,9 @@ CORR = {"days": 100, "window": 63, "least": 10, "least_firms": 3}
 
 def firms(days: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Firm-months of the daily table with sector, leverage, asset_vol, vol_of_vol and assets."""
-    months = V.rolling_std(V.firm_months(days, "l_suppkey", "d", least_days=3), "l_suppkey", "month_end", "realized_vol", "vol_of_vol")
-    debt = days.where(F.month("d") % 3 == 0).groupBy("l_suppkey", F.last_day("d").alias("datadate")).agg((F.sum(F.col("price") * F.col("shrout")) * 0.4123456789 / 1000).alias("total_debt"))
-    out = with_sector(joins.firm_leverage(months, debt, "l_suppkey", "total_debt", "datadate", "market_cap"), spark, sf_dir)
+    every = settled(every_month(days))
+    months = V.rolling_std(known_months(every), "l_suppkey", "month_end", "realized_vol", "vol_of_vol")
+    out = with_sector(joins.firm_leverage(months, reported(every), "l_suppkey", "total_debt", "datadate", "market_cap"), spark, sf_dir)
     return out.withColumn("asset_vol", F.col("realized_vol") * (1 - F.col("leverage"))).withColumn("assets", F.col("total_debt") + F.col("market_cap"))
 
 

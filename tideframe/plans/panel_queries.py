@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import credit, dates, numbers
 from ..operators import bonds, joins, panel
 from ..operators import volatility as V
+from ..operators.splits import settled
 from ..sources import tables as S
-from .roles import MONTHS_SQL, SECTOR_SQL, daily, daily_sql, months, rounded, table, with_sector
+from .roles import MONTHS_SQL, SECTOR_SQL, daily, daily_sql, every_month, known_months, months, reported, rounded, table, with_sector
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,7 +33,16 @@ def query(sql: str | None = None):
     SELECT sector, month_end, round(sector_vol, 6) AS sector_vol, n_firms, round(market_vol, 6) AS market_vol, round(CASE WHEN market_vol <> 0 THEN sector_vol / market_vol END, 6) AS metric_a
     FROM sector LEFT JOIN mv USING (month_end)""")
 def metric_a_by_sector_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sector = V.sector_median(with_sector(months(spark, sf_dir), spark, sf_dir), ["sector", "month_end"], "realized_vol", "sector_vol")
+    return _metric_a(months(spark, sf_dir), spark, sf_dir)
+
+
+def firm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All firm-months with their turnover, computed once: what is known of months and reported debt comes from here."""
+    return settled(every_month(daily(spark, sf_dir)))
+
+
+def _metric_a(m: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    sector = V.sector_median(with_sector(m, spark, sf_dir), ["sector", "month_end"], "realized_vol", "sector_vol")
     market = V.market_vol(daily(spark, sf_dir).groupBy("d").agg(F.avg("ret").alias("ret")), "d", "ret")
     out = rounded(V.relative_vol(sector, market), ["sector_vol", "market_vol", "metric_a"])
     return out.select("sector", "month_end", "sector_vol", "n_firms", "market_vol", "metric_a")
@@ -56,12 +66,6 @@ _GRID = """span AS (SELECT l_suppkey, {lag}min(month_end) AS a, max(month_end) A
 _LEV = "CASE WHEN total_debt + market_cap <> 0 AND total_debt IS NOT NULL THEN greatest(least(total_debt / (total_debt + market_cap), 0.99), 0.01) END"
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A supplier's turnover in March, June, September and December as its debt, reported at the month's end."""
-    d = daily(spark, sf_dir).where(F.month("d") % 3 == 0)
-    return d.groupBy("l_suppkey", F.last_day("d").alias("datadate")).agg((F.sum(F.col("price") * F.col("shrout")) * 0.4123456789 / 1000).alias("total_debt"))
-
-
 @query(f"""WITH {MONTHS_SQL}, {_DEBT},
     lags AS (SELECT unnest([0, 30, 60, 90]) AS lag_days),
     moved AS (SELECT l_suppkey, lag_days, last_day(CAST(month_end + lag_days * INTERVAL 1 DAY AS DATE)) AS month_end, max_by(total_debt, month_end) AS total_debt FROM debt, lags GROUP BY ALL),
@@ -69,22 +73,23 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_suppkey, lag_days, month_end, round(total_debt, 6) AS total_debt, round({_LEV}, 6) AS leverage
     FROM (SELECT * FROM months, lags) LEFT JOIN filled USING (l_suppkey, lag_days, month_end)""")
 def leverage_with_publication_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _lagged_leverage(spark, sf_dir)
+    out = _lagged_leverage(firm_table(spark, sf_dir))
     return rounded(out.select("l_suppkey", "lag_days", "month_end", "total_debt", "leverage"), ["leverage", "total_debt"])
 
 
-def _lagged_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lagged_leverage(every: DataFrame) -> DataFrame:
     """Firm-months with the leverage of reports that become known 0, 30, 60 and 90 days later."""
     lags = F.explode(F.array(*[F.lit(x) for x in (0, 30, 60, 90)]))
-    m = months(spark, sf_dir).withColumn("lag_days", lags)
-    moved = reports(spark, sf_dir).withColumn("lag_days", lags).withColumn("d", dates.lagged(F.col("datadate"), F.col("lag_days")))
+    m = known_months(every).withColumn("lag_days", lags)
+    moved = reported(every).withColumn("lag_days", lags).withColumn("d", dates.lagged(F.col("datadate"), F.col("lag_days")))
     filled = joins.to_months(moved, ["l_suppkey", "lag_days"], "d", ["total_debt"])
     return m.join(filled, ["l_suppkey", "lag_days", "month_end"], "left").withColumn("leverage", numbers.leverage(F.col("total_debt"), F.col("market_cap")))
 
 
-def leveraged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Firm-months with sector, leverage and asset_vol."""
-    out = joins.firm_leverage(months(spark, sf_dir), reports(spark, sf_dir), "l_suppkey", "total_debt", "datadate", "market_cap")
+def leveraged(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
+    """Firm-months with sector, leverage and asset_vol, of ``every`` firm-month if that is at hand."""
+    every = firm_table(spark, sf_dir) if every is None else every
+    out = joins.firm_leverage(known_months(every), reported(every), "l_suppkey", "total_debt", "datadate", "market_cap")
     return with_sector(out, spark, sf_dir).withColumn("asset_vol", F.col("realized_vol") * (1 - F.col("leverage")))
 
 
@@ -125,7 +130,7 @@ def leverage_metrics_and_interactions(spark: SparkSession, sf_dir: str) -> DataF
     g AS (SELECT sector, month_end, count(DISTINCT firm) AS n_firms FROM f GROUP BY 1, 2)
     SELECT sector, month_end, round(CASE WHEN n_firms >= 3 THEN m END, 6) AS metric_c, n_firms FROM g LEFT JOIN (SELECT sector, month_end, avg(CASE WHEN NOT isnan(c) THEN c END) AS m FROM c GROUP BY 1, 2) USING (sector, month_end)""")
 def mean_pairwise_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = daily(spark, sf_dir, "l_linenumber").select(F.col("l_linenumber").alias("firm"), (F.col("l_linenumber") % 2).alias("sector"), "d", "ret")
+    d = daily(spark, sf_dir, "l_linenumber", few=True).select(F.col("l_linenumber").alias("firm"), (F.col("l_linenumber") % 2).alias("sector"), "d", "ret")
     return rounded(V.pairwise_correlation(d, "sector", "firm", "d", "ret"), ["metric_c"])
 
 
@@ -249,7 +254,7 @@ def implied_volatility_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame
 @query()
 def sector_credit_implied_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics O (sector median), P (less the median asset volatility) and Q (12-row change)."""
-    lev = leveraged(spark, sf_dir)
+    lev = settled(leveraged(spark, sf_dir))
     civ = bonds.with_implied_vol(_bonds(spark, sf_dir).join(lev.select("l_suppkey", "month_end", "leverage", "sector"), ["l_suppkey", "month_end"]), "spread", "leverage", "bucket")
     o = bonds.sector_months(civ, "sector", "l_suppkey", "civ").withColumnRenamed("civ", "metric_o")
     d = lev.groupBy("sector", "month_end").agg(F.median("asset_vol").alias("asset_vol"))
@@ -376,8 +381,9 @@ def _b_sql(source: str, keys: str, name: str) -> str:
     FROM k LEFT JOIN ma USING (sector, month_end) LEFT JOIN mb USING (sector, month_end) LEFT JOIN md USING (sector, month_end)""")
 def sector_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sectors' metrics side by side, a row a sector and month: one grouping of their union."""
-    lev = leveraged(spark, sf_dir)
-    a = metric_a_by_sector_month(spark, sf_dir).select("sector", "month_end", "metric_a")
+    every = firm_table(spark, sf_dir)
+    lev = settled(leveraged(spark, sf_dir, every))
+    a = _metric_a(known_months(every), spark, sf_dir).select("sector", "month_end", "metric_a")
     b = V.expanding_gap(lev, "sector", "month_end", "leverage", "asset_vol")
     d = lev.groupBy("sector", "month_end").agg(F.median("leverage").alias("med_leverage"), F.median("asset_vol").alias("metric_d"), F.median("realized_vol").alias("_v"))
     d = V.difference(d, ["sector"], "month_end", "med_leverage", "metric_f").withColumn("metric_v", numbers.interactions(F.col("_v"), F.col("metric_d"), F.col("med_leverage"))["metric_v"]).drop("_v")
@@ -397,8 +403,9 @@ def sector_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_with_lagged_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel's B and F built again on reports that become known 0 to 90 days later, and put in place of its own."""
     lags = F.explode(F.array(*[F.lit(x) for x in (0, 30, 60, 90)]))
-    own = metric_a_by_sector_month(spark, sf_dir).select("sector", "month_end", "metric_a").withColumn("lag_days", lags)
-    lev = with_sector(_lagged_leverage(spark, sf_dir).withColumn("asset_vol", F.col("realized_vol") * (1 - F.col("leverage"))), spark, sf_dir)
+    every = firm_table(spark, sf_dir)
+    own = _metric_a(known_months(every), spark, sf_dir).select("sector", "month_end", "metric_a").withColumn("lag_days", lags)
+    lev = with_sector(_lagged_leverage(every).withColumn("asset_vol", F.col("realized_vol") * (1 - F.col("leverage"))), spark, sf_dir)
     keys = F.struct("lag_days", "sector").alias("_g")
     b = V.expanding_gap(lev.select("*", keys), "_g", "month_end", "leverage", "asset_vol").select("_g.*", "month_end", "metric_b")
     f = lev.groupBy("lag_days", "sector", "month_end").agg(F.median("leverage").alias("_m"))
