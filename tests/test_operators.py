@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideframe.functions import credit, dates, numbers
 from tideframe.operators import bonds, evaluation, joins, models, panel, splits, texts
 from tideframe.operators import volatility as V
-from tideframe.plans import roles
+from tideframe.plans import panel_queries, roles
 from tideframe.sources import tables as S
 
 
@@ -344,3 +344,9 @@ def test_realized_vol_is_the_deviation_of_the_last_rows(spark):
     for i in range(260):
         last = [r for r in rets[max(0, i - 62) : i + 1] if r is not None]
         assert got[i] == (pytest.approx(np.std(last, ddof=1) * np.sqrt(252), abs=1e-6) if len(last) >= 15 else None)
+
+
+def test_panels_read_lineitem_once_more_at_most(spark, sf_dir):
+    for query in (panel_queries.sector_panel, panel_queries.panel_with_lagged_fundamentals):
+        plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_shipdate") and plan.count("Relation [") - plan.count("Relation [s_suppkey") == 1

@@ -406,6 +406,7 @@ def panel_with_lagged_fundamentals(spark: SparkSession, sf_dir: str) -> DataFram
     every = firm_table(spark, sf_dir)
     own = _metric_a(known_months(every), spark, sf_dir).select("sector", "month_end", "metric_a").withColumn("lag_days", lags)
     lev = with_sector(_lagged_leverage(every).withColumn("asset_vol", F.col("realized_vol") * (1 - F.col("leverage"))), spark, sf_dir)
+    lev = settled(lev.select("lag_days", "sector", "month_end", "leverage", "asset_vol"))
     keys = F.struct("lag_days", "sector").alias("_g")
     b = V.expanding_gap(lev.select("*", keys), "_g", "month_end", "leverage", "asset_vol").select("_g.*", "month_end", "metric_b")
     f = lev.groupBy("lag_days", "sector", "month_end").agg(F.median("leverage").alias("_m"))
