@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideframe.functions import credit, dates, numbers
 from tideframe.operators import bonds, evaluation, joins, models, panel, splits, texts
 from tideframe.operators import volatility as V
-from tideframe.plans import panel_queries, roles
+from tideframe.plans import metric_panel, panel_queries, roles
 from tideframe.sources import tables as S
 
 
@@ -350,3 +350,10 @@ def test_panels_read_lineitem_once_more_at_most(spark, sf_dir):
     for query in (panel_queries.sector_panel, panel_queries.panel_with_lagged_fundamentals):
         plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("l_shipdate") and plan.count("Relation [") - plan.count("Relation [s_suppkey") == 1
+
+
+def test_the_whole_panel_takes_firm_months_at_hand(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(panel_queries, "firm_table", lambda *_: pytest.fail("firm-months are made once more"))
+    every = splits.settled(roles.every_month(roles.daily(spark, sf_dir)))
+    assert panel_queries.leveraged(spark, sf_dir, every).count() == roles.months(spark, sf_dir).count()
+    assert metric_panel.whole_metric_panel(spark, sf_dir).columns

@@ -21,9 +21,8 @@ KEYS = ["sector", "month_end"]
 CORR = {"days": 100, "window": 63, "least": 10, "least_firms": 3}
 
 
-def firms(days: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Firm-months of the daily table with sector, leverage, asset_vol, vol_of_vol and assets."""
-    every = settled(every_month(days))
+def firms(every: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known firm-months with sector, leverage, asset_vol, vol_of_vol and assets."""
     months = V.rolling_std(known_months(every), "l_suppkey", "month_end", "realized_vol", "vol_of_vol")
     out = with_sector(joins.firm_leverage(months, reported(every), "l_suppkey", "total_debt", "datadate", "market_cap"), spark, sf_dir)
     return out.withColumn("asset_vol", F.col("realized_vol") * (1 - F.col("leverage"))).withColumn("assets", F.col("total_debt") + F.col("market_cap"))
@@ -37,10 +36,9 @@ def filing_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.pct_change(m, ["sector"], "month_end", "n_words", "metric_m").select(*KEYS, "metric_m")
 
 
-def parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """The metrics of the daily table and of filings' length, a frame each."""
-    days = settled(daily(spark, sf_dir))
-    own = settled(firms(days, spark, sf_dir))
+def parts(days: DataFrame, every: DataFrame, spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The metrics of the daily table, of every firm-month and of filings' length, a frame each."""
+    own = settled(firms(every, spark, sf_dir))
     market = V.market_vol(days.groupBy("d").agg(F.avg("ret").alias("ret")), "d", "ret")
     medians = own.groupBy(*KEYS).agg(*[F.median(c).alias(n) for c, n in (("realized_vol", "sector_vol"), ("leverage", "med_leverage"), ("asset_vol", "_asset"), ("vol_of_vol", "metric_d"), ("assets", "_assets"))])
     one = V.relative_vol(medians, market)
@@ -85,13 +83,16 @@ _SQL = f"""WITH {PQ.LEVERAGED_SQL}, {PQ._b_sql("lev", "sector", "mb")},
 
 def metric_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics A to F, M and U to X by sector and month."""
-    return _rounded(joins.assemble(parts(spark, sf_dir), KEYS))
+    days = settled(daily(spark, sf_dir))
+    return _rounded(joins.assemble(parts(days, settled(every_month(days)), spark, sf_dir), KEYS))
 
 
 def whole_metric_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with the credit metrics O to Q and the text-implied R and S as well, and the share of months that each
     metric is known in."""
-    frames = [*parts(spark, sf_dir), PQ.sector_credit_implied_vol(spark, sf_dir), MQ.text_implied_volatility(spark, sf_dir)]
+    days = settled(daily(spark, sf_dir))
+    every = settled(every_month(days))
+    frames = [*parts(days, every, spark, sf_dir), PQ.sector_credit_implied_vol(spark, sf_dir, every), MQ.text_implied_volatility(spark, sf_dir, every)]
     return _rounded(joins.assemble([f.select(*KEYS, *[c for c in f.columns if c not in KEYS and not c.startswith("n_issuers")]) for f in frames], KEYS))
 
 

@@ -68,7 +68,7 @@ def ridge_model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def text_implied_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_implied_volatility(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
     """Ridge on the log of a source's bond-like spread, scored on each filing, inverted with the latest leverage (then the
     sector's median, then 0.40): metric R by sector and quarter, filled to months, and its 12-row change S."""
     f = text_features(spark, sf_dir).withColumn("d", F.date_add(F.lit("1996-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int"))).withColumn("l_suppkey", F.substring("source", 4, 9).cast("bigint"))
@@ -76,7 +76,7 @@ def text_implied_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = f.withColumn("q", F.trunc("d", "quarter")).groupBy("l_suppkey", "q", "fold").agg(*[F.median(c).alias(c) for c in TEXT]).join(spread, ["l_suppkey", "q"]).withColumn("y", F.log("spread"))
     _, _, coef = M.ridge_path(train, "fold", TEXT, "y")
     scored = f.withColumn("spread", numbers.clip(F.exp(M.linear_score(TEXT, coef)), 1e-5, 0.10)).withColumn("month", F.last_day("d"))
-    lev = PQ.leveraged(spark, sf_dir).where("leverage IS NOT NULL")
+    lev = R.settled(PQ.leveraged(spark, sf_dir, every).where("leverage IS NOT NULL").select("l_suppkey", "month_end", "sector", "leverage"))
     found = joins.as_of(scored.select("l_suppkey", "doc_id", "d", "month", "spread"), lev.select("l_suppkey", "month_end", "leverage"), ["l_suppkey"], "month", "month_end", ["leverage"])
     sector = lev.groupBy("sector").agg(F.median("leverage").alias("usual"))
     full = with_sector(found, spark, sf_dir).join(sector, "sector", "left").withColumn("lev", F.coalesce("leverage", "usual", F.lit(0.40)))
