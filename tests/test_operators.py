@@ -357,3 +357,30 @@ def test_the_whole_panel_takes_firm_months_at_hand(spark, sf_dir, monkeypatch):
     every = splits.settled(roles.every_month(roles.daily(spark, sf_dir)))
     assert panel_queries.leveraged(spark, sf_dir, every).count() == roles.months(spark, sf_dir).count()
     assert metric_panel.whole_metric_panel(spark, sf_dir).columns
+
+
+def test_the_whole_panel_has_every_metric_and_its_share_of_months(spark):
+    from tideframe.plans import text_queries as TQ
+
+    path = "/root/testdata/sf0.01"
+    got = [r.asDict() for r in metric_panel.whole_metric_panel(spark, path).collect()]
+    names = [f"metric_{c}" for c in "abcdefghijklmnopqrsuvwx"]
+    for sector in {r["sector"] for r in got}:
+        own = [r for r in got if r["sector"] == sector]
+        for c in names:
+            share = sum(r[c] is not None for r in own) / len(own)
+            assert all(r[f"share_{c}"] == pytest.approx(share, abs=1e-6) for r in own)
+    assert all(any(r[c] is not None for r in got) for c in [*names, "n_firms_civ"])
+    last = {r["doc_id"]: r for r in metric_panel.last_filings(spark, path).collect()}
+    scores = {r["doc_id"]: r for r in metric_panel.filing_scores(metric_panel.last_filings(spark, path), spark, path).collect()}
+    assert last.keys() == scores.keys() and len({(r["l_suppkey"], r["d"].year, (r["d"].month - 1) // 3) for r in last.values()}) == len(last)
+    single = [TQ.filing_category_scores, TQ.filing_readability, TQ.filing_phrase_scores]
+    for query, columns in zip(single, (("net_sentiment", "uncertainty_pct", "negativity_ratio"), ("fog_index",), ("offbalance_per10k",)), strict=True):
+        every = {r["doc_id"]: r for r in query(spark, path).collect()}
+        for k, r in scores.items():
+            assert all(r[c] == pytest.approx(every[k][c], abs=2e-5) for c in columns)
+
+
+def test_the_metric_panel_reads_texts_once(spark, sf_dir):
+    plan = metric_panel.metric_panel(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan  # scans before the plan's checkpoints are over

@@ -23,7 +23,9 @@ def sentence_count(text: Column) -> Column:
 
 
 def scoreable(df: DataFrame, text: str, least_chars: int = 1000, least_words: int = 200) -> DataFrame:
-    return df.where((F.length(text) >= least_chars) & (F.regexp_count(F.col(text), F.lit("[a-zA-Z]+")) >= least_words))
+    """The rows of texts of at least as many characters and, unless that is 0, words."""
+    long = df.where(F.length(text) >= least_chars)
+    return long.where(F.regexp_count(F.col(text), F.lit("[a-zA-Z]+")) >= least_words) if least_words else long
 
 
 def category_scores(df: DataFrame, key: str, text: str, dictionary: DataFrame, categories: Sequence[str]) -> DataFrame:

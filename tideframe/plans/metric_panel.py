@@ -3,7 +3,7 @@ is made once, so lineitem is read once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -12,11 +12,13 @@ from ..operators import volatility as V
 from ..operators.splits import settled
 from . import model_queries as MQ
 from . import panel_queries as PQ
+from . import text_queries as TQ
 from .roles import SECTOR_SQL, daily, every_month, known_months, reported, rounded, table, with_sector
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 KEYS = ["sector", "month_end"]
+METRICS = [*[f"metric_{c}" for c in "abcdefghijklmnopqrsuvwx"], "metric_r_spread"]
 #: Thresholds of the correlation of a sector's suppliers, which trade on some seven days a month.
 CORR = {"days": 100, "window": 63, "least": 10, "least_firms": 3}
 
@@ -28,17 +30,42 @@ def firms(every: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("asset_vol", F.col("realized_vol") * (1 - F.col("leverage"))).withColumn("assets", F.col("total_debt") + F.col("market_cap"))
 
 
-def filing_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric M: the 12-row change of the median length of a sector's last filings of a quarter, by month."""
-    f = texts.scoreable(table(spark, sf_dir, "documents"), "text").select("doc_id", F.substring("source", 4, 9).cast("bigint").alias("l_suppkey"), F.date_add(F.lit("1996-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int")).alias("d"), F.regexp_count(F.col("text"), F.lit("[a-zA-Z]+")).cast("double").alias("n_words"))
-    q = joins.quarter_medians(with_sector(f, spark, sf_dir), "l_suppkey", "sector", "d", ["n_words"], ["doc_id"])
-    m = joins.to_months(q, ["sector"], "stamp", ["n_words"], 3)
-    return V.pct_change(m, ["sector"], "month_end", "n_words", "metric_m").select(*KEYS, "metric_m")
+#: Phrases counted in filings, and the columns that the metrics of filings are medians of.
+PHRASES = {"offbalance": TQ._PHRASES["offbalance"], "risk_escalation": TQ._PHRASES["covenant"], "growth_narrative": TQ._PHRASES["growth"]}
+FILED = {"metric_g": "net_sentiment", "metric_h": "uncertainty_pct", "metric_i": "fog_index", "metric_j": "offbalance_per10k", "metric_k": "risk_escalation_per10k", "metric_l": "growth_narrative_per10k", "metric_n": "negativity_ratio"}
+#: Counted rows up to which a table of keys goes to every task.
+FEW = 200_000
 
 
-def parts(days: DataFrame, every: DataFrame, spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """The metrics of the daily table, of every firm-month and of filings' length, a frame each."""
-    own = settled(firms(every, spark, sf_dir))
+def last_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, l_suppkey, sector, d and n_words of each supplier's last filing of a quarter. Texts are read once."""
+    n = F.regexp_count(F.col("text"), F.lit("[a-zA-Z]+")).cast("double").alias("n_words")
+    f = settled(texts.scoreable(table(spark, sf_dir, "documents"), "text", least_words=0).select("doc_id", F.substring("source", 4, 9).cast("bigint").alias("l_suppkey"), F.date_add(F.lit("1996-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int")).alias("d"), n)).where("n_words >= 200")
+    last = joins.best_row(f.withColumn("_q", F.trunc("d", "quarter")), ["l_suppkey", "_q"], [F.desc("d"), F.desc("doc_id")])
+    return settled(with_sector(last.drop("_q"), spark, sf_dir))
+
+
+def filing_scores(last: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last filings with the scores behind metrics G to L and N: only their texts are taken apart."""
+    keys = last.select("doc_id")
+    own = settled(table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(keys) if keys.count() <= FEW else keys, "doc_id"))
+    words = texts.category_scores(own, "doc_id", "text", TQ.dictionary(spark), list(TQ.WORDS)).withColumns(texts.sentiment("negative_count", "positive_count", "word_count"))
+    parts = (words, texts.readability(own, "doc_id", "text"), texts.phrase_scores(own, "doc_id", "text", PHRASES))
+    return joins.assemble([last, *[p.select("doc_id", *[c for c in FILED.values() if c in p.columns]) for p in parts]], ["doc_id"])
+
+
+def filing_metrics(spark: SparkSession, sf_dir: str, scored: bool = False) -> DataFrame:
+    """Metric M, the 12-row change of the median length of a sector's last filings of a quarter, by month; if ``scored``, the
+    medians G to L and N as well."""
+    last, more = last_filings(spark, sf_dir), FILED if scored else {}
+    f = filing_scores(last, spark, sf_dir) if scored else last
+    q = settled(joins.quarter_medians(f, "l_suppkey", "sector", "d", ["n_words", *more.values()], ["doc_id"]))
+    m = joins.to_months(q, ["sector"], "stamp", ["n_words", *more.values()], 3)
+    return V.pct_change(m, ["sector"], "month_end", "n_words", "metric_m").select(*KEYS, "metric_m", *[F.col(c).alias(k) for k, c in more.items()])
+
+
+def parts(days: DataFrame, own: DataFrame, spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The metrics of the daily table and of every firm-month, a frame each."""
     market = V.market_vol(days.groupBy("d").agg(F.avg("ret").alias("ret")), "d", "ret")
     medians = own.groupBy(*KEYS).agg(*[F.median(c).alias(n) for c, n in (("realized_vol", "sector_vol"), ("leverage", "med_leverage"), ("asset_vol", "_asset"), ("vol_of_vol", "metric_d"), ("assets", "_assets"))])
     one = V.relative_vol(medians, market)
@@ -47,7 +74,7 @@ def parts(days: DataFrame, every: DataFrame, spark: SparkSession, sf_dir: str) -
     one = one.select(*KEYS, "sector_vol", "market_vol", "med_leverage", "metric_a", "metric_d", "metric_e", "metric_f", "metric_u", "metric_v", "metric_w", "metric_x")
     b = V.expanding_gap(own, "sector", "month_end", "leverage", "asset_vol")
     c = V.pairwise_correlation(with_sector(days, spark, sf_dir), "sector", "l_suppkey", "d", "ret", **CORR).withColumnRenamed("n_firms", "n_firms_corr")
-    return [one, b, c, filing_lengths(spark, sf_dir)]
+    return [one, b, c]
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -84,16 +111,20 @@ _SQL = f"""WITH {PQ.LEVERAGED_SQL}, {PQ._b_sql("lev", "sector", "mb")},
 def metric_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics A to F, M and U to X by sector and month."""
     days = settled(daily(spark, sf_dir))
-    return _rounded(joins.assemble(parts(days, settled(every_month(days)), spark, sf_dir), KEYS))
+    own = settled(firms(settled(every_month(days)), spark, sf_dir))
+    return _rounded(joins.assemble([*parts(days, own, spark, sf_dir), filing_metrics(spark, sf_dir)], KEYS))
 
 
 def whole_metric_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel with the credit metrics O to Q and the text-implied R and S as well, and the share of months that each
-    metric is known in."""
+    """All metrics, A to X (there is no T), the number of issuers behind O to Q, and for each metric the share of the sector's
+    months that it is known in."""
     days = settled(daily(spark, sf_dir))
-    every = settled(every_month(days))
-    frames = [*parts(days, every, spark, sf_dir), PQ.sector_credit_implied_vol(spark, sf_dir, every), MQ.text_implied_volatility(spark, sf_dir, every)]
-    return _rounded(joins.assemble([f.select(*KEYS, *[c for c in f.columns if c not in KEYS and not c.startswith("n_issuers")]) for f in frames], KEYS))
+    own = settled(firms(settled(every_month(days)), spark, sf_dir))
+    credit = PQ.sector_credit_implied_vol(spark, sf_dir, own).withColumnRenamed("n_issuers", "n_firms_civ")
+    frames = [*parts(days, own, spark, sf_dir), filing_metrics(spark, sf_dir, True), credit, MQ.text_implied_volatility(spark, sf_dir, own)]
+    out = _rounded(joins.assemble(frames, KEYS))
+    known = lambda c: F.avg(F.col(c).isNotNull().cast("double")).over(Window.partitionBy("sector"))
+    return rounded(out.withColumns({f"share_{c}": known(c) for c in METRICS}), [f"share_{c}" for c in METRICS])
 
 
 QUERIES["metric_panel"], SQL["metric_panel"] = metric_panel, _SQL

@@ -252,9 +252,10 @@ def implied_volatility_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 @query()
-def sector_credit_implied_vol(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
-    """Metrics O (sector median), P (less the median asset volatility) and Q (12-row change)."""
-    lev = settled(leveraged(spark, sf_dir, every))
+def sector_credit_implied_vol(spark: SparkSession, sf_dir: str, lev: DataFrame | None = None) -> DataFrame:
+    """Metrics O (sector median), P (less the median asset volatility) and Q (12-row change), with the firm-months of
+    ``leveraged`` from ``lev`` if they are at hand."""
+    lev = settled(leveraged(spark, sf_dir)) if lev is None else lev
     civ = bonds.with_implied_vol(_bonds(spark, sf_dir).join(lev.select("l_suppkey", "month_end", "leverage", "sector"), ["l_suppkey", "month_end"]), "spread", "leverage", "bucket")
     o = bonds.sector_months(civ, "sector", "l_suppkey", "civ").withColumnRenamed("civ", "metric_o")
     d = lev.groupBy("sector", "month_end").agg(F.median("asset_vol").alias("asset_vol"))
