@@ -384,3 +384,24 @@ def test_the_whole_panel_has_every_metric_and_its_share_of_months(spark):
 def test_the_metric_panel_reads_texts_once(spark, sf_dir):
     plan = metric_panel.metric_panel(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "text#" not in plan  # scans before the plan's checkpoints are over
+
+
+def test_a_return_is_sent_to_two_spans_at_most(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    days = pd.bdate_range("2019-06-03", "2023-10-31")
+    frame = pd.DataFrame([(f, d, rng.normal()) for f in range(5) for d in days if rng.uniform() < (0.95 if f < 3 else 0.6)], columns=["f", "d", "r"])
+    df = spark.createDataFrame([("g", f, d.date(), float(r)) for f, d, r in frame.itertuples(index=False)], "g string, f int, d date, r double")
+    out = V.pairwise_correlation(df, "g", "f", "d", "r", days=130, block=2)
+    got = {r["month_end"]: (r["metric_c"], r["n_firms"]) for r in out.collect()}
+    assert "_span" in out._jdf.queryExecution().optimizedPlan().toString()
+    months = sorted({(d + pd.offsets.MonthEnd(0)) for d in days})
+    assert got.keys() <= {m.date() for m in months} and len(got) > 48
+    for month in months:
+        own = frame[(frame["d"] <= month) & (frame["d"] >= month - pd.Timedelta(days=130))].groupby("f").tail(63)
+        own = own[own.groupby("f")["r"].transform("size") >= 40]
+        if len(own):
+            c = own.pivot(index="d", columns="f", values="r").corr(min_periods=2).to_numpy()
+            want = np.nanmean(c[np.triu_indices(len(c), 1)]) if len(c) >= 3 else None
+            assert got[month.date()] == (want if want is None else pytest.approx(want, abs=1e-9), len(c))

@@ -95,59 +95,102 @@ def expanding_gap(df: DataFrame, group: str, date: str, x: str, y: str, name: st
     return rows.join(lines, [group, date]).groupBy(group, date).agg(F.median(F.col(y) - F.col("_a") - F.col("_b") * F.col(x)).alias(name))
 
 
-def pairwise_correlation(daily: DataFrame, group: str, firm: str, date: str, ret: str, name: str = "metric_c", days: int = 100, window: int = 63, least: int = 40, least_firms: int = 3, block: int = 500) -> DataFrame:
+def pairwise_correlation(daily: DataFrame, group: str, firm: str, date: str, ret: str, name: str = "metric_c", days: int = 100, window: int = 63, least: int = 40, least_firms: int = 3, block: int = 4000) -> DataFrame:
     """(group, month_end, name, n_firms): mean correlation of all pairs of firms over the last ``window`` returns of each in
     the ``days`` days up to the month's end, of firms with at least ``least`` of them; NULL below ``least_firms`` firms.
 
-    Every day is sent to the month ends it can serve. A group's months are calendars of days by firms: each firm's returns of
-    a month become one row of numbers, dealt to blocks of firms, and pairs of blocks meet in a task, where matrix products
-    give the sums of all pairs of firms over the days that both have. Blocks are rows of arrays, so what is shuffled grows with
-    firms x blocks, not with firms x firms x days; a pair of blocks sends one number on.
+    A firm's returns of a span of months, and of the days before it that its months reach back to, become one row of numbers.
+    Rows are dealt to blocks of firms, and pairs of blocks meet in a task, which goes through the span's months: matrix
+    products give the sums of all pairs of firms over the days that both have. What is shuffled grows with returns x blocks,
+    not with pairs or with the months that a day serves; a pair of blocks sends three numbers a month on.
     """
-    rows = daily.where(F.col(ret).isNotNull()).select(group, firm, F.to_date(date).alias("_d"), F.col(ret).cast("double").alias(ret))
-    ends = F.transform(F.sequence(F.lit(0), F.lit(days // 28 + 1)), lambda i: F.last_day(F.add_months(F.trunc("_d", "month"), i.cast("int"))))
-    served = rows.withColumn("month_end", F.explode(ends)).where(F.date_sub("month_end", days) <= F.col("_d"))
-    # a month exists for a group if it has a day in it
-    months = rows.select(group, F.last_day("_d").alias("month_end")).distinct()
-    served = served.join(months, [group, "month_end"], "left_semi")
-    # a firm's last returns of a month, by the day's distance from its end
-    line = F.slice(F.sort_array(F.collect_list(F.struct(F.datediff("month_end", "_d").alias("at"), F.col(ret).alias("r")))), 1, window)
-    firms = served.groupBy(group, "month_end", firm).agg(line.alias("_line")).where(F.size("_line") >= least)
-    sizes = firms.groupBy(group, "month_end").agg(F.count(F.lit(1)).alias("n_firms"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    dealt = firms.join(sizes, [group, "month_end"]).withColumn("_own", F.pmod(F.xxhash64(firm), F.col("_blocks")).cast("int"))
+    span = max(24, days // 28 + 2)  # months; a day serves at most two spans
+    month = lambda d: F.floor((F.year(d) * 12 + F.month(d) - 1) / span).cast("int")
+    rows = daily.where(F.col(ret).isNotNull()).select(group, firm, F.to_date(date).alias("_d"), F.col(ret).cast("double").alias("_r"))
+    served = rows.withColumn("_span", F.explode(F.array_distinct(F.array(month("_d"), month(F.date_add("_d", days))))))
+    lines = served.groupBy(group, firm, "_span").agg(F.collect_list(F.struct(F.unix_date("_d").alias("at"), F.col("_r").alias("r"))).alias("_line")).where(F.size("_line") >= least)
+    sizes = served.groupBy(group, "_span").agg(F.ceil(F.approx_count_distinct(firm) / block).cast("int").alias("_blocks"))
+    dealt = lines.join(sizes, [group, "_span"]).withColumn("_own", F.pmod(F.xxhash64(firm), F.col("_blocks")).cast("int"))
     # a block meets itself and every other block once: the pair's lower block comes first
     other = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("a"), F.greatest(j, F.col("_own")).alias("b")))
-    meet = dealt.select(group, "month_end", "_own", "_line", F.explode(other).alias("_pair")).select(group, "month_end", "_own", "_line", "_pair.*")
+    meet = dealt.select(group, "_span", "_own", F.col("_line.at").alias("_at"), F.col("_line.r").alias("_r"), F.explode(other).alias("_pair")).select(group, "_span", "_own", "_at", "_r", "_pair.*")
     kinds = {f.name: f.dataType.simpleString() for f in meet.schema.fields}
-    sums = meet.groupBy(group, "month_end", "a", "b").applyInArrow(lambda t: _pair_sums(t, group, days + 31), f"`{group}` {kinds[group]}, month_end date, s double, n long")
-    mean = sums.groupBy(group, "month_end").agg((F.sum("s") / F.when(F.sum("n") > 0, F.sum("n"))).alias("_m"))
-    return sizes.join(mean, [group, "month_end"], "left").select(group, "month_end", F.when(F.col("n_firms") >= least_firms, F.col("_m")).alias(name), "n_firms")
-
-
-def _pair_sums(table: pa.Table, group: str, days: int) -> pa.Table:
-    """(group, month_end, s, n): the sum and number of the correlations of the pairs of firms of two blocks, or of one with
-    itself. Rows have _own (the firm's block), a, b (the blocks that meet) and _line (day, return)."""
-    lines = table["_line"].combine_chunks()
-    own, a, b = (np.asarray(table[c]) for c in ("_own", "a", "b"))
-    at = np.repeat(np.arange(len(own)), np.diff(np.asarray(lines.offsets)))
-    x, has = np.zeros((len(own), days + 1)), np.zeros((len(own), days + 1))
-    day, value = np.asarray(lines.values.field("at")), np.asarray(lines.values.field("r"))
-    x[at, day], has[at, day] = value, 1.0
-    first, second = np.flatnonzero(own == a[0]), np.flatnonzero(own == b[0])
+    tasks = 16 * daily.sparkSession.sparkContext.defaultParallelism  # small in bytes, but long
+    sums = meet.repartition(tasks, group, "_span", "a", "b").groupBy(group, "_span", "a", "b").applyInArrow(lambda t: _pair_sums(t, group, span, days, window, least), f"`{group}` {kinds[group]}, month_end date, s double, n long, firms long")
+    total = sums.groupBy(group, "month_end").agg((F.sum("s") / F.when(F.sum("n") > 0, F.sum("n"))).alias("_m"), F.sum("firms").alias("n_firms")).where("n_firms > 0")
+    # a month exists for a group if it has a day in it
+    months = rows.select(group, F.last_day("_d").alias("month_end")).distinct()
+    return total.join(months, [group, "month_end"], "left_semi").select(group, "month_end", F.when(F.col("n_firms") >= least_firms, F.col("_m")).alias(name), "n_firms")
+
+
+#: Firms by firms whose sums are made at once, and rows of them that are worked on together.
+PAIRS, STRIP = (128, 256), 64
+
+
+def _pair_sums(table: pa.Table, group: str, span: int, days: int, window: int, least: int) -> pa.Table:
+    """(group, month_end, s, n, firms): for each month of a span, the sum and number of the correlations of the pairs of firms
+    of two blocks, or of one with itself, and in that case the number of its firms. Rows have _own (the firm's block), a, b
+    (the blocks that meet), _at (days) and _r (returns)."""
+    lines = table["_at"].combine_chunks()
+    own, a, b = np.asarray(table["_own"]), table["a"][0].as_py(), table["b"][0].as_py()
+    firm = np.repeat(np.arange(len(own)), np.diff(np.asarray(lines.offsets)))
+    day, value = np.asarray(lines.flatten()), np.asarray(table["_r"].combine_chunks().flatten())
+    order = np.argsort(day, kind="stable")
+    firm, day, value = firm[order], day[order], value[order]
+    out = []
+    for month in range(table["_span"][0].as_py() * span, (table["_span"][0].as_py() + 1) * span):
+        end = int((np.datetime64("0000-01", "M") + month + 1).astype("datetime64[D]").astype(int)) - 1
+        u, v = np.searchsorted(day, [end - days, end + 1])
+        x, has = np.zeros((len(own), days + 1)), np.zeros((len(own), days + 1))
+        x[firm[u:v], end - day[u:v]], has[firm[u:v], end - day[u:v]] = value[u:v], 1.0
+        if (has.sum(1) > window).any():
+            last = np.cumsum(has, 1) <= window
+            x, has = x * last, has * last
+        known = has.sum(1) >= least
+        if not known.any():
+            continue
+        x, has = x[known], has[known]
+        x = np.where(has > 0, x - (x.sum(1) / has.sum(1))[:, None], 0.0)  # so that sums of squares lose no digits
+        first, second = ((x[at], has[at]) for at in (own[known] == a, own[known] == b))
+        out.append((end, *_correlations(first, first if a == b else second, a == b), len(first[0]) if a == b else 0))
+    ends, s, n, firms = zip(*out, strict=True) if out else ((), (), (), ())
+    one = pa.array([table[group][0].as_py()] * len(out), table.schema.field(group).type)
+    return pa.table({group: one, "month_end": pa.array(ends, pa.int32()).cast(pa.date32()), "s": pa.array(s, pa.float64()), "n": pa.array(n, pa.int64()), "firms": pa.array(firms, pa.int64())})
+
+
+def _correlations(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], same: bool) -> tuple[float, int]:
+    """Sum and number of the correlations of each firm of one block with each of another, or with the later ones of the same:
+    (returns, 1 where there is one), firms x days. Pairs without a deviation on their common days have none."""
+    (xp, hp), (xq, hq) = first, second
+    if not len(xp) or not len(xq):
+        return 0.0, 0
+    pp, qq = xp * xp, xq * xq
+    high, wide = min(PAIRS[0], len(xp)), min(PAIRS[1], len(xq))
+    sums, spare = np.empty((6, high, wide)), np.empty((STRIP, wide))
     s, n = 0.0, 0
-    for i in range(0, len(first), 256):
-        p, q = first[i : i + 256], second
-        # centred on each firm's own mean first, so that sums of squares lose no digits
-        xp, xq = (np.where(has[z] > 0, x[z] - (x[z].sum(1) / has[z].sum(1))[:, None], 0.0) for z in (p, q))
-        m = has[p] @ has[q].T
-        with np.errstate(all="ignore"):
-            sx, sy = xp @ has[q].T, has[p] @ xq.T
-            xx, yy = (xp**2) @ has[q].T - sx**2 / m, has[p] @ (xq**2).T - sy**2 / m
-            corr = (xp @ xq.T - sx * sy / m) / np.sqrt(xx * yy)
-        pairs = (q[None, :] > p[:, None]) if a[0] == b[0] else np.ones(m.shape, bool)
-        known = pairs & (m > 0) & (xx > 1e-14) & (yy > 1e-14)
-        s, n = s + float(corr[known].sum()), n + int(known.sum())
-    return pa.table({group: table[group][:1], "month_end": table["month_end"][:1], "s": pa.array([s]), "n": pa.array([n], pa.int64())})
+    for i in range(0, len(xp), high):
+        for j in range(i // wide * wide if same else 0, len(xq), wide):
+            p, q = slice(i, i + high), slice(j, j + wide)
+            w = sums[:, : len(xp[p]), : len(xq[q])]
+            for at, (x, y) in enumerate(((hp, hq), (xp, hq), (pp, hq), (hp, xq), (xp, xq), (hp, qq))):
+                np.matmul(x[p], y[q].T, out=w[at])
+            for k in range(0, w.shape[1], STRIP):
+                m, sx, xx, sy, xy, yy = w[:, k : k + STRIP]
+                t = spare[: m.shape[0], : m.shape[1]]
+                xy *= m
+                xy -= np.multiply(sx, sy, out=t)
+                xx *= m
+                xx -= np.multiply(sx, sx, out=sx)
+                yy *= m
+                yy -= np.multiply(sy, sy, out=sy)
+                m *= 1e-14
+                known = np.minimum(xx, yy, out=t) > m
+                if same and j < i + k + STRIP:
+                    known &= np.arange(j, j + m.shape[1]) > np.arange(i + k, i + k + m.shape[0])[:, None]
+                xx *= yy
+                xy /= np.sqrt(np.maximum(xx, 1e-300, out=xx), out=xx)
+                s, n = s + float(np.einsum("ij,ij->", xy, known.astype(float))), n + int(np.count_nonzero(known))
+    return s, n
 
 
 def cusum(df: DataFrame, group: str, order: list[str], value: str, mean: Column, std: Column, slack: float = 0.5, least: int = 3, name: str = "cusum") -> DataFrame:
