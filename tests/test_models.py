@@ -550,3 +550,13 @@ def test_hidden_states_of_sequences_of_many_lengths_in_small_blocks(spark, monke
     monkeypatch.setattr(models, "CELLS", 10)
     assert np.allclose(models.fit_hmm(df, "s", "t", ["v"], 2, 5).mean, now.mean)
     assert models.danger_scores(df, now, "s", "t", ["v"]).where("s = 8").count() == 35
+
+
+def test_texts_are_measured_before_they_meet_labels_and_splits(spark, sf_dir):
+    from tideframe.plans import evaluation_queries, model_queries
+
+    plan = evaluation_queries.units(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(plan) if "Join Inner" in line)
+    assert "length(text" in plan[join + 1] and not any("length(text" in line for line in plan[:join])
+    done = model_queries.text_model_with_and_without_test_units(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in done
