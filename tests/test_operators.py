@@ -405,3 +405,26 @@ def test_a_return_is_sent_to_two_spans_at_most(spark):
             c = own.pivot(index="d", columns="f", values="r").corr(min_periods=2).to_numpy()
             want = np.nanmean(c[np.triu_indices(len(c), 1)]) if len(c) >= 3 else None
             assert got[month.date()] == (want if want is None else pytest.approx(want, abs=1e-9), len(c))
+
+
+@pytest.mark.parametrize("few", [0, 3, 200_000])
+def test_scores_by_dictionary_are_the_single_ones_whatever_is_sent_to_the_texts(spark, few):
+    rows = [(1, "Alpha beta. Gamma alpha epsilon zeta!"), (2, "beta beta of " * 5), (3, "..."), (4, "ALPHA banana. " * 40)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    known = spark.createDataFrame([("ALPHA", "a", 3), ("ALPHA", "b", 3), ("BETA", "b", 1), ("OF", "a", 4)], "word string, category string, syllables int")
+    out = texts.scores_by_dictionary(df, "k", "t", known, ["a", "b"], few)
+    got = {r["k"]: r.asDict() for r in out.collect()}
+    counts = {r["k"]: r.asDict() for r in texts.category_scores(df, "k", "t", known, ["a", "b"]).collect()}
+    read = {r["k"]: r.asDict() for r in texts.readability(df, "k", "t", known).collect()}
+    assert got.keys() == counts.keys() and read.keys() == got.keys() - {3}
+    for k, r in got.items():
+        assert all(r[c] == counts[k][c] for c in ("word_count", "a_count", "b_count"))
+        assert all(r[c] == (pytest.approx(read[k][c]) if k in read else None) for c in ("fog_index", "smog", "total_syllables", "ari"))
+
+
+def test_dictionary_scores_send_rare_words_alone(spark, sf_dir):
+    from tideframe.plans import text_queries
+
+    plan = text_queries.dictionary_scores(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert shuffles and not any(", w#" in line or ", word#" in line for line in shuffles)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .splits import settled
+
 #: Phrases counted where the caller gives none.
 PHRASES: dict[str, tuple[str, ...]] = {"credit": ("credit line", "covenant", "refinanc"), "growth": ("record growth", "expansion", "new market")}
 
@@ -65,11 +67,15 @@ def readability(df: DataFrame, key: str, text: str, known: DataFrame | None = No
         words = words.join(known.select(F.col("word").alias("_k"), F.col("syllables").alias("_s")).dropDuplicates(["_k"]), F.upper("w") == F.col("_k"), "left").withColumn("syl", F.coalesce("_s", "syl"))
     c = F.col("c")
     sums = words.groupBy(key).agg(F.sum(c).alias("n"), F.sum(c * F.col("syl")).alias("syl"), F.sum(F.when(F.col("syl") >= 3, c).otherwise(0)).alias("hard"), F.sum(c * F.length("w")).alias("chars")).join(base, key)
-    n, s = F.col("n"), F.col("s")
+    return sums.select(key, *_indices())
+
+
+def _indices() -> list[Column]:
+    """The readability of a text of n words (NULL without any) and s sentences, with syl syllables, hard words of three and more, chars letters."""
+    n, s = F.nullif(F.col("n"), F.lit(0)), F.col("s")
     aws, asp, hard, cpw = n / s, F.col("syl") / n, F.col("hard") / n, F.col("chars") / n
-    smog = 3.0 + F.sqrt(F.when(s >= 30, F.col("hard") * (30 / s)).otherwise(F.col("hard")))
-    return sums.select(
-        key,
+    smog = F.when(n.isNotNull(), 3.0 + F.sqrt(F.when(s >= 30, F.col("hard") * (30 / s)).otherwise(F.col("hard"))))
+    return [
         (0.4 * (aws + 100 * hard)).alias("fog_index"),
         (0.39 * aws + 11.8 * asp - 15.59).alias("fk_grade"),
         (206.835 - 1.015 * aws - 84.6 * asp).alias("reading_ease"),
@@ -80,7 +86,30 @@ def readability(df: DataFrame, key: str, text: str, known: DataFrame | None = No
         asp.alias("syllables_a_word"),
         hard.alias("share_complex"),
         F.col("syl").cast("bigint").alias("total_syllables"),
-    )
+    ]
+
+
+def scores_by_dictionary(df: DataFrame, key: str, text: str, known: DataFrame, categories: Sequence[str], few: int = 200_000) -> DataFrame:
+    """key, word_count, the count of each category and what ``readability`` gives, by ``known`` (word in capitals, category,
+    syllables). Each key has one row.
+
+    What is known of the ``few`` most frequent words goes to the texts, whose words are added up where they are: a task passes
+    on a row a text. Only the other words, which are rare however many there are, are shuffled to meet the dictionary.
+    """
+    flags = known.groupBy(F.col("word").alias("w")).agg(F.min("syllables").alias("_s"), *[F.max((F.col("category") == c).cast("int")).alias(f"_{c}") for c in categories])
+    syl = F.coalesce("_s", syllables(F.col("w")))  # letters alone, so capitals are as good
+    own = df.select(key, sentence_count(F.col(text)).alias("s"), words_of(F.col(text)).alias("_words"))
+    words = own.select(key, "s", F.explode_outer("_words").alias("w")).withColumn("w", F.upper("w"))
+    usual = words.where("w IS NOT NULL").groupBy("w").count().orderBy(F.desc("count"), "w").limit(few).select("w")
+    table = settled(usual.join(flags, "w", "left").withColumn("syl", syl).drop("_s").withColumn("_usual", F.lit(True)))
+    found = words.join(F.broadcast(table), "w", "left")
+    near = found.where("_usual OR w IS NULL")
+    far = found.where("_usual IS NULL AND w IS NOT NULL").select(key, "s", "w").join(flags, "w", "left").withColumn("syl", syl)
+    hits = [F.sum(F.coalesce(F.col(f"_{x}"), F.lit(0))).alias(f"{x}_count") for x in categories]
+    sums = [F.count("w").alias("n"), F.sum("syl").alias("syl"), F.sum(F.when(F.col("syl") >= 3, 1).otherwise(0)).alias("hard"), F.sum(F.length("w")).alias("chars"), *hits]
+    both = near.groupBy(key, "s").agg(*sums).unionByName(far.groupBy(key, "s").agg(*sums))
+    total = both.groupBy(key, "s").agg(*[F.sum(c).alias(c) for c in both.columns if c not in (key, "s")])
+    return total.select(key, F.col("n").alias("word_count"), *[f"{x}_count" for x in categories], *_indices())
 
 
 def phrase_count(text: Column, phrases: Sequence[str], whole_words: bool = False) -> Column:

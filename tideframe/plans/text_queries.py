@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins, texts
+from ..operators.splits import settled
 from .roles import rounded, table
 
 QUERIES: dict = {}
@@ -174,6 +175,6 @@ def wide_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
       round(0.4 * (count(*) / s + 100 * count(*) FILTER (WHERE syl >= 3) / count(*)), 5) AS fog_index FROM z GROUP BY doc_id, s""")
 def dictionary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the eight categories, and readability by the dictionary's syllables for the words in it."""
-    known, f = texts.category_words(wide_dictionary(spark, sf_dir), CATEGORIES), filings(spark, sf_dir)
-    counts = texts.category_scores(f, "doc_id", "text", known, list(CATEGORIES)).select("doc_id", "word_count", *[f"{c}_count" for c in CATEGORIES])
-    return rounded(counts.join(texts.readability(f, "doc_id", "text", known).select("doc_id", "total_syllables", "fog_index"), "doc_id"), ["fog_index"], 5)
+    known = settled(texts.category_words(wide_dictionary(spark, sf_dir), CATEGORIES))
+    out = texts.scores_by_dictionary(filings(spark, sf_dir), "doc_id", "text", known, list(CATEGORIES))
+    return rounded(out.select("doc_id", "word_count", *[f"{c}_count" for c in CATEGORIES], "total_syllables", "fog_index"), ["fog_index"], 5)
